@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 
 from textloom import lexicons
 from textloom.functions import text as tx
+from textloom.operators.tokens import in_sentence
 
 NOMINAL = ("NOUN", "PROPN", "PRON", "ADJ", "NUM")
 HEADER = ("# NOTE: heuristic conversion of parser labels; not guaranteed to be UD-valid",)
 
-_ORDER = Window.partitionBy("doc_id", "sent_id").orderBy("tok_id")
-_SENT = Window.partitionBy("doc_id", "sent_id")
-
 
 def ud_relation(dep: Column) -> Column:
     """Universal relation of a parser label; unknown labels are lower-cased."""
@@ -30,7 +28,7 @@ def basic_tree(arcs: DataFrame) -> DataFrame:
 
     Roots, and heads outside the sentence, become 0. ``h_*`` describe the head and ``g_*`` the head's head.
     """
-    base = arcs.filter(~F.col("is_space")).withColumn("idx", F.row_number().over(_ORDER))
+    base = arcs.filter(~F.col("is_space")).withColumn("idx", F.row_number().over(in_sentence()))
     head = base.select("doc_id", F.col("tok_id").alias("head_id"), F.col("idx").alias("h_idx"),
                        F.col("sent_id").alias("h_sent"), F.col("upos").alias("h_upos"), F.col("head_id").alias("g_id"))
     grand = base.select("doc_id", F.col("tok_id").alias("g_id"), F.col("idx").alias("g_idx"),
@@ -67,11 +65,12 @@ def reattach_adpositions(tree: DataFrame) -> DataFrame:
 
 def promote_predicates(tree: DataFrame) -> DataFrame:
     """Copular sentences: the first ``attr`` child of a verbal root becomes the root, the old root its ``cop``."""
-    root_tok = F.min(F.when(F.col("dep") == "ROOT", F.struct("idx", "tok_id", "upos"))).over(_SENT)
+    sentence = Window.partitionBy("doc_id", "sent_id")
+    root_tok = F.min(F.when(F.col("dep") == "ROOT", F.struct("idx", "tok_id", "upos"))).over(sentence)
     rows = tree.withColumn("_r", root_tok)
     attr = F.when((F.col("dep") == "attr") & (F.col("head_id") == F.col("_r.tok_id"))
                   & F.col("_r.upos").isin("AUX", "VERB"), F.col("idx"))
-    rows = rows.withColumn("_a", F.min(attr).over(_SENT))
+    rows = rows.withColumn("_a", F.min(attr).over(sentence))
     new, old = F.col("_a"), F.col("_r.idx")
     return (rows
             .withColumn("head_idx", F.when(new.isNull(), F.col("head_pp")).when(F.col("idx") == new, 0)

@@ -15,17 +15,17 @@ from textloom.functions import text as tx
 LINSEAR_WORDS = 100
 
 
-def counts(docs: DataFrame, easy_words: tuple[str, ...] = lexicons.EASY_WORDS) -> DataFrame:
-    """Per-document counts every formula below is built from."""
-    rows = docs.select("doc_id", tx.words(F.col("text")).alias("_words"),
+def counts(docs: DataFrame, easy_words: tuple[str, ...] = lexicons.EASY_WORDS, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Per-document counts every formula below is built from; ``extra`` columns are carried along."""
+    rows = docs.select("doc_id", *extra, tx.words(F.col("text")).alias("_words"),
                        F.size(tx.raw_sentences(F.col("text"))).alias("_sents"),
                        _sample(F.col("text")).alias("_sample"))
-    rows = rows.select("doc_id", "_words", "_sents", F.transform("_words", tx.syllables).alias("_syl"),
+    rows = rows.select("doc_id", *extra, "_words", "_sents", F.transform("_words", tx.syllables).alias("_syl"),
                        F.transform(tx.words(F.col("_sample")), tx.syllables).alias("_sample_syl"),
                        F.size(tx.raw_sentences(F.col("_sample"))).alias("_sample_sents"))
     hard = F.filter("_words", lambda w: ~w.isin(*easy_words) & (tx.syllables(w) >= 2))
     return rows.select(
-        "doc_id", F.size("_words").alias("words"), F.greatest(F.lit(1), F.col("_sents")).alias("sentences"),
+        "doc_id", *extra, F.size("_words").alias("words"), F.greatest(F.lit(1), F.col("_sents")).alias("sentences"),
         F.length(F.array_join("_words", "")).alias("letters"),
         F.aggregate("_syl", F.lit(0), lambda acc, s: acc + s).alias("syllables"),
         F.size(F.filter("_syl", lambda s: s >= 3)).alias("polysyllables"),
@@ -45,9 +45,9 @@ def _ratio(a: str, b: str) -> Column:
     return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
 
 
-def scores(docs: DataFrame, easy_words: tuple[str, ...] = lexicons.EASY_WORDS) -> DataFrame:
+def scores(docs: DataFrame, easy_words: tuple[str, ...] = lexicons.EASY_WORDS, extra: tuple[str, ...] = ()) -> DataFrame:
     """All scores of a document; a document without words scores 0."""
-    rows = counts(docs, easy_words)
+    rows = counts(docs, easy_words, extra)
     wps, spw = _ratio("words", "sentences"), _ratio("syllables", "words")
     lpw, spw100 = _ratio("letters", "words"), _ratio("sentences", "words")
     hard_pct = _ratio("difficult", "words") * 100.0
@@ -68,7 +68,7 @@ def scores(docs: DataFrame, easy_words: tuple[str, ...] = lexicons.EASY_WORDS) -
     }
     has_words = F.col("words") > 0
     return rows.select(
-        "doc_id", F.col("words").cast("long").alias("words"), F.col("syllables").cast("long").alias("syllables"),
+        "doc_id", *extra, F.col("words").cast("long").alias("words"), F.col("syllables").cast("long").alias("syllables"),
         *[F.round(F.when(has_words, f).otherwise(0.0), 6).alias(name) for name, f in formulas.items()],
         F.col("difficult").cast("long").alias("difficult_words"))
 

@@ -11,7 +11,9 @@ from textloom.scale import bounded_broadcast, cluster_by
 
 CONTENT_UPOS = ("NOUN", "PROPN", "VERB", "ADJ", "ADV", "NUM", "SYM")
 
-SENTENCE = Window.partitionBy("doc_id", "sent_id").orderBy("tok_id")
+
+def in_sentence() -> Window:
+    return Window.partitionBy("doc_id", "sent_id").orderBy("tok_id")
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -134,9 +136,10 @@ def baseline_arcs(toks: DataFrame) -> DataFrame:
     on the previous content token and govern the content token right after them; determiners and other
     function words hang on the next content token; everything else on the previous one (or on the root).
     """
-    whole = SENTENCE.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    past = SENTENCE.rowsBetween(Window.unboundedPreceding, -1)
-    future = SENTENCE.rowsBetween(1, Window.unboundedFollowing)
+    sentence = in_sentence()
+    whole = sentence.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    past = sentence.rowsBetween(Window.unboundedPreceding, -1)
+    future = sentence.rowsBetween(1, Window.unboundedFollowing)
     content = F.col("upos").isin(*CONTENT_UPOS)
     tok = F.col("tok_id")
     rows = toks.select(
@@ -145,7 +148,7 @@ def baseline_arcs(toks: DataFrame) -> DataFrame:
                    F.min(F.when(content, tok)).over(whole), F.min(tok).over(whole)).alias("_root"),
         F.max(F.when(content, tok)).over(past).alias("_prev"),
         F.min(F.when(content, tok)).over(future).alias("_next"),
-        F.lag("upos").over(SENTENCE).alias("_left"))
+        F.lag("upos").over(sentence).alias("_left"))
     root, upos, prev, left = F.col("_root"), F.col("upos"), F.col("_prev"), F.col("_left")
     forward = F.coalesce(F.col("_next"), root)
     back = F.coalesce(prev, root)
