@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.scale import local_table
+
 # Supported languages and the model package reported for each.
 LANGUAGE_MODELS = {
     "en": "en_core_web_sm",
@@ -164,7 +166,7 @@ def lexicon_rows() -> list[tuple[str, str, bool, str | None, str | None]]:
 
 def lexicon(spark: SparkSession) -> DataFrame:
     """The default lexicon as a local table (a few hundred rows)."""
-    return spark.createDataFrame(lexicon_rows(), LEXICON_SCHEMA)
+    return local_table(spark, lexicon_rows(), LEXICON_SCHEMA)
 
 
 def lemma_pairs() -> list[tuple[str, str, str]]:

@@ -1,7 +1,7 @@
 """CoNLL-U export of annotated tokens.
 
-Head look-ups are joins keyed by (document, token), so no document is gathered in one place. The columns of the
-uncorrected tree stay next to the repaired ones.
+Heads and children exchange values keyed by (document, token), so no sentence is gathered in one place. The
+columns of the uncorrected tree stay next to the repaired ones.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom import lexicons
 from textloom.functions import text as tx
-from textloom.operators.tokens import in_sentence
+from textloom.operators.tokens import in_sentence, pass_values
 
 NOMINAL = ("NOUN", "PROPN", "PRON", "ADJ", "NUM")
 HEADER = ("# NOTE: heuristic conversion of parser labels; not guaranteed to be UD-valid",)
@@ -29,11 +29,12 @@ def basic_tree(arcs: DataFrame) -> DataFrame:
     Roots, and heads outside the sentence, become 0. ``h_*`` describe the head and ``g_*`` the head's head.
     """
     base = arcs.filter(~F.col("is_space")).withColumn("idx", F.row_number().over(in_sentence()))
-    head = base.select("doc_id", F.col("tok_id").alias("head_id"), F.col("idx").alias("h_idx"),
-                       F.col("sent_id").alias("h_sent"), F.col("upos").alias("h_upos"), F.col("head_id").alias("g_id"))
-    grand = base.select("doc_id", F.col("tok_id").alias("g_id"), F.col("idx").alias("g_idx"),
-                        F.col("sent_id").alias("g_sent"), F.col("upos").alias("g_upos"))
-    rows = base.join(head, ["doc_id", "head_id"], "left").join(grand, ["doc_id", "g_id"], "left")
+    rows = pass_values(base, "tok_id", F.struct("idx", "sent_id", "upos", "head_id"), "head_id", "_h")
+    rows = rows.select("*", F.col("_h.idx").alias("h_idx"), F.col("_h.sent_id").alias("h_sent"),
+                       F.col("_h.upos").alias("h_upos"), F.col("_h.head_id").alias("g_id")).drop("_h")
+    rows = pass_values(rows, "tok_id", F.struct("idx", "sent_id", "upos"), "g_id", "_g")
+    rows = rows.select("*", F.col("_g.idx").alias("g_idx"), F.col("_g.sent_id").alias("g_sent"),
+                       F.col("_g.upos").alias("g_upos")).drop("_g")
     inside = F.col("h_sent") == F.col("sent_id")
     relation = ud_relation(F.col("dep"))
     noun_head = F.when(F.col("h_upos") == "ADP", F.col("g_upos").isin(*NOMINAL)).otherwise(F.col("h_upos").isin(*NOMINAL))
@@ -51,9 +52,7 @@ def reattach_adpositions(tree: DataFrame) -> DataFrame:
     moves = ((F.col("dep") == "pobj") & (F.col("h_upos") == "ADP") & (F.col("g_id") != F.col("head_id"))
              & (F.col("h_sent") == F.col("sent_id")) & (F.col("g_sent") == F.col("sent_id")))
     tree = tree.withColumn("_moves", F.coalesce(moves, F.lit(False)))
-    claims = (tree.filter("_moves").groupBy("doc_id", F.col("head_id").alias("tok_id"))
-              .agg(F.max("idx").alias("_noun")))
-    rows = tree.join(claims, ["doc_id", "tok_id"], "left")
+    rows = pass_values(tree, "head_id", F.when(F.col("_moves"), F.col("idx")), "tok_id", "_noun", agg=F.max)
     claimed = F.col("_noun").isNotNull() & (~F.col("_moves") | (F.col("_noun") > F.col("idx")))
     return (rows
             .withColumn("head_pp", F.when(claimed, F.col("_noun")).when(F.col("_moves"), F.col("g_idx"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.scale import bounded_broadcast, ordered_rank
+from textloom.scale import bounded_broadcast, local_table, ordered_rank
 
 MIN_CHARS = 10
 
@@ -118,4 +118,4 @@ def json_path_checks(rows: DataFrame, key: str, payload: str, bounds: dict[str,
 
 
 def rules_table(spark: SparkSession, rows: list[tuple[str, int, str, bool]]) -> DataFrame:
-    return spark.createDataFrame(rows, "host STRING, seq INT, prefix STRING, allow BOOLEAN")
+    return local_table(spark, rows, "host STRING, seq INT, prefix STRING, allow BOOLEAN")

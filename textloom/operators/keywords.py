@@ -31,13 +31,16 @@ def term_statistics(toks: DataFrame) -> DataFrame:
     acronym = (F.upper("text") == F.col("text")) & (F.lower("text") != F.col("text"))
     capital = (F.upper(F.substring("text", 1, 1)) == F.substring("text", 1, 1)) & \
               (F.lower(F.substring("text", 1, 1)) != F.substring("text", 1, 1)) & (F.col("sent_pos") > 0)
+    # The sets hold the surroundings of one term in one document. Several distinct counts in one aggregate would
+    # instead copy every row once per counted column.
+    distinct = lambda c: F.size(F.collect_set(c))
     return terms.groupBy("doc_id", F.col("lower").alias("term")).agg(
         F.count(F.lit(1)).alias("tf"),
         F.count_if(acronym).alias("tf_acronym"), F.count_if(capital).alias("tf_capital"),
         F.median("sent_id").alias("median_sentence"),
-        F.countDistinct("sent_id").alias("term_sentences"),
-        F.countDistinct("left").alias("left_distinct"), F.count("left").alias("left_n"),
-        F.countDistinct("right").alias("right_distinct"), F.count("right").alias("right_n"))
+        distinct("sent_id").alias("term_sentences"),
+        distinct("left").alias("left_distinct"), F.count("left").alias("left_n"),
+        distinct("right").alias("right_distinct"), F.count("right").alias("right_n"))
 
 
 def keywords_yake(docs_sentences: DataFrame, toks: DataFrame, k: int = TOP_KEYWORDS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom import lexicons
 from textloom.functions import text as tx
+from textloom.scale import local_table
 
 SHORT_TEXT = 200
 LOW_CONFIDENCE = 0.6
@@ -57,7 +58,7 @@ def is_low_confidence(confidence: Column) -> Column:
 def route_language(df: DataFrame, code: Column) -> DataFrame:
     """Add the model for each row's language; rows of unsupported languages get a null model and an error."""
     spark = df.sparkSession
-    dimension = spark.createDataFrame(sorted(lexicons.LANGUAGE_MODELS.items()), "language STRING, model STRING")
+    dimension = local_table(spark, sorted(lexicons.LANGUAGE_MODELS.items()), "language STRING, model STRING")
     known = ", ".join(f"'{c}'" for c in sorted(lexicons.LANGUAGE_MODELS))
     routed = df.withColumn("language", tx.normalize_lang(code)).join(F.broadcast(dimension), "language", "left")
     note = F.concat(F.lit("Unsupported language '"), code, F.lit(f"'. Supported: [{known}]"))

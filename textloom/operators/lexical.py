@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators.tokens import content_tokens
+from textloom.operators.tokens import content_tokens, pass_values
 from textloom.scale import top_k
 
 TOP_LEMMAS = 20
@@ -91,10 +91,10 @@ def dependency_support(toks: DataFrame) -> DataFrame:
 def head_pos_dep(arcs: DataFrame, k: int = TOP_ARCS) -> DataFrame:
     """Most frequent ``head tag->label`` pairs per document; ties in order of first occurrence.
 
-    Arcs are keyed by (document, head token), so a large document spreads over all tasks.
+    Tags travel from each token to its dependents, see ``pass_values``.
     """
-    heads = arcs.select("doc_id", F.col("tok_id").alias("head_id"), F.col("upos").alias("head_upos"))
-    pairs = arcs.select("doc_id", "tok_id", "head_id", "dep").join(heads, ["doc_id", "head_id"])
+    rows = arcs.select("doc_id", "tok_id", "head_id", "dep", "upos")
+    pairs = pass_values(rows, "tok_id", F.col("upos"), "head_id", "head_upos").filter(F.col("head_upos").isNotNull())
     counts = (pairs.groupBy("doc_id", F.concat("head_upos", F.lit("->"), "dep").alias("arc"))
               .agg(F.count(F.lit(1)).alias("count"), F.min("tok_id").alias("first_seen")))
     return top_k(counts, ["doc_id"], [F.desc("count"), F.asc("first_seen")], k)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom import lexicons
 from textloom.functions import text as tx
-from textloom.scale import bounded_broadcast, cluster_by
+from textloom.scale import bounded_broadcast, cluster_by, local_table
 
 # Fixed values of the published valence rules.
 CAPS_STEP = 0.733
@@ -27,15 +27,16 @@ MICRO = 1_000_000
 
 
 def valence_table(spark: SparkSession, entries: dict[str, float]) -> DataFrame:
-    return spark.createDataFrame(sorted(entries.items()), "word STRING, valence DOUBLE")
+    return local_table(spark, sorted(entries.items()), "word STRING, valence DOUBLE")
 
 
 def scored_words(texts: DataFrame, valence: DataFrame) -> DataFrame:
     """Words with their valence after every word-level rule (null for unlisted words)."""
-    clustered = cluster_by(texts.select("doc_id", "text"), "doc_id")
+    # Text-level tests go into a projection of their own: next to the generator they would run once per word.
+    mixed = F.col("text").rlike(r"\p{Ll}") & F.col("text").rlike(r"\p{Lu}")
+    clustered = cluster_by(texts.select("doc_id", "text"), "doc_id").select("doc_id", "text", mixed.alias("_mixed"))
     rows = clustered.select(
-        "doc_id",
-        (F.col("text").rlike(r"\p{Ll}") & F.col("text").rlike(r"\p{Lu}")).alias("_mixed"),
+        "doc_id", "_mixed",
         F.posexplode(F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0))).alias("pos", "word"))
     rows = rows.withColumn("lower", F.lower("word"))
     rows = rows.select(
@@ -43,7 +44,7 @@ def scored_words(texts: DataFrame, valence: DataFrame) -> DataFrame:
         F.col("lower").isin(*lexicons.NEGATORS).alias("negator"), _booster(F.col("lower")).alias("boost"),
         F.when(F.col("lower").isin(*lexicons.CONTRAST_WORDS), F.col("pos")).alias("contrast"))
     order = Window.partitionBy("doc_id").orderBy("pos")
-    ever = Window.partitionBy("doc_id")
+    ever = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # same sort as ``order``
     rows = rows.select(
         "*", F.min("contrast").over(ever).alias("first_contrast"),
         *[F.coalesce(F.lag("boost", i).over(order), F.lit(0.0)).alias(f"b{i}") for i in (1, 2, 3)],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom import lexicons
 from textloom.functions import text as tx
-from textloom.scale import bounded_broadcast, cluster_by
+from textloom.scale import bounded_broadcast, cluster_by, local_table
 
 CONTENT_UPOS = ("NOUN", "PROPN", "VERB", "ADJ", "ADV", "NUM", "SYM")
 
@@ -107,7 +107,7 @@ def entities(docs: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     if gazetteer is None:
-        gazetteer = F.broadcast(spark.createDataFrame(sorted(lexicons.GAZETTEER.items()), "name STRING, name_label STRING"))
+        gazetteer = F.broadcast(local_table(spark, sorted(lexicons.GAZETTEER.items()), "name STRING, name_label STRING"))
     else:
         gazetteer = bounded_broadcast(gazetteer)
     branches = [p for _, p in lexicons.ENTITY_PATTERNS] + [
@@ -129,6 +129,27 @@ def entities(docs: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
             .select("doc_id", "start", (F.col("start") + F.col("n")).cast("int").alias("end"), "label", "text"))
 
 
+def pass_values(rows: DataFrame, send_to: str, value: Column, receive_at: str, name: str, agg=None) -> DataFrame:
+    """Add ``name``: what the tokens of the same document sent to this row's address.
+
+    Every row sends ``value`` to token number ``send_to`` and collects the (first or aggregated) value that
+    arrived at token number ``receive_at``. Head look-ups and child summaries are such messages. They cost one
+    sort: rows that are laid out by document are not shuffled again, the table is read once (a self-join reads
+    it once per side), and a group is only the traffic of one token.
+    """
+    probe = rows.select(F.struct("*").alias("row"), value.alias("value")).schema
+    mail = F.array(
+        F.struct(F.col(send_to).cast("int").alias("_at"), F.lit(0).alias("_kind"),
+                 F.lit(None).cast(probe["row"].dataType).alias("_row"), value.alias("_value")),
+        F.struct(F.col(receive_at).cast("int").alias("_at"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_row"),
+                 F.lit(None).cast(probe["value"].dataType).alias("_value")))
+    sent = rows.select("doc_id", F.inline(mail)).filter(F.col("_value").isNotNull() | F.col("_row").isNotNull())
+    arrived = Window.partitionBy("doc_id", "_at").orderBy("_kind").rowsBetween(Window.unboundedPreceding, 0)
+    picked = (agg("_value") if agg else F.first("_value", ignorenulls=True)).over(arrived)
+    sent = sent.withColumn(name, picked).filter(F.col("_kind") == 1)
+    return sent.select("_row.*", F.when(F.col("_at").isNotNull(), F.col(name)).alias(name))
+
+
 def baseline_arcs(toks: DataFrame) -> DataFrame:
     """Add ``dep`` and ``head_id`` by the adjacency baseline (windows inside the sentence only).
 
@@ -139,15 +160,16 @@ def baseline_arcs(toks: DataFrame) -> DataFrame:
     sentence = in_sentence()
     whole = sentence.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     past = sentence.rowsBetween(Window.unboundedPreceding, -1)
-    future = sentence.rowsBetween(1, Window.unboundedFollowing)
+    # The same frame as "all following rows", read backwards: running aggregates are linear in this direction.
+    future = (Window.partitionBy("doc_id", "sent_id").orderBy(F.desc("tok_id"))
+              .rowsBetween(Window.unboundedPreceding, -1))
     content = F.col("upos").isin(*CONTENT_UPOS)
     tok = F.col("tok_id")
-    rows = toks.select(
+    rows = toks.withColumn("_next", F.min(F.when(content, tok)).over(future)).select(
         "*",
         F.coalesce(F.min(F.when(F.col("upos").isin("VERB", "AUX"), tok)).over(whole),
                    F.min(F.when(content, tok)).over(whole), F.min(tok).over(whole)).alias("_root"),
         F.max(F.when(content, tok)).over(past).alias("_prev"),
-        F.min(F.when(content, tok)).over(future).alias("_next"),
         F.lag("upos").over(sentence).alias("_left"))
     root, upos, prev, left = F.col("_root"), F.col("upos"), F.col("_prev"), F.col("_left")
     forward = F.coalesce(F.col("_next"), root)

@@ -502,7 +502,8 @@ def _confidence(spark, sf):
  SELECT vec_id, v, sqrt(list_sum([x * x for x in v])) AS n, unnest(range(1, len(v) + 1)) AS i FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))""")
 def _l2(spark, sf):
     rows = similarity.l2_normalize(spread_small(views.table(spark, sf, "embeddings"), "vec_id"))
-    return rounded(rows.select("vec_id", "norm", F.posexplode("embedding").alias("dim", "value")))
+    # The outer form keeps Spark from adding a size filter that would compute the array twice.
+    return rounded(rows.select("vec_id", "norm", F.posexplode_outer("embedding").alias("dim", "value")))
 
 
 _EMB_DIM = 64
@@ -515,7 +516,7 @@ n AS (SELECT doc_id, sqrt(sum(CAST(x * x AS DOUBLE))) AS n FROM c GROUP BY 1)
 SELECT c.doc_id, cell, round(CAST(x AS DOUBLE) / n, 6) AS value FROM c JOIN n ON n.doc_id = c.doc_id WHERE x <> 0""")
 def _embed(spark, sf):
     rows = embeddings.embed_documents(views.documents(spark, sf), embeddings.get_backend("hashed-words", dim=_EMB_DIM))
-    cells = rows.select("doc_id", F.posexplode("vector").alias("cell", "value"))
+    cells = rows.select("doc_id", F.posexplode_outer("vector").alias("cell", "value"))
     return rounded(cells.filter(F.col("value") != 0.0))
 
 
@@ -648,7 +649,7 @@ def _progression(spark, sf):
 @query("topk_similar", """WITH cells AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS d FROM embeddings),
 q AS (SELECT label AS query_id, list(m ORDER BY d) AS qv FROM (SELECT label, d, round(avg(x), 9) AS m FROM cells GROUP BY 1, 2) GROUP BY 1),
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(qv, CAST(embedding AS DOUBLE[])), 9) AS score FROM q, embeddings)
-SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+SELECT CAST(query_id AS BIGINT) AS query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
 def _topk(spark, sf):
     vectors = views.table(spark, sf, "embeddings")
     queries = similarity.centroids(vectors, "label").select(F.col("label").cast("long").alias("query_id"), "vector")

@@ -52,7 +52,7 @@ def syllables(word: str) -> str:
 
 
 SENT = f"""sent0 AS (SELECT doc_id, lang, {sentence_list('text')} AS ss FROM documents),
-sent AS (SELECT doc_id, lang, unnest(ss) AS s, unnest(range(len(ss))) AS sent_id FROM sent0)"""
+sent AS (SELECT doc_id, lang, unnest(ss) AS s, CAST(unnest(range(len(ss))) AS INTEGER) AS sent_id FROM sent0)"""
 
 LEX = values("lex", "lang, word, is_stop, lemma, upos", lexicons.lexicon_rows())
 

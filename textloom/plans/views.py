@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import extract, lexical, sentiment, tokens
 from textloom import lexicons
-from textloom.scale import spread_small
+from textloom.scale import local_table, spread_small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,7 @@ def valence(spark: SparkSession) -> DataFrame:
 
 def polarity(spark: SparkSession) -> DataFrame:
     rows = [(w, p, s) for w, (p, s) in sorted(lexicons.POLARITY.items())]
-    return spark.createDataFrame(rows, "word STRING, polarity DOUBLE, subjectivity DOUBLE")
+    return local_table(spark, rows, "word STRING, polarity DOUBLE, subjectivity DOUBLE")
 
 
 #: Turns as documents: one id per (conversation, turn).

@@ -2,31 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Largest lookup table (rows) that is ever sent to every executor.
 BROADCAST_ROWS = 2_000_000
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Small literal table. It becomes a local relation of known size, with no Python workers involved."""
+    fields = T._parse_datatype_string(schema).fields
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    types = {"string": pa.string(), "double": pa.float64(), "integer": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    arrays = [pa.array(list(c), types[f.dataType.typeName()]) for c, f in zip(columns, fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=[f.name for f in fields]))
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` when it is proven to hold at most ``max_rows`` rows, else leave the join to Spark.
 
-    The probe reads at most ``max_rows + 1`` rows, so it is cheap even when the table is huge. An unhinted
-    table is joined by a shuffle, where adaptive execution splits hot keys.
+    Tables whose plan already bounds their rows need no job. Otherwise the probe reads at most
+    ``max_rows + 1`` rows, so it is cheap even when the table is huge. An unhinted table is joined by a
+    shuffle, where adaptive execution splits hot keys.
     """
+    known = df._jdf.queryExecution().optimizedPlan().maxRows()
+    if known.isDefined():
+        return F.broadcast(df) if known.get() <= max_rows else df
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
 
 
+#: Scanned bytes per partition that ``cluster_by`` aims at.
+CLUSTER_BYTES = 256 * 1024 * 1024
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partition count from the size Spark estimates for ``df``: two per core at least."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * cores, min(size // CLUSTER_BYTES, 400_000))
+
+
 def cluster_by(df: DataFrame, *keys: str) -> DataFrame:
     """Shuffle the compact rows once so that every later group or window on ``keys`` needs no exchange.
 
     Used on raw documents *before* they are exploded to tokens: the text is several times smaller than its
-    tokens, and aggregates keyed by (key, anything) as well as windows over key reuse this layout.
+    tokens, and aggregates keyed by (key, anything) as well as windows over key reuse this layout. The number
+    of partitions is explicit because adaptive coalescing sees only the compact bytes, not the tokens to come.
     """
-    return df.repartition(*[F.col(k) for k in keys])
+    return df.repartition(partitions_for(df), *[F.col(k) for k in keys])
 
 
 def spread_small(df: DataFrame, *keys: str) -> DataFrame:
