@@ -250,9 +250,11 @@ def payloads(corpus: Corpus, content: DataFrame, names: list[str], tool: str = "
 def token_json(docs: DataFrame, arcs: DataFrame, spans: DataFrame) -> DataFrame:
     """Token-level JSON per document: text, tokens with ten attributes, entity spans."""
     rows = tokens.char_offsets(docs, arcs)
+    inside = spans.select("doc_id", F.explode(F.expr("sequence(start, end - 1)")).alias("tok_id"), F.col("label").alias("ent_type"))
+    rows = rows.join(inside, ["doc_id", "tok_id"], "left")
     token = F.struct(
         F.col("tok_id").alias("id"), F.col("text"), F.col("lemma"), F.col("upos").alias("pos"), F.col("xpos").alias("tag"),
-        F.col("dep"), F.col("head_id").alias("head"), F.lit("").alias("ent_type"), F.col("ws").alias("whitespace"),
+        F.col("dep"), F.col("head_id").alias("head"), F.coalesce("ent_type", F.lit("")).alias("ent_type"), F.col("ws").alias("whitespace"),
         F.col("char_idx").alias("idx"))
     toks = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
     ents = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("ents"))

@@ -342,6 +342,34 @@ def _lines(spark, sf):
     return lines.select("doc_id", "sent_id", "line_no", "line")
 
 
+@query("conllu_sort_feats", sp.query(
+    sp.TOK, f"""ln AS (SELECT doc_id, CAST(tok_id AS INTEGER) AS tok_id, concat_ws(chr(9), tok_id, text, lemma, upos, xpos,
+ CASE WHEN morph = '' THEN '_' ELSE concat('number=Sing|', morph, '|Abbr=Yes|', upos, '=1') END, '0', 'dep', '_', '_') AS line,
+ [x for x in string_split(CASE WHEN morph = '' THEN '_' ELSE concat('number=Sing|', morph, '|Abbr=Yes|', upos, '=1') END, '|')] AS f FROM tok)""",
+    "ex AS (SELECT doc_id, tok_id, unnest(f) AS p FROM ln)",
+    "so AS (SELECT doc_id, tok_id, string_agg(p, '|' ORDER BY lower(p), p) AS feats FROM ex GROUP BY 1, 2)",
+    select="""SELECT t.doc_id, CAST(t.tok_id AS INTEGER) AS tok_id, concat_ws(chr(9), t.tok_id, text, lemma, upos, xpos, feats, '0', 'dep', '_', '_') AS line
+ FROM tok t JOIN so ON so.doc_id = t.doc_id AND so.tok_id = t.tok_id"""))
+def _sort_feats(spark, sf):
+    toks = tokens.tokens(views.documents_rows(spark, sf), clustered=False)
+    feats = F.when(F.col("morph") == "", "_").otherwise(
+        F.concat(F.lit("number=Sing|"), F.col("morph"), F.lit("|Abbr=Yes|"), F.col("upos"), F.lit("=1")))
+    line = F.concat_ws("\t", F.col("tok_id").cast("string"), "text", "lemma", "upos", "xpos", feats, F.lit("0"), F.lit("dep"), F.lit("_"), F.lit("_"))
+    return conllu.sort_feats_lines(toks.select("doc_id", "tok_id", line.alias("line")))
+
+
+@query("conllu_mwt_lines", sp.query(
+    sp.TOK, sp.values("con", "form, w1, w2", [(k, *v) for k, v in views.CONTRACTIONS.items()]),
+    """m0 AS (SELECT t.*, c.w1, c.w2, sent_pos + 1 + sum(CASE WHEN c.w1 IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id
+ ROWS UNBOUNDED PRECEDING) - CASE WHEN c.w1 IS NULL THEN 0 ELSE 1 END AS w_id FROM tok t LEFT JOIN con c ON c.form = t.lower)""",
+    select=f"""SELECT doc_id, sent_id, 1 AS kind, CAST(w_id AS INTEGER) AS pos, concat(w_id, '-', w_id + 1, chr(9), {sp.conllu_field('text')}, repeat(chr(9) || '_', 8)) AS line FROM m0 WHERE w1 IS NOT NULL
+ UNION ALL SELECT doc_id, sent_id, 2, CAST(w_id AS INTEGER), concat_ws(chr(9), w_id, coalesce(w1, {sp.conllu_field('text')}), coalesce(w1, {sp.conllu_field('lemma')}), upos, xpos, '_', '0', '_', '_', '_') FROM m0
+ UNION ALL SELECT doc_id, sent_id, 2, CAST(w_id + 1 AS INTEGER), concat_ws(chr(9), w_id + 1, w2, w2, upos, xpos, '_', '0', '_', '_', '_') FROM m0 WHERE w1 IS NOT NULL"""))
+def _mwt(spark, sf):
+    words, ranges = views.split_contractions(views.tokens_of(spark, sf))
+    return conllu.conllu_mwt_lines(words, ranges)
+
+
 # ---------------------------------------------------------------- analyzers
 
 @query("lexical_stats", sp.query(sp.LEXICAL, select="SELECT * FROM lexical"))

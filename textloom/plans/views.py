@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.operators import extract, lexical, sentiment, tokens
@@ -137,4 +137,23 @@ CONTRACTIONS = {
     "zur": ("zu", "der"), "im": ("in", "dem"), "am": ("an", "dem"), "del": ("de", "el"), "al": ("a", "el"),
 }
 
+def split_contractions(toks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Word rows and multi-word ranges of a token table whose contractions are split in two words."""
+    table_ = F.create_map(*[F.lit(x) for k, v in CONTRACTIONS.items() for x in (k, "|".join(v))])
+    parts = F.when(F.col("lower").isin(*CONTRACTIONS), F.split(F.try_element_at(table_, F.col("lower")), r"\|"))
+    order = Window.partitionBy("doc_id", "sent_id").orderBy("tok_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = toks.withColumn("_parts", parts)
+    extra = F.coalesce(F.sum(F.when(F.col("_parts").isNotNull(), 1).otherwise(0)).over(order), F.lit(0))
+    rows = rows.withColumn("_w", (F.col("sent_pos") + 1 + extra).cast("int"))
+    forms = F.coalesce(F.col("_parts"), F.array("text"))
+    words = rows.select("doc_id", "sent_id", "_w", "_parts", "lemma", "upos", "xpos", F.posexplode(forms).alias("_k", "form"))
+    words = words.select(
+        "doc_id", "sent_id", (F.col("_w") + F.col("_k")).alias("word_id"), "form",
+        F.when(F.col("_parts").isNotNull(), F.col("form")).otherwise(F.col("lemma")).alias("lemma"), "upos", "xpos",
+        F.lit("").alias("feats"), F.lit(None).cast("int").alias("head"), F.lit("").alias("deprel"), F.lit("").alias("misc"))
+    ranges = rows.filter(F.col("_parts").isNotNull()).select(
+        "doc_id", "sent_id", F.col("_w").alias("first_id"), (F.col("_w") + 1).alias("last_id"), F.col("text").alias("form"))
+    return words, ranges
+
+
 REQUIRED_ANALYZERS = ("lexical_stats", "pos", "sentiment", "keywords")

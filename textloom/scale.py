@@ -40,10 +40,17 @@ CLUSTER_BYTES = 256 * 1024 * 1024
 
 
 def partitions_for(df: DataFrame) -> int:
-    """Partition count from the size Spark estimates for ``df``: two per core at least."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(2 * cores, min(size // CLUSTER_BYTES, 400_000))
+    """Partition count from the bytes of the tables ``df`` scans: two per core at least.
+
+    Inputs of unknown size (Spark reports the largest long) fall back to ``spark.sql.shuffle.partitions``.
+    """
+    spark = df.sparkSession
+    floor = 2 * spark.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= 2 ** 60:
+        return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(floor, min(size // CLUSTER_BYTES, 400_000))
 
 
 def cluster_by(df: DataFrame, *keys: str) -> DataFrame:
