@@ -137,17 +137,18 @@ def pass_values(rows: DataFrame, send_to: str, value: Column, receive_at: str, n
     sort: rows that are laid out by document are not shuffled again, the table is read once (a self-join reads
     it once per side), and a group is only the traffic of one token.
     """
-    probe = rows.select(F.struct("*").alias("row"), value.alias("value")).schema
+    kept = [c for c in rows.columns if c != "doc_id"]  # the key stays outside, so its layout is not lost
+    probe = rows.select(F.struct(*kept).alias("row"), value.alias("value")).schema
     mail = F.array(
         F.struct(F.col(send_to).cast("int").alias("_at"), F.lit(0).alias("_kind"),
                  F.lit(None).cast(probe["row"].dataType).alias("_row"), value.alias("_value")),
-        F.struct(F.col(receive_at).cast("int").alias("_at"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_row"),
+        F.struct(F.col(receive_at).cast("int").alias("_at"), F.lit(1).alias("_kind"), F.struct(*kept).alias("_row"),
                  F.lit(None).cast(probe["value"].dataType).alias("_value")))
     sent = rows.select("doc_id", F.inline(mail)).filter(F.col("_value").isNotNull() | F.col("_row").isNotNull())
     arrived = Window.partitionBy("doc_id", "_at").orderBy("_kind").rowsBetween(Window.unboundedPreceding, 0)
     picked = (agg("_value") if agg else F.first("_value", ignorenulls=True)).over(arrived)
     sent = sent.withColumn(name, picked).filter(F.col("_kind") == 1)
-    return sent.select("_row.*", F.when(F.col("_at").isNotNull(), F.col(name)).alias(name))
+    return sent.select("doc_id", "_row.*", F.when(F.col("_at").isNotNull(), F.col(name)).alias(name))
 
 
 def baseline_arcs(toks: DataFrame) -> DataFrame:
