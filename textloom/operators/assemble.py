@@ -88,11 +88,6 @@ def select_analyzers(enable: list[str] | None = None, disable: list[str] | None
     return [n for n in dict.fromkeys(chosen) if n in _ANALYZERS and n not in dropped]
 
 
-def _pair(a: str, b: str) -> Column:
-    """Two values of different type as one JSON array."""
-    return F.array(F.col(a).cast("variant"), F.col(b).cast("variant"))
-
-
 def _ranked(rows: DataFrame, by: list[str], order: str, a: str, b: str, name: str) -> DataFrame:
     """Ranked pairs of each group as a JSON array text."""
     return rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, a, b))).alias("_p")).select(

@@ -75,8 +75,8 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int, query_limit: int
     """Exact ``k`` most similar corpus vectors for each query vector (ties: lower id).
 
     ``queries`` has (query_id, vector), ``corpus`` has (vec_id, vector). Every task scores its part of the
-    corpus against the queries by one matrix product per batch and keeps only k rows per query, so candidate
-    pairs are never written out. Up to ``query_limit`` queries are shipped to the tasks. A larger query set
+    corpus against the broadcast queries by one matrix product per batch and keeps only k rows per query, so
+    candidate pairs are never written out. Up to ``query_limit`` queries are shipped to the tasks. A larger query set
     stays distributed: query blocks meet corpus buckets in a shuffle, which is just as exact.
     """
     q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
@@ -84,8 +84,8 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int, query_limit: int
     schema = "query_id BIGINT, vec_id BIGINT, score DOUBLE"
     head = q.limit(query_limit + 1).toPandas()
     if len(head) <= query_limit:
-        ids, matrix = head["query_id"].to_numpy(), _unit_rows(head["vector"])
-        partial = c.mapInPandas(_search(ids, matrix, k), schema)
+        held = q.sparkSession.sparkContext.broadcast((head["query_id"].to_numpy(), _unit_rows(head["vector"])))
+        partial = c.mapInPandas(_search(held, k), schema)
     else:
         partial = _block_search(q, c, k, query_limit, buckets, schema)
     ranked = partial.withColumn("score", F.round("score", 9))
@@ -109,8 +109,9 @@ def _best_of(ids: np.ndarray, matrix: np.ndarray, vec_ids: np.ndarray, vectors:
                          "score": np.take_along_axis(scores, order, axis=1).ravel()})
 
 
-def _search(ids: np.ndarray, matrix: np.ndarray, k: int):
+def _search(held, k: int):
     def run(batches):
+        ids, matrix = held.value
         best = None
         for batch in batches:
             if not len(batch) or not len(ids):
