@@ -20,6 +20,9 @@ SENTENCE_END = r"([.!?]\s+|\s*\n\s*)"
 SENTENCE_MARK = "\u001e"
 VOWELS = "aeiouyàáâäãåæèéêëìíîïòóôöõøœùúûüýÿ"
 BLANKS = " \t\n\r\f\u000b"
+# The characters Unicode-aware stripping removes.
+UNICODE_BLANKS = BLANKS + "\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B))
 
 
 def words(text: Column) -> Column:
@@ -46,7 +49,7 @@ def word_count(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(UNICODE_BLANKS))
 
 
 def syllables(word: Column) -> Column:
@@ -167,7 +170,7 @@ def embedded_json(text: Column, marker: str) -> Column:
 
 def conllu_field(value: Column) -> Column:
     """CoNLL-U cell: blank becomes ``_``, tabs and line breaks become spaces."""
-    text = F.regexp_replace(F.coalesce(value, F.lit("")), r"^\s+|\s+$", "")
+    text = strip(F.coalesce(value, F.lit("")))
     return F.when(text == "", "_").otherwise(F.translate(text, "\t\n\r", "   "))
 
 
@@ -176,7 +179,8 @@ def conllu_feats(morph: Column) -> Column:
     pairs = F.filter(
         F.split(F.regexp_replace(F.coalesce(morph, F.lit("")), r"^[{}]+|[{}]+$", ""), r"\|"),
         lambda p: F.contains(p, F.lit("=")) & ~F.substring_index(p, "=", 1).isin("PunctType", "PunctSide"))
-    return F.when(F.size(pairs) > 0, F.array_join(pairs, "|")).otherwise(F.lit("_"))
+    joined = F.array_join(pairs, "|")
+    return F.when(F.coalesce(morph, F.lit("")) == "", "_").when(joined != "", joined).otherwise("_")
 
 
 def sort_feats(line: Column) -> Column:
