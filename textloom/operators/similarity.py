@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import vectors as vx
 from textloom.scale import top_k
 
+# Task functions of this module travel with the job, so workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Largest query set (vectors) that is held by every task during a search.
 QUERY_LIMIT = 4096
 
