@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,14 +25,16 @@ def build_session(master: str | None = None, app: str = "textloom", **extra: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables.
+    """Folder for checkpoints and intermediate tables, as ``spark.checkpoint.dir`` names it.
 
-    On a cluster this is the shared folder named by ``spark.checkpoint.dir``. Only when that setting is
-    absent (tests, a laptop) a fresh local folder is used.
+    Only a session with a local master (tests, a laptop) gets a fresh local folder when that setting is absent. On a
+    cluster every executor would write to a disk of its own, so the setting is required there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    fallback = os.environ.get("TEXTLOOM_LOCAL_CHECKPOINT") or tempfile.mkdtemp(prefix="textloom-")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    fallback = tempfile.mkdtemp(prefix="textloom-")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
