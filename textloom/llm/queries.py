@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import sharding, token_counts, toxicity, url_filters
+from textloom.llm import sharding, token_counts, toxicity, url_filters, warc
 from textloom.llm.common import new_folder, table
 
 
@@ -20,6 +20,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), new_folder(spark, "token-cache"), path)
 
 
+def op3_two_level_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, url_filters.RULES))
 
@@ -28,5 +32,5 @@ def op5_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_token_counts, op4_url_filters, op5_ftrl_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_token_counts, op3_two_level_capture_index, op4_url_filters, op5_ftrl_toxicity)}
 ORACLES: dict[str, str] = {"op4_url_filters": url_filters.JUDGE_SQL}
