@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import LOWER, chunks, joined, mix64, prefix_hash, span_hash, stored, words
 
 #: Slots: one half for single words, one for pairs. Proves the bound of the broadcast weights.
-SLOT_BITS = 22
+SLOT_BITS = 21
 #: Labelled rows that training reads at most, chosen by a hash of the id; documented bound of the sample.
 SAMPLE_ROWS = 24_000
 SHARDS, ROUNDS = 6, 5
@@ -117,8 +117,21 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
                      for s in distinct_slots(*features(texts[part]), len(texts[part]))]
             yield batch[["shard", "turn", "y"]].assign(slots=pd.Series(found, dtype=object))
 
-    ready = stored(rows.mapInPandas(featurize, "shard INT, turn LONG, y DOUBLE, slots BINARY"), "toxic-rows")
-    positive, total = ready.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count(F.lit(1))).first()
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One row for a shard: slots that at least two of its rows have, where each row ends, and the labels."""
+        pdf = pdf.sort_values(["turn", "y", "slots"], ignore_index=True)
+        found = [np.frombuffer(s, np.int32) for s in pdf["slots"]]
+        often = np.bincount(np.concatenate(found), minlength=1 << SLOT_BITS) >= 2
+        found = [s[often[s]] for s in found]
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "slots": [np.concatenate(found).tobytes()], "y": [pdf["y"].to_numpy(np.float64).tobytes()],
+                             "ends": [np.cumsum([len(s) for s in found], dtype=np.int64).tobytes()]})
+
+    shards = rows.mapInPandas(featurize, "shard INT, turn LONG, y DOUBLE, slots BINARY").groupBy("shard").applyInPandas(
+        pack, "shard INT, slots BINARY, y BINARY, ends BINARY")
+    # One row and one file for each shard, so that a round reads them in as many tasks, without a shuffle.
+    ready = stored(shards.repartition(SHARDS, "shard"), "toxic-shards")
+    seen = rows.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count(F.lit(1))).first()
+    positive, total = seen
     if total == 0 or positive in (0, total):
         return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log((positive + 1) / (total - positive + 1))))
     state = np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
@@ -132,41 +145,39 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
 
 def mixed(ready: DataFrame, state: tuple, b0: np.ndarray, round_no: int) -> tuple[tuple, np.ndarray]:
     """One round: a pass in every shard from the common state, then the mean of the changes of each coordinate."""
-    spark = ready.sparkSession
-    sent = spark.sparkContext.broadcast((state, b0))  # bounded by the slots
+    sent = ready.sparkSession.sparkContext.broadcast((state, b0))  # bounded by the slots
 
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (slots, z0, n0), bias0 = sent.value
-        pdf = pdf.sort_values(["turn", "y", "slots"], ignore_index=True)
-        order = np.random.default_rng(round_no).permutation(len(pdf))
-        rows = [np.frombuffer(s, np.int32) for s in pdf["slots"].iloc[order]]
-        often = np.bincount(np.concatenate(rows), minlength=1 << SLOT_BITS) >= 2
-        rows = [r[often[r]] for r in rows]
-        z, n = np.zeros(1 << SLOT_BITS), np.zeros(1 << SLOT_BITS)
-        z[slots], n[slots] = z0, n0
-        before, bias = n.copy(), bias0.copy()
-        zb = z.copy()
-        ftrl_pass(rows, pdf["y"].to_numpy()[order], z, n, bias)
-        at = np.flatnonzero(n != before).astype(np.int32)
-        return pd.DataFrame({"at": [at.tobytes()], "z": [(z - zb)[at].tobytes()], "n": [(n - before)[at].tobytes()],
-                             "b": [(bias - bias0).tobytes()]})
-
-    z, n, touched = np.zeros(1 << SLOT_BITS), np.zeros(1 << SLOT_BITS), np.zeros(1 << SLOT_BITS, np.int16)
+        for batch in batches:
+            for shard in batch.itertuples(index=False):
+                ends, y = np.frombuffer(shard.ends, np.int64), np.frombuffer(shard.y)
+                rows = np.split(np.frombuffer(shard.slots, np.int32), ends[:-1])
+                order = np.random.default_rng(round_no).permutation(len(y))
+                z, n = np.zeros(1 << SLOT_BITS), np.zeros(1 << SLOT_BITS)
+                z[slots], n[slots] = z0, n0
+                z_before, n_before, bias = z.copy(), n.copy(), bias0.copy()
+                ftrl_pass([rows[i] for i in order], y[order], z, n, bias)
+                at = np.flatnonzero(n != n_before).astype(np.int32)
+                yield pd.DataFrame({"at": [at.tobytes()], "z": [(z - z_before)[at].astype(np.float32).tobytes()],
+                                    "n": [(n - n_before)[at].astype(np.float32).tobytes()], "b": [(bias - bias0).tobytes()]})
+
+    z, n, touched = (np.zeros(1 << SLOT_BITS, np.float32) for _ in range(3))
     bias, shards = np.zeros(2), 0
-    for r in ready.groupBy("shard").applyInPandas(train, "at BINARY, z BINARY, n BINARY, b BINARY").toLocalIterator():
+    for r in ready.mapInPandas(train, "at BINARY, z BINARY, n BINARY, b BINARY").toLocalIterator():
         at = np.frombuffer(r.at, np.int32)
-        z[at] += np.frombuffer(r.z)
-        n[at] += np.frombuffer(r.n)
+        z[at] += np.frombuffer(r.z, np.float32)
+        n[at] += np.frombuffer(r.n, np.float32)
         touched[at] += 1
         bias += np.frombuffer(r.b)
         shards += 1
-    np.divide(z, touched, out=z, where=touched > 0)
-    np.divide(n, touched, out=n, where=touched > 0)
+    np.maximum(touched, 1, out=touched)
+    z, n = z / touched, n / touched
     z[state[0]] += state[1]
     n[state[0]] += state[2]
     at = np.flatnonzero(n).astype(np.int32)
     sent.unpersist()
-    return (at, z[at], n[at]), b0 + bias / max(shards, 1)
+    return (at, z[at].astype(np.float64), n[at].astype(np.float64)), b0 + bias / max(shards, 1)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
