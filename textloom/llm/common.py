@@ -80,7 +80,7 @@ def joined(texts: list[str | None], gap: bytes = b"\n") -> tuple[np.ndarray, np.
     return np.frombuffer(gap.join([*blobs, b""]), np.uint8), offsets
 
 
-def chunks(texts: list, budget: int = 4 << 20):
+def chunks(texts: list, budget: int = 1 << 20):
     """Slices of the list that hold about ``budget`` characters each (a longer text stands alone)."""
     start = size = 0
     for i, t in enumerate(texts):

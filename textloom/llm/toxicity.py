@@ -2,7 +2,8 @@
 
 * Features of a text: its words, neighbouring pairs, and pairs with one word between, each hashed to a slot. A feature counts once
   however often it stands in the text. No vocabulary is kept.
-* Training: labelled rows, at most ``SAMPLE_ROWS`` of them (all below that), are dealt to ``SHARDS`` tasks. Every round each task runs
+* Training: labelled rows, at most ``SAMPLE_ROWS`` of them (all below that), are dealt to shards of
+  about ``SHARD_ROWS``. Every round each task runs
   FTRL-proximal over its rows from the common state and sends its change; changes are averaged coordinate by coordinate over the tasks that
   touched it. The L1 term keeps rare and uninformative features at exactly zero.
 * Scoring: the weights that are left, at most one for each slot, are broadcast and every text is scored inside the scan: no shuffle of text.
@@ -24,7 +25,8 @@ from textloom.llm.common import LOWER, chunks, joined, mix64, prefix_hash, span_
 SLOT_BITS = 21
 #: Labelled rows that training reads at most, chosen by a hash of the id; documented bound of the sample.
 SAMPLE_ROWS = 24_000
-SHARDS, ROUNDS = 6, 5
+#: Rows of one training shard, passes over them, and the rows of a shard that a slot must occur in to be trained.
+SHARD_ROWS, ROUNDS, LEAST_ROWS = 4_000, 5, 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.5, 0.0
 
 #: Letters and digits of ASCII and every byte of a longer UTF-8 sequence.
@@ -106,8 +108,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
 
     Without any row the score is 0.5 for every text; with one class only it is a constant near that class.
     """
-    rows = labelled.filter(F.col(label).isin(0, 1)).select(
-        F.pmod(F.xxhash64(key, F.lit(3)), F.lit(SHARDS)).cast("int").alias("shard"),
+    known = labelled.filter(F.col(label).isin(0, 1))
+    positive, total = known.agg(F.coalesce(F.sum(F.col(label).cast("double")), F.lit(0.0)), F.count(F.lit(1))).first()
+    if total == 0 or positive in (0, total):
+        return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log((positive + 1) / (total - positive + 1))))
+    shard_count = -(-total // SHARD_ROWS)
+    rows = known.select(
+        F.pmod(F.xxhash64(key, F.lit(3)), F.lit(shard_count)).cast("int").alias("shard"),
         F.xxhash64(key, F.lit(5)).alias("turn"), F.col(text).alias("text"), F.col(label).cast("double").alias("y"))
 
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,10 +125,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
             yield batch[["shard", "turn", "y"]].assign(slots=pd.Series(found, dtype=object))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One row for a shard: slots that at least two of its rows have, where each row ends, and the labels."""
+        """One row for a shard: its slots with ``LEAST_ROWS`` rows or more, where each row ends, and the labels."""
         pdf = pdf.sort_values(["turn", "y", "slots"], ignore_index=True)
         found = [np.frombuffer(s, np.int32) for s in pdf["slots"]]
-        often = np.bincount(np.concatenate(found), minlength=1 << SLOT_BITS) >= 2
+        often = np.bincount(np.concatenate(found), minlength=1 << SLOT_BITS) >= LEAST_ROWS
         found = [s[often[s]] for s in found]
         return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "slots": [np.concatenate(found).tobytes()], "y": [pdf["y"].to_numpy(np.float64).tobytes()],
                              "ends": [np.cumsum([len(s) for s in found], dtype=np.int64).tobytes()]})
@@ -129,11 +136,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     shards = rows.mapInPandas(featurize, "shard INT, turn LONG, y DOUBLE, slots BINARY").groupBy("shard").applyInPandas(
         pack, "shard INT, slots BINARY, y BINARY, ends BINARY")
     # One row and one file for each shard, so that a round reads them in as many tasks, without a shuffle.
-    ready = stored(shards.repartition(SHARDS, "shard"), "toxic-shards")
-    seen = rows.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count(F.lit(1))).first()
-    positive, total = seen
-    if total == 0 or positive in (0, total):
-        return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log((positive + 1) / (total - positive + 1))))
+    ready = stored(shards.repartition(shard_count, "shard"), "toxic-shards")
     state = np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
     b0 = np.zeros(2)
     for round_no in range(ROUNDS):
