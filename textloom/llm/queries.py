@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontamination, sharding, token_counts, topk, toxicity, url_filters, warc
+from textloom.llm import decontamination, ngram_join, sharding, token_counts, topk, toxicity, url_filters, warc
 from textloom.llm.common import new_folder, table
 
 
@@ -37,11 +37,15 @@ def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "first_token", "hits")
 
 
+def op9_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op10_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), 10)
 
 
 QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_token_counts, op3_two_level_capture_index, op4_url_filters, op5_ftrl_toxicity, op6_spaced_seeds,
-                                  op10_no_random_access)}
+                                  op9_grouped_prefix_join, op10_no_random_access)}
 ORACLES: dict[str, str] = {"op4_url_filters": url_filters.JUDGE_SQL, "op10_no_random_access": topk.TOPK_SQL}
