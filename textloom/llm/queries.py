@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontamination, ngram_join, sharding, token_counts, topk, toxicity, url_filters, warc
+from textloom.llm import decontamination, ngram_join, sharding, suffix_dedup, token_counts, topk, toxicity, url_filters, warc
 from textloom.llm.common import new_folder, table
 
 
@@ -37,6 +37,10 @@ def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "first_token", "hits")
 
 
+def op7_external_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op9_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_token_counts, op3_two_level_capture_index, op4_url_filters, op5_ftrl_toxicity, op6_spaced_seeds,
-                                  op9_grouped_prefix_join, op10_no_random_access)}
+                                  op7_external_induced_sorting, op9_grouped_prefix_join, op10_no_random_access)}
 ORACLES: dict[str, str] = {"op4_url_filters": url_filters.JUDGE_SQL, "op10_no_random_access": topk.TOPK_SQL}
