@@ -4,7 +4,7 @@ Two sets with Jaccard similarity of at least t share an element among the first
 (prefix filter). The order here puts elements of many documents last, so prefixes hold rare elements.
 
 1. Count, over all documents, in how many sets the elements occur that stand early in hash order; those of ``COMMON`` sets or more are marked in
-   a bitmap of fixed size. The bitmap decides only the order, so its collisions cost nothing but work.
+   bitmaps of fixed size, one for each level. They decide only the order, so their collisions cost nothing but work.
 2. Every distinct set sends its prefix. Sets with the same prefix and size form one group, which appears once for each element.
 3. The groups of an element are compared with its first group (the pivot), not with each other. Group pairs that cannot reach t by
    size are dropped; the others are expanded to members, whose sets are fetched and intersected exactly.
@@ -30,12 +30,12 @@ from textloom.llm.graph import components
 
 #: Words of a shingle and the least similarity, in hundredths.
 WORDS, SIMILAR = 5, 75
-#: Share of a set (lowest hashes) that is counted, the document count of a common element, bits of the bitmap that marks those.
-COUNTED, COMMON, BITS = 0.4, 16, 25
+#: Share of a set (lowest hashes) that is counted; levels of common elements, each with its document count and the bits of its bitmap.
+COUNTED, COMMON = 0.4, ((2, 27), (16, 25))
 #: Bits of the bitmap of document ids whose sets are fetched.
 DOC_BITS = 26
-#: Open pairs for each open posting up to which they are compared directly instead of by another pivot round.
-OPEN_PAIRS = 16
+#: Open pairs for each document up to which they are compared directly instead of by another pivot round.
+OPEN_PAIRS = 64
 
 IS_WORD = np.array([c != 0x20 and not 0x09 <= c <= 0x0D for c in range(256)])
 
@@ -108,28 +108,35 @@ def dealt(values: np.ndarray, parts: int, *more: np.ndarray) -> Iterator[tuple]:
         yield (int(p), values[at].tobytes(), *(m[at].tobytes() for m in more))
 
 
-def by_part(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
+def by_part(batches: Iterator[pd.DataFrame], columns: list[str], kind: type = np.uint64) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Gather the blocks of each part (rows come sorted by part)."""
     now, blocks = None, []
     for batch in batches:
         for row in batch[["part", *columns]].itertuples(index=False):
             if row[0] != now and blocks:
-                yield now, [np.frombuffer(b"".join(b), np.uint64) for b in zip(*blocks)]
+                yield now, [np.frombuffer(b"".join(b), kind) for b in zip(*blocks)]
                 blocks = []
             now = row[0]
             blocks.append(row[1:])
     if blocks:
-        yield now, [np.frombuffer(b"".join(b), np.uint64) for b in zip(*blocks)]
+        yield now, [np.frombuffer(b"".join(b), kind) for b in zip(*blocks)]
 
 
 def part_count(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def common_elements(texts: DataFrame) -> np.ndarray:
-    """Bitmap of the elements that ``COMMON`` or more sets hold among their first ``COUNTED`` in hash order. Reads (text)."""
+def common_elements(texts: DataFrame) -> list[np.ndarray]:
+    """A bitmap for each level of ``COMMON``: elements that so many sets hold among their first ``COUNTED`` in hash order. Reads (text).
+
+    Counted by the low 32 bits of the hashes, which are all that the bitmaps tell apart.
+    """
     parts = part_count(texts.sparkSession)
 
+    def blocks_of(held: list[np.ndarray]) -> pd.DataFrame:
+        h = np.concatenate(held)
+        return pd.DataFrame(list(dealt(h << np.uint64(32), parts, h.astype(np.uint32))), columns=["part", "_", "h"])[["part", "h"]]
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for batch in batches:
@@ -138,20 +145,22 @@ def common_elements(texts: DataFrame) -> np.ndarray:
                 some = [s[:int(np.ceil(COUNTED * len(s)))] for s in shingle_sets(all_texts[part])]
                 held, size = held + some, size + sum(map(len, some))
                 if size > 1 << 20:
-                    yield pd.DataFrame(list(dealt(np.concatenate(held), parts)), columns=["part", "h"])
+                    yield blocks_of(held)
                     held, size = [], 0
-        if held:
-            yield pd.DataFrame(list(dealt(np.concatenate(held), parts)), columns=["part", "h"])
+        if size:
+            yield blocks_of(held)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, (h,) in by_part(batches, ["h"]):
+        for _, (h,) in by_part(batches, ["h"], np.uint32):
             h = np.sort(h)
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            often = np.diff(np.append(first, len(h))) >= COMMON
-            yield pd.DataFrame({"h": h[first[often]].astype(np.int64)})
+            c = np.diff(np.append(first, len(h)))
+            often = c >= min(level for level, _ in COMMON)
+            yield pd.DataFrame({"h": h[first[often]].astype(np.int64), "c": c[often]})
 
     blocks = texts.select("text").mapInPandas(emit, "part INT, h BINARY").repartition("part").sortWithinPartitions("part")
-    return bit_table(blocks.mapInPandas(count, "h LONG"), "h", BITS)
+    counted = stored(blocks.mapInPandas(count, "h LONG, c LONG"), "common")
+    return [bit_table(counted.filter(F.col("c") >= level), "h", bits) for level, bits in COMMON]
 
 
 #: Numbers are never null here, because pandas would turn a column with nulls into floats.
@@ -160,11 +169,11 @@ FIRST = PASSED + ", part INT, hs BINARY, rs BINARY"
 PASSED_NAMES, FIRST_NAMES = ([c.split()[0] for c in schema.split(", ")] for schema in (PASSED, FIRST))
 
 
-def prefixes(rows: DataFrame, common: np.ndarray, similar: int) -> DataFrame:
+def prefixes(rows: DataFrame, common: list[np.ndarray], similar: int) -> DataFrame:
     """A stored table with two kinds of rows. ``d1 <> 0``: one row for each document, with its row id, set size, digests of set and prefix.
     Others: the row id of a set that has the element ``h`` in its prefix; only elements of two or more row ids are kept."""
     spark = rows.sparkSession
-    parts, sent = part_count(spark), spark.sparkContext.broadcast(common)  # 2**BITS bits
+    parts, sent = part_count(spark), spark.sparkContext.broadcast(common)  # of fixed size, see COMMON
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rid, seen = TaskContext.get().partitionId() << 33, set()
@@ -174,8 +183,8 @@ def prefixes(rows: DataFrame, common: np.ndarray, similar: int) -> DataFrame:
                 found, held = [], []
                 for i, s in zip(ids[part], shingle_sets(texts[part])):
                     d = digest(s)
-                    late = marked(sent.value, s)
-                    head = np.concatenate((s[~late], s[late]))[:prefix_size(len(s), similar)] if len(s) else s
+                    late = sum(marked(table, s).astype(np.int8) for table in sent.value)
+                    head = s[np.argsort(late, kind="stable")[:prefix_size(len(s), similar)]] if len(s) else s
                     p = digest(np.sort(head))
                     found.append((0, rid, i, len(s), *d, *p, rid % parts, None, None))
                     if len(s) and (*p, len(s)) not in seen:  # the group's prefix leaves this task once
@@ -296,7 +305,7 @@ def similarity_links(rows: DataFrame, similar: int = SIMILAR) -> tuple[DataFrame
     # ... and against the members that do, where the distances from the pivot allow it.
     high = F.coalesce(F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter")), F.least("na", "nb") / F.greatest("na", "nb"))
     links += cross_links(loose.select("a", "b", "nb", high.alias("s")), tested.filter(linked).select("a", "b", "nb", high.alias("s")), sets, links[0], similar)
-    links += open_links(rest, sets, similar)
+    links += open_links(rest, sets, similar, OPEN_PAIRS * docs.count())
     found = links[0]
     for more in links[1:]:
         found = found.union(more)
@@ -322,20 +331,20 @@ def cross_links(loose: DataFrame, bound: DataFrame, sets: DataFrame, links: Data
     return [got.filter(100 * F.col("inter") >= similar * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b")]
 
 
-def open_links(rest: DataFrame, sets: DataFrame, similar: int) -> list[DataFrame]:
-    """Links among the sets (gid, n) that share a key ``h``: by pivot rounds while many pairs are open, then pair by pair."""
+def open_links(rest: DataFrame, sets: DataFrame, similar: int, budget: int) -> list[DataFrame]:
+    """Links among the sets (gid, n) that share a key ``h``: by pivot rounds while more than ``budget`` pairs are open, then pair by pair."""
     links = []
     fit = F.least("na", "nb") * 100 >= similar * F.greatest("na", "nb")
     linked = 100 * F.col("inter") >= similar * (F.col("na") + F.col("nb") - F.col("inter"))
     while True:
         count = Window.partitionBy("h")
         rest = stored(rest.distinct().withColumn("c", F.count(F.lit(1)).over(count)).filter("c > 1"), "rest")
-        rows, pairs = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("c") - 1), F.lit(0))).first()
+        rows, pairs = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)) / 2).first()
         if not rows:
             return links
         one = rest.select("h", F.col("gid").alias("a"), F.col("n").alias("na"))
         two = rest.select("h", F.col("gid").alias("b"), F.col("n").alias("nb"))
-        if pairs <= OPEN_PAIRS * rows:
+        if pairs <= budget:
             got = one.join(two, "h").filter("a < b").filter(fit).select("a", "b", "na", "nb").distinct()
             return [*links, stored(verified(got, sets).filter(linked).select("a", "b"), "links")]
         pivot = rest.groupBy("h").agg(F.min(F.struct("gid", "n")).alias("p")).select("h", F.col("p.gid").alias("a"), F.col("p.n").alias("na"))
