@@ -185,29 +185,34 @@ def ranges(rid: np.ndarray, start: np.ndarray) -> pd.DataFrame:
 
 
 def sort_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by anchor; groups of an anchor stay together, and pieces of about ``SORT_BYTES`` are sorted at once."""
-    piece, size, group, now = [], 0, [], None
-
-    def close() -> None:
-        nonlocal size, group
-        if len(group) > 1:  # alone in its shard, an anchor repeats nowhere else
-            piece.extend(group)
-            size += sum(len(g[3]) for g in group)
-        elif group and len(group[0][3]) > LENGTH:  # a segment may still repeat a string of its own
-            piece.extend(group)
-            size += len(group[0][3])
-        group = []
+    """Rows come sorted by anchor. Equal segments of an anchor are settled by their bytes, the earliest stays; what differs in the group is sorted,
+    pieces of about ``SORT_BYTES`` at once.
 
+    A segment alone needs no sorting: two equal strings in it would have their anchor at two places, but it has one.
+    """
+    piece, size, group, now, late = [], 0, {}, None, []
     for batch in batches:
         for h, i, r, s, seg in zip(batch["h"], batch["id"], batch["rid"], batch["start"], batch["seg"]):
             if h != now:
-                close()
-                now = h
+                if len(group) > 1:
+                    piece.extend((*here, g) for g, here in group.items())
+                    size += sum(map(len, group))
+                now, group = h, {}
                 if size > SORT_BYTES:
                     yield sorted_repeats(piece)
                     piece, size = [], 0
-            group.append((i, r, s, seg))
-    close()
+            here, other = (i, r, s), group.get(seg)
+            if other is None:
+                group[seg] = here
+            else:
+                group[seg] = min(here, other)
+                _, rid, start = max(here, other)
+                late.append((rid, start, start + len(seg)))
+        if late:
+            yield pd.DataFrame(late, columns=["rid", "a", "b"])
+            late = []
+    if len(group) > 1:
+        piece.extend((*here, g) for g, here in group.items())
     if piece:
         yield sorted_repeats(piece)
 
