@@ -375,3 +375,18 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     least = rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
+    """One row of each component, with all columns: the smallest id (null last, then the first row of the table).
+
+    Rows with an empty set link with nothing and all stay. ``docs`` must give its rows in the same partitions each time, as a stored table does:
+    rows are told apart by their place in it.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found, links = similarity_links(rows, similar)
+    roots = components(links).select(F.col("node").alias("gid"), "root")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
+    kept = found.join(roots, "gid", "left").withColumn("root", F.when(F.col("n") == 0, F.col("rid")).otherwise(F.coalesce("root", "gid")))
+    kept = kept.groupBy(F.col("n") == 0, "root").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("_rid"))
+    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(kept, "_rid", "left_semi").select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontamination, ngram_join, sharding, suffix_dedup, token_counts, topk, toxicity, url_filters, warc
+from textloom.llm import decontamination, mixing, ngram_join, sharding, suffix_dedup, token_counts, topk, toxicity, url_filters, warc
 from textloom.llm.common import new_folder, table
 
 
@@ -41,6 +41,12 @@ def op7_external_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op8_soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.quality_domains(table(spark, sf_dir, "labels"))
+    rates, _, _ = mixing.mixed(table(spark, sf_dir, "documents"), labels)
+    return rates.selectExpr("doc_id", "CAST(tokens AS BIGINT) AS n_tokens", "p[0] AS p_low", "p[1] AS p_high", "rate", "copies")
+
+
 def op9_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
@@ -51,5 +57,6 @@ def op10_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_token_counts, op3_two_level_capture_index, op4_url_filters, op5_ftrl_toxicity, op6_spaced_seeds,
-                                  op7_external_induced_sorting, op9_grouped_prefix_join, op10_no_random_access)}
+                                  op7_external_induced_sorting, op8_soft_membership,
+                                  op9_grouped_prefix_join, op10_no_random_access)}
 ORACLES: dict[str, str] = {"op4_url_filters": url_filters.JUDGE_SQL, "op10_no_random_access": topk.TOPK_SQL}
