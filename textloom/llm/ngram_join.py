@@ -165,13 +165,14 @@ def common_elements(texts: DataFrame) -> list[np.ndarray]:
 
 #: Numbers are never null here, because pandas would turn a column with nulls into floats.
 PASSED = "h LONG, rid LONG, doc_id STRING, n LONG, d1 LONG, d2 LONG, p1 LONG, p2 LONG"
-FIRST = PASSED + ", part INT, hs BINARY, rs BINARY"
+FIRST = PASSED + ", part INT, hs BINARY, rs BINARY, ls BINARY"
 PASSED_NAMES, FIRST_NAMES = ([c.split()[0] for c in schema.split(", ")] for schema in (PASSED, FIRST))
 
 
 def prefixes(rows: DataFrame, common: list[np.ndarray], similar: int) -> DataFrame:
     """A stored table with two kinds of rows. ``d1 <> 0``: one row for each document, with its row id, set size, digests of set and prefix.
-    Others: the row id of a set that has the element ``h`` in its prefix; only elements of two or more row ids are kept."""
+    Others: the row id of a set that has the element ``h`` in its prefix, and in ``n`` how many elements the set has from there on (itself included);
+    only elements of two or more row ids are kept."""
     spark = rows.sparkSession
     parts, sent = part_count(spark), spark.sparkContext.broadcast(common)  # of fixed size, see COMMON
 
@@ -186,14 +187,16 @@ def prefixes(rows: DataFrame, common: list[np.ndarray], similar: int) -> DataFra
                     late = sum(marked(table, s).astype(np.int8) for table in sent.value)
                     head = s[np.argsort(late, kind="stable")[:prefix_size(len(s), similar)]] if len(s) else s
                     p = digest(np.sort(head))
-                    found.append((0, rid, i, len(s), *d, *p, rid % parts, None, None))
+                    found.append((0, rid, i, len(s), *d, *p, rid % parts, None, None, None))
                     if len(s) and (*p, len(s)) not in seen:  # the group's prefix leaves this task once
                         seen.add((*p, len(s)))
-                        held.append((head, rid))
+                        held.append((head, rid, len(s)))
                     rid += 1
                 if held:
-                    owner = np.repeat(np.array([r for _, r in held], np.uint64), [len(h) for h, _ in held])
-                    found += [(0, 0, None, 0, 0, 0, 0, 0, p, h, r) for p, h, r in dealt(np.concatenate([h for h, _ in held]), parts, owner)]
+                    sizes = [len(h) for h, _, _ in held]
+                    owner = np.repeat(np.array([r for _, r, _ in held], np.uint64), sizes)
+                    left = np.concatenate([np.arange(n, n - k, -1) for k, (_, _, n) in zip(sizes, held)]).astype(np.uint64)
+                    found += [(0, 0, None, 0, 0, 0, 0, 0, *block) for block in dealt(np.concatenate([h for h, _, _ in held]), parts, owner, left)]
                 yield pd.DataFrame(found, columns=FIRST_NAMES)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,13 +209,13 @@ def prefixes(rows: DataFrame, common: list[np.ndarray], similar: int) -> DataFra
                     docs.append(batch[plain][PASSED_NAMES])
                 yield batch[~plain]
 
-        for _, (h, r) in by_part(blocks(), ["hs", "rs"]):
+        for _, (h, r, left) in by_part(blocks(), ["hs", "rs", "ls"]):
             order = np.argsort(h, kind="stable")
-            h, r = h[order], r[order]
+            h, r, left = h[order], r[order], left[order]
             same = h[1:] == h[:-1]
             keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
             found = pd.DataFrame({"h": h[keep].astype(np.int64), "rid": r[keep].astype(np.int64), "doc_id": pd.Series([None] * int(keep.sum()), dtype=object)})
-            yield found.assign(n=0, d1=0, d2=0, p1=0, p2=0)
+            yield found.assign(n=left[keep].astype(np.int64), d1=0, d2=0, p1=0, p2=0)
             while docs:
                 yield docs.pop()
         while docs:
@@ -257,11 +260,28 @@ def shared(one: pd.Series, two: pd.Series) -> pd.Series:
     return pd.Series([size(a, b) for a, b in zip(one, two)], dtype="int64")
 
 
+#: Pairs of sets that go to Python at once: bounds the memory of a worker by the size of the sets.
+PAIR_ROWS = 500
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, na, nb) with the size of their intersection."""
+    """A stored table of ``pairs`` (a, b, na, nb) with the size of their intersection."""
     left = sets.select(F.col("gid").alias("a"), F.col("e").alias("ea"))
     right = sets.select(F.col("gid").alias("b"), F.col("e").alias("eb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", shared("ea", "eb").alias("inter"))
+    conf, name = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, PAIR_ROWS)
+    try:
+        both = pairs.select("a", "b", "na", "nb").join(right, "b").join(left, "a")
+        return stored(both.select("a", "b", "na", "nb", shared("ea", "eb").alias("inter")), "verified")
+    finally:
+        conf.set(name, before)
+
+
+def reachable(similar: int):
+    """Whether sets of sizes ``na`` and ``nb`` with at most ``most`` common elements can be similar enough."""
+    return ((F.least("na", "nb") * 100 >= similar * F.greatest("na", "nb"))
+            & ((100 + similar) * F.col("most") >= similar * (F.col("na") + F.col("nb"))))
 
 
 def similarity_links(rows: DataFrame, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -277,87 +297,106 @@ def similarity_links(rows: DataFrame, similar: int = SIMILAR) -> tuple[DataFrame
 
     # Postings of groups; the pivot of an element is its first group, whose first member stands for it.
     grp_of = docs.select("rid", "gid").join(gids.select("gid", "grp"), "gid").select("rid", "grp")
-    postings = passed.filter("d1 = 0").select("h", "rid").join(grp_of, "rid").select("h", "grp").distinct()
-    pivots = postings.groupBy("h").agg(F.min("grp").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    postings = stored(postings.join(pivots, "h").select("h", "grp", "pivot"), "postings")
+    postings = passed.filter("d1 = 0").select("h", "rid", F.col("n").alias("left")).join(grp_of, "rid").groupBy("h", "grp").agg(
+        F.max("left").alias("left"))
+    pivots = postings.groupBy("h").agg(F.min(F.struct("grp", "left")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    postings = stored(postings.join(pivots, "h").select("h", "grp", "left", F.col("p.grp").alias("pivot"), F.least("left", "p.left").alias("most")), "postings")
     size_of = groups.select(F.col("grp").alias("pivot"), F.col("n").alias("na"))
-    near = postings.filter("grp <> pivot").select("pivot", "grp").distinct()
-    inside = gids.filter("members > 1").select(F.col("grp").alias("pivot"), "grp").distinct()
+    # Sets whose first common element is h share at most the elements from there on; no earlier one shows in another row of the pair.
+    near = postings.filter("grp <> pivot").groupBy("pivot", "grp").agg(F.max("most").alias("most"))
+    inside = gids.filter("members > 1").select(F.col("grp").alias("pivot"), "grp", F.col("n").alias("most")).distinct()
     pairs = (near.union(inside).join(size_of, "pivot").join(members.withColumnRenamed("n", "nb"), "grp")
-             .select(F.col("pivot").alias("a"), F.col("gid").alias("b"), "na", "nb").filter("a <> b").distinct())
-    pairs = stored(pairs, "pairs")
-    fit = F.least("na", "nb") * 100 >= similar * F.greatest("na", "nb")
-    # Sets are fetched for all members of groups that share an element: the first round and the open rest read them.
-    wanted = near.select(F.explode(F.array("pivot", "grp")).alias("grp")).union(inside.select("grp")).distinct().join(members, "grp").select("gid")
-    sets = fetched_sets(rows, wanted, docs.select("gid", "d1", "d2", "doc_id"))
-    tested = stored(verified(pairs.filter(fit), sets).union(
-        pairs.filter(~fit).select("a", "b", "na", "nb", F.lit(None).cast("long").alias("inter"))), "tested")
+             .select(F.col("pivot").alias("a"), F.col("gid").alias("b"), "na", "nb", "most").filter("a <> b"))
+    pairs = stored(pairs.groupBy("a", "b", "na", "nb").agg(F.max("most").alias("most")), "pairs")
+    fit = reachable(similar)
     linked = 100 * F.col("inter") >= similar * (F.col("na") + F.col("nb") - F.col("inter"))
-    links = [tested.filter(linked).select("a", "b")]
+    named = lambda df: df.select(F.explode(F.array("a", "b")).alias("gid"))
+    catalog = docs.select("gid", "d1", "d2", "doc_id")
+    sets = fetched_sets(rows, named(pairs.filter(fit)), catalog)
+    tested = stored(verified(pairs.filter(fit), sets).select("a", "b", "na", "nb", "inter", F.lit(0).cast("long").alias("most")).union(
+        pairs.filter(~fit).select("a", "b", "na", "nb", F.lit(None).cast("long").alias("inter"), "most")), "tested")
+    bound = tested.filter(linked)
+    links = [bound.select("a", "b")]
 
     # Open: members that do not link with the pivot of an element, against each other ...
     loose = tested.filter(~F.coalesce(linked, F.lit(False)))
     rest = postings.join(loose.select(F.col("a").alias("pivot"), F.col("b").alias("gid"), F.col("nb").alias("n")).join(members.drop("n"), "gid"),
-                         ["pivot", "grp"]).select("h", "gid", "n").distinct()
+                         ["pivot", "grp"]).select("h", "gid", "n", "left").distinct()
     # ... members of one group that do not link with its first member ...
     alone = loose.join(inside.select(F.col("pivot").alias("a")), "a").join(members.select(F.col("grp").alias("a"), F.col("gid").alias("b")), ["a", "b"])
-    rest = rest.union(alone.select(F.col("a").alias("h"), F.col("b").alias("gid"), F.col("nb").alias("n")))
-    # ... and against the members that do, where the distances from the pivot allow it.
-    high = F.coalesce(F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter")), F.least("na", "nb") / F.greatest("na", "nb"))
-    links += cross_links(loose.select("a", "b", "nb", high.alias("s")), tested.filter(linked).select("a", "b", "nb", high.alias("s")), sets, links[0], similar)
+    rest = rest.union(alone.select(F.col("a").alias("h"), F.col("b").alias("gid"), F.col("nb").alias("n"), F.col("nb").alias("left")))
+    rest = stored(rest.join(rest.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "h"), "open")
+    # ... and against the members that do link, where the distances from the pivot allow it.
+    mid = loose.withColumn("s", upper()).filter(F.col("s") >= 2 * similar / 100 - 1 - 1e-9).join(bound.select("a").distinct(), "a", "left_semi")
+    mid = stored(mid, "mid")
+    more = named(mid).union(rest.select("gid")).distinct().join(sets.select("gid"), "gid", "left_anti")
+    sets = sets.union(fetched_sets(rows, more, catalog))
+    links += cross_links(mid, bound, sets, links[0], similar)
     links += open_links(rest, sets, similar, OPEN_PAIRS * docs.count())
     found = links[0]
-    for more in links[1:]:
-        found = found.union(more)
+    for others in links[1:]:
+        found = found.union(others)
     return docs, found
 
 
-def cross_links(loose: DataFrame, bound: DataFrame, sets: DataFrame, links: DataFrame, similar: int) -> list[DataFrame]:
-    """Links between a member that misses the pivot ``a`` and one that links with it; ``s`` is (at least) the similarity with the pivot."""
+def upper():
+    """The similarity of ``a`` and ``b``, or a bound of it where the sets were not intersected."""
+    most = F.coalesce("inter", F.least("na", "nb", "most"))
+    return most / (F.col("na") + F.col("nb") - most)
+
+
+def cross_links(mid: DataFrame, bound: DataFrame, sets: DataFrame, links: DataFrame, similar: int) -> list[DataFrame]:
+    """Links between a member that misses the pivot ``a`` (``mid``) and one that links with it (``bound``).
+
+    By the triangle inequality the distances of both from the pivot differ by 1 - t at most. What is connected with the pivot by other
+    links needs no test.
+    """
     slack = 1 - similar / 100 + 1e-9
-    open_ = stored(loose.filter(F.col("s") >= 1 - 2 * slack), "loose")
-    if open_.isEmpty():
+    if mid.isEmpty():
         return []
     roots = components(links)
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    # What is connected with the pivot by another way needs no test.
-    open_ = open_.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(
-        ~F.coalesce(F.col("root_a"), F.col("a")).eqNullSafe(F.coalesce(F.col("root_b"), F.col("b"))))
-    one = open_.select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("s").alias("sx"))
-    two = bound.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("s").alias("sy"))
+    mid = mid.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(
+        ~F.coalesce(F.col("root_a"), F.col("a")).eqNullSafe(F.coalesce(F.col("root_b"), F.col("b")))).select("a", "b", "na", "nb")
+    exact = verified(mid, sets).withColumn("s", F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter")))
+    one = exact.select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("s").alias("sx")).filter(F.col("sx") >= 1 - 2 * slack)
+    two = bound.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("sy"))
     pairs = one.join(two, "a").filter((F.col("sy") - F.col("sx") <= slack) & (F.least("nx", "ny") * 100 >= similar * F.greatest("nx", "ny")))
     pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
-    got = stored(verified(pairs, sets), "cross")
-    return [got.filter(100 * F.col("inter") >= similar * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b")]
+    return [verified(pairs, sets).filter(100 * F.col("inter") >= similar * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b")]
 
 
 def open_links(rest: DataFrame, sets: DataFrame, similar: int, budget: int) -> list[DataFrame]:
-    """Links among the sets (gid, n) that share a key ``h``: by pivot rounds while more than ``budget`` pairs are open, then pair by pair."""
+    """Links among the sets (gid, n, left) that share a key ``h``: by pivot rounds while more than ``budget`` pairs are open, then pair by pair."""
     links = []
-    fit = F.least("na", "nb") * 100 >= similar * F.greatest("na", "nb")
+    fit = reachable(similar)
     linked = 100 * F.col("inter") >= similar * (F.col("na") + F.col("nb") - F.col("inter"))
     while True:
         count = Window.partitionBy("h")
-        rest = stored(rest.distinct().withColumn("c", F.count(F.lit(1)).over(count)).filter("c > 1"), "rest")
+        rest = rest.groupBy("h", "gid", "n").agg(F.max("left").alias("left"))
+        rest = stored(rest.withColumn("c", F.count(F.lit(1)).over(count)).filter("c > 1"), "rest")
         rows, pairs = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)) / 2).first()
         if not rows:
             return links
-        one = rest.select("h", F.col("gid").alias("a"), F.col("n").alias("na"))
-        two = rest.select("h", F.col("gid").alias("b"), F.col("n").alias("nb"))
+        one = rest.select("h", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"))
+        two = rest.select("h", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"))
+        most = F.least("la", "lb").alias("most")
         if pairs <= budget:
-            got = one.join(two, "h").filter("a < b").filter(fit).select("a", "b", "na", "nb").distinct()
-            return [*links, stored(verified(got, sets).filter(linked).select("a", "b"), "links")]
-        pivot = rest.groupBy("h").agg(F.min(F.struct("gid", "n")).alias("p")).select("h", F.col("p.gid").alias("a"), F.col("p.n").alias("na"))
+            got = one.join(two, "h").filter("a < b").select("a", "b", "na", "nb", most).filter(fit).drop("most").distinct()
+            return [*links, verified(got, sets).filter(linked).select("a", "b")]
+        pivot = rest.groupBy("h").agg(F.min(F.struct("gid", "n", "left")).alias("p")).select(
+            "h", F.col("p.gid").alias("a"), F.col("p.n").alias("na"), F.col("p.left").alias("la"))
         star = pivot.join(two, "h").filter("a <> b")
-        pairs = star.select("a", "b", "na", "nb").distinct()
-        tested = stored(verified(pairs.filter(fit), sets).union(
-            pairs.filter(~fit).select("a", "b", "na", "nb", F.lit(None).cast("long").alias("inter"))), "tested")
-        links.append(tested.filter(linked).select("a", "b"))
+        pairs = star.groupBy("a", "b", "na", "nb").agg(F.max(most).alias("most"))
+        tested = stored(verified(pairs.filter(fit), sets).select("a", "b", "na", "nb", "inter", F.lit(0).cast("long").alias("most")).union(
+            pairs.filter(~fit).select("a", "b", "na", "nb", F.lit(None).cast("long").alias("inter"), "most")), "tested")
+        bound = tested.filter(linked)
+        links.append(bound.select("a", "b"))
         loose = tested.filter(~F.coalesce(linked, F.lit(False)))
-        high = F.coalesce(F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter")), F.least("na", "nb") / F.greatest("na", "nb"))
-        links += cross_links(loose.select("a", "b", "nb", high.alias("s")), tested.filter(linked).select("a", "b", "nb", high.alias("s")),
-                             sets, links[-1], similar)
-        rest = star.join(loose.select("a", "b"), ["a", "b"], "left_semi").select("h", F.col("b").alias("gid"), F.col("nb").alias("n"))
+        mid = loose.withColumn("s", upper()).filter(F.col("s") >= 2 * similar / 100 - 1 - 1e-9).join(bound.select("a").distinct(), "a", "left_semi")
+        links += cross_links(stored(mid, "mid"), bound, sets, links[-1], similar)
+        rest = star.join(loose.select("a", "b"), ["a", "b"], "left_semi").select(
+            "h", F.col("b").alias("gid"), F.col("nb").alias("n"), F.col("lb").alias("left"))
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
