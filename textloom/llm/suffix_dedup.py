@@ -99,7 +99,7 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame, anchors: DataFrame) -> DataFrame:
-    """A stored table with two kinds of rows: segments to be sorted, and (``seg`` null) ranges that are repeats already."""
+    """Two kinds of rows: segments to be sorted, and (``seg`` null) ranges from start to ``strings`` that are repeats already."""
     spark = rows.sparkSession
     known = spark.sparkContext.broadcast((bit_table(anchors, "h", BITS), bit_table(anchors.filter(F.col("c") >= HOT), "h", HOT_BITS)))
 
@@ -108,10 +108,20 @@ def candidates(rows: DataFrame, anchors: DataFrame) -> DataFrame:
         seen: dict[bytes, tuple] = {}
         size = 0
 
-        def flush(done: list) -> pd.DataFrame:
-            found = [(h, i, r, s, seg, len(seg) - LENGTH + 1) for seg, (i, r, s, h) in seen.items()] + done
+        names = ["h", "id", "rid", "start", "seg", "strings"]
+
+        def flush() -> pd.DataFrame:
+            found = [(h, i, r, s, seg, 0) for seg, (i, r, s, h) in seen.items()]
             seen.clear()
-            return pd.DataFrame(found, columns=["h", "id", "rid", "start", "seg", "strings"])
+            return pd.DataFrame(found, columns=names)
+
+        def settled(done: list) -> pd.DataFrame:
+            """Ranges of strings that are repeats already; neighbours become one row."""
+            rid, start, count = (np.array(c, np.int64) for c in zip(*done))
+            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            found = ranges(np.repeat(rid, count), np.repeat(start, count) + step)
+            return pd.DataFrame({"h": found["rid"], "id": 0, "rid": found["rid"], "start": found["a"], "seg": pd.Series([None] * len(found), dtype=object),
+                                 "strings": found["b"]})
 
         for batch in batches:
             texts, ids, rids = batch["text"].tolist(), batch["id"].to_numpy(), batch["rid"].to_numpy()
@@ -138,15 +148,15 @@ def candidates(rows: DataFrame, anchors: DataFrame) -> DataFrame:
                         late = here if other[:3] < here else other[:3]
                         if late is not here:
                             seen[seg] = (*here, other[3])
-                        done.append((0, late[0], late[1], late[2], None, b - a - LENGTH + 1))
+                        done.append((late[1], late[2], b - a - LENGTH + 1))
+                if done:
+                    yield settled(done)
                 if size > HELD_BYTES:
-                    yield flush(done)
+                    yield flush()
                     size = 0
-                elif done:
-                    yield pd.DataFrame(done, columns=["h", "id", "rid", "start", "seg", "strings"])
-        yield flush([])
+        yield flush()
 
-    return stored(rows.select("id", "rid", "text").mapInPandas(emit, SEGMENT), "segments")
+    return rows.select("id", "rid", "text").mapInPandas(emit, SEGMENT)
 
 
 def sorted_repeats(found: list[tuple]) -> pd.DataFrame:
@@ -192,7 +202,10 @@ def sort_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     piece, size, group, now, late = [], 0, {}, None, []
     for batch in batches:
-        for h, i, r, s, seg in zip(batch["h"], batch["id"], batch["rid"], batch["start"], batch["seg"]):
+        for h, i, r, s, seg, end in zip(batch["h"], batch["id"], batch["rid"], batch["start"], batch["seg"], batch["strings"]):
+            if seg is None:
+                late.append((r, s, end))
+                continue
             if h != now:
                 if len(group) > 1:
                     piece.extend((*here, g) for g, here in group.items())
@@ -245,10 +258,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
                        F.col(key).alias("doc_id"), F.col(text).alias("text"))
     found = candidates(rows, repeated_anchors(rows))
-    shards = found.filter("seg IS NOT NULL").repartition("h").sortWithinPartitions("h").select("h", "id", "rid", "start", "seg")
-    marks = shards.mapInPandas(sort_shard, MARK).union(
-        found.filter("seg IS NULL").select("rid", F.col("start").alias("a"), (F.col("start") + F.col("strings") - 1 + LENGTH).alias("b")))
-    return rows, stored(marks.distinct(), "marks")
+    # Settled ranges pass the shards unchanged, so that the texts are cut into segments once.
+    return rows, found.repartition("h").sortWithinPartitions("h").mapInPandas(sort_shard, MARK)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
