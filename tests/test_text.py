@@ -1,8 +1,13 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import lexicons
 from textloom.functions import text as tx
-from textloom.operators import extract, language, tokens
+from textloom.operators import extract, language, sentiment, tokens
+from textloom.session import shared_dir
+from textloom.sources import readers
 
 
 def one(spark, value, fn, typ="string"):
@@ -131,3 +136,30 @@ def test_crawl_plan_of_a_hot_host(spark):
     assert rows.withColumn("m", plain).filter("n <> m").count() == 0
     last = extract.crawl_plan(pages, requests_per_second=0.001).orderBy(F.desc("start_offset_s")).first()
     assert last["start_offset_s"] == 1999 * 100.0
+
+
+def test_default_lists_hold_no_filler_words(spark):
+    """Prepositions and conjunctions that neither raise, damp nor contrast change no score."""
+    texts = ["see food good"] + [f"{w} see food good" for w in ("from", "at", "as", "dem", "con", "avec", "para", "sur", "als", "dans")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    got = sentiment.scored_words(rows, sentiment.valence_table(spark, lexicons.VALENCE)).filter("micro IS NOT NULL").select("micro").distinct()
+    assert got.count() == 1
+    raised = sentiment.scored_words(rows, sentiment.valence_table(spark, lexicons.VALENCE), boosters={"from": 0.5})
+    assert raised.filter("micro IS NOT NULL").select("micro").distinct().count() == 2
+    assert not set(lexicons.INVENTED_VALENCE) & set(lexicons.POLARITY)
+
+
+def test_url_list_blanks(spark, tmp_path):
+    (tmp_path / "u.txt").write_text("http://a/\n\t# note\n\t\n  http://b/ \n#x\n")
+    assert [r.url for r in readers.read_url_list(spark, str(tmp_path / "u.txt")).collect()] == ["http://a/", "http://b/"]
+
+
+def test_equal_feature_names_keep_their_order(spark):
+    line = "1\ta\ta\tX\tX\tb=2|B=1|a=0\t0\troot\t_\t_"
+    assert spark.createDataFrame([(line,)], "l STRING").select(tx.sort_feats(F.col("l"))).first()[0].split("\t")[5] == "a=0|B=1|b=2"
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)

@@ -186,7 +186,8 @@ def conllu_feats(morph: Column) -> Column:
 def sort_feats(line: Column) -> Column:
     """Sort the feature pairs of a finished 10-column line, ignoring case; other lines pass unchanged."""
     cells = F.split(line, "\t", -1)
-    by_name = F.array_sort(F.transform(F.split(cells[5], r"\|"), lambda p: F.struct(F.lower(p).alias("k"), p.alias("p"))))
+    pairs = F.transform(F.split(cells[5], r"\|"), lambda p, i: F.struct(F.lower(p).alias("k"), i.alias("i"), p.alias("p")))
+    by_name = F.array_sort(pairs)  # equal names keep their order
     feats = F.array_join(F.transform(by_name, lambda s: s["p"]), "|")
     fixed = F.concat_ws("\t", F.slice(cells, 1, 5), feats, F.slice(cells, 7, 4))
     row = ~F.startswith(line, F.lit("#")) & line.rlike(r"\S") & (F.size(cells) == 10)

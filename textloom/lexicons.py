@@ -82,12 +82,11 @@ FUNCTION_WORDS = {
 IRREGULAR_LEMMAS = {
     "en": "is:be was:be are:be were:be been:be being:be am:be has:have had:have having:have does:do did:do an:a "
           "children:child men:man women:woman people:person feet:foot teeth:tooth mice:mouse went:go gone:go "
-          "said:say made:make took:take better:good best:good worse:bad worst:bad ones:one things:thing "
-          "thing:thing erring:err haly:hale thens:then thing's:thing oner:one thes:the",
+          "said:say made:make took:take better:good best:good worse:bad worst:bad ones:one things:thing",
     "fr": "est:être sont:être été:être ai:avoir as:avoir ont:avoir avait:avoir yeux:œil les:le la:le des:de aux:à "
-          "enfants:enfant choses:chose ment:mentir vont:aller va:aller",
+          "enfants:enfant choses:chose vont:aller va:aller",
     "de": "ist:sein sind:sein war:sein waren:sein bin:sein hat:haben hatte:haben wird:werden wurde:werden das:der "
-          "die:der den:der dem:der kinder:kind männer:mann frauen:frau ging:gehen besten:gut ente:enten",
+          "die:der den:der dem:der kinder:kind männer:mann frauen:frau ging:gehen besten:gut",
     "es": "es:ser son:ser era:ser fue:ser ha:haber han:haber había:haber los:el las:el la:el una:un niños:niño "
           "cosas:cosa fueron:ser iba:ir",
 }
@@ -102,7 +101,8 @@ VALENCE = {
     "bueno": 1.9, "malo": -2.5,
 }
 
-# Valence for frequent invented words of the generated corpus, so that the rules are exercised on it.
+# Valence for frequent invented words of the generated corpus. Only the registered queries pass it, so that the rules are
+# exercised on that corpus; no default contains it.
 INVENTED_VALENCE = {
     "thon": 1.9, "thatin": 1.4, "hehely": 2.6, "ther": -1.7, "thor": 0.9, "rewh": -0.8, "erth": -2.2, "thing": 1.1,
     "ononst": -1.5, "eque": 1.2, "que": 0.0, "éque": 1.3, "éeau": -1.6, "elle": 1.0, "tre": -0.7, "sch": 1.5,
@@ -115,15 +115,18 @@ NEGATORS = ("not", "no", "never", "none", "neither", "nor", "without", "nicht",
 # Intensity words: positive raises, negative dampens the following opinion word.
 BOOSTERS = {
     "very": 0.293, "extremely": 0.293, "really": 0.293, "so": 0.293, "more": 0.293, "most": 0.293, "sehr": 0.293,
-    "très": 0.293, "muy": 0.293, "als": 0.293, "avec": 0.293, "con": 0.293, "from": 0.293, "slightly": -0.293,
-    "somewhat": -0.293, "barely": -0.293, "kaum": -0.293, "peu": -0.293, "poco": -0.293, "sur": -0.293, "at": -0.293,
+    "très": 0.293, "muy": 0.293, "slightly": -0.293, "somewhat": -0.293, "barely": -0.293, "kaum": -0.293, "peu": -0.293,
+    "poco": -0.293,
 }
 
-CONTRAST_WORDS = ("but", "aber", "mais", "pero", "as", "dem", "dans", "para")
+CONTRAST_WORDS = ("but", "aber", "mais", "pero")
 
 # Polarity (-1..1) and subjectivity (0..1) for the mean-polarity variant.
-POLARITY = {w: (round(v / 4.0, 4), round(min(1.0, 0.4 + abs(v) / 8.0), 4))
-            for w, v in {**VALENCE, **INVENTED_VALENCE}.items()}
+def polarity_of(valence: dict[str, float]) -> dict[str, tuple[float, float]]:
+    return {w: (round(v / 4.0, 4), round(min(1.0, 0.4 + abs(v) / 8.0), 4)) for w, v in valence.items()}
+
+
+POLARITY = polarity_of(VALENCE)
 
 # Everyday words that never count as difficult.
 EASY_WORDS = tuple(
@@ -134,7 +137,7 @@ EASY_WORDS = tuple(
     "house important into keep kind know land large last late learn left letter life light like line list little "
     "live long look made make many mean mother mountain move much music must name near never new next night number "
     "often old once only open other over page paper part people picture place plant play point put question read "
-    "thing thonth into over under being having erin ther then than".split())
+    "thing into over under being having then than".split())
 
 # Names known to the entity recogniser (lower case).
 GAZETTEER = {

@@ -45,7 +45,7 @@ def _in_list(code: str):
 
 def resolve_language(detected: DataFrame, override: Column, default: Column) -> DataFrame:
     """Apply precedence: a non-blank override, then a non-blank default, then detection."""
-    chosen = F.coalesce(F.nullif(F.trim(override), F.lit("")), F.nullif(F.trim(default), F.lit("")))
+    chosen = F.coalesce(F.nullif(tx.strip(override), F.lit("")), F.nullif(tx.strip(default), F.lit("")))
     return (detected
             .withColumn("language_confidence", F.when(chosen.isNotNull(), 1.0).otherwise(F.col("language_confidence")))
             .withColumn("language", F.when(chosen.isNotNull(), tx.normalize_lang(chosen)).otherwise(F.col("language"))))
@@ -61,5 +61,5 @@ def route_language(df: DataFrame, code: Column) -> DataFrame:
     dimension = local_table(spark, sorted(lexicons.LANGUAGE_MODELS.items()), "language STRING, model STRING")
     known = ", ".join(f"'{c}'" for c in sorted(lexicons.LANGUAGE_MODELS))
     routed = df.withColumn("language", tx.normalize_lang(code)).join(F.broadcast(dimension), "language", "left")
-    note = F.concat(F.lit("Unsupported language '"), code, F.lit(f"'. Supported: [{known}]"))
+    note = F.concat(F.lit("no model for language '"), code, F.lit(f"'; there are models for {known}"))
     return routed.withColumn("error", F.when(F.col("model").isNull(), note))

@@ -30,7 +30,8 @@ def valence_table(spark: SparkSession, entries: dict[str, float]) -> DataFrame:
     return local_table(spark, sorted(entries.items()), "word STRING, valence DOUBLE")
 
 
-def scored_words(texts: DataFrame, valence: DataFrame) -> DataFrame:
+def scored_words(texts: DataFrame, valence: DataFrame, negators: tuple[str, ...] = lexicons.NEGATORS,
+                 boosters: dict[str, float] = lexicons.BOOSTERS, contrast: tuple[str, ...] = lexicons.CONTRAST_WORDS) -> DataFrame:
     """Words with their valence after every word-level rule (null for unlisted words)."""
     # Text-level tests go into a projection of their own: next to the generator they would run once per word.
     mixed = F.col("text").rlike(r"\p{Ll}") & F.col("text").rlike(r"\p{Lu}")
@@ -41,8 +42,8 @@ def scored_words(texts: DataFrame, valence: DataFrame) -> DataFrame:
     rows = rows.withColumn("lower", F.lower("word"))
     rows = rows.select(
         "doc_id", "pos", "word", "lower", "_mixed",
-        F.col("lower").isin(*lexicons.NEGATORS).alias("negator"), _booster(F.col("lower")).alias("boost"),
-        F.when(F.col("lower").isin(*lexicons.CONTRAST_WORDS), F.col("pos")).alias("contrast"))
+        F.col("lower").isin(*negators).alias("negator"), _booster(F.col("lower"), boosters).alias("boost"),
+        F.when(F.col("lower").isin(*contrast), F.col("pos")).alias("contrast"))
     order = Window.partitionBy("doc_id").orderBy("pos")
     ever = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # same sort as ``order``
     rows = rows.select(
@@ -61,16 +62,19 @@ def scored_words(texts: DataFrame, valence: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", "lower", F.round(v * MICRO).cast("long").alias("micro"))
 
 
-def _booster(word: Column) -> Column:
+def _booster(word: Column, boosters: dict[str, float]) -> Column:
     step = F.lit(0.0)
-    for value in sorted(set(lexicons.BOOSTERS.values())):
-        step = F.when(word.isin(*[w for w, b in lexicons.BOOSTERS.items() if b == value]), value).otherwise(step)
+    for value in sorted(set(boosters.values())):
+        step = F.when(word.isin(*[w for w, b in boosters.items() if b == value]), value).otherwise(step)
     return step
 
 
-def valence_scores(texts: DataFrame, valence: DataFrame) -> DataFrame:
-    """neg, neu, pos shares and the compound score per text. Texts without words are neutral."""
-    words = scored_words(texts, valence)
+def valence_scores(texts: DataFrame, valence: DataFrame, **lists) -> DataFrame:
+    """neg, neu, pos shares and the compound score per text. Texts without words are neutral.
+
+    ``lists`` may replace the negators, boosters and contrast words of ``scored_words``.
+    """
+    words = scored_words(texts, valence, **lists)
     m = F.coalesce(F.col("micro"), F.lit(0))
     sums = words.groupBy("doc_id").agg(
         F.sum(m).alias("_sum"),

@@ -148,8 +148,8 @@ def _low(spark, sf):
 
 @query("route_language", sp.query(
     sp.values("dim", "code, model", sorted(lexicons.LANGUAGE_MODELS.items())),
-    select=f"""SELECT doc_id, language, model, CASE WHEN model IS NULL THEN concat('Unsupported language ''', raw,
- '''. Supported: [''de'', ''en'', ''es'', ''fr'']') END AS error FROM (SELECT doc_id, raw, {_norm_flat_sql('raw')} AS language
+    select=f"""SELECT doc_id, language, model, CASE WHEN model IS NULL THEN concat('no model for language ''', raw,
+ '''; there are models for ''de'', ''en'', ''es'', ''fr''') END AS error FROM (SELECT doc_id, raw, {_norm_flat_sql('raw')} AS language
  FROM (SELECT doc_id, {_CODE_SQL} AS raw FROM documents)) LEFT JOIN dim ON code = language"""))
 def _route(spark, sf):
     rows = views.documents(spark, sf).select("doc_id", F.expr(_CODE_SQL).alias("raw"))
@@ -346,8 +346,7 @@ def _lines(spark, sf):
     sp.TOK, f"""ln AS (SELECT doc_id, CAST(tok_id AS INTEGER) AS tok_id, concat_ws(chr(9), tok_id, text, lemma, upos, xpos,
  CASE WHEN morph = '' THEN '_' ELSE concat('number=Sing|', morph, '|Abbr=Yes|', upos, '=1') END, '0', 'dep', '_', '_') AS line,
  [x for x in string_split(CASE WHEN morph = '' THEN '_' ELSE concat('number=Sing|', morph, '|Abbr=Yes|', upos, '=1') END, '|')] AS f FROM tok)""",
-    "ex AS (SELECT doc_id, tok_id, unnest(f) AS p FROM ln)",
-    "so AS (SELECT doc_id, tok_id, string_agg(p, '|' ORDER BY lower(p), p) AS feats FROM ex GROUP BY 1, 2)",
+    "so AS (SELECT doc_id, tok_id, array_to_string([s.p for s in list_sort([{'k': lower(f[i]), 'i': i, 'p': f[i]} for i in range(1, len(f) + 1)])], '|') AS feats, f FROM ln)",
     select="""SELECT t.doc_id, CAST(t.tok_id AS INTEGER) AS tok_id, concat_ws(chr(9), t.tok_id, text, lemma, upos, xpos, feats, '0', 'dep', '_', '_') AS line
  FROM tok t JOIN so ON so.doc_id = t.doc_id AND so.tok_id = t.tok_id"""))
 def _sort_feats(spark, sf):
@@ -513,7 +512,7 @@ _POLARITY_SQL = f"""SELECT doc_id, polarity, subjectivity, CASE WHEN polarity >
  round(coalesce(CAST(sum(CAST(round(s * 1000000) AS BIGINT)) AS DOUBLE) / 1000000 / nullif(count(p), 0), 0.0), 6) AS subjectivity
  FROM documents d LEFT JOIN (SELECT doc_id, unnest({sp.word_list('text')}) AS w FROM documents) t ON t.doc_id = d.doc_id
  LEFT JOIN pol ON pol.word = t.w GROUP BY 1)"""
-_POL = sp.values("pol", "word, p, s", [(w, float(p), float(s)) for w, (p, s) in sorted(lexicons.POLARITY.items())])
+_POL = sp.values("pol", "word, p, s", [(w, float(p), float(s)) for w, (p, s) in sorted(lexicons.polarity_of(_ALL_VALENCE).items())])
 
 
 @query("sentiment_polarity", sp.query(_POL, select=_POLARITY_SQL))

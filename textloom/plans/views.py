@@ -41,7 +41,7 @@ def valence(spark: SparkSession) -> DataFrame:
 
 
 def polarity(spark: SparkSession) -> DataFrame:
-    rows = [(w, p, s) for w, (p, s) in sorted(lexicons.POLARITY.items())]
+    rows = [(w, p, s) for w, (p, s) in sorted(lexicons.polarity_of({**lexicons.VALENCE, **lexicons.INVENTED_VALENCE}).items())]
     return local_table(spark, rows, "word STRING, polarity DOUBLE, subjectivity DOUBLE")
 
 
