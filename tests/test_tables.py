@@ -143,6 +143,28 @@ def test_quality_fixtures(spark):
     assert report == {0: True, 1: False, 2: False, 3: False, 4: False, 5: False}
 
 
+def test_types_and_properties_of_payloads(spark):
+    """Values of a wrong kind anywhere make a payload invalid; whole floats are integers."""
+    def payload(**more):
+        entry = {"name": "lexical_stats", "processing_time": 0, "confidence": 1, "results": {"total_tokens": 5}, **more.pop("entry", {})}
+        return json.dumps({"tool": "textloom", "version": "1", "language": {"code": "en", "confidence": 1, "model": "m"},
+                           "analyzers": [entry], **more})
+    good = [payload(), payload(content={"char_count": 5.0}), payload(entry={"results": {"keywords": [["a", 1.5]], "method": "x"}}),
+            payload(entry={"results": {"upos_counts": {"NOUN": 2, "other": "x"}, "top_lemmas_by_upos": {"NOUN": [["a", 1]]}}}),
+            payload(entry={"results": {"vector": [0.5, 1]}, "metadata": {"language": {"code": "en", "confidence": 0.5}}})]
+    bad = [payload(language="en"), payload(source="x"), payload(content=[]), payload(timing="x"), payload(entry={"metadata": 3}),
+           payload(entry={"metadata": {"language": {"confidence": 2}}}), payload(content={"char_count": 5.5}), payload(analyzers=["x"])]
+    bad += [payload(entry={"results": r}) for r in (
+        {"total_tokens": "many"}, {"total_tokens": -5}, {"label": 3}, {"label": "x", "score": 9}, {"label": "x", "scores": {"compound": -2}},
+        {"upos_counts": []}, {"upos_counts": {"NOUN": -1}}, {"vector": [1, "a"]}, {"method": "x", "keywords": [["a"]]}, {"method": "x", "keywords": [[1, 2]]},
+        {"counts_by_label": {"ORG": 1}, "examples_by_label": {"ORG": [1]}}, {"dep_counts": {"nsubj": 1.5}}, {"total_tokens": 1, "top_lemmas": "x"},
+        {"flesch_reading_ease": None}, [])]
+    rows = spark.createDataFrame(list(enumerate(good + bad)), "doc_id bigint, payload string")
+    report = {r["doc_id"]: r["valid"] for r in quality.validation_report(rows).collect()}
+    assert [k for k in range(len(good)) if not report[k]] == []
+    assert [bad[k - len(good)] for k in range(len(good), len(report)) if report[k]] == []
+
+
 def test_golden_diff(spark):
     a = spark.createDataFrame([(1, 0.1234564), (2, 2.0)], "k int, v double")
     b = spark.createDataFrame([(1, 0.1234561), (2, 3.0)], "k int, v double")

@@ -24,7 +24,28 @@ RESULT_KEYS = {
 }
 
 NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
-INTEGER = r"^(TINYINT|SMALLINT|INT|BIGINT)"
+
+# The properties of each result shape. A scalar has its kind and range, a container the kind of what it holds:
+# pairs (a string and a number), texts, numbers, and maps whose keys of the given pattern hold such values.
+COUNT, SHARE, ANY = ("integer", 0, None), ("number", 0, 1), ("number", None, None)
+RESULT_RULES = {
+    "lexical_stats": {"total_tokens": COUNT, "unique_lemmas": COUNT, "sentences": COUNT, "avg_token_length": ("number", 0, None),
+                      "avg_sentence_length_tokens": ("number", 0, None), "type_token_ratio": SHARE, "top_lemmas": ("pairs", COUNT)},
+    "pos": {"upos_counts": ("map", "^[A-Z]+$", COUNT), "upos_ratios": ("map", "^[A-Z]+$", SHARE),
+            "top_lemmas_by_upos": ("map", "^[A-Z]+$", ("pairs", COUNT))},
+    "ner": {"supported": ("boolean",), "counts_by_label": ("map", "^[A-Z_]+$", COUNT), "examples_by_label": ("map", "^[A-Z_]+$", ("texts",)),
+            "total_entities": COUNT},
+    "readability": {"supported": ("boolean",), "note": ("string",), "flesch_reading_ease": ANY, "flesch_kincaid_grade": ANY, "smog_index": ANY,
+                    "automated_readability_index": ANY, "coleman_liau_index": ANY, "linsear_write_formula": ANY,
+                    "dale_chall_readability_score": ANY, "difficult_words": COUNT, "text_standard": ("string",)},
+    "keywords": {"method": ("string",), "keywords": ("pairs", ANY)},
+    "sentiment": {"supported": ("boolean",), "label": ("string",), "score": SHARE, "method": ("string",), "model": ("string",),
+                  "processing_time": ("number", 0, None), "sampled": ("boolean",), "original_length": COUNT, "sample_length": COUNT,
+                  "scores": ("object",), "scores.neg": SHARE, "scores.neu": SHARE, "scores.pos": SHARE, "scores.compound": ("number", -1, 1)},
+    "dependency": {"supported": ("boolean",), "dep_counts": ("map", "^[a-z_]+$", COUNT), "head_pos_dep": ("map", "^[A-Z]+->[a-z_]+$", COUNT)},
+    "embeddings": {"supported": ("boolean",), "backend": ("string",), "model": ("string",), "dim": COUNT, "normalized": ("boolean",),
+                   "vector": ("numbers",)},
+}
 
 
 def _at(doc: Column, path: str) -> Column:
@@ -55,7 +76,9 @@ def _bounded(doc: Column, path: str, shown: str | Column, kind: str, low: float
     name = _kind(doc, path)
     if kind == "string":
         return [_rule(name != "STRING", shown, "type")]
-    right = name.rlike(INTEGER if kind == "integer" else NUMBER)
+    right = name.rlike(NUMBER)
+    if kind == "integer":  # 5.0 is a whole number
+        right = right & (F.floor(_number(doc, path)) == _number(doc, path))
     rules = [_rule(~right, shown, "type")]
     if low is not None:
         rules.append(_rule(right & (_number(doc, path) < low), shown, "minimum"))
@@ -64,6 +87,44 @@ def _bounded(doc: Column, path: str, shown: str | Column, kind: str, low: float
     return rules
 
 
+def _objects(doc: Column, shown, *paths: str) -> list[Column]:
+    """Optional values that must be objects."""
+    return [_rule(~_kind(doc, p).startswith("OBJECT"), shown(p), "type") for p in paths]
+
+
+def _is(value: Column, rule: tuple) -> Column:
+    """Whether a present variant value keeps a rule of ``RESULT_RULES``."""
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    number = F.try_variant_get(value, "$", "double")
+    name = rule[0]
+    if name in ("integer", "number"):
+        ok = kind.rlike(NUMBER)
+        if name == "integer":
+            ok = ok & (F.floor(number) == number)
+        if rule[1] is not None:
+            ok = ok & (number >= rule[1])
+        if rule[2] is not None:
+            ok = ok & (number <= rule[2])
+    elif name in ("string", "boolean"):
+        ok = kind == name.upper()
+    elif name == "object":
+        ok = kind.startswith("OBJECT")
+    elif name == "map":
+        entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+        ok = kind.startswith("OBJECT") & F.forall(entries, lambda e: ~e["key"].rlike(rule[1]) | _is(e["value"], rule[2]))
+    else:
+        items = F.try_variant_get(value, "$", "array<variant>")
+        if name == "pairs":
+            def pair(x: Column) -> Column:
+                of = F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>"))
+                return (F.size(of) == 2) & _is(F.get(of, 0), ("string",)) & _is(F.get(of, 1), rule[1])
+            ok = F.forall(items, pair)
+        else:
+            ok = F.forall(items, lambda x: _is(x, ("string",) if name == "texts" else ANY))
+        ok = kind.startswith("ARRAY") & ok
+    return F.coalesce(ok, F.lit(False))
+
+
 def payload_violations(payloads: DataFrame, key: str = "doc_id", payload: str = "payload", tool: str = TOOL) -> DataFrame:
     """One row per broken rule (key, path, rule). Text that is not JSON breaks the rule ``json`` only."""
     rows = payloads.select(key, F.try_parse_json(F.col(payload)).alias("_d"))
@@ -72,6 +133,7 @@ def payload_violations(payloads: DataFrame, key: str = "doc_id", payload: str =
     bad = [_rule(_kind(d, p).isNull(), p, "required") for p in ("tool", "version", "language", "analyzers")]
     bad += [_rule(_kind(d, "tool").isNotNull() & (F.coalesce(_string(d, "tool"), F.lit("")) != tool), "tool", "const")]
     bad += _bounded(d, "version", "version", "string")
+    bad += _objects(d, lambda p: p, "source", "language", "content", "timing")
     bad += [_rule(_kind(d, "language").startswith("OBJECT") & _kind(d, f"language.{p}").isNull(), f"language.{p}", "required")
             for p in ("code", "confidence", "model")]
     bad += _bounded(d, "language.code", "language.code", "string")
@@ -94,6 +156,11 @@ def payload_violations(payloads: DataFrame, key: str = "doc_id", payload: str =
                       at("name"), "enum")]
         out += _bounded(a, "processing_time", at("processing_time"), "number", 0.0)
         out += _bounded(a, "confidence", at("confidence"), "number", 0.0, 1.0)
+        out += _objects(a, at, "results", "metadata", "metadata.language")
+        out += _bounded(a, "metadata.model", at("metadata.model"), "string")
+        out += _bounded(a, "metadata.language.code", at("metadata.language.code"), "string")
+        out += _bounded(a, "metadata.language.confidence", at("metadata.language.confidence"), "number", 0.0, 1.0)
+        out.append(_rule(~F.schema_of_variant(a).startswith("OBJECT"), F.concat(F.lit("analyzers["), i.cast("string"), F.lit("]")), "type"))
         return F.array(*out)
 
     whole = F.concat(F.array(*bad), F.flatten(F.coalesce(F.transform("_analyzers", of_analyzer), F.array(F.array(bad[0])))))
@@ -117,15 +184,18 @@ def analyzer_rows(payloads: DataFrame, key: str = "doc_id", payload: str = "payl
 
 
 def result_shapes(analyzers: DataFrame, key: str = "doc_id", strict: bool = True) -> DataFrame:
-    """How many result shapes match each analyzer entry; exactly one must.
+    """How many result shapes match each analyzer entry, with their required keys and the rules of all their properties; exactly one must.
 
     With ``strict=False`` an entry that declares ``supported: false`` is accepted as a shape of its own.
     """
     hits = F.lit(0)
-    for keys in RESULT_KEYS.values():
+    for shape, keys in RESULT_KEYS.items():
         test = F.lit(True)
         for k in keys:
             test = test & _at(F.col("results"), k).isNotNull()
+        for k, rule in RESULT_RULES[shape].items():
+            value = _at(F.col("results"), k)
+            test = test & (value.isNull() | _is(value, rule))
         hits = hits + F.when(test, 1).otherwise(0)
     if not strict:
         refused = F.try_variant_get("results", "$.supported", "boolean") == F.lit(False)
