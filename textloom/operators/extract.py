@@ -12,10 +12,10 @@ MIN_CHARS = 10
 
 # Error code, name and message.
 ERRORS = {
-    "GENERIC": (1, "GENERIC_ERROR", "Generic error"),
-    "USAGE": (2, "USAGE_ERROR", "Invalid CLI arguments"),
-    "FETCH": (3, "FETCH_ERROR", "Failed to fetch content"),
-    "MODEL": (4, "MODEL_ERROR", "Missing or failed spaCy model"),
+    "GENERIC": (1, "GENERIC_ERROR", "the run failed"),
+    "USAGE": (2, "USAGE_ERROR", "the request cannot be read"),
+    "FETCH": (3, "FETCH_ERROR", "the page was not delivered"),
+    "MODEL": (4, "MODEL_ERROR", "no language model could be used"),
 }
 
 

@@ -45,8 +45,8 @@ def polarity(spark: SparkSession) -> DataFrame:
     return local_table(spark, rows, "word STRING, polarity DOUBLE, subjectivity DOUBLE")
 
 
-#: Turns as documents: one id per (conversation, turn).
-TURN_ID = "conv_id * 100000 + turn"
+#: Turns as documents: one id per (conversation, turn). A turn number has 32 bits to itself, so ids of conversations never meet.
+TURN_ID = "conv_id * 4294967296 + turn"
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

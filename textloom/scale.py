@@ -39,6 +39,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
 CLUSTER_BYTES = 256 * 1024 * 1024
 
 
+def scanned_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` scans, as the plan estimates them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def partitions_for(df: DataFrame) -> int:
     """Partition count from the bytes of the tables ``df`` scans: two per core at least.
 
@@ -46,11 +52,10 @@ def partitions_for(df: DataFrame) -> int:
     """
     spark = df.sparkSession
     floor = 2 * spark.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    size = scanned_bytes(df)
     if size >= 2 ** 60:
         return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return max(floor, min(size // CLUSTER_BYTES, 400_000))
+    return max(floor, size // CLUSTER_BYTES)
 
 
 def cluster_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -63,13 +68,18 @@ def cluster_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(partitions_for(df), *[F.col(k) for k in keys])
 
 
+#: Largest table that is dealt out over the cores by a shuffle.
+SPREAD_BYTES = 64 * 1024 * 1024
+
+
 def spread_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core for a small input; leave a large one as it is scanned.
+    """Deal a file or two out over the cores; anything above ``SPREAD_BYTES`` is used as it is scanned.
 
-    A scan that already has at least one task per core is returned unchanged, so big tables stay map-only.
+    A small table is often one Parquet row group, which no split size can divide. At most ``SPREAD_BYTES`` are ever shuffled, however many
+    cores there are, so every larger table stays map-only.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
+    if scanned_bytes(df) > SPREAD_BYTES or df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(cores, *[F.col(k) for k in keys])
 
