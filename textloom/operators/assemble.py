@@ -19,8 +19,7 @@ OPTIONAL = ("embeddings", "sentiment")
 class Corpus:
     """Documents (``doc_id``, ``text``, ``lang``, ``lang_confidence``) with the relations analyzers share.
 
-    The relations are lazy; Spark reuses the single shuffle of the text where plans coincide. Call
-    ``persist_tokens`` when several token analyzers run in one job.
+    The relations are lazy; Spark reuses the single shuffle of the text where plans coincide.
     """
 
     def __init__(self, docs: DataFrame, lexicon: DataFrame | None = None, valence: DataFrame | None = None,
@@ -42,10 +41,6 @@ class Corpus:
     def spans(self) -> DataFrame:
         return tokens.entities(self.docs)
 
-    def persist_tokens(self) -> "Corpus":
-        self.tokens.persist()
-        return self
-
 
 Analyzer = Callable[[Corpus], DataFrame]
 _ANALYZERS = Registry("analyzer")

@@ -204,6 +204,12 @@ def _status(spark, sf):
     return extract.batch_status(extract.with_validity(rows, text=F.col("text"), confidence=F.col("n_chars") / 20000.0))
 
 
+@query("batch_gate", f"""SELECT count(*) AS total, count(*) FILTER (NOT is_valid) AS failed, count(*) FILTER (NOT is_valid) = 0 AS success FROM ({_VALID_DOCS_SQL})""")
+def _gate(spark, sf):
+    rows = views.documents_rows(spark, sf)
+    return extract.batch_succeeded(extract.with_validity(rows, text=F.col("text"), confidence=F.col("n_chars") / 20000.0))
+
+
 def _error_case(pick: int) -> str:
     return " ".join(f"WHEN kind = '{k}' THEN {sp.lit(v[pick])}" for k, v in extract.ERRORS.items())
 
