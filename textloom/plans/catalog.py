@@ -364,9 +364,9 @@ def _sort_feats(spark, sf):
 
 
 @query("conllu_mwt_lines", sp.query(
-    sp.TOK, sp.values("con", "form, w1, w2", [(k, *v) for k, v in views.CONTRACTIONS.items()]),
+    sp.TOK, sp.values("con", "lang, form, w1, w2", [(*k, *v) for k, v in views.CONTRACTIONS.items()]),
     """m0 AS (SELECT t.*, c.w1, c.w2, sent_pos + 1 + sum(CASE WHEN c.w1 IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id
- ROWS UNBOUNDED PRECEDING) - CASE WHEN c.w1 IS NULL THEN 0 ELSE 1 END AS w_id FROM tok t LEFT JOIN con c ON c.form = t.lower)""",
+ ROWS UNBOUNDED PRECEDING) - CASE WHEN c.w1 IS NULL THEN 0 ELSE 1 END AS w_id FROM tok t LEFT JOIN con c ON c.form = t.lower AND c.lang = t.lang)""",
     select=f"""SELECT doc_id, sent_id, 1 AS kind, CAST(w_id AS INTEGER) AS pos, concat(w_id, '-', w_id + 1, chr(9), {sp.conllu_field('text')}, repeat(chr(9) || '_', 8)) AS line FROM m0 WHERE w1 IS NOT NULL
  UNION ALL SELECT doc_id, sent_id, 2, CAST(w_id AS INTEGER), concat_ws(chr(9), w_id, coalesce(w1, {sp.conllu_field('text')}), coalesce(w1, {sp.conllu_field('lemma')}), upos, xpos, '_', '0', '_', '_', '_') FROM m0
  UNION ALL SELECT doc_id, sent_id, 2, CAST(w_id + 1 AS INTEGER), concat_ws(chr(9), w_id + 1, w2, w2, upos, xpos, '_', '0', '_', '_', '_') FROM m0 WHERE w1 IS NOT NULL"""))

@@ -133,14 +133,16 @@ def robots_rules(spark: SparkSession) -> DataFrame:
 
 # Two-word contractions of the corpus languages, split for the multi-word export.
 CONTRACTIONS = {
-    "du": ("de", "le"), "des": ("de", "les"), "au": ("à", "le"), "aux": ("à", "les"), "zum": ("zu", "dem"),
-    "zur": ("zu", "der"), "im": ("in", "dem"), "am": ("an", "dem"), "del": ("de", "el"), "al": ("a", "el"),
+    ("fr", "du"): ("de", "le"), ("fr", "des"): ("de", "les"), ("fr", "au"): ("à", "le"), ("fr", "aux"): ("à", "les"),
+    ("de", "zum"): ("zu", "dem"), ("de", "zur"): ("zu", "der"), ("de", "im"): ("in", "dem"), ("de", "am"): ("an", "dem"),
+    ("es", "del"): ("de", "el"), ("es", "al"): ("a", "el"),
 }
 
+
 def split_contractions(toks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Word rows and multi-word ranges of a token table whose contractions are split in two words."""
-    table_ = F.create_map(*[F.lit(x) for k, v in CONTRACTIONS.items() for x in (k, "|".join(v))])
-    parts = F.when(F.col("lower").isin(*CONTRACTIONS), F.split(F.try_element_at(table_, F.col("lower")), r"\|"))
+    table_ = F.create_map(*[F.lit(x) for k, v in CONTRACTIONS.items() for x in (":".join(k), "|".join(v))])
+    parts = F.split(F.try_element_at(table_, F.concat_ws(":", "lang", "lower")), r"\|")
     order = Window.partitionBy("doc_id", "sent_id").orderBy("tok_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = toks.withColumn("_parts", parts)
     extra = F.coalesce(F.sum(F.when(F.col("_parts").isNotNull(), 1).otherwise(0)).over(order), F.lit(0))
