@@ -224,15 +224,20 @@ def validation_totals(report: DataFrame) -> DataFrame:
 
 
 def golden_diff(actual: DataFrame, golden: DataFrame, digits: int = 6, volatile: tuple[str, ...] = ()) -> DataFrame:
-    """Rows found only in one of two snapshots, after rounding doubles and dropping volatile columns."""
+    """Rows found more often in one of two snapshots, after rounding doubles and dropping volatile columns; each as often as it is in excess.
+
+    Every snapshot is read once: its rows count +1 or -1, and one aggregate over all columns leaves the difference.
+    """
     def normal(df: DataFrame) -> DataFrame:
         kept = [f for f in df.schema.fields if f.name not in volatile]
         return df.select(*[F.round(f.name, digits).alias(f.name) if f.dataType.typeName() in ("double", "float")
                            else F.col(f.name) for f in kept])
 
     a, g = normal(actual), normal(golden)
-    return (a.exceptAll(g).withColumn("side", F.lit("actual"))
-            .unionByName(g.exceptAll(a).withColumn("side", F.lit("golden"))))
+    both = a.withColumn("_sign", F.lit(1)).unionByName(g.withColumn("_sign", F.lit(-1)))
+    excess = both.groupBy(*a.columns).agg(F.sum("_sign").alias("_excess")).filter("_excess <> 0")
+    side = F.when(F.col("_excess") > 0, "actual").otherwise("golden")
+    return excess.select(*a.columns, side.alias("side"), F.explode(F.sequence(F.lit(1), F.abs("_excess"))).alias("_")).drop("_")
 
 
 def analyzer_coverage(payloads: DataFrame, required: tuple[str, ...], key: str = "doc_id", payload: str = "payload") -> DataFrame:
