@@ -17,10 +17,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/textloom-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``batch_rows`` bounds the rows that Python functions of this job get at once, and so the memory of their workers.
+    """
+    path, conf, batch = new_folder(df.sparkSession, name), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(batch)
+    if batch_rows:
+        conf.set(batch, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(batch, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -80,7 +89,7 @@ def joined(texts: list[str | None], gap: bytes = b"\n") -> tuple[np.ndarray, np.
     return np.frombuffer(gap.join([*blobs, b""]), np.uint8), offsets
 
 
-def chunks(texts: list, budget: int = 1 << 20):
+def chunks(texts: list, budget: int = 1 << 19):
     """Slices of the list that hold about ``budget`` characters each (a longer text stands alone)."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -159,7 +159,7 @@ def common_elements(texts: DataFrame) -> list[np.ndarray]:
             yield pd.DataFrame({"h": h[first[often]].astype(np.int64), "c": c[often]})
 
     blocks = texts.select("text").mapInPandas(emit, "part INT, h BINARY").repartition("part").sortWithinPartitions("part")
-    counted = stored(blocks.mapInPandas(count, "h LONG, c LONG"), "common")
+    counted = stored(blocks.mapInPandas(count, "h LONG, c LONG"), "common", TEXT_ROWS)
     return [bit_table(counted.filter(F.col("c") >= level), "h", bits) for level, bits in COMMON]
 
 
@@ -222,7 +222,7 @@ def prefixes(rows: DataFrame, common: list[np.ndarray], similar: int) -> DataFra
             yield docs.pop()
 
     first = rows.select(F.col("doc_id").cast("string"), "text").mapInPandas(emit, FIRST)
-    return stored(first.repartition("part").sortWithinPartitions("part").mapInPandas(meet, PASSED), "prefixes")
+    return stored(first.repartition("part").sortWithinPartitions("part").mapInPandas(meet, PASSED), "prefixes", TEXT_ROWS)
 
 
 def fetched_sets(rows: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def fetched_sets(rows: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFra
 
     got = rows.select(F.xxhash64(F.col("doc_id").cast("long")).alias("x"), "text").mapInPandas(emit, "d1 LONG, d2 LONG, e BINARY")
     keys = needed.select("gid", "d1", "d2").distinct()
-    return stored(got.join(keys, ["d1", "d2"]).groupBy("gid").agg(F.first("e").alias("e")), "sets")
+    return stored(got.join(keys, ["d1", "d2"]).groupBy("gid").agg(F.first("e").alias("e")), "sets", TEXT_ROWS)
 
 
 @F.pandas_udf(T.LongType())
@@ -262,20 +262,16 @@ def shared(one: pd.Series, two: pd.Series) -> pd.Series:
 
 #: Pairs of sets that go to Python at once: bounds the memory of a worker by the size of the sets.
 PAIR_ROWS = 500
+#: Texts that go to Python at once.
+TEXT_ROWS = 1000
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """A stored table of ``pairs`` (a, b, na, nb) with the size of their intersection."""
     left = sets.select(F.col("gid").alias("a"), F.col("e").alias("ea"))
     right = sets.select(F.col("gid").alias("b"), F.col("e").alias("eb"))
-    conf, name = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, PAIR_ROWS)
-    try:
-        both = pairs.select("a", "b", "na", "nb").join(right, "b").join(left, "a")
-        return stored(both.select("a", "b", "na", "nb", shared("ea", "eb").alias("inter")), "verified")
-    finally:
-        conf.set(name, before)
+    both = pairs.select("a", "b", "na", "nb").join(right, "b").join(left, "a")
+    return stored(both.select("a", "b", "na", "nb", shared("ea", "eb").alias("inter")), "verified", PAIR_ROWS)
 
 
 def reachable(similar: int):
