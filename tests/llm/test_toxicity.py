@@ -61,3 +61,21 @@ def test_query(spark):
     score, truth = np.array([r.score for r in got]), np.array([y[r.doc_id] for r in got])
     assert auc(score, truth) > 0.97
     assert (score[truth == 0] >= 0.5).mean() < 0.01 and (score[truth == 1] >= 0.5).mean() > 0.7
+
+
+def test_word_of_two_rows_in_each_shard_is_trained(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 250)
+    rng, left, data = random.Random(5), {k: 2 for k in range(6)}, []
+    shards = [r.s for r in spark.range(1500).selectExpr("CAST(pmod(xxhash64(id, 3), 6) AS INT) AS s").collect()]
+    for i, shard in enumerate(shards):
+        text, bad = rng.choices([f"w{k}" for k in range(400)], k=rng.randint(20, 60)), i % 10 == 0
+        if bad:
+            text[0] = "vile" if left[shard] else "nasty"
+            left[shard] = max(0, left[shard] - 1)
+        data.append((i, " ".join(text), int(bad)))
+    assert not any(left.values()) and sum("vile" in t for _, t, _ in data) == 12
+    model = toxicity.fit(spark.createDataFrame(data, "key LONG, text STRING, label INT"))
+    vile = toxicity.features(["vile"])[1][0]
+    assert vile in model.slots and model.weights[model.slots == vile][0] > 0.5
+    clean, rare = model.score(["w1 w2 w3", "vile w2 w3"])
+    assert rare > 5 * clean

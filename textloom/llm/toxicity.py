@@ -5,7 +5,8 @@
 * Training: labelled rows, at most ``SAMPLE_ROWS`` of them (all below that), are dealt to shards of
   about ``SHARD_ROWS``. Every round each task runs
   FTRL-proximal over its rows from the common state and sends its change; changes are averaged coordinate by coordinate over the tasks that
-  touched it. The L1 term keeps rare and uninformative features at exactly zero.
+  touched it. No feature is left out for being rare: the L1 term alone keeps uninformative ones at exactly zero. The mean makes the pull of a
+  feature follow its rows in a shard, so one in few rows gets a smaller weight from many shards than from one.
 * Scoring: the weights that are left, at most one for each slot, are broadcast and every text is scored inside the scan: no shuffle of text.
 """
 
@@ -25,8 +26,10 @@ from textloom.llm.common import LOWER, chunks, joined, mix64, prefix_hash, span_
 SLOT_BITS = 21
 #: Labelled rows that training reads at most, chosen by a hash of the id; documented bound of the sample.
 SAMPLE_ROWS = 24_000
-#: Rows of one training shard, passes over them, and the rows of a shard that a slot must occur in to be trained.
-SHARD_ROWS, ROUNDS, LEAST_ROWS = 4_000, 5, 3
+#: Rows of one training shard, and passes over them.
+SHARD_ROWS, ROUNDS = 4_000, 5
+#: Changed slots that a task sends in one row: bounds what the driver unpacks at once.
+SENT_SLOTS = 1 << 16
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.5, 0.0
 
 #: Letters and digits of ASCII and every byte of a longer UTF-8 sequence.
@@ -125,11 +128,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
             yield batch[["shard", "turn", "y"]].assign(slots=pd.Series(found, dtype=object))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One row for a shard: its slots with ``LEAST_ROWS`` rows or more, where each row ends, and the labels."""
+        """One row for a shard: the slots of its rows, where each row ends, and the labels."""
         pdf = pdf.sort_values(["turn", "y", "slots"], ignore_index=True)
         found = [np.frombuffer(s, np.int32) for s in pdf["slots"]]
-        often = np.bincount(np.concatenate(found), minlength=1 << SLOT_BITS) >= LEAST_ROWS
-        found = [s[often[s]] for s in found]
         return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "slots": [np.concatenate(found).tobytes()], "y": [pdf["y"].to_numpy(np.float64).tobytes()],
                              "ends": [np.cumsum([len(s) for s in found], dtype=np.int64).tobytes()]})
 
@@ -137,12 +138,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
         pack, "shard INT, slots BINARY, y BINARY, ends BINARY")
     # One row and one file for each shard, so that a round reads them in as many tasks, without a shuffle.
     ready = stored(shards.repartition(shard_count, "shard"), "toxic-shards")
-    state = np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
+    state = np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)
     b0 = np.zeros(2)
     for round_no in range(ROUNDS):
         state, b0 = mixed(ready, state, b0, round_no)
     slots, z, n = state
-    w = solve(z, n)
+    w = solve(z.astype(np.float64), n.astype(np.float64))
     return Model(slots[w != 0], w[w != 0].astype(np.float32), float(-b0[0] / ((BETA + np.sqrt(b0[1])) / ALPHA)))
 
 
@@ -162,8 +163,11 @@ def mixed(ready: DataFrame, state: tuple, b0: np.ndarray, round_no: int) -> tupl
                 z_before, n_before, bias = z.copy(), n.copy(), bias0.copy()
                 ftrl_pass([rows[i] for i in order], y[order], z, n, bias)
                 at = np.flatnonzero(n != n_before).astype(np.int32)
-                yield pd.DataFrame({"at": [at.tobytes()], "z": [(z - z_before)[at].astype(np.float32).tobytes()],
-                                    "n": [(n - n_before)[at].astype(np.float32).tobytes()], "b": [(bias - bias0).tobytes()]})
+                parts = [at[i:i + SENT_SLOTS] for i in range(0, len(at), SENT_SLOTS)]
+                for part in parts:
+                    yield pd.DataFrame({"at": [part.tobytes()], "z": [(z - z_before)[part].astype(np.float32).tobytes()],
+                                        "n": [(n - n_before)[part].astype(np.float32).tobytes()], "b": [b""]})
+                yield pd.DataFrame({"at": [b""], "z": [b""], "n": [b""], "b": [(bias - bias0).tobytes()]})
 
     z, n, touched = (np.zeros(1 << SLOT_BITS, np.float32) for _ in range(3))
     bias, shards = np.zeros(2), 0
@@ -172,15 +176,16 @@ def mixed(ready: DataFrame, state: tuple, b0: np.ndarray, round_no: int) -> tupl
         z[at] += np.frombuffer(r.z, np.float32)
         n[at] += np.frombuffer(r.n, np.float32)
         touched[at] += 1
-        bias += np.frombuffer(r.b)
-        shards += 1
+        if r.b:  # the last row of a shard
+            bias += np.frombuffer(r.b)
+            shards += 1
     np.maximum(touched, 1, out=touched)
     z, n = z / touched, n / touched
     z[state[0]] += state[1]
     n[state[0]] += state[2]
     at = np.flatnonzero(n).astype(np.int32)
-    sent.unpersist()
-    return (at, z[at].astype(np.float64), n[at].astype(np.float64)), b0 + bias / max(shards, 1)
+    sent.destroy()
+    return (at, z[at], n[at]), b0 + bias / max(shards, 1)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
