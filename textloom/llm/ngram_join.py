@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,12 +176,12 @@ def prefixes(rows: DataFrame, common: list[np.ndarray], similar: int) -> DataFra
     parts, sent = part_count(spark), spark.sparkContext.broadcast(common)  # of fixed size, see COMMON
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rid, seen = TaskContext.get().partitionId() << 33, set()
+        seen = set()
         for batch in batches:
-            texts, ids = batch["text"].tolist(), batch["doc_id"].tolist()
+            texts, ids, rids = batch["text"].tolist(), batch["doc_id"].tolist(), batch["rid"].tolist()
             for part in chunks(texts):
                 found, held = [], []
-                for i, s in zip(ids[part], shingle_sets(texts[part])):
+                for i, rid, s in zip(ids[part], rids[part], shingle_sets(texts[part])):
                     d = digest(s)
                     late = sum(marked(table, s).astype(np.int8) for table in sent.value)
                     head = s[np.argsort(late, kind="stable")[:prefix_size(len(s), similar)]] if len(s) else s
@@ -191,7 +190,6 @@ def prefixes(rows: DataFrame, common: list[np.ndarray], similar: int) -> DataFra
                     if len(s) and (*p, len(s)) not in seen:  # the group's prefix leaves this task once
                         seen.add((*p, len(s)))
                         held.append((head, rid, len(s)))
-                    rid += 1
                 if held:
                     sizes = [len(h) for h, _, _ in held]
                     owner = np.repeat(np.array([r for _, r, _ in held], np.uint64), sizes)
@@ -221,7 +219,7 @@ def prefixes(rows: DataFrame, common: list[np.ndarray], similar: int) -> DataFra
         while docs:
             yield docs.pop()
 
-    first = rows.select(F.col("doc_id").cast("string"), "text").mapInPandas(emit, FIRST)
+    first = rows.select(F.col("doc_id").cast("string"), "text", "rid").mapInPandas(emit, FIRST)
     return stored(first.repartition("part").sortWithinPartitions("part").mapInPandas(meet, PASSED), "prefixes", TEXT_ROWS)
 
 
@@ -281,8 +279,10 @@ def reachable(similar: int):
 
 
 def similarity_links(rows: DataFrame, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): documents as (doc_id, n, gid) with one gid for each distinct set; links (a, b) between gids whose components are
-    those of all pairs with Jaccard similarity of at least ``similar`` hundredths. ``rows`` has (doc_id, text)."""
+    """(documents, links): documents as (doc_id, n, gid, rid) with one gid for each distinct set; links (a, b) between gids whose components are
+    those of all pairs with Jaccard similarity of at least ``similar`` hundredths. ``rows`` has (rid, doc_id, text).
+
+    The row ids are read once."""
     passed = prefixes(rows, common_elements(rows), similar)
     docs = passed.filter("d1 <> 0").drop("h").withColumn("doc_id", F.col("doc_id").cast("long"))
     gids = docs.groupBy("d1", "d2").agg(F.min("rid").alias("gid"), F.first("n").alias("n"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
@@ -403,7 +403,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     carried through and never names a component that has another id. An empty table gives an empty result; extra columns are not read.
     ``docs`` is read several times and should be a stored table.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid"))
     found, links = similarity_links(rows, similar)
     roots = components(links).select(F.col("node").alias("gid"), "root")
     rooted = found.join(roots, "gid", "left").select("doc_id", "n", F.coalesce("root", "gid").alias("root"))
@@ -415,13 +415,14 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
     """One row of each component, with all columns: the smallest id (null last, then the first row of the table).
 
-    Rows with an empty set link with nothing and all stay. ``docs`` must give its rows in the same partitions each time, as a stored table does:
-    rows are told apart by their place in it.
+    Rows with an empty set link with nothing and all stay. Rows are told apart by an id that is written with them once: splits of a scan, and
+    so the ids that it would count, may change with the executors.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs, names = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered"), docs.columns
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col("_rid").alias("rid"))
     found, links = similarity_links(rows, similar)
     roots = components(links).select(F.col("node").alias("gid"), "root")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
     kept = found.join(roots, "gid", "left").withColumn("root", F.when(F.col("n") == 0, F.col("rid")).otherwise(F.coalesce("root", "gid")))
     kept = kept.groupBy(F.col("n") == 0, "root").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("_rid"))
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(kept, "_rid", "left_semi").select(*docs.columns)
+    return docs.join(kept, "_rid", "left_semi").select(*names)

@@ -253,10 +253,10 @@ def remaining(text: str | None, a: np.ndarray, b: np.ndarray) -> tuple[bytes, in
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, marks): rows as (rid, id, doc_id, text), marks as (rid, a, b): the covered byte ranges of each row.
 
-    ``docs`` is read several times and must give its rows in the same partitions and order each time, as a stored table does.
+    The rows are written once with their ids: splits of a scan, and so the ids that it would count, may change with the executors.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
-                       F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
+                              F.col(key).alias("doc_id"), F.col(text).alias("text")), "numbered")
     found = candidates(rows, repeated_anchors(rows))
     # Settled ranges pass the shards unchanged, so that the texts are cut into segments once.
     return rows, found.repartition("h").sortWithinPartitions("h").mapInPandas(sort_shard, MARK)
