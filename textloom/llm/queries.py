@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontamination, fm_dedup, mixing, ngram_join, periodic_runs, sharding, suffix_dedup, token_counts, topk, toxicity, url_filters, warc
+from textloom.llm import decontamination, fm_dedup, mixing, ngram_join, periodic_runs, sharding, spelling, suffix_dedup, token_counts, topk, toxicity, url_filters, warc
 from textloom.llm.common import new_folder, table
 
 
@@ -64,8 +64,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), change=periodic_runs.planted)
 
 
+def op13_trie_node_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), change=spelling.planted)
+
+
 QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_token_counts, op3_two_level_capture_index, op4_url_filters, op5_ftrl_toxicity, op6_spaced_seeds,
                                   op7_external_induced_sorting, op8_soft_membership,
                                   op9_grouped_prefix_join, op10_no_random_access, op11_fm_index,
-                                  op12_periodic_runs)}
+                                  op12_periodic_runs, op13_trie_node_pairs)}
 ORACLES: dict[str, str] = {"op4_url_filters": url_filters.JUDGE_SQL, "op10_no_random_access": topk.TOPK_SQL}
