@@ -1,6 +1,10 @@
 """Every registered query against its check SQL, on whole tables at the smallest scale."""
 
+import os
 import re
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -47,3 +51,16 @@ def test_entry(spark):
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"payloads", "token_json", "cluster_vectors"}
+
+
+def test_entry_points_without_the_optional_part(tmp_path):
+    """A copy without the subpackage (and one without the pipeline too) imports and offers all other queries."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/textloom", tmp_path / "textloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    said = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.catalog.QUERIES), sorted(e.oracle_sql()) == sorted(e.catalog.ORACLES))"
+    for more in ([], ["corpus_pipeline.py"]):
+        for name in more:
+            (tmp_path / name).write_text("from textloom.llm import common\n")
+        got = subprocess.run([sys.executable, "-c", said], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+        assert got.stdout.strip() == "True True", got.stderr
