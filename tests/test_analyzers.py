@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from textloom import lexicons
-from textloom.operators import assemble, conllu, embeddings, keywords, lexical, quality, readability, sentiment, tokens
+from textloom.operators import assemble, conllu, embeddings, keywords, lexical, quality, readability, sentiment, tokens, trees
 
 
 def test_lexical_by_hand(spark, docs):
@@ -68,6 +68,44 @@ def test_entities(spark, docs):
     assert [(r["total_entities"], r["supported"]) for r in rows] == [(7, True), (0, False)]
 
 
+def test_names_are_found_inside_longer_runs(spark, docs):
+    """In any case, at any place of a run of capitals, across line breaks, of one word or many, from an own table."""
+    d = docs(("The United States met In New York under the MIT license.", "en"), ("SAN\nFRANCISCO and newyork, New-York", "en"), ("", "en"), (None, "en"))
+    found = [(r["doc_id"], r["label"], r["text"]) for r in tokens.entities(d).orderBy("doc_id", "start").collect()]
+    assert found == [(0, "GPE", "United States"), (0, "GPE", "New York"), (0, "LAW", "MIT license"), (1, "GPE", "SAN FRANCISCO")]
+    own = spark.createDataFrame([("paris", "GPE"), ("new york", "GPE"), ("New York Times", "ORG"), ("york times square", "LOC"), ("AT&T", "ORG"), ("route 66", "LOC"),
+                                 ("", "X"), ("paris", "PER")], "name STRING, name_label STRING")
+    d = docs(("Paris: the New York Times Square of AT&T on Route 66, paris", "en"), ("new york times york times square new york", "en"))
+    found = [(r["doc_id"], r["start"], r["end"], r["label"], r["text"]) for r in tokens.entities(d, own).orderBy("doc_id", "start").collect()]
+    assert found == [(0, 0, 1, "GPE", "Paris"), (0, 3, 6, "ORG", "New York Times"), (0, 8, 11, "ORG", "AT&T"), (0, 12, 14, "LOC", "Route 66"), (0, 15, 16, "GPE", "paris"),
+                     (1, 0, 3, "ORG", "new york times"), (1, 3, 6, "LOC", "york times square"), (1, 6, 8, "GPE", "new york")]
+
+
+def test_names_against_a_walk_over_the_tokens(spark, docs):
+    """Longest name first, from left to right, with a large table of names."""
+    import random
+    rng = random.Random(4)
+    vocab = [f"{a}{b}" for a in "abcdef" for b in "xyz"]
+    names = {" ".join(rng.choices(vocab, k=rng.choice([1, 2, 2, 3, 4]))): rng.choice("AB") for _ in range(1500)}
+    texts = [" ".join(rng.choices(vocab, k=rng.choice([0, 3, 200]))) for _ in range(40)]
+    want = []
+    for i, t in enumerate(texts):
+        w, at = t.split(), 0
+        while at < len(w):
+            n = next((n for n in (4, 3, 2, 1) if at + n <= len(w) and " ".join(w[at:at + n]) in names), 0)
+            if n:
+                want.append((i, at, at + n, names[" ".join(w[at:at + n])]))
+            at += n or 1
+    own = spark.createDataFrame(sorted(names.items()), "name STRING, name_label STRING")
+    spans = tokens.entities(docs(*[(t, "en") for t in texts]), own)
+    assert [(r["doc_id"], r["start"], r["end"], r["label"]) for r in spans.orderBy("doc_id", "start").collect()] == want
+
+
+def test_no_text_is_shuffled_for_entities(spark):
+    plan = tokens.entities(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") <= 2 and "BroadcastHashJoin" in plan
+
+
 def brute_yake(text):
     import re
     stop = set(lexicons.stop_words("en"))
@@ -173,9 +211,26 @@ def test_space_tokens_are_renumbered(spark):
     assert [(r["idx"], r["text"], r["head_idx"]) for r in rows] == [(1, "a", 2), (2, "b", 0)]
 
 
+def test_trees_of_documents_and_of_token_tables_agree(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    cols = ["doc_id", "sent_id", "idx", "text", "lemma", "upos", "xpos", "morph", "ws", "dep", "head_basic", "deprel_basic", "head_pp", "deprel_pp", "head_idx", "deprel"]
+    a, b = conllu.document_tokens(d).select(*cols), conllu.conllu_tokens(trees.baseline_arcs(tokens.tokens(d))).select(*cols)
+    assert quality.golden_diff(a, b).count() == 0
+    lines = conllu.conllu_lines(trees.with_tree(trees.with_baseline(trees.gathered(tokens.tokens(d)))))
+    assert quality.golden_diff(lines, conllu.conllu_export(d, engine="baseline")).count() == 0
+
+
+def test_heads_outside_the_sentence(spark):
+    """They leave a child of 0; the last of several objects keeps its adposition."""
+    t = tree(spark, [("in", "ADP", "prep", 9), ("a", "NOUN", "pobj", 0), ("b", "NOUN", "pobj", 0), ("c", "VERB", "ROOT", 3)])
+    assert heads(conllu.conllu_tokens(t)) == [(0, "case"), (1, "obl"), (1, "obl"), (0, "root")]
+    t = tree(spark, [("in", "ADP", "prep", 3), ("a", "NOUN", "pobj", 0), ("b", "NOUN", "pobj", 0), ("c", "VERB", "ROOT", 3)])
+    assert heads(conllu.conllu_tokens(t)) == [(3, "case"), (4, "nmod"), (4, "nmod"), (0, "root")]
+
+
 def test_baseline_trees_are_rooted_and_acyclic(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 1500")
-    rows = conllu.conllu_tokens(tokens.baseline_arcs(tokens.tokens(d))).select("doc_id", "sent_id", "idx", "head_idx").collect()
+    rows = conllu.conllu_tokens(trees.baseline_arcs(tokens.tokens(d))).select("doc_id", "sent_id", "idx", "head_idx").collect()
     by_sentence = {}
     for r in rows:
         by_sentence.setdefault((r["doc_id"], r["sent_id"]), {})[r["idx"]] = r["head_idx"]
@@ -230,7 +285,7 @@ def test_payloads_satisfy_the_contract(spark, docs, tmp_path):
     assert shapes.filter("NOT shape_ok").count() == 0 and shapes.count() == 3 * 8
     assert quality.analyzer_coverage(back, quality.ANALYZER_NAMES).filter("passed").count() == 3
     doc = docs  # noqa: F841
-    js = assemble.token_json(d, tokens.baseline_arcs(tokens.tokens(d)), tokens.entities(d))
+    js = assemble.token_json(d, trees.baseline_arcs(tokens.tokens(d)), tokens.entities(d))
     sinks.write_token_json(js, str(tmp_path / "t"))
     toks = readers.with_stop_flags(readers.read_token_json(spark, str(tmp_path / "t")), "en")
     first = {r["tok_id"]: r for r in toks.filter("doc_id = 0").collect()}

@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from textloom.functions import vectors as vx
-from textloom.operators import conllu, quality, runlog, similarity, tokens
+from textloom.operators import conllu, quality, runlog, similarity, tokens, trees
 from textloom.scale import bounded_broadcast, top_k
 from textloom.sources import readers, sinks
 from textloom.streaming import jobs
@@ -72,18 +73,101 @@ def test_text_files(spark, tmp_path):
 
 def test_conllu_round_trip(spark, docs, tmp_path):
     d = docs(("The cats of Rome sleep. It is red!", "en"))
-    arcs = tokens.baseline_arcs(tokens.tokens(d))
-    rows = conllu.conllu_tokens(arcs)
-    lines = conllu.header_lines(d).unionByName(conllu.conllu_lines(rows, conllu.sentence_texts(arcs)))
+    rows = conllu.document_tokens(d)
+    lines = conllu.header_lines(d).unionByName(conllu.conllu_export(d, engine="baseline"))
     sinks.write_conllu(lines, str(tmp_path / "c"))
     text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "c"), wholetext=False).collect())
     assert text.startswith("# NOTE") and "# sent_id = 0\n# text = The cats of Rome sleep.\n1\tThe\tthe\tDET" in text
     back = readers.read_conllu(spark, str(tmp_path / "c"))
-    want = [(r["text"], r["upos"]) for r in rows.orderBy("tok_id").collect()]
+    want = [(r["text"], r["upos"]) for r in rows.orderBy("sent_id", "idx").collect()]
     got = back.orderBy("tok_id").collect()
     assert [(r["text"], r["upos"]) for r in got] == want and {r["sent_id"] for r in got} == {0, 1}
-    again = conllu.basic_tree(back.withColumn("doc_id", F.lit(0))).orderBy("tok_id").collect()
-    assert [r["head_basic"] for r in again] == [r["head_idx"] for r in rows.orderBy("tok_id").collect()]
+    again = conllu.conllu_tokens(back).orderBy("sent_id", "idx").collect()
+    assert [r["head_basic"] for r in again] == [r["head_idx"] for r in rows.orderBy("sent_id", "idx").collect()]
+
+
+def conllu_file(seed, newdocs=True):
+    """A file with ranges, empty nodes, comments, odd blank lines and several documents."""
+    rng = random.Random(seed)
+    out = ["# NOTE: made by hand"]
+    for s in range(300):
+        if newdocs and rng.random() < 0.04:
+            out.append("# newdoc id = d%d" % s if rng.random() < 0.7 else "# newdoc")
+            if rng.random() < 0.2:
+                out += ["", ""]  # a document line that stands alone
+        out.append(f"# sent_id = {s}")
+        n = rng.choice([1, 2, 5, 30])
+        for k in range(1, n + 1):
+            if rng.random() < 0.1:
+                out.append(f"{k}-{k + 1}\tdu" + "\t_" * 8)
+            if rng.random() < 0.05:
+                out.append(f"{k}.1\tnull" + "\t_" * 8)
+            out.append(f"{k}\tw{s}é\t_\tNOUN\t_\t_\t{k - 1}\tdep\t_\t_")
+        out += [rng.choice(["", "", "", " ", "\t"])] * rng.choice([1, 1, 2, 3])
+    return out
+
+
+def read_by_hand(lines, file):
+    """(document name, sentence, position, token, text, head) in plain Python."""
+    rows, name, doc, sent, tok, block = [], None, 0, 0, 0, []
+    for line in [*lines, ""]:
+        if line.startswith("# newdoc"):
+            name, doc, sent, tok = (line.split(" = ")[1] if " = " in line else None), doc + 1, 0, 0
+        if line.strip():
+            block += [line] if line.split("\t")[0].isdigit() else []
+        elif block:
+            for k, x in enumerate(c.split("\t") for c in block):
+                head = int(x[6])
+                rows.append((doc, name or file, sent, k, tok + k, x[1], tok + k if head == 0 else tok + head - 1))
+            sent, tok, block = sent + 1, tok + len(block), []
+    return [r[1:] for r in sorted(rows)]
+
+
+@pytest.mark.parametrize("seed,newdocs,end", [(1, True, "\n"), (2, False, "\n"), (3, True, "\r\n")])
+def test_conllu_file_of_many_splits(spark, tmp_path, seed, newdocs, end):
+    """One file, read by one task and by many, gives the same rows; windows line ends cannot be cut but are read."""
+    lines = conllu_file(seed, newdocs)
+    path = tmp_path / "big.conllu"
+    path.write_bytes(end.join([*lines, ""]).encode())
+    want = read_by_hand(lines, str(path))
+    cols = ["doc_name", "sent_id", "sent_pos", "tok_id", "text", "head_id"]
+    key = lambda r: (r["doc_id"], r["tok_id"])
+    for size in ("128m", "3k", "700b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            df = readers.read_conllu(spark, str(path))
+            if size != "128m":
+                assert spark.read.text(str(path)).rdd.getNumPartitions() > 10
+            got = df.collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        by_doc = {}
+        for r in sorted(got, key=key):
+            by_doc.setdefault(r["doc_id"], []).append(tuple(r[c] for c in cols))
+        assert sorted(x for rows in by_doc.values() for x in rows) == sorted(want)
+        assert all([r[3] for r in rows] == list(range(len(rows))) for rows in by_doc.values())
+
+
+def test_conllu_engines(spark, docs, tmp_path):
+    """The engine is named; none stands in for the other."""
+    d = docs(("The cats of Rome sleep.", "en"), ("It is red!", "en"))
+    (tmp_path / "a.conllu").write_text("# text = The cats sleep\n1\tThe\tthe\tDET\tDT\tDefinite=Def\t2\tdet\t_\t_\n2\tcats\tcat\tNOUN\tNNS\t_\t3\tnsubj\t_\t_\n"
+                                       "3\tsleep\tsleep\tVERB\tVBP\t_\t0\troot\t_\tSpaceAfter=No\n\n")
+    toks = readers.read_conllu(spark, str(tmp_path / "a.conllu")).withColumn("doc_id", F.lit(0).cast("long"))
+    lines = [r["line"] for r in conllu.conllu_export(annotations=toks, engine="annotated").orderBy("line_no").collect()]
+    assert lines == ["# sent_id = 0", "# text = The cats sleep", "1\tThe\tthe\tDET\tDT\tDefinite=Def\t2\tdet\t_\t_", "2\tcats\tcat\tNOUN\tNNS\t_\t3\tnsubj\t_\t_",
+                     "3\tsleep\tsleep\tVERB\tVBP\t_\t0\troot\t_\tSpaceAfter=No", ""]
+    assert conllu.conllu_export(d.filter("doc_id = 0"), toks, engine="annotated").count() == 6
+    with pytest.raises(Exception, match="no annotations of document 1"):
+        conllu.conllu_export(d, toks, engine="annotated").collect()
+    for args, said in (({"docs": d, "engine": "annotated"}, "needs a token table"), ({"annotations": toks, "engine": "baseline"}, "annotates documents"),
+                       ({"docs": d, "engine": "auto"}, "one of annotated, baseline")):
+        with pytest.raises(ValueError, match=said):
+            conllu.conllu_export(**args)
+    with pytest.raises(TypeError):
+        conllu.conllu_export(d, toks)
 
 
 def test_multi_word_lines(spark):
@@ -91,8 +175,9 @@ def test_multi_word_lines(spark):
                                   "doc_id bigint, sent_id int, word_id int, form string, lemma string, upos string, xpos string, feats string, "
                                   "head int, deprel string, misc string")
     ranges = spark.createDataFrame([(0, 0, 1, 2, "du")], "doc_id bigint, sent_id int, first_id int, last_id int, form string")
-    rows = conllu.conllu_mwt_lines(words, ranges).orderBy("sent_id", "kind", "pos").collect()
-    assert [r["line"] for r in rows] == ["1-2\tdu" + "\t_" * 8, "1\tde\tde\tADP\t_\tB=1\t0\tcase\t_\t_", "2\tle\tle\tDET\t_\t_\t3\tdet\t_\tx y"]
+    sents = spark.createDataFrame([(0, 0, "du\tx")], "doc_id bigint, sent_id int, sentence string")
+    rows = conllu.conllu_mwt_lines(words, ranges, sents).orderBy("sent_id", "kind", "pos").collect()
+    assert [r["line"] for r in rows] == ["# sent_id = 0", "# text = du x", "1-2\tdu" + "\t_" * 8, "1\tde\tde\tADP\t_\tB=1\t0\tcase\t_\t_", "2\tle\tle\tDET\t_\t_\t3\tdet\t_\tx y", ""]
 
 
 def test_vectors(spark):
@@ -190,8 +275,10 @@ def test_token_jobs_shuffle_the_text_only(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     plan = lexical.lexical_stats(d)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
-    plan = conllu.conllu_tokens(tokens.baseline_arcs(tokens.tokens(d)))._jdf.queryExecution().executedPlan().toString()
+    plan = conllu.conllu_tokens(trees.baseline_arcs(tokens.tokens(d)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Cartesian" not in plan and "Python" not in plan
+    plan = conllu.conllu_export(d, engine="baseline")._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Sort", "Join", "Python"))
 
 
 def test_stream_picks_up_new_files_and_drops_late_rows(spark, tmp_path):

@@ -193,6 +193,5 @@ ENTITY_PATTERNS = (
     ("MONEY", r"[$€£] ?[0-9]+(?:[.,][0-9]+)*"),
     ("PERCENT", r"[0-9]+(?:\.[0-9]+)? ?%"),
 )
-NAME_PATTERN = r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)+"
 MIXED_WORD_PATTERN = r"[\p{L}\p{N}]*\p{L}[\p{L}\p{N}]*"
 NUMBER_PATTERN = r"\p{N}+(?:[.,]\p{N}+)*"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import __version__, lexicons
-from textloom.operators import embeddings, keywords, language, lexical, readability, sentiment, tokens
+from textloom.operators import embeddings, keywords, language, lexical, readability, sentiment, tokens, trees
 from textloom.operators.registry import Registry
 
 READABILITY_NOTE = "The formulas were fitted to English prose; compare scores of other languages with care."
@@ -35,7 +35,12 @@ class Corpus:
 
     @cached_property
     def arcs(self) -> DataFrame:
-        return tokens.baseline_arcs(self.tokens)
+        return trees.baseline_arcs(self.tokens)
+
+    @cached_property
+    def sentences(self) -> DataFrame:
+        """Sentences with arcs; those of the default lexicon need no token table."""
+        return trees.document_sentences(self.docs) if self.lexicon is None else trees.with_baseline(trees.gathered(self.tokens))
 
     @cached_property
     def spans(self) -> DataFrame:
@@ -137,8 +142,8 @@ def _keywords(c: Corpus) -> DataFrame:
 
 @register_analyzer("dependency")
 def _dependency(c: Corpus) -> DataFrame:
-    deps = _as_map(lexical.dep_counts(c.arcs), "dep", "count", "dep_counts")
-    arcs = lexical.head_pos_dep(c.arcs)
+    deps = _as_map(lexical.dep_counts(trees.exploded(c.sentences, "doc_id")), "dep", "count", "dep_counts")
+    arcs = lexical.head_pos_dep(c.sentences)
     pairs = _as_map(arcs, "arc", "count", "head_pos_dep")
     rows = c.docs.select("doc_id").join(deps, "doc_id", "left").join(pairs, "doc_id", "left")
     has = F.col("dep_counts").isNotNull()
@@ -220,14 +225,14 @@ def payloads(corpus: Corpus, content: DataFrame, names: list[str], tool: str = "
 
 
 def token_json(docs: DataFrame, arcs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Token-level JSON per document: text, tokens with ten attributes, entity spans."""
+    """Token-level JSON per document: text, tokens with ten attributes and their sentence, entity spans."""
     rows = tokens.char_offsets(docs, arcs)
     inside = spans.select("doc_id", F.explode(F.expr("sequence(start, end - 1)")).alias("tok_id"), F.col("label").alias("ent_type"))
     rows = rows.join(inside, ["doc_id", "tok_id"], "left")
     token = F.struct(
         F.col("tok_id").alias("id"), F.col("text"), F.col("lemma"), F.col("upos").alias("pos"), F.col("xpos").alias("tag"),
         F.col("dep"), F.col("head_id").alias("head"), F.coalesce("ent_type", F.lit("")).alias("ent_type"), F.col("ws").alias("whitespace"),
-        F.col("char_idx").alias("idx"))
+        F.col("char_idx").alias("idx"), F.col("sent_id").alias("sent"))
     toks = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
     ents = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("ents"))
     joined = docs.select("doc_id", "text").join(toks, "doc_id", "left").join(ents, "doc_id", "left")

@@ -1,87 +1,36 @@
-"""CoNLL-U export of annotated tokens.
+"""CoNLL-U export of sentences with trees.
 
-Heads and children exchange values keyed by (document, token), so no sentence is gathered in one place. The
-columns of the uncorrected tree stay next to the repaired ones.
+A sentence is one row with arrays (see ``trees``); its lines are built from that row, so documents are exported without a shuffle. The columns of the
+uncorrected tree stay next to the repaired ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom import lexicons
 from textloom.functions import text as tx
-from textloom.operators.tokens import in_sentence, pass_values
+from textloom.operators import tokens, trees
 
-NOMINAL = ("NOUN", "PROPN", "PRON", "ADJ", "NUM")
 HEADER = ("# NOTE: heuristic conversion of parser labels; not guaranteed to be UD-valid",)
+ENGINES = ("annotated", "baseline")
 
 
-def ud_relation(dep: Column) -> Column:
-    """Universal relation of a parser label; unknown labels are lower-cased."""
-    table = F.create_map(*[F.lit(x) for pair in lexicons.UD_RELATIONS.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, dep), F.lower(dep))
-
+def conllu_tokens(arcs: DataFrame) -> DataFrame:
+    """A token table with number, final head number and relation of every token; space tokens are dropped."""
+    return trees.exploded(trees.with_tree(trees.gathered(arcs)), "doc_id", "sent_id")
 
-def basic_tree(arcs: DataFrame) -> DataFrame:
-    """Drop space tokens, renumber 1..n per sentence and translate heads to the new numbers.
 
-    Roots, and heads outside the sentence, become 0. ``h_*`` describe the head and ``g_*`` the head's head.
-    """
-    base = arcs.filter(~F.col("is_space")).withColumn("idx", F.row_number().over(in_sentence()))
-    rows = pass_values(base, "tok_id", F.struct("idx", "sent_id", "upos", "head_id"), "head_id", "_h")
-    rows = rows.select("*", F.col("_h.idx").alias("h_idx"), F.col("_h.sent_id").alias("h_sent"),
-                       F.col("_h.upos").alias("h_upos"), F.col("_h.head_id").alias("g_id")).drop("_h")
-    rows = pass_values(rows, "tok_id", F.struct("idx", "sent_id", "upos"), "g_id", "_g")
-    rows = rows.select("*", F.col("_g.idx").alias("g_idx"), F.col("_g.sent_id").alias("g_sent"),
-                       F.col("_g.upos").alias("g_upos")).drop("_g")
-    inside = F.col("h_sent") == F.col("sent_id")
-    relation = ud_relation(F.col("dep"))
-    noun_head = F.when(F.col("h_upos") == "ADP", F.col("g_upos").isin(*NOMINAL)).otherwise(F.col("h_upos").isin(*NOMINAL))
-    return rows.withColumn(
-        "head_basic", F.when(F.col("dep") == "ROOT", 0).when(inside, F.col("h_idx")).otherwise(0)
-    ).withColumn("deprel_basic", F.when((relation == "obl") & noun_head, "nmod").otherwise(relation))
-
-
-def reattach_adpositions(tree: DataFrame) -> DataFrame:
-    """Object of an adposition becomes ``nmod`` of the adposition's head; the adposition becomes its ``case``.
-
-    An adposition that is the root keeps its place (re-attaching it would close a loop). If several objects
-    claim one adposition, the last one keeps it.
-    """
-    moves = ((F.col("dep") == "pobj") & (F.col("h_upos") == "ADP") & (F.col("g_id") != F.col("head_id"))
-             & (F.col("h_sent") == F.col("sent_id")) & (F.col("g_sent") == F.col("sent_id")))
-    tree = tree.withColumn("_moves", F.coalesce(moves, F.lit(False)))
-    rows = pass_values(tree, "head_id", F.when(F.col("_moves"), F.col("idx")), "tok_id", "_noun", agg=F.max)
-    claimed = F.col("_noun").isNotNull() & (~F.col("_moves") | (F.col("_noun") > F.col("idx")))
-    return (rows
-            .withColumn("head_pp", F.when(claimed, F.col("_noun")).when(F.col("_moves"), F.col("g_idx"))
-                        .otherwise(F.col("head_basic")))
-            .withColumn("deprel_pp", F.when(claimed, "case").when(F.col("_moves"), "nmod")
-                        .otherwise(F.col("deprel_basic")))
-            .drop("_moves", "_noun"))
-
-
-def promote_predicates(tree: DataFrame) -> DataFrame:
-    """Copular sentences: the first ``attr`` child of a verbal root becomes the root, the old root its ``cop``."""
-    sentence = Window.partitionBy("doc_id", "sent_id")
-    root_tok = F.min(F.when(F.col("dep") == "ROOT", F.struct("idx", "tok_id", "upos"))).over(sentence)
-    rows = tree.withColumn("_r", root_tok)
-    attr = F.when((F.col("dep") == "attr") & (F.col("head_id") == F.col("_r.tok_id"))
-                  & F.col("_r.upos").isin("AUX", "VERB"), F.col("idx"))
-    rows = rows.withColumn("_a", F.min(attr).over(sentence))
-    new, old = F.col("_a"), F.col("_r.idx")
-    return (rows
-            .withColumn("head_idx", F.when(new.isNull(), F.col("head_pp")).when(F.col("idx") == new, 0)
-                        .when(F.col("idx") == old, new).when(F.col("head_pp") == old, new).otherwise(F.col("head_pp")))
-            .withColumn("deprel", F.when(F.col("idx") == new, "root").when(new.isNotNull() & (F.col("idx") == old), "cop")
-                        .otherwise(F.col("deprel_pp")))
-            .drop("_r", "_a"))
+def document_tokens(docs: DataFrame) -> DataFrame:
+    """The same for documents with baseline arcs, map-only."""
+    rows = trees.exploded(trees.with_tree(trees.document_sentences(docs)), "doc_id", "lang", "sent_id")
+    return annotated(rows)
 
 
-def conllu_tokens(arcs: DataFrame) -> DataFrame:
-    """Tokens with their final head number and relation."""
-    return promote_predicates(reattach_adpositions(basic_tree(arcs)))
+def annotated(rows: DataFrame) -> DataFrame:
+    """The columns that ``tokens.tokens`` adds, for exploded sentences of documents."""
+    return rows.select("*", F.when(F.col("spaced"), " ").otherwise("").alias("ws"), tx.lemma(F.col("lang"), F.col("lower")).alias("lemma"),
+                       *tokens.fine_tags(F.col("upos")))
 
 
 def token_line(rows: DataFrame) -> Column:
@@ -92,27 +41,49 @@ def token_line(rows: DataFrame) -> Column:
         F.col("xpos"), tx.conllu_feats(F.col("morph")), F.col("head_idx").cast("string"), F.col("deprel"), F.lit("_"), misc)
 
 
-def sentence_texts(toks: DataFrame) -> DataFrame:
-    """Sentence text rebuilt from tokens and their following space."""
-    parts = F.sort_array(F.collect_list(F.struct("tok_id", F.concat("text", F.coalesce("ws", F.lit(""))).alias("t"))))
-    return toks.groupBy("doc_id", "sent_id").agg(parts.alias("p")).select(
-        "doc_id", "sent_id", F.array_join(F.transform("p", lambda s: s["t"]), "").alias("sentence"))
-
+def conllu_lines(sents: DataFrame) -> DataFrame:
+    """Lines of the export as rows (doc_id, sent_id, line_no, line): number comment, text comment, token lines, empty line.
 
-def conllu_lines(rows: DataFrame, sents: DataFrame) -> DataFrame:
-    """Lines of the export as rows (doc_id, sent_id, line_no, line).
-
-    Per sentence: number comment, text comment, token lines, empty line. Sentence lines and token lines are
-    built apart and united, so a sentence is never collected.
+    ``sents``: ``toks``, ``upos`` and ``tree`` of every sentence, and its text. The row is exploded once, with an empty entry for every line
+    that is not a token's; what a token of a document lacks (lemma, fine tag, features) is added behind.
+    """
+    entry = F.arrays_zip(F.col("toks").alias("t"), "upos", F.col("tree").alias("r"))
+    rows = sents.withColumn("_e", entry)
+    none = F.lit(None).cast(rows.schema["_e"].dataType.elementType)
+    keys = [c for c in ("lang",) if c in sents.columns]
+    rows = rows.select("doc_id", "sent_id", "sentence", *keys, F.posexplode(F.concat(F.array(none, none), "_e", F.array(none))).alias("line_no", "_x"))
+    rows = rows.select("doc_id", "sent_id", "sentence", *keys, "line_no", F.col("_x").isNotNull().alias("_is_token"), (F.col("line_no") - 1).alias("idx"),
+                       "_x.t.*", "_x.upos", "_x.r.*")
+    if "lemma" not in rows.columns:
+        rows = annotated(rows)
+    line = (F.when(F.col("_is_token"), token_line(rows)).when(F.col("line_no") == 0, F.concat(F.lit("# sent_id = "), F.col("sent_id").cast("string")))
+            .when(F.col("line_no") == 1, F.concat(F.lit("# text = "), tx.conllu_field(F.col("sentence")))).otherwise(""))
+    return rows.select("doc_id", "sent_id", "line_no", line.alias("line"))
+
+
+def conllu_export(docs: DataFrame | None = None, annotations: DataFrame | None = None, *, engine: str) -> DataFrame:
+    """Lines of the export by one engine, which must be named.
+
+    ``annotated`` writes the trees of a token table that another annotator made (``sources.readers``: CoNLL-U or token JSON; columns doc_id, sent_id,
+    tok_id, text, lemma, upos, xpos, morph, ws, is_space, dep, head_id). ``baseline`` annotates ``docs`` by the declared rules, which are no
+    treebank. Neither stands in for the other: without its input an engine is an error, and so are documents that the annotations lack.
     """
-    last = F.lit(2_000_000_000)
-    comments = F.array(
-        F.struct(F.lit(0).alias("line_no"), F.concat(F.lit("# sent_id = "), F.col("sent_id").cast("string")).alias("line")),
-        F.struct(F.lit(1).alias("line_no"), F.concat(F.lit("# text = "), tx.conllu_field(F.col("sentence"))).alias("line")),
-        F.struct(last.alias("line_no"), F.lit("").alias("line")))
-    frame = sents.select("doc_id", "sent_id", F.inline(comments))
-    body = rows.select("doc_id", "sent_id", (F.col("idx") + 1).alias("line_no"), token_line(rows).alias("line"))
-    return frame.unionByName(body)
+    if engine not in ENGINES:
+        raise ValueError(f"engine is one of {', '.join(ENGINES)}, not {engine!r}")
+    if engine == "baseline":
+        if docs is None:
+            raise ValueError("the baseline engine annotates documents, and none are given")
+        return conllu_lines(trees.with_tree(trees.document_sentences(docs)))
+    if annotations is None:
+        raise ValueError("the annotated engine needs a token table; name the baseline engine to have the documents annotated by rules")
+    lines = conllu_lines(trees.with_tree(trees.gathered(annotations)))
+    if docs is not None:
+        missing = docs.select("doc_id").join(annotations.select("doc_id").distinct(), "doc_id", "left_anti")
+        missing = missing.select("doc_id", F.lit(0).alias("sent_id"), F.lit(0).alias("line_no"), F.raise_error(F.concat(
+            F.lit("no annotations of document "), F.col("doc_id").cast("string"), F.lit("; name the baseline engine to have it annotated by rules"))).cast(
+                "string").alias("line"))
+        lines = lines.unionByName(missing)
+    return lines
 
 
 def header_lines(docs: DataFrame, header: tuple[str, ...] = HEADER) -> DataFrame:
@@ -120,11 +91,11 @@ def header_lines(docs: DataFrame, header: tuple[str, ...] = HEADER) -> DataFrame
     return docs.select("doc_id", F.lit(-1).alias("sent_id"), F.inline(lines))
 
 
-def conllu_mwt_lines(words: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Word lines with multi-word ranges: per sentence the comments, all range lines, the word lines, an empty line.
+def conllu_mwt_lines(words: DataFrame, ranges: DataFrame, sents: DataFrame) -> DataFrame:
+    """Word lines with multi-word ranges: per sentence the comments (kind 0), all range lines (1), the word lines (2), an empty line (3).
 
-    ``words``: doc_id, sent_id, word_id, form, lemma, upos, xpos, feats, head (null becomes 0), deprel, misc and
-    the sentence text; ``ranges``: doc_id, sent_id, first_id, last_id, form.
+    ``words``: doc_id, sent_id, word_id, form, lemma, upos, xpos, feats, head (null becomes 0), deprel, misc;
+    ``ranges``: doc_id, sent_id, first_id, last_id, form; ``sents``: doc_id, sent_id, sentence.
     """
     cell = lambda c: tx.conllu_field(F.col(c))
     word_lines = words.select(
@@ -136,7 +107,11 @@ def conllu_mwt_lines(words: DataFrame, ranges: DataFrame) -> DataFrame:
         "doc_id", "sent_id", F.lit(1).alias("kind"), F.col("first_id").alias("pos"),
         F.concat(F.col("first_id").cast("string"), F.lit("-"), F.col("last_id").cast("string"), F.lit("\t"), cell("form"),
                  F.lit("\t_" * 8)).alias("line"))
-    return range_lines.unionByName(word_lines)
+    entry = lambda kind, pos, line: F.struct(F.lit(kind).alias("kind"), F.lit(pos).alias("pos"), line.alias("line"))
+    frame = sents.select("doc_id", "sent_id", F.inline(F.array(
+        entry(0, 0, F.concat(F.lit("# sent_id = "), F.col("sent_id").cast("string"))), entry(0, 1, F.concat(F.lit("# text = "), cell("sentence"))),
+        entry(3, 0, F.lit("")))))
+    return frame.unionByName(range_lines).unionByName(word_lines)
 
 
 def sort_feats_lines(lines: DataFrame) -> DataFrame:

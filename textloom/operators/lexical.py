@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators.tokens import content_tokens, pass_values
+from textloom.operators.tokens import content_tokens
 from textloom.scale import top_k
 
 TOP_LEMMAS = 20
@@ -78,25 +78,19 @@ def top_lemmas_by_upos(toks: DataFrame, k: int = TOP_LEMMAS_PER_TAG) -> DataFram
 
 
 def dep_counts(arcs: DataFrame) -> DataFrame:
+    """Tokens per relation. Works on any rows with ``dep``; counted in the map task, so no text is shuffled."""
     return arcs.groupBy("doc_id", "dep").agg(F.count(F.lit(1)).alias("count"))
 
 
-def dependency_support(toks: DataFrame) -> DataFrame:
-    """Per document: is there any parse, and the confidence that goes with it."""
-    has_dep = F.bool_or(F.coalesce(F.col("dep"), F.lit("")) != "")
-    return toks.groupBy("doc_id").agg(has_dep.alias("supported")).withColumn(
-        "confidence", F.when(F.col("supported"), 0.9).otherwise(0.8))
-
-
-def head_pos_dep(arcs: DataFrame, k: int = TOP_ARCS) -> DataFrame:
+def head_pos_dep(sents: DataFrame, k: int = TOP_ARCS) -> DataFrame:
     """Most frequent ``head tag->label`` pairs per document; ties in order of first occurrence.
 
-    Tags travel from each token to its dependents, see ``pass_values``.
+    ``sents`` are sentences with the arrays ``upos``, ``dep`` and ``head`` (``trees``): the head's tag is an element of the row.
     """
-    rows = arcs.select("doc_id", "tok_id", "head_id", "dep", "upos")
-    pairs = pass_values(rows, "tok_id", F.col("upos"), "head_id", "head_upos").filter(F.col("head_upos").isNotNull())
-    counts = (pairs.groupBy("doc_id", F.concat("head_upos", F.lit("->"), "dep").alias("arc"))
-              .agg(F.count(F.lit(1)).alias("count"), F.min("tok_id").alias("first_seen")))
+    arc = F.transform("dep", lambda d, i: F.struct(
+        F.concat(F.get("upos", F.get("head", i)), F.lit("->"), d).alias("arc"), F.struct("sent_id", i.alias("i")).alias("at")))
+    pairs = sents.select("doc_id", F.inline(arc)).filter("arc IS NOT NULL")
+    counts = pairs.groupBy("doc_id", "arc").agg(F.count(F.lit(1)).alias("count"), F.min("at").alias("first_seen"))
     return top_k(counts, ["doc_id"], [F.desc("count"), F.asc("first_seen")], k)
 
 

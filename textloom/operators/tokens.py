@@ -12,10 +12,6 @@ from textloom.scale import bounded_broadcast, cluster_by, local_table
 CONTENT_UPOS = ("NOUN", "PROPN", "VERB", "ADJ", "ADV", "NUM", "SYM")
 
 
-def in_sentence() -> Window:
-    return Window.partitionBy("doc_id", "sent_id").orderBy("tok_id")
-
-
 def sentences(docs: DataFrame) -> DataFrame:
     """One row per sentence, numbered from 0. Map-only."""
     return docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sent_id", "sentence"))
@@ -78,11 +74,14 @@ def tokens(docs: DataFrame, lexicon: DataFrame | None = None, clustered: bool =
         "doc_id", "lang", "sent_id", "sent_pos", "tok_id", "text", "lower", "ws", "piece", "is_alpha",
         F.coalesce("is_stop", F.lit(False)).alias("is_stop"), F.lit(False).alias("is_space"),
         F.lower(F.coalesce(F.nullif("_lemma", F.lit("")), F.col("text"))).alias("lemma"),
-        upos.alias("upos"),
-        F.when(upos == "PUNCT", F.col("text")).otherwise(upos).alias("xpos"),
-        F.when(upos == "NUM", "NumType=Card").when(F.col("text") == ".", "PunctType=Peri")
-        .when(F.col("text") == ",", "PunctType=Comm")
-        .when((upos == "PRON") & F.col("is_alpha"), "Case=Nom|PronType=Prs").otherwise("").alias("morph"))
+        upos.alias("upos"), *fine_tags(upos))
+
+
+def fine_tags(upos: Column) -> tuple[Column, Column]:
+    """``xpos`` and ``morph`` of a token with ``text`` and ``is_alpha``."""
+    morph = (F.when(upos == "NUM", "NumType=Card").when(F.col("text") == ".", "PunctType=Peri").when(F.col("text") == ",", "PunctType=Comm")
+             .when((upos == "PRON") & F.col("is_alpha"), "Case=Nom|PronType=Prs").otherwise(""))
+    return F.when(upos == "PUNCT", F.col("text")).otherwise(upos).alias("xpos"), morph.alias("morph")
 
 
 def content_tokens(toks: DataFrame) -> DataFrame:
@@ -99,99 +98,75 @@ def char_offsets(docs: DataFrame, toks: DataFrame) -> DataFrame:
             .withColumn("char_idx", (F.col("_before") + F.col("_lead")).cast("int")).drop("_before", "_lead"))
 
 
-def entities(docs: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
-    """Entity spans in document order: token offsets (half open), label and text.
+def name_table(gazetteer: DataFrame) -> DataFrame:
+    """(key, first, n, label) of the names (name, name_label): key and first token as they are looked up, and the number of tokens."""
+    pieces = F.regexp_extract_all(F.lower("name"), F.lit(tx.TOKEN_WITH_SPACE), F.lit(0))
+    rows = gazetteer.select(pieces.alias("p"), F.col("name_label").alias("label")).filter(F.size("p") > 0)
+    return rows.select(_phrase(F.col("p")).alias("key"), F.rtrim(F.col("p")[0], F.lit(tx.BLANKS)).alias("first"), F.size("p").alias("n"),
+                       "label").groupBy("key", "first", "n").agg(F.min("label").alias("label"))
+
+
+def _phrase(pieces: Column) -> Column:
+    """Tokens with their white space as one text, runs of it as one blank."""
+    return F.trim(F.regexp_replace(F.array_join(pieces, ""), r"\s+", " "))
+
 
-    The text is cut into chunks that are either an entity candidate or one token, so the start of a span is
-    its chunk number plus the extra tokens of earlier multi-token chunks. Only candidates are exploded.
+def name_spans(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Every place where tokens spell a name of the gazetteer, in any case: doc_id, start, end, label, text. Places may overlap.
+
+    Each token is looked up in an index of first tokens, which tells the lengths of the names that start with it; only those are compared. The index and the
+    names are broadcast when they are proven small, else joined by a shuffle of the tokens.
     """
-    spark = docs.sparkSession
-    if gazetteer is None:
-        gazetteer = F.broadcast(local_table(spark, sorted(lexicons.GAZETTEER.items()), "name STRING, name_label STRING"))
-    else:
-        gazetteer = bounded_broadcast(gazetteer)
-    branches = [p for _, p in lexicons.ENTITY_PATTERNS] + [
-        lexicons.NAME_PATTERN, lexicons.MIXED_WORD_PATTERN, lexicons.NUMBER_PATTERN, r"[^\s\p{L}\p{N}]"]
+    names = name_table(gazetteer)
+    lengths = names.groupBy("first").agg(F.collect_set("n").alias("lengths"))  # bounded by the longest name
+    longest = names.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    pieces = docs.select("doc_id", F.regexp_extract_all("text", F.lit(tx.TOKEN_WITH_SPACE), F.lit(0)).alias("p"))
+    rows = pieces.select("doc_id", F.posexplode(F.transform("p", lambda x, i: F.slice("p", i + 1, F.lit(longest)))).alias("start", "w"))
+    rows = rows.withColumn("_first", F.lower(F.rtrim(F.col("w")[0], F.lit(tx.BLANKS))))
+    rows = rows.join(bounded_broadcast(lengths), F.col("_first") == F.col("first"))
+    rows = rows.select("doc_id", "start", "w", F.explode("lengths").alias("_n")).filter(F.size("w") >= F.col("_n"))
+    rows = rows.withColumn("text", _phrase(F.slice("w", F.lit(1), F.col("_n"))))
+    rows = rows.join(bounded_broadcast(names), (F.lower("text") == F.col("key")) & (F.col("_n") == F.col("n")))
+    return rows.select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), "label", "text")
+
+
+def pattern_spans(docs: DataFrame) -> DataFrame:
+    """Places of the entity patterns and of numbers: doc_id, start, end, label, text, kind (0 pattern, 2 number). They do not overlap.
+
+    The text is cut into chunks that are a pattern's or one word; the start of a chunk is its number plus the extra tokens of earlier chunks. Only chunks that
+    may be entities or hold several tokens leave the row, so this is what is shuffled, not the text.
+    """
+    branches = [p for _, p in lexicons.ENTITY_PATTERNS] + [lexicons.MIXED_WORD_PATTERN, lexicons.NUMBER_PATTERN, r"[^\s\p{L}\p{N}]"]
     chunks = F.transform(F.regexp_extract_all("text", F.lit("|".join(branches)), F.lit(0)),
-                         lambda c, i: F.struct(i.alias("i"), c.alias("chunk")))
-    marked = F.filter(chunks, lambda c: c["chunk"].rlike(r"[\p{N}@ /]"))
-    rows = cluster_by(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.explode(marked).alias("c"))
-    rows = rows.select("doc_id", F.col("c.i").alias("i"), F.col("c.chunk").alias("text"),
-                       F.size(F.regexp_extract_all("c.chunk", F.lit(tx.TOKEN), F.lit(0))).alias("n"))
+                         lambda c, i: F.struct(i.alias("i"), c.alias("text")))
+    rows = docs.select("doc_id", F.inline(F.filter(chunks, lambda c: c["text"].rlike(r"[\p{N}@/]"))))
+    rows = rows.withColumn("n", F.size(F.regexp_extract_all("text", F.lit(tx.TOKEN), F.lit(0))))
     before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", (F.col("i") + F.coalesce(F.sum(F.col("n") - 1).over(before), F.lit(0))).cast("int"))
     label = F.lit(None).cast("string")
     for name, pattern in reversed(lexicons.ENTITY_PATTERNS):
         label = F.when(F.col("text").rlike(f"^(?:{pattern})$"), name).otherwise(label)
-    label = F.coalesce(label, F.when(F.col("text").rlike(f"^{lexicons.NUMBER_PATTERN}$"), "CARDINAL"), F.col("name_label"))
-    rows = rows.join(gazetteer, F.lower("text") == F.col("name"), "left").withColumn("label", label)
-    return (rows.filter(F.col("label").isNotNull())
-            .select("doc_id", "start", (F.col("start") + F.col("n")).cast("int").alias("end"), "label", "text"))
+    label = F.coalesce(label, F.when(F.col("text").rlike(f"^{lexicons.NUMBER_PATTERN}$"), "CARDINAL"))
+    rows = rows.withColumn("label", label).filter(F.col("label").isNotNull())
+    return rows.select("doc_id", "start", (F.col("start") + F.col("n")).cast("int").alias("end"), "label", "text",
+                       F.when(F.col("label") == "CARDINAL", 2).otherwise(0).alias("kind"))
 
 
-def pass_values(rows: DataFrame, send_to: str, value: Column, receive_at: str, name: str, agg=None) -> DataFrame:
-    """Add ``name``: what the tokens of the same document sent to this row's address.
+def entities(docs: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
+    """Entity spans of documents: token offsets (half open), label and text.
 
-    Every row sends ``value`` to token number ``send_to`` and collects the (first or aggregated) value that
-    arrived at token number ``receive_at``. Head look-ups and child summaries are such messages. They cost one
-    sort: rows that are laid out by document are not shuffled again, the table is read once (a self-join reads
-    it once per side), and a group is only the traffic of one token.
-    """
-    kept = [c for c in rows.columns if c != "doc_id"]  # the key stays outside, so its layout is not lost
-    probe = rows.select(F.struct(*kept).alias("row"), value.alias("value")).schema
-    mail = F.array(
-        F.struct(F.col(send_to).cast("int").alias("_at"), F.lit(0).alias("_kind"),
-                 F.lit(None).cast(probe["row"].dataType).alias("_row"), value.alias("_value")),
-        F.struct(F.col(receive_at).cast("int").alias("_at"), F.lit(1).alias("_kind"), F.struct(*kept).alias("_row"),
-                 F.lit(None).cast(probe["value"].dataType).alias("_value")))
-    sent = rows.select("doc_id", F.inline(mail)).filter(F.col("_value").isNotNull() | F.col("_row").isNotNull())
-    arrived = Window.partitionBy("doc_id", "_at").orderBy("_kind").rowsBetween(Window.unboundedPreceding, 0)
-    picked = (agg("_value") if agg else F.first("_value", ignorenulls=True)).over(arrived)
-    sent = sent.withColumn(name, picked).filter(F.col("_kind") == 1)
-    return sent.select("doc_id", "_row.*", F.when(F.col("_at").isNotNull(), F.col(name)).alias(name))
-
-
-def baseline_arcs(toks: DataFrame) -> DataFrame:
-    """Add ``dep`` and ``head_id`` by the adjacency baseline (windows inside the sentence only).
-
-    Root: the first verb or auxiliary, else the first content token, else the first token. Adpositions hang
-    on the previous content token and govern the content token right after them; determiners and other
-    function words hang on the next content token; everything else on the previous one (or on the root).
+    Patterns, names of the gazetteer and numbers are found independently; where they overlap, the one that starts first stays, of those that start
+    together the pattern, then the longest name, then the number. Overlaps are settled in runs of touching spans, which are short however long the
+    document is.
     """
-    sentence = in_sentence()
-    whole = sentence.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    past = sentence.rowsBetween(Window.unboundedPreceding, -1)
-    # The same frame as "all following rows", read backwards: running aggregates are linear in this direction.
-    future = (Window.partitionBy("doc_id", "sent_id").orderBy(F.desc("tok_id"))
-              .rowsBetween(Window.unboundedPreceding, -1))
-    content = F.col("upos").isin(*CONTENT_UPOS)
-    tok = F.col("tok_id")
-    rows = toks.withColumn("_next", F.min(F.when(content, tok)).over(future)).select(
-        "*",
-        F.coalesce(F.min(F.when(F.col("upos").isin("VERB", "AUX"), tok)).over(whole),
-                   F.min(F.when(content, tok)).over(whole), F.min(tok).over(whole)).alias("_root"),
-        F.max(F.when(content, tok)).over(past).alias("_prev"),
-        F.lag("upos").over(sentence).alias("_left"))
-    root, upos, prev, left = F.col("_root"), F.col("upos"), F.col("_prev"), F.col("_left")
-    forward = F.coalesce(F.col("_next"), root)
-    back = F.coalesce(prev, root)
-    after_root = tok > root
-    dep = (F.when(tok == root, "ROOT")
-           .when(upos == "ADP", "prep")
-           .when(content & (left == "ADP"), "pobj")
-           .when(content & (left == "AUX") & (tok - 1 == root), "attr")
-           .when(upos == "DET", "det").when(upos == "AUX", "aux").when(upos == "PRON", "nsubj")
-           .when(upos == "CCONJ", "cc").when(upos == "SCONJ", "mark").when(upos == "PUNCT", "punct")
-           .when(upos == "ADJ", "amod").when(upos == "ADV", "advmod").when(upos == "NUM", "nummod")
-           .when(upos == "VERB", "conj")
-           .when(upos.isin("NOUN", "PROPN"), F.when(after_root, "dobj").otherwise("nsubj"))
-           .otherwise("dep"))
-    head = (F.when(tok == root, tok)
-            .when(upos == "ADP", back)
-            .when(content & (left == "ADP"), tok - 1)
-            .when(content & (left == "AUX") & (tok - 1 == root), root)
-            .when(upos.isin("DET", "AUX", "PRON", "CCONJ", "SCONJ", "PART"), forward)
-            .when(upos.isin("NOUN", "PROPN", "VERB"), root)
-            .otherwise(back))
-    return (rows.withColumn("dep", dep).withColumn("head_id", head.cast("int"))
-            .drop("_root", "_prev", "_next", "_left"))
+    if gazetteer is None:
+        gazetteer = local_table(docs.sparkSession, sorted(lexicons.GAZETTEER.items()), "name STRING, name_label STRING")
+    spans = pattern_spans(docs).unionByName(name_spans(docs, gazetteer).withColumn("kind", F.lit(1)))
+    order = Window.partitionBy("doc_id").orderBy("start", "kind", F.desc("end"))
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("_new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    spans = spans.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = spans.groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list(F.struct("start", "kind", (-F.col("end")).alias("last"), "end", "label", "text"))).alias("s"))
+    kept = F.aggregate("s", F.slice("s", 1, 0), lambda kept, x: F.when(
+        (F.size(kept) == 0) | (x["start"] >= F.element_at(kept, -1)["end"]), F.concat(kept, F.array(x))).otherwise(kept))
+    return runs.select("doc_id", F.inline(kept)).select("doc_id", "start", "end", "label", "text")

@@ -11,7 +11,7 @@ from textloom import lexicons
 from textloom.functions import text as tx
 from textloom.functions import vectors as vx
 from textloom.operators import (assemble, conllu, embeddings, extract, keywords, language, lexical, quality, readability,
-                                runlog, sentiment, similarity, tokens)
+                                runlog, sentiment, similarity, tokens, trees)
 from textloom.plans import sqlparts as sp
 from textloom.plans import views
 from textloom.scale import spread_small
@@ -312,22 +312,22 @@ def _tree_sql(cols: str, where: str = "") -> str:
 
 @query("conllu_heads", _tree_sql("CAST(head_basic AS INTEGER) AS head_basic"))
 def _heads(spark, sf):
-    return conllu.basic_tree(views.arcs_of(spark, sf)).select("doc_id", "sent_id", "idx", "head_basic")
+    return trees.exploded(views.trees_of(spark, sf), "doc_id", "sent_id").select("doc_id", "sent_id", "idx", "head_basic")
 
 
 @query("conllu_deprel", _tree_sql("dep, deprel_basic"))
 def _deprel(spark, sf):
-    return conllu.basic_tree(views.arcs_of(spark, sf)).select("doc_id", "sent_id", "idx", "dep", "deprel_basic")
+    return trees.exploded(views.trees_of(spark, sf), "doc_id", "sent_id").select("doc_id", "sent_id", "idx", "dep", "deprel_basic")
 
 
 @query("conllu_pp", _tree_sql("CAST(head_pp AS INTEGER) AS head_pp, deprel_pp"))
 def _pp(spark, sf):
-    return conllu.reattach_adpositions(conllu.basic_tree(views.arcs_of(spark, sf))).select("doc_id", "sent_id", "idx", "head_pp", "deprel_pp")
+    return trees.exploded(views.trees_of(spark, sf), "doc_id", "sent_id").select("doc_id", "sent_id", "idx", "head_pp", "deprel_pp")
 
 
 @query("conllu_copula", _tree_sql("CAST(head_idx AS INTEGER) AS head_idx, deprel"))
 def _copula(spark, sf):
-    return conllu.conllu_tokens(views.arcs_of(spark, sf)).select("doc_id", "sent_id", "idx", "head_idx", "deprel")
+    return trees.exploded(views.trees_of(spark, sf), "doc_id", "sent_id").select("doc_id", "sent_id", "idx", "head_idx", "deprel")
 
 
 @query("conllu_fields", sp.query(sp.TOK, select=f"""SELECT doc_id, CAST(tok_id AS INTEGER) AS tok_id, {sp.conllu_field('text')} AS form, {sp.CONLLU_FEATS} AS feats,
@@ -338,23 +338,29 @@ def _fields(spark, sf):
                        F.when(F.col("ws") == "", "SpaceAfter=No").otherwise("_").alias("misc"))
 
 
-@query("conllu_lines", sp.query(sp.TREE, select=f"""SELECT doc_id, sent_id, CAST(idx + 1 AS INTEGER) AS line_no, {sp.TOKEN_LINE} AS line FROM tree
- UNION ALL SELECT doc_id, sent_id, 0, concat('# sent_id = ', sent_id) FROM sent
- UNION ALL SELECT doc_id, sent_id, 1, concat('# text = ', {sp.conllu_field('s')}) FROM sent
- UNION ALL SELECT doc_id, sent_id, 2000000000, '' FROM sent"""))
+def _lines_sql(engine: str, p: str = "") -> str:
+    return f"""SELECT {engine} doc_id, sent_id, CAST(idx + 1 AS INTEGER) AS line_no, {sp.TOKEN_LINE} AS line FROM {p}tree
+ UNION ALL SELECT {engine} doc_id, sent_id, 0, concat('# sent_id = ', sent_id) FROM sent
+ UNION ALL SELECT {engine} doc_id, sent_id, 1, concat('# text = ', {sp.conllu_field('s')}) FROM sent
+ UNION ALL SELECT {engine} doc_id, sent_id, CAST(max(idx) + 2 AS INTEGER), '' FROM {p}tree GROUP BY doc_id, sent_id"""
+
+
+@query("conllu_lines", sp.query(sp.TREE, select=_lines_sql("")))
 def _lines(spark, sf):
-    rows = conllu.conllu_tokens(views.arcs_of(spark, sf))
-    lines = conllu.conllu_lines(rows, tokens.sentences(views.documents_rows(spark, sf)))
-    return lines.select("doc_id", "sent_id", "line_no", "line")
+    return conllu.conllu_export(views.documents_rows(spark, sf), engine="baseline")
+
+
+@query("conllu_engine", sp.query(sp.TREE, sp.FOREIGN_ARCS, sp.tree_ctes("x_"), select=_lines_sql("'baseline' AS engine,") + " UNION ALL " + _lines_sql("'annotated' AS engine,", "x_")))
+def _engine(spark, sf):
+    docs, toks = views.documents_rows(spark, sf), views.annotated_tokens(spark, sf)
+    return conllu.conllu_export(docs, engine="baseline").withColumn("engine", F.lit("baseline")).unionByName(
+        conllu.conllu_export(docs, toks, engine="annotated").withColumn("engine", F.lit("annotated")))
 
 
 @query("conllu_sort_feats", sp.query(
-    sp.TOK, f"""ln AS (SELECT doc_id, CAST(tok_id AS INTEGER) AS tok_id, concat_ws(chr(9), tok_id, text, lemma, upos, xpos,
- CASE WHEN morph = '' THEN '_' ELSE concat('number=Sing|', morph, '|Abbr=Yes|', upos, '=1') END, '0', 'dep', '_', '_') AS line,
- [x for x in string_split(CASE WHEN morph = '' THEN '_' ELSE concat('number=Sing|', morph, '|Abbr=Yes|', upos, '=1') END, '|')] AS f FROM tok)""",
-    "so AS (SELECT doc_id, tok_id, array_to_string([s.p for s in list_sort([{'k': lower(f[i]), 'i': i, 'p': f[i]} for i in range(1, len(f) + 1)])], '|') AS feats, f FROM ln)",
-    select="""SELECT t.doc_id, CAST(t.tok_id AS INTEGER) AS tok_id, concat_ws(chr(9), t.tok_id, text, lemma, upos, xpos, feats, '0', 'dep', '_', '_') AS line
- FROM tok t JOIN so ON so.doc_id = t.doc_id AND so.tok_id = t.tok_id"""))
+    sp.TOK, """fs AS (SELECT *, string_split(CASE WHEN morph = '' THEN '_' ELSE concat('number=Sing|', morph, '|Abbr=Yes|', upos, '=1') END, '|') AS f FROM tok)""",
+    select="""SELECT doc_id, CAST(tok_id AS INTEGER) AS tok_id, concat_ws(chr(9), tok_id, text, lemma, upos, xpos,
+ array_to_string([x.p for x in list_sort([{'k': lower(f[i]), 'i': i, 'p': f[i]} for i in range(1, len(f) + 1)])], '|'), '0', 'dep', '_', '_') AS line FROM fs"""))
 def _sort_feats(spark, sf):
     toks = tokens.tokens(views.documents_rows(spark, sf), clustered=False)
     feats = F.when(F.col("morph") == "", "_").otherwise(
@@ -369,10 +375,11 @@ def _sort_feats(spark, sf):
  ROWS UNBOUNDED PRECEDING) - CASE WHEN c.w1 IS NULL THEN 0 ELSE 1 END AS w_id FROM tok t LEFT JOIN con c ON c.form = t.lower AND c.lang = t.lang)""",
     select=f"""SELECT doc_id, sent_id, 1 AS kind, CAST(w_id AS INTEGER) AS pos, concat(w_id, '-', w_id + 1, chr(9), {sp.conllu_field('text')}, repeat(chr(9) || '_', 8)) AS line FROM m0 WHERE w1 IS NOT NULL
  UNION ALL SELECT doc_id, sent_id, 2, CAST(w_id AS INTEGER), concat_ws(chr(9), w_id, coalesce(w1, {sp.conllu_field('text')}), coalesce(w1, {sp.conllu_field('lemma')}), upos, xpos, '_', '0', '_', '_', '_') FROM m0
- UNION ALL SELECT doc_id, sent_id, 2, CAST(w_id + 1 AS INTEGER), concat_ws(chr(9), w_id + 1, w2, w2, upos, xpos, '_', '0', '_', '_', '_') FROM m0 WHERE w1 IS NOT NULL"""))
+ UNION ALL SELECT doc_id, sent_id, 2, CAST(w_id + 1 AS INTEGER), concat_ws(chr(9), w_id + 1, w2, w2, upos, xpos, '_', '0', '_', '_', '_') FROM m0 WHERE w1 IS NOT NULL
+ UNION ALL SELECT doc_id, sent_id, unnest([0, 0, 3]), unnest([0, 1, 0]), unnest(['# sent_id = ' || sent_id, '# text = ' || {sp.conllu_field('s')}, '']) FROM sent"""))
 def _mwt(spark, sf):
     words, ranges = views.split_contractions(views.tokens_of(spark, sf))
-    return conllu.conllu_mwt_lines(words, ranges)
+    return conllu.conllu_mwt_lines(words, ranges, tokens.sentences(views.documents_rows(spark, sf)))
 
 
 # ---------------------------------------------------------------- analyzers
@@ -411,13 +418,13 @@ def _top_upos(spark, sf):
 
 @query("dep_counts", sp.query(sp.ARCS, select='SELECT doc_id, dep, count(*) AS "count" FROM arcs GROUP BY 1, 2'))
 def _dep_counts(spark, sf):
-    return lexical.dep_counts(views.arcs_of(spark, sf))
+    return lexical.dep_counts(trees.exploded(views.sentences_of(spark, sf), "doc_id"))
 
 
 @query("head_pos_dep", sp.query(sp.ARCS, select="""SELECT doc_id, arc, c AS "count", CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, f) AS rank
  FROM (SELECT a.doc_id, h.upos || '->' || a.dep AS arc, count(*) AS c, min(a.tok_id) AS f FROM arcs a JOIN arcs h ON h.doc_id = a.doc_id AND h.tok_id = a.head_id GROUP BY 1, 2)) WHERE rank <= 20"""))
 def _head_pos(spark, sf):
-    return lexical.head_pos_dep(views.arcs_of(spark, sf)).select("doc_id", "arc", "count", "rank")
+    return lexical.head_pos_dep(views.sentences_of(spark, sf)).select("doc_id", "arc", "count", "rank")
 
 
 @query("ner_counts", sp.query(sp.ENTS, select="""SELECT d.doc_id, e.label, count(e.label) AS "count", count(e.label) > 0 AS supported

@@ -105,25 +105,37 @@ arcs AS (SELECT *, CASE WHEN tok_id = root THEN 'ROOT' WHEN upos = 'ADP' THEN 'p
 
 _NOMINAL = "('NOUN','PROPN','PRON','ADJ','NUM')"
 
-TREE = ARCS + ",\n" + values("ud", "dep, rel", lexicons.UD_RELATIONS.items()) + f""",
-tr0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id) AS idx FROM arcs),
-tr1 AS (SELECT t.*, h.idx AS h_idx, h.sent_id AS h_sent, h.upos AS h_upos, h.head_id AS g_id, g.idx AS g_idx, g.sent_id AS g_sent, g.upos AS g_upos,
+UD = values("ud", "dep, rel", lexicons.UD_RELATIONS.items())
+
+
+def tree_ctes(p: str = "") -> str:
+    """Numbered trees from the arcs in ``{p}arcs``, as ``{p}tree``."""
+    return f"""{p}tr0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id) AS idx FROM {p}arcs),
+{p}tr1 AS (SELECT t.*, h.idx AS h_idx, h.sent_id AS h_sent, h.upos AS h_upos, h.head_id AS g_id, g.idx AS g_idx, g.sent_id AS g_sent, g.upos AS g_upos,
     coalesce(ud.rel, lower(t.dep)) AS rel
-  FROM tr0 t LEFT JOIN tr0 h ON h.doc_id = t.doc_id AND h.tok_id = t.head_id
-  LEFT JOIN tr0 g ON g.doc_id = t.doc_id AND g.tok_id = h.head_id LEFT JOIN ud ON ud.dep = t.dep),
-basic AS (SELECT *, CASE WHEN dep = 'ROOT' THEN 0 WHEN h_sent = sent_id THEN h_idx ELSE 0 END AS head_basic,
+  FROM {p}tr0 t LEFT JOIN {p}tr0 h ON h.doc_id = t.doc_id AND h.tok_id = t.head_id
+  LEFT JOIN {p}tr0 g ON g.doc_id = t.doc_id AND g.tok_id = h.head_id LEFT JOIN ud ON ud.dep = t.dep),
+{p}basic AS (SELECT *, CASE WHEN dep = 'ROOT' THEN 0 WHEN h_sent = sent_id THEN h_idx ELSE 0 END AS head_basic,
    CASE WHEN rel = 'obl' AND (CASE WHEN h_upos = 'ADP' THEN g_upos IN {_NOMINAL} ELSE h_upos IN {_NOMINAL} END) THEN 'nmod' ELSE rel END AS deprel_basic,
-   coalesce(dep = 'pobj' AND h_upos = 'ADP' AND g_id <> head_id AND h_sent = sent_id AND g_sent = sent_id, false) AS moves FROM tr1),
-claims AS (SELECT doc_id, head_id AS tok_id, max(idx) AS noun FROM basic WHERE moves GROUP BY 1, 2),
-pp AS (SELECT b.*, CASE WHEN noun IS NOT NULL AND (NOT moves OR noun > idx) THEN noun WHEN moves THEN g_idx ELSE head_basic END AS head_pp,
+   coalesce(dep = 'pobj' AND h_upos = 'ADP' AND g_id <> head_id AND h_sent = sent_id AND g_sent = sent_id, false) AS moves FROM {p}tr1),
+{p}claims AS (SELECT doc_id, head_id AS tok_id, max(idx) AS noun FROM {p}basic WHERE moves GROUP BY 1, 2),
+{p}pp AS (SELECT b.*, CASE WHEN noun IS NOT NULL AND (NOT moves OR noun > idx) THEN noun WHEN moves THEN g_idx ELSE head_basic END AS head_pp,
    CASE WHEN noun IS NOT NULL AND (NOT moves OR noun > idx) THEN 'case' WHEN moves THEN 'nmod' ELSE deprel_basic END AS deprel_pp
-  FROM basic b LEFT JOIN claims c ON c.doc_id = b.doc_id AND c.tok_id = b.tok_id),
-roots AS (SELECT doc_id, sent_id, min(idx) AS r_idx, arg_min(tok_id, idx) AS r_tok, arg_min(upos, idx) AS r_upos FROM pp WHERE dep = 'ROOT' GROUP BY 1, 2),
-attrs AS (SELECT p.doc_id, p.sent_id, min(p.idx) AS a_idx FROM pp p JOIN roots r ON r.doc_id = p.doc_id AND r.sent_id = p.sent_id
+  FROM {p}basic b LEFT JOIN {p}claims c ON c.doc_id = b.doc_id AND c.tok_id = b.tok_id),
+{p}roots AS (SELECT doc_id, sent_id, min(idx) AS r_idx, arg_min(tok_id, idx) AS r_tok, arg_min(upos, idx) AS r_upos FROM {p}pp WHERE dep = 'ROOT' GROUP BY 1, 2),
+{p}attrs AS (SELECT p.doc_id, p.sent_id, min(p.idx) AS a_idx FROM {p}pp p JOIN {p}roots r ON r.doc_id = p.doc_id AND r.sent_id = p.sent_id
   WHERE p.dep = 'attr' AND p.head_id = r.r_tok AND r.r_upos IN ('AUX','VERB') GROUP BY 1, 2),
-tree AS (SELECT p.*, CASE WHEN a_idx IS NULL THEN head_pp WHEN idx = a_idx THEN 0 WHEN idx = r_idx THEN a_idx WHEN head_pp = r_idx THEN a_idx ELSE head_pp END AS head_idx,
+{p}tree AS (SELECT p.*, CASE WHEN a_idx IS NULL THEN head_pp WHEN idx = a_idx THEN 0 WHEN idx = r_idx THEN a_idx WHEN head_pp = r_idx THEN a_idx ELSE head_pp END AS head_idx,
    CASE WHEN idx = a_idx THEN 'root' WHEN a_idx IS NOT NULL AND idx = r_idx THEN 'cop' ELSE deprel_pp END AS deprel
-  FROM pp p LEFT JOIN roots r ON r.doc_id = p.doc_id AND r.sent_id = p.sent_id LEFT JOIN attrs a ON a.doc_id = p.doc_id AND a.sent_id = p.sent_id)"""
+  FROM {p}pp p LEFT JOIN {p}roots r ON r.doc_id = p.doc_id AND r.sent_id = p.sent_id LEFT JOIN {p}attrs a ON a.doc_id = p.doc_id AND a.sent_id = p.sent_id)"""
+
+
+TREE = ARCS + ",\n" + UD + ",\n" + tree_ctes()
+
+#: Arcs of another annotator, see ``views.annotated_tokens``.
+FOREIGN_ARCS = """x_arcs AS (SELECT * REPLACE (CASE WHEN tok_id = last THEN 'ROOT' WHEN upos = 'ADP' THEN 'prep' WHEN lft = 'ADP' THEN 'pobj' ELSE upos END AS dep,
+   CASE WHEN tok_id = last OR upos = 'ADP' THEN last WHEN lft = 'ADP' THEN tok_id - 1 ELSE tok_id + 1 END AS head_id)
+  FROM (SELECT *, '' AS dep, 0 AS head_id, max(tok_id) OVER (PARTITION BY doc_id, sent_id) AS last, lag(upos) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_id) AS lft FROM tok))"""
 
 
 def conllu_field(c: str) -> str:
@@ -137,18 +149,32 @@ CONLLU_FEATS = ("coalesce(nullif(array_to_string([x for x in string_split(morph,
 TOKEN_LINE = ("concat_ws(chr(9), idx, " + conllu_field("text") + ", " + conllu_field("lemma") + ", upos, xpos, "
               + CONLLU_FEATS + ", head_idx, deprel, '_', CASE WHEN ws = '' THEN 'SpaceAfter=No' ELSE '_' END)")
 
-_ENT_BRANCHES = [p for _, p in lexicons.ENTITY_PATTERNS] + [
-    lexicons.NAME_PATTERN, lexicons.MIXED_WORD_PATTERN, lexicons.NUMBER_PATTERN, r"[^\s\p{L}\p{N}]"]
+_ENT_BRANCHES = [p for _, p in lexicons.ENTITY_PATTERNS] + [lexicons.MIXED_WORD_PATTERN, lexicons.NUMBER_PATTERN, r"[^\s\p{L}\p{N}]"]
 _ENT_LABELS = " ".join(f"WHEN regexp_full_match(t, {lit(p)}) THEN '{n}'" for n, p in lexicons.ENTITY_PATTERNS)
 
-ENTS = values("gaz", "name, name_label", sorted(lexicons.GAZETTEER.items())) + f""",
+
+def _phrase(pieces: str) -> str:
+    return f"trim(regexp_replace(array_to_string({pieces}, ''), '\\s+', ' ', 'g'))"
+
+
+ENTS = values("gaz0", "name, label", sorted(lexicons.GAZETTEER.items())) + f""",
+gaz AS (SELECT {_phrase('p')} AS key, rtrim(p[1], {BLANKS}) AS first, len(p) AS n, min(label) AS label
+  FROM (SELECT regexp_extract_all(lower(name), '{tx.TOKEN_WITH_SPACE}') AS p, label FROM gaz0) GROUP BY ALL),
 ch0 AS (SELECT doc_id, regexp_extract_all(text, {lit('|'.join(_ENT_BRANCHES))}) AS c FROM documents),
 ch1 AS (SELECT doc_id, unnest(c) AS t, unnest(range(len(c))) AS i FROM ch0),
 ch2 AS (SELECT *, len(regexp_extract_all(t, '{tx.TOKEN}')) AS n FROM ch1),
 ch3 AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ch2),
-ents AS (SELECT * FROM (SELECT doc_id, CAST(start AS INTEGER) AS "start", CAST(start + n AS INTEGER) AS "end",
-    CASE {_ENT_LABELS} WHEN regexp_full_match(t, '{lexicons.NUMBER_PATTERN}') THEN 'CARDINAL' ELSE name_label END AS label, t AS text
-  FROM ch3 LEFT JOIN gaz ON gaz.name = lower(t)) WHERE label IS NOT NULL)"""
+np0 AS (SELECT doc_id, regexp_extract_all(text, '{tx.TOKEN_WITH_SPACE}') AS p FROM documents),
+np1 AS (SELECT doc_id, p, unnest(list_filter(range(len(p)), lambda i: lower(rtrim(p[i + 1], {BLANKS})) IN {in_list(sorted({n.split()[0] for n in lexicons.GAZETTEER}))})) AS i FROM np0),
+np2 AS (SELECT doc_id, i, n, {_phrase('p[i + 1:i + n]')} AS text FROM np1, (SELECT DISTINCT n FROM gaz) WHERE i + n <= len(p)),
+cand AS (SELECT doc_id, CAST(start AS INTEGER) AS "start", CAST(start + n AS INTEGER) AS "end", label, t AS text, CASE WHEN label = 'CARDINAL' THEN 2 ELSE 0 END AS kind
+  FROM (SELECT *, CASE {_ENT_LABELS} WHEN regexp_full_match(t, '{lexicons.NUMBER_PATTERN}') THEN 'CARDINAL' END AS label FROM ch3) WHERE label IS NOT NULL
+  UNION ALL SELECT doc_id, CAST(i AS INTEGER), CAST(i + np2.n AS INTEGER), label, text, 1 FROM np2 JOIN gaz ON key = lower(text) AND gaz.n = np2.n),
+run0 AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY "start", kind, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cand),
+run1 AS (SELECT *, sum(CASE WHEN "start" < reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY "start", kind, "end" DESC ROWS UNBOUNDED PRECEDING) AS run FROM run0),
+run2 AS (SELECT doc_id, list([{{'s': "start", 'e': "end", 'l': label, 't': text}}] ORDER BY "start", kind, "end" DESC) AS c FROM run1 GROUP BY doc_id, run),
+ents AS (SELECT doc_id, x.s AS "start", x.e AS "end", x.l AS label, x.t AS text
+  FROM (SELECT doc_id, unnest(list_reduce(c, lambda k, x: CASE WHEN x[1].s >= k[len(k)].e THEN list_concat(k, x) ELSE k END)) AS x FROM run2))"""
 
 LEXICAL = SENT + ",\n" + STOPS + ",\n" + values("lem", "lang, word, lemma", lexicons.lemma_pairs()) + f""",
 w0 AS (SELECT doc_id, lang, unnest({word_list('text')}) AS w FROM documents),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.operators import extract, lexical, sentiment, tokens
+from textloom.operators import extract, lexical, sentiment, tokens, trees
 from textloom import lexicons
 from textloom.scale import local_table, spread_small
 
@@ -33,7 +33,27 @@ def tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arcs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.baseline_arcs(tokens_of(spark, sf_dir))
+    return trees.baseline_arcs(tokens_of(spark, sf_dir))
+
+
+def sentences_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with baseline arcs, one row each."""
+    return trees.document_sentences(documents_rows(spark, sf_dir))
+
+
+def trees_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.with_tree(sentences_of(spark, sf_dir))
+
+
+def annotated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token table as another annotator might give it: tokens hang on the next one, the last one is the root, adpositions hang on it and govern what follows;
+    tags serve as labels."""
+    whole = Window.partitionBy("doc_id", "sent_id")
+    rows = tokens_of(spark, sf_dir).withColumn("_last", F.max("tok_id").over(whole)).withColumn("_left", F.lag("upos").over(whole.orderBy("tok_id")))
+    tok, last, left, upos = F.col("tok_id"), F.col("_last"), F.col("_left"), F.col("upos")
+    dep = F.when(tok == last, "ROOT").when(upos == "ADP", "prep").when(left == "ADP", "pobj").otherwise(upos)
+    head = F.when((tok == last) | (upos == "ADP"), last).when(left == "ADP", tok - 1).otherwise(tok + 1)
+    return rows.withColumn("dep", dep).withColumn("head_id", head).drop("_last", "_left")
 
 
 def valence(spark: SparkSession) -> DataFrame:
