@@ -17,6 +17,7 @@ Hashes only choose shards. Words are numbered in the shard by their bytes, and e
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,11 @@ from textloom.llm.fm_index import FMIndex
 from textloom.llm.periodic_runs import numbered
 from textloom.scale import scanned_bytes
 
-WINDOW, ANCHOR = 13, 6
-#: Bytes of text whose segments are dealt at once (a longer text is cut into overlapping pieces), bytes of segments in a shard, words in an index.
-TOGETHER, SHARD_BYTES, INDEX_WORDS = 1 << 21, 32 << 20, 1 << 19
+WINDOW, ANCHOR = 13, 3
+#: Bytes of text whose segments are found at once (a longer text is cut into overlapping pieces), and that are sent in one block for each shard.
+TOGETHER, SENT = 1 << 21, 8 << 20
+#: Bytes of segments in a shard, and words in an index.
+SHARD_BYTES, INDEX_WORDS = 48 << 20, 1 << 19
 #: Share of the documents that are sampled for frequent anchors, and the share of anchors that makes one frequent: at most so many are broadcast.
 SAMPLED, FREQUENT = 16, 4096
 
@@ -146,18 +149,21 @@ def marks_of(ids: np.ndarray, texts: np.ndarray, first: np.ndarray, after: np.nd
     ranges = np.stack((first[at], far[np.append(at[1:], len(ids))[:len(at)] - 1]), axis=1)
     docs = np.flatnonzero(new_doc[at])
     blobs = [ranges[a:b].tobytes() for a, b in zip(docs, [*docs[1:], len(at)])]
-    return pd.DataFrame({"id": ids[at[docs]], "t": texts[at[docs]], "m": pd.Series(blobs, dtype=object)})
+    return pd.DataFrame({"id": ids[at[docs]], "t": texts[at[docs]].astype(np.int64), "m": pd.Series(blobs, dtype=object)})
 
 
-U64, I64, U32 = np.dtype(np.uint64), np.dtype(np.int64), np.dtype(np.uint32)
-#: Columns of a block, each with its count before it. Units: shard key, bytes, id. Places: unit, text, first word. Settled: id, text, first, after.
-BLOCK = (U32, U32, I64, U32, I64, U32, I64, I64, I64, I64, np.dtype(np.uint8))
+I64, U32 = np.dtype(np.int64), np.dtype(np.uint32)
+#: Columns of a block. Units: shard key, bytes, id. Places: unit (as a step), text, first word. Settled: id, text, first, after. Bytes of the units.
+BLOCK = (U32, U32, I64, U32, U32, U32, I64, U32, I64, I64, np.dtype(np.uint8))
+LEVEL = 5
 
 
-def packed(columns: list[np.ndarray]) -> bytes:
+def packed(parts: list[list[np.ndarray]]) -> bytes:
+    """One compressed block of the columns of some smaller ones."""
+    columns = [np.concatenate([np.ascontiguousarray(c, t) for c in column]) for column, t in zip(zip(*parts), BLOCK)]
     head = np.array([len(c) for c in columns], np.int64).tobytes()
-    raw = b"".join([head, *(np.ascontiguousarray(c, t).tobytes() for c, t in zip(columns, BLOCK))])
-    return len(raw).to_bytes(8, "big") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+    raw = b"".join([head, *(c.tobytes() for c in columns)])
+    return len(raw).to_bytes(8, "big") + pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
 
 
 def unpacked(block: bytes) -> list[np.ndarray]:
@@ -166,11 +172,12 @@ def unpacked(block: bytes) -> list[np.ndarray]:
     for n, t in zip(np.frombuffer(raw, np.int64, len(BLOCK)), BLOCK):
         out.append(np.frombuffer(raw, t, n, at))
         at += n * t.itemsize
+    out[3] = np.cumsum(out[3], dtype=np.int64) - 1
     return out
 
 
-def dealt(cut: list[tuple[int, int, int, bytes]], frequent: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(shard, block) for some pieces (id, text, number of the first word, bytes)."""
+def dealt(cut: list[tuple[int, int, int, bytes]], frequent: np.ndarray, parts: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(shard, columns of a block) for some pieces (id, text, number of the first word, bytes)."""
     s = Segments([c[3] for c in cut], frequent)
     if not len(s.key):
         return
@@ -204,9 +211,8 @@ def dealt(cut: list[tuple[int, int, int, bytes]], frequent: np.ndarray, parts: i
         some = unit[x:y]
         p, q = np.searchsorted(of, (x, y))
         owner, inner = spread(b[some] - a[some])
-        block = packed([(s.key[some] & np.uint64(0xFFFFFFFF)), b[some] - a[some], ids[some], of[p:q] - x, texts[place[p:q]], word[place[p:q]], *done,
-                        flat[a[some][owner] + inner]])
-        yield int(part[x]), block
+        yield int(part[x]), [s.key[some] & np.uint64(0xFFFFFFFF), b[some] - a[some], ids[some], np.diff(of[p:q], prepend=x - 1), texts[place[p:q]],
+                             word[place[p:q]], *done, flat[a[some][owner] + inner]]
         done = [np.zeros(0, np.int64)] * 4
 
 
@@ -226,8 +232,8 @@ def shard_marks(blocks: list[bytes]) -> Iterator[pd.DataFrame]:
     done = [np.concatenate([c[k] for c in columns]) for k in range(6, 10)]
     if len(done[0]):
         yield marks_of(*done)
-    key, size, ids = (np.concatenate([c[k] for c in columns]) for k in range(3))
-    at = np.concatenate([c[3].astype(np.int64) + x for c, x in zip(columns, before)])
+    key, ids = (np.concatenate([c[k] for c in columns]) for k in (0, 2))
+    at = np.concatenate([c[3] + x for c, x in zip(columns, before)])
     texts, word = (np.concatenate([c[k] for c in columns]) for k in (4, 5))
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
@@ -281,12 +287,23 @@ def repeated_words(rows: DataFrame) -> DataFrame:
     parts, frequent = part_count(rows), rows.sparkSession.sparkContext.broadcast(frequent_anchors(rows))  # FREQUENT numbers at most
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = defaultdict(list), 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for p in sorted(held):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed(held.pop(p))], pa.binary())], names=["part", "block"])
+
         for batch in batches:
-            rows_ = zip(*(c.to_pylist() for c in batch.columns))
-            cut = [(i, t, first, piece) for i, t, x in rows_ for first, piece in pieces(x)]
+            given = zip(*(c.to_pylist() for c in batch.columns))
+            cut = [(i, t, first, piece) for i, t, x in given for first, piece in pieces(x)]
             for some in chunks([c[3] for c in cut], TOGETHER):
-                for p, block in dealt(cut[some], frequent.value, parts):
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([block], pa.binary())], names=["part", "block"])
+                for p, columns in dealt(cut[some], frequent.value, parts):
+                    held[p].append(columns)
+                size += sum(len(c[3]) for c in cut[some])
+                if size >= SENT:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blocks = None, []
@@ -328,8 +345,8 @@ def without_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "te
     counts as the largest long. Null and empty texts have no words; an empty table gives no rows; extra columns are not read. ``docs`` is read three times.
     """
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    # The id and 60 bits of a strong digest name a row's text, so rows need no number of their own; rows that agree in both get equal results.
-    digest = F.conv(F.substring(F.sha2(body, 256), 1, 15), 16, 10).cast("long")
+    # The id and 32 bits of a strong digest name a row's text, so rows need no number of their own; rows that agree in both get equal results.
+    digest = F.conv(F.substring(F.sha2(body, 256), 1, 8), 16, 10).cast("long")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), digest.alias("t"), body.alias("text"))
     marks = repeated_words(rows).groupBy("id", "t").agg(F.collect_list("m").alias("m"))  # bounded by the document's own words
     ready = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), digest.alias("t"), body.alias("text"))
