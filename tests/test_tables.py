@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
+from textloom.functions import schema
 from textloom.functions import vectors as vx
 from textloom.operators import conllu, quality, runlog, similarity, tokens, trees
 from textloom.scale import bounded_broadcast, top_k
@@ -219,13 +220,72 @@ def test_quality_fixtures(spark):
     assert got == {
         1: {("tool", "const"), ("version", "required"), ("language", "required"), ("analyzers", "required")},
         2: {("version", "type"), ("language.code", "type"), ("language.confidence", "type"), ("analyzers", "type")},
-        3: {("analyzers[0].processing_time", "required"), ("analyzers[0].confidence", "maximum")},
+        3: {("analyzers[0].processing_time", "required"), ("analyzers[0].confidence", "maximum"), ("analyzers[0].results", "oneOf")},
+        4: {("analyzers[0].results", "oneOf"), ("analyzers[1].results", "oneOf")},
         5: {("", "json")}}
     shapes = quality.analyzer_rows(rows)
     assert quality.result_shapes(shapes).filter("doc_id = 4 AND shape_ok").count() == 0
     assert quality.result_shapes(shapes, strict=False).filter("doc_id = 4 AND shape_ok").count() == 1
     report = {r["doc_id"]: r["valid"] for r in quality.validation_report(rows).collect()}
     assert report == {0: True, 1: False, 2: False, 3: False, 4: False, 5: False}
+    said = {r["doc_id"]: r["error_list"] for r in quality.validation_report(rows).collect()}
+    assert said[0] == "" and said[5] == "json" and said[4] == "analyzers[0].results oneOf; analyzers[1].results oneOf"
+    for job in (quality.payload_violations, quality.validation_report):
+        plan = job(rows)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Python" not in plan
+
+
+#: An order, with everything the compiler knows.
+ORDER = {
+    "$defs": {"money": {"type": "number", "exclusiveMinimum": 0, "maximum": 1000, "multipleOf": 0.5}, "line": {
+        "type": "object", "required": ["sku", "price"], "additionalProperties": False,
+        "properties": {"sku": {"type": "string", "pattern": "^[A-Z]{2}-[0-9]+$", "maxLength": 6}, "price": {"$ref": "#/$defs/money"}, "tags": {
+            "type": "array", "items": {"type": "string", "minLength": 1}, "uniqueItems": True, "maxItems": 3}}}},
+    "type": "object", "title": "Order", "minProperties": 1, "required": ["id", "lines"],
+    "properties": {
+        "id": {"type": ["integer", "string"]}, "kind": {"enum": ["a", 2, None, True, {"x": [1]}]}, "lines": {"type": "array", "minItems": 1, "items": {"$ref": "#/$defs/line"}},
+        "pair": {"type": "array", "prefixItems": [{"const": "p"}, {"type": "boolean"}], "items": {"type": "null"}},
+        "who": {"anyOf": [{"required": ["name"]}, {"required": ["mail"]}], "not": {"required": ["ghost"]}, "allOf": [{"type": "object"}, {"maxProperties": 2}]},
+        "some": {"contains": {"type": "integer", "minimum": 5}, "minContains": 2, "maxContains": 3}},
+    "patternProperties": {"^x-": {"type": "string"}}, "additionalProperties": {"type": "number", "minimum": 0, "exclusiveMaximum": 10}}
+
+
+def test_second_schema(spark):
+    base = {"id": 1, "lines": [{"sku": "AB-1", "price": 2.5}]}
+    cases = [
+        ({}, set()), ({"id": "q", "kind": None, "x-y": "s", "more": 9.5}, set()), ({"kind": {"x": [1]}}, set()), ({"kind": True}, set()), ({"kind": 2.0}, set()),
+        ({"pair": ["p", True, None, None], "some": [5, 1, 9], "who": {"name": 1}}, set()), ({"pair": ["p"]}, set()),
+        ({"id": 1.5}, {("id", "type")}), ({"id": None}, {("id", "type")}), ({"kind": 1}, {("kind", "enum")}), ({"kind": False}, {("kind", "enum")}), ({"kind": "2"}, {("kind", "enum")}),
+        ({"lines": []}, {("lines", "minItems")}), ({"lines": {}}, {("lines", "type")}),
+        ({"lines": [{"sku": "AB-1", "price": 0}, {"sku": "ab-1", "price": 2000.25}]},
+         {("lines[0].price", "exclusiveMinimum"), ("lines[1].sku", "pattern"), ("lines[1].price", "maximum"), ("lines[1].price", "multipleOf")}),
+        ({"lines": [{"sku": "AB-12345", "price": "1", "size": 3}, 7, {}]},
+         {("lines[0].sku", "maxLength"), ("lines[0].price", "type"), ("lines[0].size", "additionalProperties"), ("lines[1]", "type"), ("lines[2].sku", "required"),
+          ("lines[2].price", "required")}),
+        ({"lines": [{"sku": "AB-1", "price": 1, "tags": ["a", "a", "", 4]}]},
+         {("lines[0].tags", "uniqueItems"), ("lines[0].tags", "maxItems"), ("lines[0].tags[2]", "minLength"), ("lines[0].tags[3]", "type")}),
+        ({"pair": ["q", 1, 2]}, {("pair[0]", "const"), ("pair[1]", "type"), ("pair[2]", "type")}),
+        ({"who": {"phone": 1}}, {("who", "anyOf")}), ({"who": {"name": 1, "ghost": 1, "z": 1}}, {("who", "not"), ("who", "maxProperties")}), ({"who": 4}, {("who", "type"), ("who", "not")}),
+        ({"some": [5, 1]}, {("some", "contains")}), ({"some": [5, 6, 7, 8]}, {("some", "contains")}),
+        ({"x-y": 1}, {("x-y", "type")}), ({"more": 10}, {("more", "exclusiveMaximum")}), ({"more": "1"}, {("more", "type")})]
+    texts = [json.dumps({**base, **c}) for c, _ in cases] + ["[]", "3", "{}", "null", "nope"]
+    want = [w for _, w in cases] + [{("", "type")}, {("", "type")}, {("", "minProperties"), ("id", "required"), ("lines", "required")}, {("", "type")}, {("", "json")}]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, payload string")
+    found = [set() for _ in texts]
+    for r in quality.payload_violations(rows, schema=json.dumps(ORDER)).collect():
+        found[r["doc_id"]].add((r["path"], r["rule"]))
+    assert [(t, f) for t, f in zip(texts, found)] == [(t, w) for t, w in zip(texts, want)]
+    whole = schema.Schema(json.dumps(ORDER))
+    holds = rows.select("doc_id", F.try_parse_json("payload").alias("d")).filter("d IS NOT NULL").select("doc_id", whole.holds(F.col("d")).alias("ok")).collect()
+    assert all(r["ok"] == (not want[r["doc_id"]]) for r in holds)
+
+
+@pytest.mark.parametrize("text,said", [('{"type": "objekt"}', "unknown type"), ('{"dependentRequired": {}}', "unsupported"), ('{"properties": {"a": {"if": {}}}}', "unsupported"),
+                                       ('{"$defs": {"n": {"properties": {"next": {"$ref": "#/$defs/n"}}}}, "$ref": "#/$defs/n"}', "comes back"),
+                                       ('{"$ref": "other.json"}', "leaves")])
+def test_schemas_that_cannot_be_compiled(spark, text, said):
+    with pytest.raises(ValueError, match=said):
+        schema.Schema(text)
 
 
 def test_types_and_properties_of_payloads(spark):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.schema import Schema, elements, member, number, string
+
 TOOL = "textloom"
 
 # Fixed values of the output contract.
@@ -23,8 +27,6 @@ RESULT_KEYS = {
     "embeddings": ("vector",),
 }
 
-NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
-
 # The properties of each result shape. A scalar has its kind and range, a container the kind of what it holds:
 # pairs (a string and a number), texts, numbers, and maps whose keys of the given pattern hold such values.
 COUNT, SHARE, ANY = ("integer", 0, None), ("number", 0, 1), ("number", None, None)
@@ -48,125 +50,55 @@ RESULT_RULES = {
 }
 
 
-def _at(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, "$." + path, "variant")
-
-
-def _kind(doc: Column, path: str) -> Column:
-    """Type name of the value at a path, null when the key is missing."""
-    return F.schema_of_variant(_at(doc, path))
-
-
-def _number(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, "$." + path, "double")
-
-
-def _string(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, "$." + path, "string")
-
-
-def _rule(test: Column, path: str | Column, rule: str) -> Column:
-    where = F.lit(path) if isinstance(path, str) else path
-    return F.when(F.coalesce(test, F.lit(False)), F.struct(where.alias("path"), F.lit(rule).alias("rule")))
-
-
-def _bounded(doc: Column, path: str, shown: str | Column, kind: str, low: float | None = None,
-             high: float | None = None) -> list[Column]:
-    """Type rule of an optional value, and the range rules that apply when the type is right."""
-    name = _kind(doc, path)
-    if kind == "string":
-        return [_rule(name != "STRING", shown, "type")]
-    right = name.rlike(NUMBER)
-    if kind == "integer":  # 5.0 is a whole number
-        right = right & (F.floor(_number(doc, path)) == _number(doc, path))
-    rules = [_rule(~right, shown, "type")]
-    if low is not None:
-        rules.append(_rule(right & (_number(doc, path) < low), shown, "minimum"))
-    if high is not None:
-        rules.append(_rule(right & (_number(doc, path) > high), shown, "maximum"))
-    return rules
-
-
-def _objects(doc: Column, shown, *paths: str) -> list[Column]:
-    """Optional values that must be objects."""
-    return [_rule(~_kind(doc, p).startswith("OBJECT"), shown(p), "type") for p in paths]
-
-
-def _is(value: Column, rule: tuple) -> Column:
-    """Whether a present variant value keeps a rule of ``RESULT_RULES``."""
-    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-    number = F.try_variant_get(value, "$", "double")
+def _property(rule: tuple) -> dict:
+    """JSON Schema of a rule of ``RESULT_RULES``."""
     name = rule[0]
     if name in ("integer", "number"):
-        ok = kind.rlike(NUMBER)
-        if name == "integer":
-            ok = ok & (F.floor(number) == number)
-        if rule[1] is not None:
-            ok = ok & (number >= rule[1])
-        if rule[2] is not None:
-            ok = ok & (number <= rule[2])
-    elif name in ("string", "boolean"):
-        ok = kind == name.upper()
-    elif name == "object":
-        ok = kind.startswith("OBJECT")
-    elif name == "map":
-        entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-        ok = kind.startswith("OBJECT") & F.forall(entries, lambda e: ~e["key"].rlike(rule[1]) | _is(e["value"], rule[2]))
-    else:
-        items = F.try_variant_get(value, "$", "array<variant>")
-        if name == "pairs":
-            def pair(x: Column) -> Column:
-                of = F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>"))
-                return (F.size(of) == 2) & _is(F.get(of, 0), ("string",)) & _is(F.get(of, 1), rule[1])
-            ok = F.forall(items, pair)
-        else:
-            ok = F.forall(items, lambda x: _is(x, ("string",) if name == "texts" else ANY))
-        ok = kind.startswith("ARRAY") & ok
-    return F.coalesce(ok, F.lit(False))
-
-
-def payload_violations(payloads: DataFrame, key: str = "doc_id", payload: str = "payload", tool: str = TOOL) -> DataFrame:
-    """One row per broken rule (key, path, rule). Text that is not JSON breaks the rule ``json`` only."""
+        return {"type": name, **{k: v for k, v in zip(("minimum", "maximum"), rule[1:]) if v is not None}}
+    if name == "map":
+        return {"type": "object", "patternProperties": {rule[1]: _property(rule[2])}}
+    if name == "pairs":
+        return {"type": "array", "items": {"type": "array", "minItems": 2, "maxItems": 2, "prefixItems": [{"type": "string"}, _property(rule[1])]}}
+    if name in ("texts", "numbers"):
+        return {"type": "array", "items": {"type": "string" if name == "texts" else "number"}}
+    return {"type": name}
+
+
+def _shape(name: str) -> dict:
+    out: dict = {"type": "object", "required": list(RESULT_KEYS[name]), "properties": {}}
+    for path, rule in RESULT_RULES[name].items():
+        *outer, key = path.split(".")
+        node = out
+        for step in outer:
+            node = node["properties"][step]
+        node.setdefault("properties", {})[key] = _property(rule)
+    return out
+
+
+def contract(tool: str = TOOL) -> str:
+    """The output contract as JSON Schema text."""
+    text, share, count, real = {"type": "string"}, _property(SHARE), _property(COUNT), {"type": "number"}
+    of = lambda required=(), **p: {"type": "object", **({"required": list(required)} if required else {}), "properties": p}
+    entry = of(("name", "processing_time", "confidence", "results"),
+               name={**text, "enum": list(ANALYZER_NAMES)}, processing_time={**real, "minimum": 0}, confidence=share, results={"oneOf": [_shape(n) for n in RESULT_KEYS]},
+               metadata=of(language=of(code=text, confidence=share), model=text))
+    return json.dumps(of(
+        ("tool", "version", "language", "analyzers"), tool={"const": tool}, version=text,
+        source=of(type={**text, "enum": list(SOURCE_TYPES)}, value=text, fetched_at=real, domain=text),
+        language=of(("code", "confidence", "model"), code=text, confidence=share, model=text),
+        content=of(title=text, char_count=count, word_count=count), analyzers={"type": "array", "items": entry}, timing={"type": "object"}))
+
+
+def _broken(doc: Column, schema: Schema) -> Column:
+    """Array of (path, rule) that a payload breaks; one that is not JSON breaks ``json`` only."""
+    no_json = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))
+    return F.when(doc.isNull(), no_json).otherwise(schema.violations(doc))
+
+
+def payload_violations(payloads: DataFrame, key: str = "doc_id", payload: str = "payload", schema: str | None = None) -> DataFrame:
+    """One row per broken rule (key, path, rule) of a JSON Schema text, by default the output contract."""
     rows = payloads.select(key, F.try_parse_json(F.col(payload)).alias("_d"))
-    rows = rows.withColumn("_analyzers", F.try_variant_get("_d", "$.analyzers", "array<variant>"))
-    d = F.col("_d")
-    bad = [_rule(_kind(d, p).isNull(), p, "required") for p in ("tool", "version", "language", "analyzers")]
-    bad += [_rule(_kind(d, "tool").isNotNull() & (F.coalesce(_string(d, "tool"), F.lit("")) != tool), "tool", "const")]
-    bad += _bounded(d, "version", "version", "string")
-    bad += _objects(d, lambda p: p, "source", "language", "content", "timing")
-    bad += [_rule(_kind(d, "language").startswith("OBJECT") & _kind(d, f"language.{p}").isNull(), f"language.{p}", "required")
-            for p in ("code", "confidence", "model")]
-    bad += _bounded(d, "language.code", "language.code", "string")
-    bad += _bounded(d, "language.confidence", "language.confidence", "number", 0.0, 1.0)
-    bad += _bounded(d, "language.model", "language.model", "string")
-    bad += [_rule(_kind(d, "source.type").isNotNull() & ~F.coalesce(_string(d, "source.type"), F.lit("")).isin(*SOURCE_TYPES),
-                  "source.type", "enum")]
-    bad += _bounded(d, "source.value", "source.value", "string")
-    bad += _bounded(d, "source.domain", "source.domain", "string")
-    bad += _bounded(d, "source.fetched_at", "source.fetched_at", "number")
-    bad += _bounded(d, "content.title", "content.title", "string")
-    bad += _bounded(d, "content.char_count", "content.char_count", "integer", 0.0)
-    bad += _bounded(d, "content.word_count", "content.word_count", "integer", 0.0)
-    bad += [_rule(~_kind(d, "analyzers").startswith("ARRAY"), "analyzers", "type")]
-
-    def of_analyzer(a: Column, i: Column) -> Column:
-        at = lambda p: F.concat(F.lit("analyzers["), i.cast("string"), F.lit("]." + p))
-        out = [_rule(_kind(a, p).isNull(), at(p), "required") for p in ("name", "processing_time", "confidence", "results")]
-        out += [_rule(_kind(a, "name").isNotNull() & ~F.coalesce(_string(a, "name"), F.lit("")).isin(*ANALYZER_NAMES),
-                      at("name"), "enum")]
-        out += _bounded(a, "processing_time", at("processing_time"), "number", 0.0)
-        out += _bounded(a, "confidence", at("confidence"), "number", 0.0, 1.0)
-        out += _objects(a, at, "results", "metadata", "metadata.language")
-        out += _bounded(a, "metadata.model", at("metadata.model"), "string")
-        out += _bounded(a, "metadata.language.code", at("metadata.language.code"), "string")
-        out += _bounded(a, "metadata.language.confidence", at("metadata.language.confidence"), "number", 0.0, 1.0)
-        out.append(_rule(~F.schema_of_variant(a).startswith("OBJECT"), F.concat(F.lit("analyzers["), i.cast("string"), F.lit("]")), "type"))
-        return F.array(*out)
-
-    whole = F.concat(F.array(*bad), F.flatten(F.coalesce(F.transform("_analyzers", of_analyzer), F.array(F.array(bad[0])))))
-    found = F.when(d.isNull(), F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))).otherwise(
-        F.array_distinct(F.filter(whole, lambda x: x.isNotNull())))
-    return rows.select(key, F.explode(found).alias("v")).select(key, "v.path", "v.rule")
+    return rows.select(key, F.inline(_broken(F.col("_d"), Schema(schema or contract()))))
 
 
 def malformed(payloads: DataFrame, key: str = "doc_id", payload: str = "payload") -> DataFrame:
@@ -176,11 +108,11 @@ def malformed(payloads: DataFrame, key: str = "doc_id", payload: str = "payload"
 
 def analyzer_rows(payloads: DataFrame, key: str = "doc_id", payload: str = "payload") -> DataFrame:
     """One row per analyzer entry of every well-formed payload."""
-    items = F.try_variant_get(F.try_parse_json(F.col(payload)), "$.analyzers", "array<variant>")
-    rows = payloads.select(key, F.posexplode(items).alias("i", "_a"))
-    return rows.select(
-        key, "i", _string(F.col("_a"), "name").alias("name"), _number(F.col("_a"), "processing_time").alias("processing_time"),
-        _number(F.col("_a"), "confidence").alias("confidence"), _at(F.col("_a"), "results").alias("results"))
+    items = elements(member(F.try_parse_json(F.col(payload)), "analyzers"))
+    a = F.col("_a")
+    return payloads.select(key, F.posexplode(items).alias("i", "_a")).select(
+        key, "i", string(member(a, "name")).alias("name"), number(member(a, "processing_time")).alias("processing_time"),
+        number(member(a, "confidence")).alias("confidence"), member(a, "results").alias("results"))
 
 
 def result_shapes(analyzers: DataFrame, key: str = "doc_id", strict: bool = True) -> DataFrame:
@@ -188,34 +120,27 @@ def result_shapes(analyzers: DataFrame, key: str = "doc_id", strict: bool = True
 
     With ``strict=False`` an entry that declares ``supported: false`` is accepted as a shape of its own.
     """
-    hits = F.lit(0)
-    for shape, keys in RESULT_KEYS.items():
-        test = F.lit(True)
-        for k in keys:
-            test = test & _at(F.col("results"), k).isNotNull()
-        for k, rule in RESULT_RULES[shape].items():
-            value = _at(F.col("results"), k)
-            test = test & (value.isNull() | _is(value, rule))
-        hits = hits + F.when(test, 1).otherwise(0)
+    shapes = Schema(contract()).at("properties", "analyzers", "items", "properties", "results")
+    hits = F.coalesce(shapes.matches(F.col("results")), F.lit(0))
     if not strict:
         refused = F.try_variant_get("results", "$.supported", "boolean") == F.lit(False)
         hits = F.when(F.coalesce(refused, F.lit(False)) & (hits == 0), 1).otherwise(hits)
     return analyzers.select(key, "i", "name", hits.alias("matching_shapes"), (hits == 1).alias("shape_ok"))
 
 
-def validation_report(payloads: DataFrame, key: str = "doc_id", payload: str = "payload", tool: str = TOOL) -> DataFrame:
-    """Per payload: validity, number of broken rules, and the analyzers of valid payloads."""
-    rules = payload_violations(payloads, key, payload, tool).groupBy(key).agg(F.count(F.lit(1)).alias("errors"))
-    shapes = result_shapes(analyzer_rows(payloads, key, payload), key).filter(~F.col("shape_ok")).groupBy(key).agg(
-        F.count(F.lit(1)).alias("errors"))
-    errors = rules.unionByName(shapes).groupBy(key).agg(F.sum("errors").alias("errors"))
-    names = F.transform(F.try_variant_get(F.try_parse_json(F.col(payload)), "$.analyzers", "array<variant>"),
-                        lambda a: F.coalesce(_string(a, "name"), F.lit("unknown")))
-    rows = payloads.select(key, F.coalesce(names, F.array().cast("array<string>")).alias("_names")).join(errors, key, "left")
-    valid = F.col("errors").isNull()
-    return rows.select(key, valid.alias("valid"), F.coalesce("errors", F.lit(0)).cast("long").alias("errors"),
-                       F.when(valid, F.size("_names")).otherwise(0).cast("long").alias("analyzer_count"),
-                       F.when(valid, F.array_join("_names", ",")).otherwise("").alias("analyzers"))
+def validation_report(payloads: DataFrame, key: str = "doc_id", payload: str = "payload", schema: str | None = None) -> DataFrame:
+    """Per payload: validity, number and list of broken rules (``path rule`` by path, joined by semicolons), and the analyzers of valid payloads.
+
+    Each payload is parsed once and judged in its row: no join, no grouping.
+    """
+    rows = payloads.select(key, F.try_parse_json(F.col(payload)).alias("_d"))
+    rows = rows.select(key, "_d", F.array_sort(_broken(F.col("_d"), Schema(schema or contract()))).alias("_e"))
+    names = F.transform(elements(member(F.col("_d"), "analyzers")), lambda a: F.coalesce(string(member(a, "name")), F.lit("unknown")))
+    valid = F.size("_e") == 0
+    said = F.transform("_e", lambda e: F.concat_ws(" ", F.nullif(e["path"], F.lit("")), e["rule"]))
+    return rows.select(key, valid.alias("valid"), F.size("_e").cast("long").alias("errors"), F.array_join(said, "; ").alias("error_list"),
+                       F.when(valid, F.size(names)).otherwise(0).cast("long").alias("analyzer_count"),
+                       F.when(valid, F.array_join(names, ",")).otherwise("").alias("analyzers"))
 
 
 def validation_totals(report: DataFrame) -> DataFrame:
@@ -242,7 +167,6 @@ def golden_diff(actual: DataFrame, golden: DataFrame, digits: int = 6, volatile:
 
 def analyzer_coverage(payloads: DataFrame, required: tuple[str, ...], key: str = "doc_id", payload: str = "payload") -> DataFrame:
     """Required analyzers that a payload lacks."""
-    items = F.try_variant_get(F.try_parse_json(F.col(payload)), "$.analyzers", "array<variant>")
-    present = F.coalesce(F.transform(items, lambda a: _string(a, "name")), F.array().cast("array<string>"))
+    present = F.transform(elements(member(F.try_parse_json(F.col(payload)), "analyzers")), lambda a: string(member(a, "name")))
     missing = F.array_except(F.array(*[F.lit(r) for r in required]), present)
     return payloads.select(key, (F.size(missing) == 0).alias("passed"), F.array_join(missing, ",").alias("missing"))

@@ -812,6 +812,7 @@ def _violations_sql() -> str:
     return f"""viol AS (SELECT doc_id, v.path AS path, v.rule AS rule FROM (
   SELECT doc_id, unnest([x for x in [{', '.join(rules)}] if x is not null]) AS v FROM pl WHERE json_valid(payload)
   UNION ALL SELECT doc_id, unnest([x for x in [{', '.join(arules)}] if x is not null]) AS v FROM an
+  UNION ALL SELECT doc_id, {{'path': concat('analyzers[', i, '].results'), 'rule': 'oneOf'}} AS v FROM shapes WHERE matching_shapes <> 1
   UNION ALL SELECT doc_id, {{'path': '', 'rule': 'json'}} AS v FROM pl WHERE NOT json_valid(payload)))"""
 
 
@@ -820,7 +821,7 @@ _SHAPE_HITS = " + ".join(
 _SHAPES = f"shapes AS (SELECT doc_id, CAST(i AS INTEGER) AS i, json_extract_string(a, '$.name') AS name, {_SHAPE_HITS} AS matching_shapes FROM an)"
 
 
-@query("validate_payloads", sp.query(sp.PAYLOADS, _AN, _violations_sql(), select="SELECT doc_id, path, rule FROM viol"))
+@query("validate_payloads", sp.query(sp.PAYLOADS, _AN, _SHAPES, _violations_sql(), select="SELECT doc_id, path, rule FROM viol"))
 def _violations(spark, sf):
     return quality.payload_violations(views.payload_rows(spark, sf))
 
@@ -835,19 +836,19 @@ def _malformed(spark, sf):
     return quality.malformed(views.payload_rows(spark, sf))
 
 
-_REPORT = """rep AS (SELECT pl.doc_id, coalesce(e.n, 0) AS errors, payload FROM pl LEFT JOIN (SELECT doc_id, count(*) AS n FROM
- (SELECT doc_id FROM viol UNION ALL SELECT doc_id FROM shapes WHERE matching_shapes <> 1) GROUP BY 1) e ON e.doc_id = pl.doc_id)"""
+_REPORT = """rep AS (SELECT pl.doc_id, coalesce(e.n, 0) AS errors, coalesce(e.said, '') AS error_list FROM pl LEFT JOIN (SELECT doc_id, count(*) AS n,
+ string_agg(CASE WHEN path = '' THEN rule ELSE concat(path, ' ', rule) END, '; ' ORDER BY path, rule) AS said FROM viol GROUP BY 1) e ON e.doc_id = pl.doc_id)"""
 
 
-@query("validation_report", sp.query(sp.PAYLOADS, _AN, _violations_sql(), _SHAPES, _REPORT,
+@query("validation_report", sp.query(sp.PAYLOADS, _AN, _SHAPES, _violations_sql(), _REPORT,
                                      "names AS (SELECT doc_id, count(*) AS n, string_agg(json_extract_string(a, '$.name'), ',' ORDER BY i) AS names FROM an GROUP BY 1)",
-                                     select="""SELECT rep.doc_id, errors = 0 AS valid, errors, CASE WHEN errors = 0 THEN n ELSE 0 END AS analyzer_count, CASE WHEN errors = 0 THEN names ELSE '' END AS analyzers
- FROM rep LEFT JOIN names ON names.doc_id = rep.doc_id"""))
+                                     select="""SELECT rep.doc_id, errors = 0 AS valid, errors, error_list, CASE WHEN errors = 0 THEN n ELSE 0 END AS analyzer_count,
+ CASE WHEN errors = 0 THEN names ELSE '' END AS analyzers FROM rep LEFT JOIN names ON names.doc_id = rep.doc_id"""))
 def _report(spark, sf):
     return quality.validation_report(views.payload_rows(spark, sf))
 
 
-@query("validation_totals", sp.query(sp.PAYLOADS, _AN, _violations_sql(), _SHAPES, _REPORT,
+@query("validation_totals", sp.query(sp.PAYLOADS, _AN, _SHAPES, _violations_sql(), _REPORT,
                                      select="SELECT count(*) AS total, count(*) FILTER (errors = 0) AS valid_files, count(*) FILTER (errors > 0) AS invalid_files FROM rep"))
 def _totals(spark, sf):
     return quality.validation_totals(quality.validation_report(views.payload_rows(spark, sf)))
