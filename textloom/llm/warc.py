@@ -24,6 +24,7 @@ import zlib
 from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow.fs
@@ -32,11 +33,14 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import new_folder, stored
 from textloom.llm.url_filters import host_of
+from textloom.scale import bounded_broadcast
 
 #: Captures in one compressed index block; bytes after which a task begins a new archive.
 BLOCK_LINES, ARCHIVE_BYTES = 1000, 1 << 30
-#: Open archives of one reading task.
-OPEN_FILES = 32
+#: Open archives of one reading task, places that it looks up before it reads them, and bytes of archive for one task.
+OPEN_FILES, PLACES, TASK_BYTES = 32, 4096, 64 << 20
+#: Digests of payloads that occur more than once which are broadcast at most; beyond that they are joined by a shuffle.
+SHARED_DIGESTS = 200_000
 
 CAPTURE = "surt STRING, page_id LONG, file STRING, offset LONG, length LONG"
 RECORD = ("page_id LONG, url STRING, payload_bytes LONG, payload_digest STRING, record_type STRING, refers_to LONG, "
@@ -105,9 +109,10 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 0, key: s
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), surt_key(F.col(url)).alias("surt"),
                         body.alias("body"), F.sha1(body.cast("binary")).alias("sha"))
-    first = rows.groupBy("sha").agg(F.min("page_id").alias("first"))
-    # An outer join on the digest: Spark splits a digest with many rows over several tasks.
-    rows = rows.join(first, "sha", "left").withColumn(
+    shared = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # Only payloads that occur again need to meet; their digests go to the pages as long as that is proven cheap. In a shuffled join Spark splits a digest
+    # with many rows over several tasks.
+    rows = rows.join(bounded_broadcast(shared, SHARED_DIGESTS), "sha", "left").withColumn(
         "revisit", (F.octet_length("body") >= revisit_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +144,14 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 0, key: s
     return stored(ready.mapInPandas(write, CAPTURE), "captures")
 
 
-def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> list[tuple]:
+def range_count(captures: DataFrame) -> int:
+    """Range partitions for work on the records: two for each core at least, and one for each ``TASK_BYTES`` of archive. The slim rows that name the records
+    say nothing about the bytes behind them, so the number is not left to their size."""
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return max(2 * captures.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
+def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES, parts: int | None = None) -> list[tuple]:
     """Sort the captures into index files below ``folder``; returns (first surt, first id, file) of each, in key order.
 
     The list has one entry for each range partition. Equal keys may go on in the next block or file; file and offset complete the sort key, so a
@@ -147,7 +159,7 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     """
     ordered = captures.withColumn("id", order_key(F.col("page_id")))
     keys = ["surt", "id", "file", "offset"]
-    ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = ordered.repartitionByRange(parts or range_count(captures), *keys).sortWithinPartitions(*keys)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = opened(folder)
@@ -228,20 +240,22 @@ class Archive:
             f += 1
 
 
-def lookup(requests: DataFrame, files: list[tuple], key: str = "page_id", url: str = "url", payload: bool = True) -> DataFrame:
+def lookup(requests: DataFrame, files: list[tuple], key: str = "page_id", url: str = "url", payload: bool = True, parts: int | None = None) -> DataFrame:
     """All records (``RECORD``) whose URL and id a row of ``requests`` names; repeated requests count once.
 
-    Requests are sorted by key over range partitions, so that a task reads each index block once, in order.
+    Requests are sorted by key over ``parts`` range partitions, so that a task reads each index block once, in order. The records that some thousand requests
+    name are read by archive and offset, so that each archive is opened once for them.
     """
     keyed = requests.select(surt_key(F.col(url)).alias("surt"), order_key(F.col(key)).alias("id")).distinct()
-    keyed = keyed.repartitionByRange("surt", "id").sortWithinPartitions("surt", "id")
+    keyed = keyed.repartitionByRange(parts or 2 * requests.sparkSession.sparkContext.defaultParallelism, "surt", "id").sortWithinPartitions("surt", "id")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         archive, names = Archive(files), [f.split()[0] for f in RECORD.split(", ")]
         for batch in batches:
             found, size = [], 0
-            for surt, i in zip(batch["surt"], batch["id"]):
-                for place in archive.captures((surt, int(i))):
+            places = (p for surt, i in zip(batch["surt"], batch["id"]) for p in archive.captures((surt, int(i))))
+            while some := sorted(islice(places, PLACES)):
+                for place in some:
                     fields = parse_record(zlib.decompress(archive.read(*place), 31))
                     found.append(fields if payload else (*fields[:-1], None))
                     size += fields[2] if payload else 64
@@ -260,9 +274,11 @@ def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 def archived(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
     """Write all pages, index the archives, and read every page back through the index.
 
-    One row for each row of ``pages``: page_id, payload_bytes and payload_digest of the full payload, record_type, refers_to.
-    An empty table gives no archive and no row.
+    One row for each row of ``pages``: page_id, payload_bytes and payload_digest of the full payload, record_type, refers_to. Null html is an empty payload,
+    a null URL an empty target; a null id is carried through and never the one that others refer to. Rows that agree in URL and id are found by one request,
+    all of them. An empty table gives no archive and no row; extra columns are not read.
     """
     folder = new_folder(pages.sparkSession, "warc")
-    files = build_index(write_archives(pages, f"{folder}/archive", revisit_bytes), f"{folder}/index")
-    return lookup(pages, files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    captures = write_archives(pages, f"{folder}/archive", revisit_bytes)
+    parts = range_count(captures)
+    return lookup(pages, build_index(captures, f"{folder}/index", parts=parts), payload=False, parts=parts).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
