@@ -163,3 +163,35 @@ def test_shared_folder_is_required_on_a_cluster():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(session)
+
+
+def test_pages_with_odd_markup(spark):
+    """Quoted attributes, raw text, and what is never closed."""
+    cases = [
+        ("<p title='a>b'>caf&eacute; &#8217;x", "café ’x"),
+        ('<a href="x>y" title=it\'s>in</a> 3 < 4 <5> & 6>', "in 3 < 4 <5> & 6>"),
+        ("a<script>if (a<b) x='</p>'</script>b<SCRIPT src='q>'>c</scripty></script >d", "a b d"),
+        ("one<style>p{}</style><noscript><p>no</p></noscript>two<scripts>three</scripts>", "one two three"),
+        ("x<script>never closed <p>y", "x"), ("x<!-- never closed <p>y", "x"), ("x<!--a-->y<!-->z<!--->w<!-- <b> --!>v", "x y z w v"),
+        ("<!DOCTYPE html><?xml a='1'?></ bogus>t<div class=\"open", "t"), ("<p =x>a<p a = 'b>c' d=\"e>f\" g>h", "a h"),
+        ("a&nbsp;&#160;&#xA0;b c", "a b c"), ("&lt;b&gt; &amp;lt; &amp;amp; &quot;q&quot; &apos;", "<b> &lt; &amp; \"q\" '"),
+        ("&copy2024 &notit; &foo; &; & &#; &#x; &#0; &#x110000; &#xD800; &#128; &#129; &#99999999999; &#1; &#65 &#x1F600;&amp", "©2024 ¬it; &foo; &; & &#; &#x; � � � € \x81 � A 😀&"),
+        ("", ""), (None, None), ("plain", "plain"), ("<" * 50, "<" * 50), ("<a " + "x=" * 3000 + ">t", "t"), ("<a " + "='" * 2999 + ">t", "t")]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, html string").select("i", tx.html_to_text(F.col("html")).alias("t"))
+    got = {r["i"]: r["t"] for r in df.collect()}
+    assert [(cases[i][0] and cases[i][0][:60], got[i]) for i in range(len(cases))] == [(h and h[:60], t) for h, t in cases]
+    titles = [("<script>var t='<title>no</title>'</script><title lang=\"a>b\">caf&eacute;\n</title>", "café"), ("<!-- <title>x</title> -->", "Untitled"), ("<title>open", "open"),
+              ("<titles>x</titles>", "Untitled"), ("<TITLE></TITLE>", ""), ("<title> a <b> </title><title>c</title>", "a <b>")]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(titles)], "i int, html string").select("i", tx.page_title(F.col("html")).alias("t"))
+    assert [r["t"] for r in df.orderBy("i").collect()] == [t for _, t in titles]
+
+
+def test_all_character_references(spark):
+    """Against the standard library: every name, every number that it treats in a special way, and some others."""
+    import html
+    numbers = [*range(0, 170), 0x152, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFE, 0x10FFFF, 0x110000]
+    refs = ["&" + n for n in html.entities.html5] + [f"&{n}x" for n in html.entities.html5 if not n.endswith(";")]
+    refs += [f"&#{n};" for n in numbers] + [f"&#x{n:X};" for n in numbers] + [f"&#X{n:x}" for n in numbers]
+    df = spark.createDataFrame([(i, f"a{r} b") for i, r in enumerate(refs)], "i int, t string").select("i", tx.decode_references(F.col("t")).alias("d"))
+    got = {r["i"]: r["d"] for r in df.collect()}
+    assert [(r, got[i]) for i, r in enumerate(refs) if got[i] != html.unescape(f"a{r} b")] == []

@@ -8,6 +8,9 @@ Declared rules
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,34 +89,68 @@ def normalize_lang(code: Column) -> Column:
     return F.when(F.length(folded) == 2, folded).otherwise(F.lit("en"))
 
 
-# Character references that are decoded, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "),
-            ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+def _markup(loop: str) -> dict[str, str]:
+    """Patterns of a page's parts. ``loop`` repeats the attributes of a tag; the possessive form, which never comes back, runs in constant stack."""
+    # A quote only opens a value right behind an equals sign, and a greater-than sign in a quoted value does not end the tag.
+    attributes = rf"""[^>=]*(?:=\s*(?:"[^"]*"|'[^']*'|)[^>=]*){loop}"""
+    # An element whose content is no markup goes up to its end tag or to the end of the page.
+    raw = [rf"<{n}(?:[\s/]{attributes})?(?:>|\z).*?(?:</{n}(?:[\s/]{attributes})?(?:>|\z)|\z)" for n in ("script", "style", "noscript")]
+    hidden = "|".join([r"<!--(?:-?>|.*?(?:--!?>|\z))", *raw])
+    return {"hidden": f"(?is)(?:{hidden})", "all": rf"(?is)(?:{hidden}|</?[a-z]{attributes}(?:>|\z)|<[!?/][^>]*(?:>|\z))",
+            "title": rf"(?is)<title(?:[\s/]{attributes})?>(.*?)(?:</title|\z)"}
 
 
-def decode_entities(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+#: Parts of a page that hold no text (comments, script, style and noscript, also where they are never closed); all markup, with tags, declarations and
+#: processing instructions, where a less-than sign before anything else is text; the title element.
+HIDDEN, MARKUP, TITLE = _markup("*+").values()
+#: Runs of white space, Unicode's included.
+BLANK_RUN = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+#: Named character references of HTML with their text, from the standard library; a name without a semicolon is one that may lack it.
+NAMED_REFERENCES = html.entities.html5
+#: A name at the start of a longer word, the longest one first.
+OPEN_NAME = "^&(" + "|".join(sorted((n for n in NAMED_REFERENCES if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")(.*)$"
+#: Numbers 128 to 159 stand for what Windows has there, if anything.
+WINDOWS_CODES = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+
+
+def code_point(n: Column) -> Column:
+    """Text of a numeric character reference: replacement character for impossible numbers, nothing for controls and non-characters."""
+    hidden = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 65536 >= 0xFFFE)
+    windows = F.from_json(F.lit(json.dumps({str(k): v for k, v in WINDOWS_CODES.items()})), "map<string,string>")
+    return (F.when(n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
+            .when(n.isin(*WINDOWS_CODES), F.try_element_at(windows, n.cast("string"))).when(hidden, "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
 
-def html_to_text(html: Column) -> Column:
-    """Visible text of a page: drops script, style, noscript and comments, joins the rest with one space."""
-    out = html
-    for block in ("script", "style", "noscript"):
-        out = F.regexp_replace(out, rf"(?is)<{block}[^>]*>.*?</{block}>", "")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"<[^>]+>", " ")
-    return F.trim(F.regexp_replace(decode_entities(out), r"\s+", " "))
 
+def decode_references(text: Column) -> Column:
+    """Replace all character references: named ones of HTML (of those that may lack the semicolon also at the start of a word), decimal and hexadecimal."""
+    table = F.from_json(F.lit(json.dumps(NAMED_REFERENCES)), "map<string,string>")
 
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+    def one(ref: Column) -> Column:
+        name = F.substr(ref, F.lit(2))
+        digits, hexa = F.regexp_extract(ref, "^&#([0-9]+)", 1), F.regexp_extract(ref, "^&#[xX]0*([0-9a-fA-F]+)", 1)
+        number = F.when(digits != "", digits.try_cast("bigint")).when(F.length(hexa) <= 8, F.conv(hexa, 16, 10).try_cast("bigint"))
+        begun = F.try_element_at(table, F.regexp_extract(ref, OPEN_NAME, 1))
+        return (F.when(ref == "&amp;", "&").when(ref == "&lt;", "<").when(ref == "&gt;", ">").when(ref == "&quot;", '"').when(ref == "&nbsp;", "\u00a0")
+                .when(ref.startswith("&#"), code_point(number))
+                .otherwise(F.coalesce(F.try_element_at(table, name), F.concat(begun, F.regexp_extract(ref, OPEN_NAME, 2)), ref)))
+
+    refs = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), one)
+    pieces = F.zip_with(F.split(text, REFERENCE, -1), refs, lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+
+def html_to_text(html: Column) -> Column:
+    """Visible text of a page: markup and hidden parts become blanks, references are decoded, runs of white space become one blank."""
+    return F.trim(F.regexp_replace(decode_references(F.regexp_replace(html, MARKUP, " ")), BLANK_RUN, " "))
 
 
 def page_title(html: Column) -> Column:
-    """Stripped text of the title element; ``Untitled`` when the page has none."""
-    title = F.regexp_replace(decode_entities(F.regexp_extract(html, TITLE, 1)), r"^\s+|\s+$", "")
-    return F.when(html.rlike(TITLE), title).otherwise(F.lit("Untitled"))
+    """Stripped text of the first title element outside of hidden parts; ``Untitled`` when the page has none."""
+    seen = F.regexp_replace(html, HIDDEN, " ")
+    return F.when(seen.rlike(TITLE), strip(decode_references(F.regexp_extract(seen, TITLE, 1)))).otherwise(F.lit("Untitled"))
 
 
 def url_domain(url: Column) -> Column:

@@ -38,32 +38,43 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 # ---------------------------------------------------------------- extraction, filters, routing
 
-def _decode_sql(expr: str) -> str:
-    for name, char in tx.ENTITIES:
-        expr = f"replace({expr}, {sp.lit(name)}, {sp.lit(char)})"
-    return expr
-
-
-def _html_sql(col: str = "html") -> str:
-    for block in ("script", "style", "noscript"):
-        col = f"regexp_replace({col}, '(?is)<{block}[^>]*>.*?</{block}>', '', 'g')"
-    col = f"regexp_replace({col}, '(?s)<!--.*?-->', ' ', 'g')"
-    col = f"regexp_replace({col}, '<[^>]+>', ' ', 'g')"
-    return f"trim(regexp_replace({_decode_sql(col)}, '\\s+', ' ', 'g'))"
-
-
-_TITLE_SQL = (f"CASE WHEN regexp_matches(html, '{tx.TITLE}') THEN regexp_replace("
-              + _decode_sql(f"regexp_extract(html, '{tx.TITLE}', 1)") + ", '^\\s+|\\s+$', '', 'g') ELSE 'Untitled' END")
+# The check engine's patterns run in constant stack anyway and know no possessive form.
+_HIDDEN, _MARKUP, _TITLE = tx._markup("*").values()
+_NAMED_SQL = "MAP {" + ", ".join(f"{sp.lit(k)}: {sp.lit(v)}" for k, v in tx.NAMED_REFERENCES.items()) + "}"
+_WINDOWS_SQL = "MAP {" + ", ".join(f"{k}: {sp.lit(v)}" for k, v in tx.WINDOWS_CODES.items()) + "}"
+_POINT_SQL = f"""CASE WHEN n IS NULL OR n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN n BETWEEN 128 AND 159 THEN coalesce({_WINDOWS_SQL}[CAST(n AS INTEGER)], '')
+ WHEN n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' ELSE chr(CAST(n AS INTEGER)) END"""
+_REF_SQL = f"""CASE WHEN starts_with(r, '&#') THEN list_transform([CASE WHEN regexp_matches(r, '^&#[0-9]') THEN TRY_CAST(regexp_extract(r, '^&#([0-9]+)', 1) AS BIGINT)
+   WHEN length(regexp_extract(r, '^&#[xX]0*([0-9a-fA-F]+)', 1)) <= 8 THEN TRY_CAST('0x' || regexp_extract(r, '^&#[xX]0*([0-9a-fA-F]+)', 1) AS BIGINT) END], lambda n: {_POINT_SQL})[1]
+ ELSE coalesce({_NAMED_SQL}[substr(r, 2)], {_NAMED_SQL}[regexp_extract(r, {sp.lit(tx.OPEN_NAME)}, 1)] || regexp_extract(r, {sp.lit(tx.OPEN_NAME)}, 2), r) END"""
+
+
+def _decoded_sql(source: str, column: str) -> str:
+    """(page_id, t): the texts of ``column`` with their references decoded. References are looked up once each, as a table."""
+    ref = sp.lit(tx.REFERENCE)
+    return f"""SELECT p.page_id, coalesce(array_to_string(list_transform(range(len(parts)), lambda i: parts[i + 1] || coalesce(refs[i + 1], '')), ''), t) AS t FROM (
+ SELECT page_id, any_value(parts) AS parts, any_value(t) AS t, list(x ORDER BY i) FILTER (i IS NOT NULL) AS refs FROM (
+  SELECT s.page_id, s.t, s.parts, m.i, d.x FROM (SELECT page_id, {column} AS t, string_split_regex({column}, {ref}) AS parts FROM ({source})) s
+  LEFT JOIN (SELECT page_id, unnest(found) AS r, unnest(range(len(found))) AS i FROM (SELECT page_id, regexp_extract_all({column}, {ref}) AS found FROM ({source}))) m ON m.page_id = s.page_id
+  LEFT JOIN (SELECT r, {_REF_SQL} AS x FROM (SELECT DISTINCT unnest(regexp_extract_all({column}, {ref})) AS r FROM ({source}))) d ON d.r = m.r) GROUP BY page_id) p"""
+
+
+_BARE_SQL = f"SELECT page_id, regexp_replace(html, {sp.lit(_MARKUP)}, ' ', 'g') AS bare FROM pages"
+_HTML_SQL = f"SELECT page_id, trim(regexp_replace(t, '{tx.BLANK_RUN}', ' ', 'g')) AS text FROM ({_decoded_sql(_BARE_SQL, 'bare')})"
+_SEEN_SQL = f"SELECT page_id, regexp_replace(html, {sp.lit(_HIDDEN)}, ' ', 'g') AS seen FROM pages"
+_RAW_TITLE_SQL = f"SELECT page_id, regexp_matches(seen, {sp.lit(_TITLE)}) AS has, regexp_extract(seen, {sp.lit(_TITLE)}, 1) AS raw FROM ({_SEEN_SQL})"
+_TITLE_SQL = f"""SELECT h.page_id, CASE WHEN has THEN regexp_replace(t, '^{tx.BLANK_RUN}|{tx.BLANK_RUN}$', '', 'g') ELSE 'Untitled' END AS title
+ FROM ({_RAW_TITLE_SQL}) h JOIN ({_decoded_sql(_RAW_TITLE_SQL, 'raw')}) d ON d.page_id = h.page_id"""
 _DOMAIN_SQL = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)"
 _PATH_SQL = "coalesce(nullif(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^#]*)', 1), ''), '/')"
 
 
-@query("html_to_text", f"SELECT page_id, {_html_sql()} AS text FROM pages")
+@query("html_to_text", _HTML_SQL)
 def _html(spark, sf):
     return views.pages_rows(spark, sf).select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
 
-@query("page_title", f"SELECT page_id, {_TITLE_SQL} AS title FROM pages")
+@query("page_title", _TITLE_SQL)
 def _title(spark, sf):
     return views.pages_rows(spark, sf).select("page_id", tx.page_title(F.col("html")).alias("title"))
 
@@ -94,7 +105,7 @@ def _valid(spark, sf):
 @query("valid_pages", f"""SELECT page_id, reason = '' AS is_valid, reason FROM (SELECT page_id, array_to_string([x for x in [
  CASE WHEN title = '' THEN 'title_empty' END, CASE WHEN t = '' THEN 'text_empty' END, CASE WHEN html = '' THEN 'html_empty' END,
  CASE WHEN length(t) < 10 THEN 'text_too_short' END] if x is not null], ',') AS reason
- FROM (SELECT page_id, html, {_html_sql()} AS t, {_TITLE_SQL} AS title FROM pages))""")
+ FROM (SELECT p.page_id, html, x.text AS t, title FROM pages p JOIN ({_HTML_SQL}) x ON x.page_id = p.page_id JOIN ({_TITLE_SQL}) y ON y.page_id = p.page_id))""")
 def _valid_pages(spark, sf):
     rows = extract.extract_pages(views.pages_rows(spark, sf))
     return extract.with_validity(rows, text=F.col("text"), title=F.col("title"), html=F.col("html")).select(
