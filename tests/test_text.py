@@ -68,25 +68,57 @@ def test_tokens_rebuild_the_text(spark, docs):
     assert [r["ws"] for r in rows[:5]] == [" ", "", " ", "", " "]
 
 
+PROBES = {
+    "en": ["Today the weather is nice and we go to the beach with the whole family.", "Natural language processing is a subfield of linguistics and computer science."],
+    "de": ["Heute ist schönes Wetter und wir gehen mit der ganzen Familie an den Strand.", "DER HUND SCHLÄFT IM GARTEN, WEIL ES WARM IST."],
+    "es": ["Hoy hace buen tiempo y vamos a la playa con toda la familia.", "El perro come en la cocina, pero el gato no quiere nada."],
+    "fr": ["Aujourd'hui il fait beau et nous allons à la plage avec toute la famille.", "Le chien mange dans la cuisine parce qu'il pleut."],
+    None: ["L'Italia è una repubblica e la sua capitale è Roma, dove vivono quasi tre milioni di persone.", "Oggi il tempo è bello e andiamo al mare con tutta la famiglia.",
+           "Сегодня хорошая погода, и мы идем гулять в парк.", "Hoje está um dia bonito e vamos à praia com toda a família.", "Vandaag is het mooi weer en gaan we naar het strand.",
+           "Idag är vädret fint och vi går till stranden med hela familjen.", "Dzisiaj jest ładna pogoda i idziemy na plażę.", "Σήμερα ο καιρός είναι καλός", "今日は天気がいいです"],
+}
+
+
+def test_language_probes(spark, docs):
+    """Supported languages are told apart; others are English with 0.6 at most, also as long texts."""
+    cases = [(t, want) for want, texts in PROBES.items() for x in texts for t in (x, " ".join([x] * 8))]
+    rows = language.detect_language(docs(*[(t, "x") for t, _ in cases])).orderBy("doc_id").collect()
+    for (t, want), r in zip(cases, rows):
+        assert r["language"] == (want or "en"), t
+        c = r["language_confidence"]
+        assert 0 < c <= 0.6 if want is None else c > (0.9 if len(t) > 200 else 0.7), t
+
+
 def test_language_rules(spark, docs):
     long_en = "the cat and the dog " * 20
-    rows = language.detect_language(docs(("", "x"), ("zzz qqq", "x"), ("the of and", "x"), (long_en, "x"), ("der und die das " * 20, "x"))).orderBy("doc_id").collect()
+    rows = language.detect_language(docs(("", "x"), (None, "x"), (" \n", "x"), ("123 %&", "x"), (long_en, "x"), ("der und die das " * 20, "x"))).orderBy("doc_id").collect()
     assert [(r["language"], round(r["language_confidence"], 4)) for r in rows] == [
-        ("en", 0.0), ("en", 0.3), ("en", 0.8), ("en", 1.0), ("de", 1.0)]
+        ("en", 0.0), ("en", 0.0), ("en", 0.0), ("en", 0.3), ("en", 1.0), ("de", 1.0)]
 
 
 def test_short_text_boundary(spark, docs):
-    a, b = "the " + "q" * 195, "the " + "q" * 196
+    text = "the house and the garden of the people who live there and have always lived there with their children and friends, and so on "
+    a, b = (text + "q" * (n - len(text)) for n in (199, 200))
     rows = language.detect_language(docs((a, "x"), (b, "x"))).orderBy("doc_id").collect()
-    assert [r["language_confidence"] for r in rows] == [0.8, 1.0]
+    assert abs(rows[0]["language_confidence"] / rows[1]["language_confidence"] - 0.8) < 0.01 and rows[1]["language_confidence"] > 0.9
+
+
+def test_own_profiles(spark, docs):
+    """Profiles of another pair of languages, with their own supported set; ties go to the first name."""
+    samples = spark.createDataFrame([("aa", "lala lalo lola"), ("bb", "kiki kiku kuki"), ("bb", "kukuki")], "lang STRING, text STRING")
+    profiles = language.learn_profiles(samples)
+    assert sorted(profiles) == ["aa", "bb"] and all(len(w) == language.SLOTS for w in profiles.values())
+    rows = language.detect_language(docs(("lola lala " * 30, "x"), ("kuki", "x")), profiles, ("aa",)).orderBy("doc_id").collect()
+    assert (rows[0]["language"], rows[1]["language"]) == ("aa", "en") and rows[0]["language_confidence"] > 0.99 and rows[1]["language_confidence"] <= 0.6
 
 
 def test_precedence(spark, docs):
-    d = language.detect_language(docs(("und der die", "x"), ("und der die", "x"), ("und der die", "x")))
+    long_de = "und der die das " * 20
+    d = language.detect_language(docs((long_de, "x"), (long_de, "x"), (long_de, "x")))
     over = F.when(F.col("doc_id") == 0, "FRA").otherwise("  ")
     default = F.when(F.col("doc_id") < 2, "es_MX")
     rows = language.resolve_language(d, over, default).orderBy("doc_id").collect()
-    assert [(r["language"], r["language_confidence"]) for r in rows] == [("fr", 1.0), ("es", 1.0), ("de", 0.8)]
+    assert [(r["language"], round(r["language_confidence"], 4)) for r in rows] == [("fr", 1.0), ("es", 1.0), ("de", 1.0)]
 
 
 def test_validity_boundaries(spark):

@@ -1,46 +1,103 @@
-"""Language identification, precedence and routing. Map-only."""
+"""Language identification by character profiles, precedence and routing. Detection is map-only.
+
+A profile holds a log weight for every slot that a trigram of letters can fall into. Texts are read in lower case, with one blank for everything that is no letter
+and one sign for all letters of other scripts than Latin. Weights are whole thousandths, so that the sums do not depend on their order.
+"""
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import lexicons
 from textloom.functions import text as tx
+from textloom.samples import LANGUAGE_SAMPLES
 from textloom.scale import local_table
 
 SHORT_TEXT = 200
 LOW_CONFIDENCE = 0.6
+UNSUPPORTED_CONFIDENCE = 0.6
+#: Slots of a profile, what every slot counts beforehand, and the trigrams whose evidence is taken for independent.
+SLOTS, PRIOR, EVIDENCE = 4093, 0.3, 50
+#: Multipliers of the three code points of a trigram.
+MIX = (1_000_003, 10_007, 101)
+
+Profiles = dict[str, list[int]]
+
+
+def letters(text: Column) -> Column:
+    """Text as profiles read it, with a blank before and behind."""
+    latin = F.regexp_replace(F.lower(text), r"[^\p{IsLatin}\P{L}]", "#")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(latin, r"[^\p{L}#]+", " ")), F.lit(" "))
+
+
+def trigram_slots(text: Column) -> Column:
+    """Slot of every trigram of a text that went through ``letters``."""
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    triples = F.arrays_zip(codes.alias("a"), F.slice(codes, F.lit(2), F.length(text)).alias("b"), F.slice(codes, F.lit(3), F.length(text)).alias("c"))
+    mixed = F.transform(triples, lambda t: (t["a"] * MIX[0] + t["b"] * MIX[1] + t["c"] * MIX[2]) % SLOTS)
+    return F.filter(mixed, lambda s: s.isNotNull())
+
+
+def learn_profiles(samples: DataFrame) -> Profiles:
+    """Log weights of every language of (lang, text) rows, learned by one aggregate over their trigrams. What comes back is bounded by languages and slots."""
+    slots = samples.select("lang", F.explode(trigram_slots(letters(F.col("text")))).alias("slot"))
+    counts = slots.groupBy("lang", "slot").agg(F.count(F.lit(1)).alias("n"))
+    out: dict[str, dict[int, int]] = {}
+    for r in counts.collect():
+        out.setdefault(r["lang"], {})[r["slot"]] = r["n"]
+    profiles = {}
+    for lang, seen in sorted(out.items()):
+        total = sum(seen.values()) + PRIOR * SLOTS
+        profiles[lang] = [round(1000 * math.log((seen.get(s, 0) + PRIOR) / total)) for s in range(SLOTS)]
+    return profiles
 
 
-def detect_language(docs: DataFrame) -> DataFrame:
+def default_samples() -> list[tuple[str, str]]:
+    """(lang, text): the sample texts, with the function words of the languages that have them."""
+    return [(lang, " ".join([text, *lexicons.stop_words(lang)])) for lang, text in sorted(LANGUAGE_SAMPLES.items())]
+
+
+_DEFAULT: Profiles = {}
+
+
+def default_profiles(docs: DataFrame) -> Profiles:
+    """Profiles of the sample texts, learned once in a process."""
+    if not _DEFAULT:
+        _DEFAULT.update(learn_profiles(local_table(docs.sparkSession, default_samples(), "lang STRING, text STRING")))
+    return _DEFAULT
+
+
+def detect_language(docs: DataFrame, profiles: Profiles | None = None, supported: tuple[str, ...] = tuple(sorted(lexicons.LANGUAGE_MODELS))) -> DataFrame:
     """Add ``language`` and ``language_confidence``.
 
-    Evidence is the number of function words of each language; the winner is the language with most hits
-    (ties: alphabetical) and the confidence its share of all hits. Then: blank text is (en, 0.0), a text
-    without any hit (en, 0.3), and texts under 200 characters have their confidence multiplied by 0.8.
+    The language is the one whose profile gives the text's trigrams the greatest sum (ties: alphabetical). The confidence is its share when the sums
+    are taken for log likelihoods, long texts counting as ``EVIDENCE`` trigrams. Then: texts under 200 characters have their confidence multiplied by 0.8; a language
+    that is not ``supported`` becomes (en, at most 0.6); a text without letters is (en, 0.3), a blank one (en, 0.0).
     """
-    codes = sorted(lexicons.FUNCTION_WORDS)
+    profiles = profiles or default_profiles(docs)
     body = tx.strip(F.coalesce(F.col("text"), F.lit("")))
-    counted = docs.withColumn("_len", F.length(body)).withColumn("_words", tx.words(F.col("text")))
-    hits = F.array(*[
-        F.struct(F.size(F.filter("_words", _in_list(code))).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code"))
-        for i, code in enumerate(codes)])
-    counted = counted.withColumn("_hits", hits).drop("_words")
-    best = F.array_max("_hits")
-    total = F.aggregate("_hits", F.lit(0), lambda acc, h: acc + h["n"])
-    counted = counted.withColumn("_best", best).withColumn("_total", total)
-    share = F.col("_best.n") / F.nullif(F.col("_total"), F.lit(0))
-    penalised = F.when(F.col("_len") < SHORT_TEXT, F.least(F.lit(1.0), F.greatest(F.lit(0.0), share * 0.8))).otherwise(share)
-    return counted.select(
-        *docs.columns,
-        F.when(F.col("_total") > 0, F.col("_best.code")).otherwise("en").alias("language"),
-        F.when(F.col("_len") == 0, 0.0).when(F.col("_total") == 0, 0.3).otherwise(penalised).alias("language_confidence"))
+    rows = docs.withColumn("_len", F.length(body)).withColumn("_letters", letters(F.coalesce(F.col("text"), F.lit(""))))
+    rows = rows.withColumn("_slots", trigram_slots(F.col("_letters"))).withColumn("_none", F.trim("_letters") == "").drop("_letters")
 
+    def score(weights: list[int]) -> Column:
+        table = F.from_json(F.lit(json.dumps(weights)), "array<int>")
+        return F.aggregate("_slots", F.lit(0).cast("long"), lambda total, s: total + F.get(table, s.cast("int")))
 
-def _in_list(code: str):
-    listed = lexicons.stop_words(code)
-    return lambda w: w.isin(*listed)
+    scores = F.array(*[F.struct(score(w).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, w) in enumerate(sorted(profiles.items()))])
+    rows = rows.withColumn("_scores", scores).withColumn("_scale", F.least(F.lit(1.0), EVIDENCE / F.greatest(F.lit(1), F.size("_slots"))) / 1000).drop("_slots")
+    rows = rows.withColumn("_best", F.array_max("_scores"))
+    mass = F.aggregate("_scores", F.lit(0.0), lambda total, s: total + F.exp((s["n"] - F.col("_best.n")) * F.col("_scale")))
+    share = 1 / mass
+    share = F.when(F.col("_len") < SHORT_TEXT, share * 0.8).otherwise(share)
+    known = F.col("_best.lang").isin(*supported)
+    return rows.select(
+        *docs.columns,
+        F.when(F.col("_none") | ~known, "en").otherwise(F.col("_best.lang")).alias("language"),
+        F.when(F.col("_len") == 0, 0.0).when(F.col("_none"), 0.3).when(known, share).otherwise(F.least(share, F.lit(UNSUPPORTED_CONFIDENCE))).alias("language_confidence"))
 
 
 def resolve_language(detected: DataFrame, override: Column, default: Column) -> DataFrame:

@@ -136,6 +136,12 @@ def _detect(spark, sf):
     return rounded(rows.select("doc_id", "language", "language_confidence"))
 
 
+@query("language_agreement", sp.query(sp.DETECT, select="""SELECT lang, language, count(*) AS n, count(*) FILTER (language_confidence < 0.6) AS uncertain FROM detected GROUP BY 1, 2"""))
+def _agreement(spark, sf):
+    rows = language.detect_language(views.documents_rows(spark, sf))
+    return rows.groupBy("lang", "language").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("language_confidence") < 0.6).alias("uncertain"))
+
+
 _OVERRIDE = "CASE WHEN n_chars % 11 = 0 THEN concat(' ', upper(lang), '-XX ') WHEN n_chars % 11 = 1 THEN '  ' END"
 _DEFAULT = "CASE WHEN n_chars % 5 = 0 THEN 'DEU' WHEN n_chars % 5 = 1 THEN '' END"
 
@@ -866,7 +872,7 @@ def _totals(spark, sf):
 
 
 @query("golden_diff", sp.query(
-    sp.DETECT, "a AS (SELECT doc_id, language, round(CAST(ln AS DOUBLE) / 3, 6) AS third FROM det2 JOIN detected USING (doc_id))",
+    sp.DETECT, "a AS (SELECT doc_id, language, round(CAST(ln AS DOUBLE) / 3, 6) AS third FROM detected)",
     "g AS (SELECT doc_id, lang AS language, round(n_chars / 3, 6) AS third FROM documents)",
     select="SELECT *, 'actual' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM g) UNION ALL SELECT *, 'golden' AS side FROM (SELECT * FROM g EXCEPT ALL SELECT * FROM a)"))
 def _golden(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from textloom import lexicons
 from textloom.functions import text as tx
+from textloom.operators import language as lg
 from textloom.operators import tokens as tk
 from textloom.plans import views
 
@@ -189,16 +190,29 @@ lexical AS (SELECT sa.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS total_tokens, CA
   round(coalesce(coalesce(alpha, 0) / nullif(sentences, 0), 0.0), 6) AS avg_sentence_length_tokens,
   round(coalesce(u / nullif(n, 0), 0.0), 6) AS type_token_ratio FROM sa LEFT JOIN wa ON wa.doc_id = sa.doc_id)"""
 
-DETECT_CODES = sorted(lexicons.FUNCTION_WORDS)
-
-DETECT = f"""det0 AS (SELECT doc_id, lang, n_chars, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body, {word_list('text')} AS ws FROM documents),
-det1 AS (SELECT doc_id, lang, n_chars, source, length(body) AS ln,
-   {', '.join(f"len([x for x in ws if x in {in_list(lexicons.stop_words(c))}]) AS h_{c}" for c in DETECT_CODES)} FROM det0),
-det2 AS (SELECT *, {' + '.join('h_' + c for c in DETECT_CODES)} AS total, greatest({', '.join('h_' + c for c in DETECT_CODES)}) AS best FROM det1),
-detected AS (SELECT doc_id, lang, n_chars, source,
-   CASE WHEN total = 0 THEN 'en' {' '.join(f"WHEN best = h_{c} THEN '{c}'" for c in DETECT_CODES)} END AS language,
-   CASE WHEN ln = 0 THEN 0.0 WHEN total = 0 THEN 0.3 WHEN ln < 200 THEN least(1.0, greatest(0.0, CAST(best AS DOUBLE) / total * 0.8))
-     ELSE CAST(best AS DOUBLE) / total END AS language_confidence FROM det2)"""
+def _slots(text: str) -> str:
+    """List of the trigram slots of a text; ``text`` is a column."""
+    letters = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '[^\\p{{Latin}}\\P{{L}}]', '#', 'g'), '[^\\p{{L}}#]+', ' ', 'g')) || ' '"
+    mixed = " + ".join(f"unicode(c[i + {k}]) * {m}::BIGINT" for k, m in enumerate(lg.MIX))
+    return f"list_transform([string_split({letters}, '')], lambda c: list_transform(range(1, len(c) - 1), lambda i: ({mixed}) % {lg.SLOTS}))[1]"
+
+
+#: Profiles are learned here once more, from the same sample texts.
+DETECT = values("samples", "code, text", lg.default_samples()) + f""",
+pro0 AS (SELECT code, unnest({_slots('text')}) AS slot FROM samples),
+pro1 AS (SELECT code, count(*) + {lg.PRIOR * lg.SLOTS}::DOUBLE AS total FROM pro0 GROUP BY 1),
+pro2 AS (SELECT code, CAST(round(1000 * ln({lg.PRIOR}::DOUBLE / total)) AS BIGINT) AS w0 FROM pro1),
+prof AS (SELECT code, slot, CAST(round(1000 * ln((n + {lg.PRIOR}::DOUBLE) / total)) AS BIGINT) - w0 AS w FROM (SELECT code, slot, count(*) AS n FROM pro0 GROUP BY 1, 2) JOIN pro1 USING (code) JOIN pro2 USING (code)),
+det0 AS (SELECT doc_id, lang, n_chars, source, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS ln, NOT regexp_matches(text, '\\p{{L}}') AS no_letters, {_slots('text')} AS slots FROM documents),
+det1 AS (SELECT doc_id, slot, count(*) AS n FROM (SELECT doc_id, unnest(slots) AS slot FROM det0) GROUP BY 1, 2),
+det2 AS (SELECT d.doc_id, d.lang, n_chars, source, ln, no_letters, len(slots) AS grams, pro2.code, len(slots) * w0 + coalesce(v, 0) AS score FROM det0 d CROSS JOIN pro2
+  LEFT JOIN (SELECT doc_id, code, sum(n * w) AS v FROM det1 JOIN prof USING (slot) GROUP BY 1, 2) s ON s.doc_id = d.doc_id AND s.code = pro2.code),
+det3 AS (SELECT *, max(score) OVER (PARTITION BY doc_id) AS best, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, code) AS place FROM det2),
+det4 AS (SELECT doc_id, any_value(lang) AS lang, any_value(n_chars) AS n_chars, any_value(source) AS source, any_value(ln) AS ln, any_value(no_letters) AS no_letters,
+   max(code) FILTER (place = 1) AS code, 1 / sum(exp((score - best) * (least(1.0::DOUBLE, {lg.EVIDENCE}::DOUBLE / greatest(1, grams)) / 1000))) AS share FROM det3 GROUP BY doc_id),
+det5 AS (SELECT *, code IN {in_list(sorted(lexicons.LANGUAGE_MODELS))} AS known, CASE WHEN ln < 200 THEN share * 0.8 ELSE share END AS conf FROM det4),
+detected AS (SELECT doc_id, lang, n_chars, source, ln, CASE WHEN no_letters OR NOT known THEN 'en' ELSE code END AS language,
+   CASE WHEN ln = 0 THEN 0.0::DOUBLE WHEN no_letters THEN 0.3 WHEN known THEN conf ELSE least(conf, 0.6) END AS language_confidence FROM det5)"""
 
 _SAMPLE = f"array_to_string(({blank_words('text')})[1:100], ' ')"
 
