@@ -137,13 +137,19 @@ def brute_yake(text):
 def test_yake_against_brute_force(spark, docs):
     text = "Spark joins tables. Big Spark clusters join big tables fast! NASA runs Spark; tables grow. Clusters of NASA sleep."
     d = docs((text, "en"))
-    got = {r["keyword"]: r["score"] for r in keywords.keywords_yake(lexical.lexical_stats(d), tokens.tokens(d)).collect()}
+    got = {r["keyword"]: r["score"] for r in keywords.keywords_yake(keywords.sentence_words(d)).collect()}
     want = brute_yake(text)
     assert set(got) == set(want)
     for w in got:
         assert got[w] == pytest.approx(want[w], abs=2e-6)
 
 
+def test_keywords_of_documents_and_of_token_tables_agree(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    a, b = (keywords.keywords_yake(w) for w in (keywords.sentence_words(d), keywords.sentence_words_of_tokens(tokens.tokens(d))))
+    assert quality.golden_diff(a, b).count() == 0 and a.count() > 1000
+
+
 def test_readability_by_hand(spark, docs):
     r = readability.scores(docs(("The cat sat. The dog ran. A banana is yellow.", "en"), ("", "en"))).orderBy("doc_id").collect()
     w, s, y, c, p = 10, 3, 13, 33, 1  # letters: 6 * 3 + 1 + 6 + 2 + 6

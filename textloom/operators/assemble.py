@@ -133,7 +133,7 @@ def _readability(c: Corpus) -> DataFrame:
 
 @register_analyzer("keywords")
 def _keywords(c: Corpus) -> DataFrame:
-    rows = keywords.keywords_yake(lexical.lexical_stats(c.docs), c.tokens)
+    rows = keywords.keywords_yake(keywords.sentence_words(c.docs) if c.lexicon is None else keywords.sentence_words_of_tokens(c.tokens))
     packed = _ranked(rows, ["doc_id"], "rank", "keyword", "score", "keywords")
     out = c.docs.select("doc_id").join(packed, "doc_id", "left")
     return _results(out.select("doc_id", F.lit("yake").alias("method"),

@@ -7,12 +7,12 @@ Valences are summed as integers of a millionth, so the result does not depend on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import lexicons
 from textloom.functions import text as tx
-from textloom.scale import bounded_broadcast, cluster_by, local_table
+from textloom.scale import bounded_broadcast, local_table
 
 # Fixed values of the published valence rules.
 CAPS_STEP = 0.733
@@ -32,34 +32,37 @@ def valence_table(spark: SparkSession, entries: dict[str, float]) -> DataFrame:
 
 def scored_words(texts: DataFrame, valence: DataFrame, negators: tuple[str, ...] = lexicons.NEGATORS,
                  boosters: dict[str, float] = lexicons.BOOSTERS, contrast: tuple[str, ...] = lexicons.CONTRAST_WORDS) -> DataFrame:
-    """Words with their valence after every word-level rule (null for unlisted words)."""
-    # Text-level tests go into a projection of their own: next to the generator they would run once per word.
+    """Words with their valence after every word-level rule (null for unlisted words), and the exclamation marks of their text; a text without words has
+    one row without a word.
+
+    What stands before a word is looked up by position in arrays of the row, so no text is shuffled or sorted.
+    """
     mixed = F.col("text").rlike(r"\p{Ll}") & F.col("text").rlike(r"\p{Lu}")
-    clustered = cluster_by(texts.select("doc_id", "text"), "doc_id").select("doc_id", "text", mixed.alias("_mixed"))
-    rows = clustered.select(
-        "doc_id", "_mixed",
-        F.posexplode(F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0))).alias("pos", "word"))
-    rows = rows.withColumn("lower", F.lower("word"))
-    rows = rows.select(
-        "doc_id", "pos", "word", "lower", "_mixed",
-        F.col("lower").isin(*negators).alias("negator"), _booster(F.col("lower"), boosters).alias("boost"),
-        F.when(F.col("lower").isin(*contrast), F.col("pos")).alias("contrast"))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    ever = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # same sort as ``order``
-    rows = rows.select(
-        "*", F.min("contrast").over(ever).alias("first_contrast"),
-        *[F.coalesce(F.lag("boost", i).over(order), F.lit(0.0)).alias(f"b{i}") for i in (1, 2, 3)],
-        *[F.coalesce(F.lag("negator", i).over(order), F.lit(False)).alias(f"n{i}") for i in (1, 2, 3)])
+    bangs = F.least(F.lit(MAX_BANGS), F.length("text") - F.length(F.replace("text", F.lit("!"))))
+    rows = texts.select("doc_id", mixed.alias("_mixed"), bangs.alias("_bangs"), F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0)).alias("_w"))
+    rows = rows.withColumn("_l", F.transform("_w", lambda w: F.lower(w)))
+    rows = rows.withColumn("_b", F.transform("_l", lambda w: _booster(w, boosters))).withColumn("_n", F.transform("_l", lambda w: w.isin(*negators)))
+    rows = rows.withColumn("_c", F.nullif(F.array_position(F.transform("_l", lambda w: w.isin(*contrast)), F.lit(True)), F.lit(0)) - 1)
+
+    def before(name: str, i: Column, default: Column) -> list[Column]:
+        return [F.coalesce(F.get(name, i - k), default) for k in (1, 2, 3)]
+
+    def placed(w: Column, i: Column) -> Column:
+        b, n = before("_b", i, F.lit(0.0)), before("_n", i, F.lit(False))
+        return F.struct(i.alias("pos"), w.alias("word"), F.get("_l", i).alias("lower"), (b[0] * FADE[0] + b[1] * FADE[1] + b[2] * FADE[2]).alias("boost"),
+                        (n[0] | n[1] | n[2]).alias("negated"))
+
+    rows = rows.select("doc_id", "_mixed", "_bangs", F.col("_c").alias("first_contrast"), F.inline_outer(F.transform("_w", placed)))
     rows = rows.join(bounded_broadcast(valence).withColumnRenamed("word", "_listed"), F.col("lower") == F.col("_listed"), "left")
     v = F.col("valence")
     sign = F.when(v > 0, 1.0).when(v < 0, -1.0).otherwise(0.0)
     caps = (F.upper("word") == F.col("word")) & (F.length("word") > 1) & F.col("_mixed")
     v = v + F.when(caps, sign * CAPS_STEP).otherwise(0.0)
-    v = v + sign * (F.col("b1") * FADE[0] + F.col("b2") * FADE[1] + F.col("b3") * FADE[2])
-    v = F.when(F.col("n1") | F.col("n2") | F.col("n3"), v * NEGATION).otherwise(v)
+    v = v + sign * F.col("boost")
+    v = F.when(F.col("negated"), v * NEGATION).otherwise(v)
     v = (F.when(F.col("first_contrast").isNull() | (F.col("pos") == F.col("first_contrast")), v)
          .when(F.col("pos") < F.col("first_contrast"), v * BEFORE_CONTRAST).otherwise(v * AFTER_CONTRAST))
-    return rows.select("doc_id", "pos", "lower", F.round(v * MICRO).cast("long").alias("micro"))
+    return rows.select("doc_id", "_bangs", "pos", "lower", F.round(v * MICRO).cast("long").alias("micro"))
 
 
 def _booster(word: Column, boosters: dict[str, float]) -> Column:
@@ -76,13 +79,12 @@ def valence_scores(texts: DataFrame, valence: DataFrame, **lists) -> DataFrame:
     """
     words = scored_words(texts, valence, **lists)
     m = F.coalesce(F.col("micro"), F.lit(0))
-    sums = words.groupBy("doc_id").agg(
+    # Summed in the map task: a few numbers of each text are all that is shuffled.
+    rows = words.groupBy("doc_id", "_bangs").agg(
         F.sum(m).alias("_sum"),
         F.sum(F.when(m > 0, m + MICRO).otherwise(0)).alias("_pos"),
         F.sum(F.when(m < 0, MICRO - m).otherwise(0)).alias("_neg"),
-        (F.count_if(m == 0) * MICRO).alias("_neu"))
-    bangs = texts.select("doc_id", F.least(F.lit(MAX_BANGS), F.length("text") - F.length(F.replace("text", F.lit("!")))).alias("_bangs"))
-    rows = bangs.join(sums, "doc_id", "left").na.fill(0, ["_sum", "_pos", "_neg", "_neu"])
+        (F.count_if((m == 0) & F.col("lower").isNotNull()) * MICRO).alias("_neu"))
     bang = F.round(F.col("_bangs") * BANG_STEP * MICRO).cast("long")
     total = (F.when(F.col("_sum") > 0, F.col("_sum") + bang).when(F.col("_sum") < 0, F.col("_sum") - bang)
              .otherwise(F.col("_sum")))

@@ -417,13 +417,13 @@ def _top(spark, sf):
 
 @query("upos_counts", sp.query(sp.TOK, select='SELECT doc_id, upos, count(*) AS "count" FROM tok GROUP BY 1, 2'))
 def _upos(spark, sf):
-    return lexical.upos_counts(views.tokens_of(spark, sf)).select("doc_id", "upos", "count")
+    return lexical.upos_counts(views.tags_of(spark, sf)).select("doc_id", "upos", "count")
 
 
 @query("upos_ratios", sp.query(sp.TOK, select="""SELECT doc_id, upos, round(c / sum(c) OVER (PARTITION BY doc_id), 6) AS ratio
  FROM (SELECT doc_id, upos, count(*) AS c FROM tok GROUP BY 1, 2)"""))
 def _ratios(spark, sf):
-    return rounded(lexical.upos_counts(views.tokens_of(spark, sf)).select("doc_id", "upos", "ratio"))
+    return rounded(lexical.upos_counts(views.tags_of(spark, sf)).select("doc_id", "upos", "ratio"))
 
 
 @query("top_lemmas_by_upos", sp.query(sp.TOK, select="""SELECT doc_id, upos, lemma, c AS "count", CAST(rank AS INTEGER) AS rank FROM (
@@ -517,7 +517,7 @@ yh AS (SELECT doc_id, keyword, round(CASE WHEN raw > 0 THEN 1.0::DOUBLE / raw EL
 @query("keywords_yake", sp.query(sp.TOK, _YAKE, select="""SELECT doc_id, keyword, score, CAST(rank AS INTEGER) AS rank FROM (
  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, keyword) AS rank FROM yh) WHERE rank <= 20"""))
 def _yake(spark, sf):
-    rows = keywords.keywords_yake(lexical.lexical_stats(views.documents(spark, sf)), views.tokens_of(spark, sf))
+    rows = keywords.keywords_yake(keywords.sentence_words(views.documents(spark, sf)))
     return rows.select("doc_id", "keyword", "score", "rank")
 
 
@@ -528,7 +528,7 @@ _LABEL_SQL = "CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05
 
 @query("sentiment_valence", sp.query(sp.sentiment_ctes("SELECT doc_id, text FROM documents", _ALL_VALENCE), select="SELECT * FROM senti"))
 def _valence(spark, sf):
-    return sentiment.valence_scores(views.documents(spark, sf), views.valence(spark))
+    return sentiment.valence_scores(views.documents_rows(spark, sf), views.valence(spark))
 
 
 @query("sentiment_label", sp.query(sp.sentiment_ctes(_TURN_SOURCE, _ALL_VALENCE), select=f"SELECT doc_id AS turn_id, {_LABEL_SQL} AS label, abs(compound) AS score FROM senti"))

@@ -32,6 +32,11 @@ def tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokens(documents(spark, sf_dir))
 
 
+def tags_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens for counts with few groups a document: counted where they are, so that no text is shuffled."""
+    return tokens.tokens(documents_rows(spark, sf_dir), clustered=False)
+
+
 def arcs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.baseline_arcs(tokens_of(spark, sf_dir))
 
