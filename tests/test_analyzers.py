@@ -262,17 +262,28 @@ def test_registry(spark):
     with pytest.raises(TypeError):
         embeddings.register_backend("x")(dict)
     with pytest.raises(ValueError):
-        embeddings.register_backend("miniLM")(embeddings.HashedWords)
+        embeddings.register_backend("hashed-words")(type("Other", (embeddings.HashedWords,), {}))
     with pytest.raises(KeyError, match="hashed-words"):
         embeddings.get_backend("nope")
 
 
-def test_selection():
-    pick = assemble.select_analyzers
-    assert pick() == ["dependency", "keywords", "lexical_stats", "ner", "pos", "readability"]
-    assert pick(enable=["pos", "nope"]) == ["pos", "dependency"]
-    assert pick(enable=["pos"], disable=["dependency"]) == ["pos"]
-    assert pick(enable=["embeddings"], disable=["dependency"], with_sentiment=True) == ["embeddings", "sentiment"]
+CHOICES = [
+    ({}, ["dependency", "keywords", "lexical_stats", "ner", "pos", "readability"]),
+    ({"enable": ["pos", "nope", "pos"]}, ["pos", "dependency"]),
+    ({"enable": ["pos"], "disable": ["dependency"]}, ["pos", "dependency"]),
+    ({"disable": ["keywords", "readability"]}, ["dependency", "lexical_stats", "ner", "pos"]),
+    ({"enable": ["embeddings"], "with_sentiment": True}, ["sentiment", "dependency"]),
+    ({"disable": ["embeddings", "pos"], "enable": ["pos", "ner"], "with_embeddings": True}, ["ner", "embeddings", "dependency"]),
+    ({"enable": ["sentiment", "embeddings", "dependency"], "with_embeddings": True, "with_sentiment": True}, ["sentiment", "embeddings", "dependency"])]
+
+
+def test_selection(spark):
+    """The rule on lists, and the same rule on columns."""
+    rows = spark.createDataFrame([(i, c.get("enable"), c.get("disable"), c.get("with_embeddings", False), c.get("with_sentiment", False)) for i, (c, _) in enumerate(CHOICES)],
+                                 "i int, enable array<string>, disable array<string>, e boolean, s boolean")
+    got = rows.select("i", assemble.chosen_analyzers(F.col("enable"), F.col("disable"), F.col("e"), F.col("s")).alias("names")).orderBy("i").collect()
+    for (args, want), r in zip(CHOICES, got):
+        assert assemble.select_analyzers(**args) == want == r["names"]
 
 
 def test_payloads_satisfy_the_contract(spark, docs, tmp_path):

@@ -159,6 +159,28 @@ def test_robots_first_rule_decides(spark):
     assert extract.robots_filter(pages, rules, policy="ignore").filter("NOT allowed").count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_many_rules_on_one_host(spark, monkeypatch, broadcast):
+    """100,000 rules of one host against a walk over all of them; also where nothing may be broadcast."""
+    import random
+    from textloom import scale
+    if not broadcast:
+        monkeypatch.setattr(extract, "bounded_broadcast", lambda df: scale.bounded_broadcast(df, 0))
+    rng = random.Random(3)
+    part = lambda: "/" + rng.choice("abcdefghij") * rng.randint(1, 3)
+    data = [("big", s, "".join(part() for _ in range(rng.randint(1, 6))), rng.random() < 0.5) for s in range(100_000)] + [("small", 1, "", False), ("small", 0, "/x", True)]
+    paths = ["".join(part() for _ in range(rng.randint(0, 7))) or "/" for _ in range(400)]
+    pages = spark.createDataFrame([(i, f"http://big{p}") for i, p in enumerate(paths)] + [(900, "http://small/y"), (901, "http://small/xy"), (902, "http://none/a"), (903, None)],
+                                  "page_id bigint, url string")
+    first = {}
+    for _, s, prefix, allow in reversed(data[:100_000]):
+        first[prefix] = (s, allow)
+    want = {i: min((first[p[:n]] for n in range(len(p) + 1) if p[:n] in first), default=(0, True))[1] for i, p in enumerate(paths)}
+    want |= {900: False, 901: True, 902: True, 903: True}
+    rules = extract.rules_table(spark, data)
+    assert {r["page_id"]: r["allowed"] for r in extract.robots_filter(pages, rules).collect()} == want
+
+
 def test_crawl_plan_of_a_hot_host(spark):
     pages = spark.range(3000).selectExpr("id AS page_id", "concat('http://', if(id % 3 = 0, 'x', 'hot'), '/', id) AS url")
     from textloom.scale import ordered_rank

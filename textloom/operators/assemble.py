@@ -57,17 +57,25 @@ get_analyzer = _ANALYZERS.find
 
 def select_analyzers(enable: list[str] | None = None, disable: list[str] | None = None,
                      with_embeddings: bool = False, with_sentiment: bool = False) -> list[str]:
-    """Names to run: the enabled (default: all but the optional two), minus the disabled, plus flagged optional ones.
-
-    Unknown names are skipped. ``dependency`` is added unless it is disabled. An explicit enable of an optional
-    analyzer is honoured.
+    """Names to run: the enabled (default: all) without the disabled and the unknown. The two optional analyzers run with their flag, even where they are
+    disabled, and without it never, even where they are enabled. ``dependency`` always runs. ``chosen_analyzers`` is the same rule over columns.
     """
-    chosen = list(enable) if enable else [n for n in available_analyzers() if n not in OPTIONAL]
-    dropped = set(disable or ())
-    for name, wanted in (("embeddings", with_embeddings), ("sentiment", with_sentiment), ("dependency", True)):
-        if wanted and name not in chosen:
-            chosen.append(name)
-    return [n for n in dict.fromkeys(chosen) if n in _ANALYZERS.entries and n not in dropped]
+    known = available_analyzers()
+    chosen = [n for n in dict.fromkeys(enable or known) if n in known and n not in (disable or ())]
+    for name, wanted in zip(OPTIONAL, (with_embeddings, with_sentiment)):
+        chosen = [n for n in chosen if n != name] if not wanted else chosen if name in chosen else [*chosen, name]
+    return chosen if "dependency" in chosen else [*chosen, "dependency"]
+
+
+def chosen_analyzers(enable: Column, disable: Column, with_embeddings: Column, with_sentiment: Column) -> Column:
+    """The rule of ``select_analyzers`` for every row: arrays of names and flags in, array of names out. Null or empty ``enable`` means all."""
+    known = F.array(*[F.lit(n) for n in available_analyzers()])
+    chosen = F.when(F.coalesce(F.size(enable), F.lit(0)) > 0, F.array_distinct(enable)).otherwise(known)
+    chosen = F.filter(chosen, lambda n: F.array_contains(known, n) & ~F.coalesce(F.array_contains(disable, n), F.lit(False)))
+    for name, wanted in zip(OPTIONAL, (with_embeddings, with_sentiment)):
+        rest = F.array_remove(chosen, F.lit(name))
+        chosen = F.when(wanted, F.when(F.array_contains(chosen, name), chosen).otherwise(F.array_append(chosen, F.lit(name)))).otherwise(rest)
+    return F.when(F.array_contains(chosen, "dependency"), chosen).otherwise(F.array_append(chosen, F.lit("dependency")))
 
 
 def _ranked(rows: DataFrame, by: list[str], order: str, a: str, b: str, name: str) -> DataFrame:

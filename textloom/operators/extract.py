@@ -64,18 +64,19 @@ def crawl_plan(pages: DataFrame, requests_per_second: float = 0.5) -> DataFrame:
 def robots_filter(pages: DataFrame, rules: DataFrame, policy: str = "respect") -> DataFrame:
     """``allowed`` flag per page: the first rule of the host (by ``seq``) whose prefix matches decides.
 
-    Hosts without rules, and every page under policy ``ignore``, are allowed. Rules are first packed to one
-    row per host, so the pages meet at most one row each and are never multiplied.
+    Hosts without rules, and every page under policy ``ignore``, are allowed. A page is looked up with those prefixes of its path that are as long as some rule of
+    its host, so it meets at most one rule for each length, however many rules a host has, and rules and pages of a host are dealt by prefix.
     """
     rows = pages.select("page_id", "url", tx.url_domain(F.col("url")).alias("host"),
                         tx.url_path(F.col("url")).alias("path"))
     if policy == "ignore":
         return rows.select("page_id", "url", F.lit(True).alias("allowed"))
-    packed = rules.groupBy("host").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "prefix", "allow"))).alias("rules"))
-    joined = rows.join(bounded_broadcast(packed), "host", "left")
-    hit = F.filter("rules", lambda r: F.startswith(F.col("path"), r["prefix"]))
-    return joined.select("page_id", "url", F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True)).alias("allowed"))
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("lengths"))  # bounded by the longest prefix
+    first = rules.groupBy("host", "prefix").agg(F.min(F.struct("seq", "allow")).alias("rule"))
+    rows = rows.join(bounded_broadcast(lengths), "host", "left")
+    rows = rows.select("page_id", "url", "host", "path", F.explode_outer(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    rows = rows.withColumn("prefix", F.substring("path", F.lit(1), F.col("n"))).join(bounded_broadcast(first), ["host", "prefix"], "left")
+    return rows.groupBy("page_id", "url").agg(F.min("rule").alias("rule")).select("page_id", "url", F.coalesce("rule.allow", F.lit(True)).alias("allowed"))
 
 
 def error_columns(kind: Column) -> list[Column]:

@@ -275,14 +275,25 @@ def _paths(spark, sf):
     return extract.json_path_checks(rows, "doc_id", "payload", _PATHS)
 
 
-@query("select_analyzers", sp.query(
-    "v AS (SELECT doc_id, n_chars FROM documents)",
-    select="""SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN 'keywords,ner,pos,readability,dependency' ELSE 'lexical_stats,pos,sentiment,dependency' END AS names FROM v"""))
+# What the users of every document ask for. Valid in both SQL dialects.
+_ENABLE = """CASE n_chars % 4 WHEN 0 THEN '' WHEN 1 THEN 'pos,ner,pos' WHEN 2 THEN concat('lexical_stats,embeddings,', source, ',keywords') ELSE 'sentiment,keywords,dependency' END"""
+_DISABLE = "CASE n_chars % 3 WHEN 0 THEN '' WHEN 1 THEN 'keywords,readability' ELSE concat('sentiment,dependency,pos,', lang) END"
+_FLAGS = ("n_chars % 5 = 0", "n_chars % 7 < 3")
+
+
+def _flag_sql(names: str, name: str, flag: str) -> str:
+    return (f"CASE WHEN NOT ({flag}) THEN list_filter({names}, lambda x: x <> '{name}') WHEN list_contains({names}, '{name}') THEN {names} ELSE list_append({names}, '{name}') END")
+
+
+@query("select_analyzers", f"""SELECT doc_id, array_to_string(CASE WHEN list_contains(c, 'dependency') THEN c ELSE list_append(c, 'dependency') END, ',') AS names FROM (
+ SELECT doc_id, {_flag_sql('b', 'sentiment', _FLAGS[1])} AS c FROM (SELECT *, {_flag_sql('a', 'embeddings', _FLAGS[0])} AS b FROM (
+ SELECT doc_id, n_chars, list_filter([e[i] for i in range(1, len(e) + 1) if list_position(e, e[i]) = i],
+   lambda x: x IN {sp.in_list(assemble.available_analyzers())} AND NOT list_contains(string_split({_DISABLE}, ','), x)) AS a
+ FROM (SELECT *, CASE WHEN {_ENABLE} = '' THEN {assemble.available_analyzers()} ELSE string_split({_ENABLE}, ',') END AS e FROM documents))))""")
 def _select(spark, sf):
-    a = assemble.select_analyzers(disable=["lexical_stats", "dependency"]) + ["dependency"]
-    b = assemble.select_analyzers(enable=["lexical_stats", "pos", "unknown"], with_sentiment=True)
-    pick = F.when(F.col("n_chars") % 2 == 0, ",".join(a)).otherwise(",".join(b))
-    return views.documents(spark, sf).select("doc_id", pick.alias("names"))
+    names = lambda csv: F.filter(F.split(F.expr(csv), ","), lambda n: n != "")
+    picked = assemble.chosen_analyzers(names(_ENABLE), names(_DISABLE), *[F.expr(f) for f in _FLAGS])
+    return views.documents(spark, sf).select("doc_id", F.array_join(picked, ",").alias("names"))
 
 
 # ---------------------------------------------------------------- tokens, sentences, annotations
@@ -566,21 +577,26 @@ def _l2(spark, sf):
 _EMB_DIM = 64
 
 
-@query("embed_documents", f"""WITH w AS (SELECT doc_id, unnest({sp.word_list('text')}) AS w FROM documents),
+_EMBED_SQL = f"""w AS (SELECT doc_id, unnest({sp.word_list('text')}) AS w FROM documents),
 c AS (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 6))::BIGINT % {_EMB_DIM} AS INTEGER) AS cell,
   sum(CASE WHEN substr(md5(w), 7, 1) IN ('0','1','2','3','4','5','6','7') THEN 1 ELSE -1 END) AS x FROM w GROUP BY 1, 2),
-n AS (SELECT doc_id, sqrt(sum(CAST(x * x AS DOUBLE))) AS n FROM c GROUP BY 1)
-SELECT c.doc_id, cell, round(CAST(x AS DOUBLE) / n, 6) AS value FROM c JOIN n ON n.doc_id = c.doc_id WHERE x <> 0""")
+n AS (SELECT doc_id, sqrt(sum(CAST(x * x AS DOUBLE))) AS n FROM c GROUP BY 1)"""
+
+
+@query("embed_documents", f"WITH {_EMBED_SQL} SELECT c.doc_id, cell, round(CAST(x AS DOUBLE) / n, 6) AS value FROM c JOIN n ON n.doc_id = c.doc_id WHERE x <> 0")
 def _embed(spark, sf):
-    rows = embeddings.embed_documents(views.documents(spark, sf), embeddings.get_backend("hashed-words", dim=_EMB_DIM))
+    rows = embeddings.embed_documents(views.documents_rows(spark, sf), embeddings.get_backend("hashed-words", dim=_EMB_DIM))
     cells = rows.select("doc_id", F.posexplode_outer("vector").alias("cell", "value"))
     return rounded(cells.filter(F.col("value") != 0.0))
 
 
-@query("embedding_provenance", f"SELECT doc_id, 'hashed-words' AS backend, 'md5-{_EMB_DIM}' AS model, {_EMB_DIM} AS dim, true AS normalized, true AS dim_ok, true AS norm_ok FROM documents")
+@query("embedding_provenance", f"""WITH {_EMBED_SQL}, v AS (SELECT d.doc_id, list_transform(range({_EMB_DIM}), lambda i: coalesce(list_filter(z, lambda y: y.cell = i)[1].x, 0)) AS cells
+  FROM documents d LEFT JOIN (SELECT c.doc_id, list({{'cell': cell, 'x': CAST(x AS DOUBLE) / CASE WHEN n = 0 THEN 1 ELSE n END}}) AS z FROM c JOIN n ON n.doc_id = c.doc_id GROUP BY 1) e ON e.doc_id = d.doc_id)
+ SELECT doc_id, 'hashed-words' AS backend, 'md5-{_EMB_DIM}' AS model, {_EMB_DIM} AS dim, true AS normalized, len(cells) = {_EMB_DIM} AS dim_ok,
+ abs(sqrt(list_sum(list_transform(cells, lambda x: x * x))) - 1) < 0.001 OR list_sum(list_transform(cells, lambda x: x * x)) = 0 AS norm_ok FROM v""")
 def _provenance(spark, sf):
     backend = embeddings.get_backend("hashed-words", dim=_EMB_DIM)
-    return embeddings.check_provenance(embeddings.embed_documents(views.documents(spark, sf), backend))
+    return embeddings.check_provenance(embeddings.embed_documents(views.documents_rows(spark, sf), backend))
 
 
 def _corpus(spark, sf) -> assemble.Corpus:
