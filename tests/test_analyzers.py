@@ -286,6 +286,39 @@ def test_selection(spark):
         assert assemble.select_analyzers(**args) == want == r["names"]
 
 
+def rounded_json(x):
+    if isinstance(x, dict):
+        return {k: rounded_json(v) for k, v in x.items()}
+    return [rounded_json(v) for v in x] if isinstance(x, list) else round(x, 9) if isinstance(x, float) else x
+
+
+@pytest.mark.parametrize("own_lexicon", [False, True])
+def test_fused_results_are_those_of_the_single_analyzers(spark, docs, own_lexicon):
+    """All eight analyzers, on documents of all kinds, by one pass and one by one; a language without rules has no arcs; other analyzers join in."""
+    import json
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.when(F.col("doc_id") % 9 == 0, "it").otherwise(F.col("lang")).alias("lang"))
+    d = d.filter("doc_id < 80").union(docs(("", "en"), ("...", "de"), (None, "fr"), ("A", "en")).select(F.col("doc_id") + 5000, "text", "lang"))
+    d = d.withColumn("lang_confidence", F.lit(0.5))
+    own = lexicons.lexicon(spark).filter("word <> 'the'") if own_lexicon else None
+    corpus = assemble.Corpus(d, own)
+    got = {(r["doc_id"], r["name"]): r for r in assemble.analyzer_results(corpus, assemble.available_analyzers()).collect()}
+    for name in assemble.available_analyzers():
+        for r in assemble.get_analyzer(name)(corpus).select("doc_id", "confidence", F.to_json("results").alias("j")).collect():
+            one = got.pop((r["doc_id"], name))
+            assert one["confidence"] == r["confidence"] and one["lang_confidence"] == 0.5 and one["processing_time"] is None
+            assert rounded_json(json.loads(one["results"])) == rounded_json(json.loads(r["j"])), (r["doc_id"], name)
+    assert not got
+    arcs = {r["doc_id"]: json.loads(r["results"]) for r in assemble.analyzer_results(corpus, ["dependency"]).collect()}
+    assert arcs[5000]["supported"] is False and set(arcs[5000]) == {"supported", "note"}
+    assert all(arcs[i]["supported"] is own_lexicon for i in arcs if i < 5000 and i % 9 == 0)
+    plan = assemble.payloads(corpus, d.select("doc_id", F.lit("").alias("source_type"), F.lit("").alias("source_value"), F.lit("").alias("domain"), F.lit("").alias("title"),
+                                              F.length("text").alias("char_count"), F.lit(1).alias("word_count")), assemble.available_analyzers())
+    if not own_lexicon:
+        plan.collect()
+        final = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("FileScan parquet") <= 3
+
+
 def test_payloads_satisfy_the_contract(spark, docs, tmp_path):
     from textloom.sources import readers, sinks
     d = docs(("The children went to New York. It is red! Mail a@b.org, 12 times.", "en"), ("Der Hund und die Katze schlafen lange.", "de"),
@@ -297,9 +330,11 @@ def test_payloads_satisfy_the_contract(spark, docs, tmp_path):
     sinks.write_payloads(out, str(tmp_path / "p"))
     back = spark.read.text(str(tmp_path / "p")).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("payload"))
     assert back.count() == 3
-    assert quality.payload_violations(back).collect() == []
+    # The empty text has no arcs: its dependency result says so, and is no shape of the strict contract.
+    assert [(r["path"], r["rule"]) for r in quality.payload_violations(back).collect()] == [("analyzers[0].results", "oneOf")]
     shapes = quality.result_shapes(quality.analyzer_rows(back))
-    assert shapes.filter("NOT shape_ok").count() == 0 and shapes.count() == 3 * 8
+    assert [r["name"] for r in shapes.filter("NOT shape_ok").collect()] == ["dependency"] and shapes.count() == 3 * 8
+    assert quality.result_shapes(quality.analyzer_rows(back), strict=False).filter("NOT shape_ok").count() == 0
     assert quality.analyzer_coverage(back, quality.ANALYZER_NAMES).filter("passed").count() == 3
     doc = docs  # noqa: F841
     js = assemble.token_json(d, trees.baseline_arcs(tokens.tokens(d)), tokens.entities(d))

@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import __version__, lexicons
-from textloom.operators import embeddings, keywords, language, lexical, readability, sentiment, tokens, trees
+from textloom.operators import embeddings, keywords, language, lexical, profile, readability, sentiment, tokens, trees
 from textloom.operators.registry import Registry
 
-READABILITY_NOTE = "The formulas were fitted to English prose; compare scores of other languages with care."
 OPTIONAL = ("embeddings", "sentiment")
 
 
@@ -42,6 +41,12 @@ class Corpus:
         """Sentences with arcs; those of the default lexicon need no token table."""
         return trees.document_sentences(self.docs) if self.lexicon is None else trees.with_baseline(trees.gathered(self.tokens))
 
+    @cached_property
+    def profiles(self) -> DataFrame:
+        """The figures of the built-in analyzers from few passes over the text (``profile``)."""
+        keep = tuple(c for c in ("lang", "lang_confidence") if c in self.docs.columns)
+        return profile.profiles(self.docs, self.lexicon, self.valence, keep=keep)
+
     @cached_property
     def spans(self) -> DataFrame:
         return tokens.entities(self.docs)
@@ -98,7 +103,8 @@ def _results(rows: DataFrame, confidence: Column | float = 1.0) -> DataFrame:
 @register_analyzer("lexical_stats")
 def _lexical(c: Corpus) -> DataFrame:
     top = _ranked(lexical.top_lemmas(c.tokens), ["doc_id"], "rank", "lemma", "count", "top_lemmas")
-    return _results(lexical.lexical_stats(c.docs).join(top, "doc_id", "left"))
+    rows = lexical.lexical_stats(c.docs).join(top, "doc_id", "left")
+    return _results(rows.withColumn("top_lemmas", F.coalesce("top_lemmas", F.array().cast("array<array<variant>>"))))
 
 
 @register_analyzer("pos")
@@ -115,7 +121,8 @@ def _pos(c: Corpus) -> DataFrame:
     rows = c.docs.select("doc_id").join(rows, "doc_id", "left").join(top, "doc_id", "left")
     return _results(rows.select(
         "doc_id", F.coalesce("upos_counts", F.create_map().cast("map<string,bigint>")).alias("upos_counts"),
-        F.coalesce("upos_ratios", F.create_map().cast("map<string,double>")).alias("upos_ratios"), "top_lemmas_by_upos"))
+        F.coalesce("upos_ratios", F.create_map().cast("map<string,double>")).alias("upos_ratios"),
+        F.coalesce("top_lemmas_by_upos", F.create_map().cast("map<string,array<array<variant>>>")).alias("top_lemmas_by_upos")))
 
 
 @register_analyzer("ner")
@@ -135,7 +142,7 @@ def _ner(c: Corpus) -> DataFrame:
 @register_analyzer("readability")
 def _readability(c: Corpus) -> DataFrame:
     rows = readability.text_standard(readability.scores(c.docs)).drop("consensus_grade", "words", "syllables")
-    return _results(rows.select("doc_id", F.lit(True).alias("supported"), F.lit(READABILITY_NOTE).alias("note"),
+    return _results(rows.select("doc_id", F.lit(True).alias("supported"), F.lit(profile.READABILITY_NOTE).alias("note"),
                                 *[x for x in rows.columns if x != "doc_id"]))
 
 
@@ -154,10 +161,11 @@ def _dependency(c: Corpus) -> DataFrame:
     arcs = lexical.head_pos_dep(c.sentences)
     pairs = _as_map(arcs, "arc", "count", "head_pos_dep")
     rows = c.docs.select("doc_id").join(deps, "doc_id", "left").join(pairs, "doc_id", "left")
-    has = F.col("dep_counts").isNotNull()
+    rows = rows.join(c.docs.select("doc_id", "lang"), "doc_id")
+    has = F.col("dep_counts").isNotNull() & (F.col("lang").isin(*lexicons.LANGUAGE_MODELS) if c.lexicon is None else F.lit(True))
     return _results(rows.select(
-        "doc_id", has.alias("supported"), F.coalesce("dep_counts", F.create_map().cast("map<string,bigint>")).alias("dep_counts"),
-        F.coalesce("head_pos_dep", F.create_map().cast("map<string,bigint>")).alias("head_pos_dep")),
+        "doc_id", has.alias("supported"), F.when(~has, profile.NO_PARSER).alias("note"), F.when(has, F.col("dep_counts")).alias("dep_counts"),
+        F.when(has, F.coalesce("head_pos_dep", F.create_map().cast("map<string,bigint>"))).alias("head_pos_dep")),
         F.when(F.col("supported"), 0.9).otherwise(0.8))
 
 
@@ -179,18 +187,45 @@ def _embeddings(c: Corpus) -> DataFrame:
     return _results(rows.select("doc_id", F.lit(True).alias("supported"), "backend", "model", "dim", "normalized", "vector"))
 
 
-def analyzer_results(corpus: Corpus, names: list[str]) -> DataFrame:
-    """One row per (document, analyzer): name, confidence, results as JSON text, language and model."""
-    out = None
-    for name in names:
-        rows = get_analyzer(name)(corpus).select(
-            "doc_id", F.lit(name).alias("name"), "confidence", F.to_json("results").alias("results"))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+_BUILT_IN = dict(_ANALYZERS.entries)
+#: Analyzers whose results are columns of ``Corpus.profiles``, with the confidence of a result.
+FUSED: dict[str, Callable[[], Column]] = {n: lambda: F.lit(1.0) for n in ("lexical_stats", "pos", "ner", "readability", "keywords", "embeddings")}
+FUSED["sentiment"] = lambda: F.col("sentiment.score")
+FUSED["dependency"] = lambda: F.when(F.col("dependency.supported"), 0.9).otherwise(0.8)
+
+
+def _is_fused(corpus: Corpus, name: str) -> bool:
+    """Own analyzers, and embeddings by another back end, have a pass of their own."""
+    return name in FUSED and _ANALYZERS.entries[name] is _BUILT_IN[name] and (name != "embeddings" or isinstance(corpus.backend, embeddings.HashedWords))
+
+
+def _wide_results(corpus: Corpus, names: list[str]) -> DataFrame:
+    """One row for each document: doc_id, lang, lang_confidence, model, and for each analyzer a struct (confidence, results)."""
+    if not names:
         raise ValueError("no analyzer selected")
-    meta = language.route_language(
-        corpus.docs.select("doc_id", F.col("lang").alias("language_code"), "lang_confidence"), F.col("language_code"))
-    return out.join(meta.select("doc_id", "language_code", "lang_confidence", "model"), "doc_id")
+    fused = [n for n in names if _is_fused(corpus, n)]
+    if fused:
+        base = corpus.profiles
+        keep = [c for c in ("lang", "lang_confidence") if c in base.columns]
+        rows = base.select("doc_id", *keep, *[F.struct(FUSED[n]().cast("double").alias("confidence"), F.col(n).alias("results")).alias(n) for n in fused])
+    else:
+        rows = corpus.docs.select("doc_id", *[c for c in ("lang", "lang_confidence") if c in corpus.docs.columns])
+    for n in names:
+        if n not in fused:
+            own = get_analyzer(n)(corpus)
+            rows = rows.join(own.select("doc_id", F.struct("confidence", "results").alias(n)), "doc_id", "left")
+    rows = rows.withColumnRenamed("lang", "language_code")
+    return language.route_language(rows, F.col("language_code")).drop("language", "error")
+
+
+def analyzer_results(corpus: Corpus, names: list[str]) -> DataFrame:
+    """One row per (document, analyzer): name, confidence, results as JSON text, language and model. ``processing_time`` is null: steps of one plan have no time
+    of their own."""
+    rows = _wide_results(corpus, names)
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{n}.confidence").alias("confidence"), F.lit(None).cast("double").alias("processing_time"),
+                                 F.to_json(f"{n}.results").alias("results")) for n in names])
+    meta = [c for c in ("language_code", "lang_confidence", "model") if c in rows.columns]
+    return rows.select("doc_id", *meta, F.inline(entries)).filter("results IS NOT NULL").select("doc_id", "name", "confidence", "processing_time", "results", *meta)
 
 
 #: Result values that are kept in the flat summary, per analyzer.
@@ -199,37 +234,31 @@ SCALAR_TYPES = ("string", "long", "integer", "double", "boolean")
 
 def analyzer_summary(corpus: Corpus, names: list[str]) -> DataFrame:
     """Flat summary: one row per (document, analyzer), scalar results only, the union of all result columns."""
-    out = None
-    for name in names:
-        rows = get_analyzer(name)(corpus)
-        scalars = [f.name for f in rows.schema["results"].dataType.fields if f.dataType.typeName() in SCALAR_TYPES]
-        flat = rows.select("doc_id", F.lit(name).alias("name"), "confidence",
-                           *[F.col(f"results.{s}").alias(f"results_{s}") for s in scalars])
-        out = flat if out is None else out.unionByName(flat, allowMissingColumns=True)
-    meta = language.route_language(corpus.docs.select("doc_id", F.col("lang").alias("metadata_language")), F.col("metadata_language"))
-    return out.join(meta.select("doc_id", "metadata_language", F.col("model").alias("metadata_model")), "doc_id")
+    rows = _wide_results(corpus, names)
+    scalars = {n: [f.name for f in rows.schema[n].dataType["results"].dataType.fields if f.dataType.typeName() in SCALAR_TYPES] for n in names}
+    kinds = {f: rows.schema[n].dataType["results"].dataType[f].dataType for n in names for f in scalars[n]}
+    value = lambda n, f: (F.col(f"{n}.results.{f}") if f in scalars[n] else F.lit(None)).cast(kinds[f]).alias(f"results_{f}")
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{n}.confidence").alias("confidence"), F.lit(None).cast("double").alias("processing_time"),
+                                 *[value(n, f) for f in kinds]) for n in names])
+    return rows.select("doc_id", F.col("language_code").alias("metadata_language"), F.col("model").alias("metadata_model"), F.inline(entries)).filter("confidence IS NOT NULL")
 
 
 def payloads(corpus: Corpus, content: DataFrame, names: list[str], tool: str = "textloom") -> DataFrame:
-    """One JSON payload per document.
+    """One JSON payload per document, built in its row.
 
-    ``content``: doc_id, source_type, source_value, domain, title, char_count, word_count. Each document
-    gathers at most one entry per analyzer.
+    ``content``: doc_id, source_type, source_value, domain, title, char_count, word_count.
     """
-    rows = analyzer_results(corpus, names)
-    packed = rows.groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("name", "confidence", "results"))).alias("_a"),
-        F.first("language_code").alias("code"), F.first("lang_confidence").alias("conf"), F.first("model").alias("model"))
-    body = packed.join(content, "doc_id")
-    meta = F.struct(F.struct(F.col("code"), F.col("conf").alias("confidence")).alias("language"), F.col("model"))
-    entries = F.transform("_a", lambda a: F.struct(
-        a["name"].alias("name"), F.lit(0.0).alias("processing_time"), a["confidence"].alias("confidence"),
-        F.parse_json(a["results"]).alias("results"), meta.alias("metadata")))
-    return body.select("doc_id", F.col("code").alias("language"), F.to_json(F.struct(
+    body = _wide_results(corpus, names).join(content, "doc_id")
+    conf = F.col("lang_confidence") if "lang_confidence" in body.columns else F.lit(None).cast("double")
+    meta = F.struct(F.struct(F.col("language_code").alias("code"), conf.alias("confidence")).alias("language"), F.col("model"))
+    entries = F.array(*[F.when(F.col(n).isNotNull(), F.struct(
+        F.lit(n).alias("name"), F.lit(0.0).alias("processing_time"), F.col(f"{n}.confidence").alias("confidence"),
+        F.parse_json(F.to_json(f"{n}.results")).alias("results"), meta.alias("metadata"))) for n in sorted(names)])
+    return body.select("doc_id", F.col("language_code").alias("language"), F.to_json(F.struct(
         F.lit(tool).alias("tool"), F.lit(__version__).alias("version"),
         F.struct(F.col("source_type").alias("type"), F.col("source_value").alias("value"), F.col("domain")).alias("source"),
-        F.struct(F.col("code"), F.col("conf").alias("confidence"), F.col("model")).alias("language"),
-        F.struct("title", "char_count", "word_count").alias("content"), entries.alias("analyzers"))).alias("payload"))
+        F.struct(F.col("language_code").alias("code"), conf.alias("confidence"), F.col("model")).alias("language"),
+        F.struct("title", "char_count", "word_count").alias("content"), F.filter(entries, lambda e: e.isNotNull()).alias("analyzers"))).alias("payload"))
 
 
 def token_json(docs: DataFrame, arcs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -15,21 +15,21 @@ TOP_ARCS = 20
 NER_EXAMPLES = 10
 
 
-def lexical_stats(docs: DataFrame) -> DataFrame:
+def lexical_stats(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Counts, averages and type-token ratio per document from the raw text.
 
     All figures come from arrays built inside the row with the default word lists, so the job is map-only.
-    ``lexical_stats_of_tokens`` gives the same figures for an annotated token table.
+    ``lexical_stats_of_tokens`` gives the same figures for an annotated token table. ``extra`` columns are kept.
     """
-    rows = docs.select("doc_id", "lang", tx.words(F.col("text")).alias("_words"),
+    rows = docs.select("doc_id", *extra, F.col("lang").alias("_lang"), tx.words(F.col("text")).alias("_words"),
                        F.size(tx.raw_sentences(F.col("text"))).alias("sentences"))
-    rows = rows.select("doc_id", "lang", "sentences", F.size("_words").alias("_alpha"),
-                       F.filter("_words", lambda w: ~tx.is_stop(F.col("lang"), w)).alias("_content"))
+    rows = rows.select("doc_id", *extra, "_lang", "sentences", F.size("_words").alias("_alpha"),
+                       F.filter("_words", lambda w: ~tx.is_stop(F.col("_lang"), w)).alias("_content"))
     rows = rows.select(
-        "doc_id", "sentences", "_alpha", F.size("_content").alias("_n"),
+        "doc_id", *extra, "sentences", "_alpha", F.size("_content").alias("_n"),
         F.length(F.array_join("_content", "")).alias("_chars"),
-        F.size(F.array_distinct(F.transform("_content", lambda w: tx.lemma(F.col("lang"), w)))).alias("_unique"))
-    return _stats(rows)
+        F.size(F.array_distinct(F.transform("_content", lambda w: tx.lemma(F.col("_lang"), w)))).alias("_unique"), "_lang")
+    return _stats(rows, extra)
 
 
 def lexical_stats_of_tokens(toks: DataFrame) -> DataFrame:
@@ -43,10 +43,10 @@ def lexical_stats_of_tokens(toks: DataFrame) -> DataFrame:
     return _stats(rows)
 
 
-def _stats(rows: DataFrame) -> DataFrame:
+def _stats(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     n, sents = F.col("_n"), F.col("sentences")
     return rows.select(
-        "doc_id", n.cast("long").alias("total_tokens"), F.col("_unique").cast("long").alias("unique_lemmas"),
+        "doc_id", *extra, n.cast("long").alias("total_tokens"), F.col("_unique").cast("long").alias("unique_lemmas"),
         sents.cast("long").alias("sentences"),
         F.coalesce(F.try_divide("_chars", n), F.lit(0.0)).alias("avg_token_length"),
         F.coalesce(F.try_divide("_alpha", sents), F.lit(0.0)).alias("avg_sentence_length_tokens"),

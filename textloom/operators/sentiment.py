@@ -31,15 +31,16 @@ def valence_table(spark: SparkSession, entries: dict[str, float]) -> DataFrame:
 
 
 def scored_words(texts: DataFrame, valence: DataFrame, negators: tuple[str, ...] = lexicons.NEGATORS,
-                 boosters: dict[str, float] = lexicons.BOOSTERS, contrast: tuple[str, ...] = lexicons.CONTRAST_WORDS) -> DataFrame:
+                 boosters: dict[str, float] = lexicons.BOOSTERS, contrast: tuple[str, ...] = lexicons.CONTRAST_WORDS,
+                 extra: tuple[str, ...] = ()) -> DataFrame:
     """Words with their valence after every word-level rule (null for unlisted words), and the exclamation marks of their text; a text without words has
     one row without a word.
 
-    What stands before a word is looked up by position in arrays of the row, so no text is shuffled or sorted.
+    What stands before a word is looked up by position in arrays of the row, so no text is shuffled or sorted. ``extra`` columns are kept.
     """
     mixed = F.col("text").rlike(r"\p{Ll}") & F.col("text").rlike(r"\p{Lu}")
     bangs = F.least(F.lit(MAX_BANGS), F.length("text") - F.length(F.replace("text", F.lit("!"))))
-    rows = texts.select("doc_id", mixed.alias("_mixed"), bangs.alias("_bangs"), F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0)).alias("_w"))
+    rows = texts.select("doc_id", *extra, mixed.alias("_mixed"), bangs.alias("_bangs"), F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0)).alias("_w"))
     rows = rows.withColumn("_l", F.transform("_w", lambda w: F.lower(w)))
     rows = rows.withColumn("_b", F.transform("_l", lambda w: _booster(w, boosters))).withColumn("_n", F.transform("_l", lambda w: w.isin(*negators)))
     rows = rows.withColumn("_c", F.nullif(F.array_position(F.transform("_l", lambda w: w.isin(*contrast)), F.lit(True)), F.lit(0)) - 1)
@@ -52,7 +53,7 @@ def scored_words(texts: DataFrame, valence: DataFrame, negators: tuple[str, ...]
         return F.struct(i.alias("pos"), w.alias("word"), F.get("_l", i).alias("lower"), (b[0] * FADE[0] + b[1] * FADE[1] + b[2] * FADE[2]).alias("boost"),
                         (n[0] | n[1] | n[2]).alias("negated"))
 
-    rows = rows.select("doc_id", "_mixed", "_bangs", F.col("_c").alias("first_contrast"), F.inline_outer(F.transform("_w", placed)))
+    rows = rows.select("doc_id", *extra, "_mixed", "_bangs", F.col("_c").alias("first_contrast"), F.inline_outer(F.transform("_w", placed)))
     rows = rows.join(bounded_broadcast(valence).withColumnRenamed("word", "_listed"), F.col("lower") == F.col("_listed"), "left")
     v = F.col("valence")
     sign = F.when(v > 0, 1.0).when(v < 0, -1.0).otherwise(0.0)
@@ -62,7 +63,7 @@ def scored_words(texts: DataFrame, valence: DataFrame, negators: tuple[str, ...]
     v = F.when(F.col("negated"), v * NEGATION).otherwise(v)
     v = (F.when(F.col("first_contrast").isNull() | (F.col("pos") == F.col("first_contrast")), v)
          .when(F.col("pos") < F.col("first_contrast"), v * BEFORE_CONTRAST).otherwise(v * AFTER_CONTRAST))
-    return rows.select("doc_id", "_bangs", "pos", "lower", F.round(v * MICRO).cast("long").alias("micro"))
+    return rows.select("doc_id", *extra, "_bangs", "pos", "lower", F.round(v * MICRO).cast("long").alias("micro"))
 
 
 def _booster(word: Column, boosters: dict[str, float]) -> Column:
@@ -72,15 +73,15 @@ def _booster(word: Column, boosters: dict[str, float]) -> Column:
     return step
 
 
-def valence_scores(texts: DataFrame, valence: DataFrame, **lists) -> DataFrame:
-    """neg, neu, pos shares and the compound score per text. Texts without words are neutral.
+def valence_scores(texts: DataFrame, valence: DataFrame, extra: tuple[str, ...] = (), **lists) -> DataFrame:
+    """neg, neu, pos shares and the compound score per text, and its ``extra`` columns. Texts without words are neutral.
 
     ``lists`` may replace the negators, boosters and contrast words of ``scored_words``.
     """
-    words = scored_words(texts, valence, **lists)
+    words = scored_words(texts, valence, extra=extra, **lists)
     m = F.coalesce(F.col("micro"), F.lit(0))
     # Summed in the map task: a few numbers of each text are all that is shuffled.
-    rows = words.groupBy("doc_id", "_bangs").agg(
+    rows = words.groupBy("doc_id", *extra, "_bangs").agg(
         F.sum(m).alias("_sum"),
         F.sum(F.when(m > 0, m + MICRO).otherwise(0)).alias("_pos"),
         F.sum(F.when(m < 0, MICRO - m).otherwise(0)).alias("_neg"),
@@ -92,7 +93,7 @@ def valence_scores(texts: DataFrame, valence: DataFrame, **lists) -> DataFrame:
     compound = F.col("_x") / F.sqrt(F.col("_x") * F.col("_x") + ALPHA)
     mass = (F.col("_pos") + F.col("_neg") + F.col("_neu")).cast("double")
     share = lambda c: F.round(F.coalesce(F.try_divide(F.col(c).cast("double"), mass), F.lit(0.0)), 6)
-    return rows.select("doc_id", share("_neg").alias("neg"), share("_neu").alias("neu"), share("_pos").alias("pos"),
+    return rows.select("doc_id", *extra, share("_neg").alias("neg"), share("_neu").alias("neu"), share("_pos").alias("pos"),
                        F.round(compound, 6).alias("compound"))
 
 

@@ -111,45 +111,44 @@ def _phrase(pieces: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(pieces, ""), r"\s+", " "))
 
 
-def name_spans(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Every place where tokens spell a name of the gazetteer, in any case: doc_id, start, end, label, text. Places may overlap.
+def candidate_spans(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """Every place of a pattern (kind 0), of a name of the gazetteer in any case (1) and of a number (2): doc_id, start, end, label, text, kind.
 
-    Each token is looked up in an index of first tokens, which tells the lengths of the names that start with it; only those are compared. The index and the
-    names are broadcast when they are proven small, else joined by a shuffle of the tokens.
+    Patterns and numbers: the text is cut into chunks that are a pattern's or one word, and the start of a chunk is its number plus the extra tokens of
+    earlier chunks. Names: each token is looked up in an index of first tokens, which tells the lengths of the names that start with it; only those are
+    compared. Both come from one pass over the text, and only what may be an entity leaves the row. The index and the names are broadcast when they are
+    proven small, else joined by a shuffle of the tokens.
     """
     names = name_table(gazetteer)
     lengths = names.groupBy("first").agg(F.collect_set("n").alias("lengths"))  # bounded by the longest name
     longest = names.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
-    pieces = docs.select("doc_id", F.regexp_extract_all("text", F.lit(tx.TOKEN_WITH_SPACE), F.lit(0)).alias("p"))
-    rows = pieces.select("doc_id", F.posexplode(F.transform("p", lambda x, i: F.slice("p", i + 1, F.lit(longest)))).alias("start", "w"))
-    rows = rows.withColumn("_first", F.lower(F.rtrim(F.col("w")[0], F.lit(tx.BLANKS))))
-    rows = rows.join(bounded_broadcast(lengths), F.col("_first") == F.col("first"))
-    rows = rows.select("doc_id", "start", "w", F.explode("lengths").alias("_n")).filter(F.size("w") >= F.col("_n"))
-    rows = rows.withColumn("text", _phrase(F.slice("w", F.lit(1), F.col("_n"))))
-    rows = rows.join(bounded_broadcast(names), (F.lower("text") == F.col("key")) & (F.col("_n") == F.col("n")))
-    return rows.select("doc_id", "start", (F.col("start") + F.col("n")).alias("end"), "label", "text")
-
-
-def pattern_spans(docs: DataFrame) -> DataFrame:
-    """Places of the entity patterns and of numbers: doc_id, start, end, label, text, kind (0 pattern, 2 number). They do not overlap.
-
-    The text is cut into chunks that are a pattern's or one word; the start of a chunk is its number plus the extra tokens of earlier chunks. Only chunks that
-    may be entities or hold several tokens leave the row, so this is what is shuffled, not the text.
-    """
     branches = [p for _, p in lexicons.ENTITY_PATTERNS] + [lexicons.MIXED_WORD_PATTERN, lexicons.NUMBER_PATTERN, r"[^\s\p{L}\p{N}]"]
-    chunks = F.transform(F.regexp_extract_all("text", F.lit("|".join(branches)), F.lit(0)),
-                         lambda c, i: F.struct(i.alias("i"), c.alias("text")))
-    rows = docs.select("doc_id", F.inline(F.filter(chunks, lambda c: c["text"].rlike(r"[\p{N}@/]"))))
-    rows = rows.withColumn("n", F.size(F.regexp_extract_all("text", F.lit(tx.TOKEN), F.lit(0))))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", (F.col("i") + F.coalesce(F.sum(F.col("n") - 1).over(before), F.lit(0))).cast("int"))
+    rows = docs.select("doc_id", F.regexp_extract_all("text", F.lit("|".join(branches)), F.lit(0)).alias("_c"),
+                       F.regexp_extract_all("text", F.lit(tx.TOKEN_WITH_SPACE), F.lit(0)).alias("_p"))
+    chunks = F.filter(F.transform("_c", lambda c, i: F.struct(i.alias("i"), F.array(c).alias("w"), F.lit(False).alias("is_name"))),
+                      lambda c: c["w"][0].rlike(r"[\p{N}@/]"))
+    starts = F.transform("_p", lambda x, i: F.struct(i.alias("i"), F.slice("_p", i + 1, F.lit(longest)).alias("w"), F.lit(True).alias("is_name")))
+    rows = rows.select("doc_id", F.inline(F.concat(chunks, starts)))
+    # Chunks meet no name: their keys hold a line break, and the document's id, so that they are spread where the look-up is a shuffle.
+    nowhere = F.concat(F.lit("\n"), F.col("doc_id").cast("string"))
+    rows = rows.withColumn("_first", F.when(F.col("is_name"), F.lower(F.rtrim(F.col("w")[0], F.lit(tx.BLANKS)))).otherwise(nowhere))
+    rows = rows.join(bounded_broadcast(lengths), F.col("_first") == F.col("first"), "left").filter(~F.col("is_name") | F.col("first").isNotNull())
+    rows = rows.select("doc_id", "i", "w", "is_name", F.explode_outer("lengths").alias("_n")).filter(~F.col("is_name") | (F.size("w") >= F.col("_n")))
+    rows = rows.withColumn("text", F.when(F.col("is_name"), _phrase(F.slice("w", F.lit(1), F.col("_n")))).otherwise(F.col("w")[0]))
+    rows = rows.withColumn("_key", F.when(F.col("is_name"), F.lower("text")).otherwise(nowhere)).withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rows = rows.join(bounded_broadcast(names.withColumnRenamed("label", "name_label")), (F.col("_key") == F.col("key")) & (F.col("_n") == F.col("n")), "left")
+    rows = rows.filter(~F.col("is_name") | F.col("key").isNotNull())
+    rows = rows.withColumn("_size", F.when(F.col("is_name"), F.col("n")).otherwise(F.size(F.regexp_extract_all("text", F.lit(tx.TOKEN), F.lit(0)))))
+    before = Window.partitionBy("doc_id", "is_name").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    extra = F.when(F.col("is_name"), 0).otherwise(F.coalesce(F.sum(F.col("_size") - 1).over(before), F.lit(0)))
+    rows = rows.withColumn("start", (F.col("i") + extra).cast("int"))
     label = F.lit(None).cast("string")
     for name, pattern in reversed(lexicons.ENTITY_PATTERNS):
         label = F.when(F.col("text").rlike(f"^(?:{pattern})$"), name).otherwise(label)
     label = F.coalesce(label, F.when(F.col("text").rlike(f"^{lexicons.NUMBER_PATTERN}$"), "CARDINAL"))
-    rows = rows.withColumn("label", label).filter(F.col("label").isNotNull())
-    return rows.select("doc_id", "start", (F.col("start") + F.col("n")).cast("int").alias("end"), "label", "text",
-                       F.when(F.col("label") == "CARDINAL", 2).otherwise(0).alias("kind"))
+    rows = rows.withColumn("label", F.when(F.col("is_name"), F.col("name_label")).otherwise(label)).filter(F.col("label").isNotNull())
+    kind = F.when(F.col("is_name"), 1).when(F.col("label") == "CARDINAL", 2).otherwise(0)
+    return rows.select("doc_id", "start", (F.col("start") + F.col("_size")).cast("int").alias("end"), "label", "text", kind.alias("kind"))
 
 
 def entities(docs: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
@@ -161,7 +160,7 @@ def entities(docs: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
     """
     if gazetteer is None:
         gazetteer = local_table(docs.sparkSession, sorted(lexicons.GAZETTEER.items()), "name STRING, name_label STRING")
-    spans = pattern_spans(docs).unionByName(name_spans(docs, gazetteer).withColumn("kind", F.lit(1)))
+    spans = candidate_spans(docs, gazetteer)
     order = Window.partitionBy("doc_id").orderBy("start", "kind", F.desc("end"))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("_new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))

@@ -31,12 +31,12 @@ def listed_upos(lang: Column, lower: Column) -> Column:
     return by_lang
 
 
-def sentence_rows(docs: DataFrame) -> DataFrame:
-    """One row for each sentence (doc_id, lang, sent_id, sentence) with ``toks``, an array of (text, lower, spaced, is_alpha), and their ``upos``."""
-    rows = docs.select("doc_id", "lang", F.posexplode(tx.raw_sentences(F.col("text"))).alias("sent_id", "_s"))
+def sentence_rows(docs: DataFrame, keep: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """One row for each sentence (doc_id, ``keep`` with lang, sent_id, sentence) with ``toks``, an array of (text, lower, spaced, is_alpha), and their ``upos``."""
+    rows = docs.select("doc_id", *keep, F.posexplode(tx.raw_sentences(F.col("text"))).alias("sent_id", "_s"))
     pieces = F.regexp_extract_all("_s", F.lit(tx.TOKEN_WITH_SPACE), F.lit(0))
     stripped = F.transform(pieces, lambda p: F.struct(F.rtrim(p, F.lit(tx.BLANKS)).alias("text"), F.length(p).alias("n")))
-    rows = rows.select("doc_id", "lang", "sent_id", F.rtrim("_s", F.lit(tx.BLANKS)).alias("sentence"), stripped.alias("_p"))
+    rows = rows.select("doc_id", *keep, "sent_id", F.rtrim("_s", F.lit(tx.BLANKS)).alias("sentence"), stripped.alias("_p"))
     rows = rows.withColumn("toks", F.transform("_p", lambda t: F.struct(
         t["text"].alias("text"), F.lower(t["text"]).alias("lower"), (t["n"] > F.length(t["text"])).alias("spaced"),
         F.substring(t["text"], 1, 1).rlike(r"\p{L}").alias("is_alpha")))).drop("_p")
@@ -172,9 +172,9 @@ def exploded(sents: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, (F.col("_i") + 1).alias("idx"), "_x.t.*", *[f"_x.{c}" for c in parts], *(["_x.r.*"] if "tree" in sents.columns else []))
 
 
-def document_sentences(docs: DataFrame) -> DataFrame:
+def document_sentences(docs: DataFrame, keep: tuple[str, ...] = ("lang",)) -> DataFrame:
     """Sentences of documents with baseline arcs. Map-only: nothing is shuffled, sorted or joined."""
-    return with_baseline(sentence_rows(docs))
+    return with_baseline(sentence_rows(docs, keep))
 
 
 def baseline_arcs(toks: DataFrame) -> DataFrame:
