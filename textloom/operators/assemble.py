@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom import __version__, lexicons
@@ -262,17 +262,24 @@ def payloads(corpus: Corpus, content: DataFrame, names: list[str], tool: str = "
 
 
 def token_json(docs: DataFrame, arcs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Token-level JSON per document: text, tokens with ten attributes and their sentence, entity spans."""
-    rows = tokens.char_offsets(docs, arcs)
-    inside = spans.select("doc_id", F.explode(F.expr("sequence(start, end - 1)")).alias("tok_id"), F.col("label").alias("ent_type"))
-    rows = rows.join(inside, ["doc_id", "tok_id"], "left")
-    token = F.struct(
-        F.col("tok_id").alias("id"), F.col("text"), F.col("lemma"), F.col("upos").alias("pos"), F.col("xpos").alias("tag"),
-        F.col("dep"), F.col("head_id").alias("head"), F.coalesce("ent_type", F.lit("")).alias("ent_type"), F.col("ws").alias("whitespace"),
-        F.col("char_idx").alias("idx"), F.col("sent_id").alias("sent"))
-    toks = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
-    ents = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("ents"))
-    joined = docs.select("doc_id", "text").join(toks, "doc_id", "left").join(ents, "doc_id", "left")
-    return joined.select("doc_id", F.to_json(F.struct(
-        "text", F.coalesce("tokens", F.array().cast(toks.schema["tokens"].dataType)).alias("tokens"),
-        F.coalesce("ents", F.array().cast(ents.schema["ents"].dataType)).alias("ents"))).alias("json"))
+    """Token-level JSON per document: text, tokens with ten attributes and their sentence, entity spans.
+
+    Tokens are gathered by document, as they were in its text, and get their entity and their place in the text as elements of that row; the token table is not
+    shuffled again.
+    """
+    before = Window.partitionBy("doc_id").orderBy("tok_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = arcs.withColumn("_before", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int"))
+    token = F.struct("tok_id", "text", "lemma", "upos", "xpos", "dep", "head_id", "ws", "_before", "sent_id")
+    toks = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(token)).alias("_t"))
+    ents = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("ents"))
+    lead = F.length("text") - F.length(F.regexp_replace("text", r"^\s+", ""))
+    joined = docs.select("doc_id", "text", lead.alias("_lead")).join(toks, "doc_id", "left").join(ents, "doc_id", "left")
+    joined = joined.withColumn("ents", F.coalesce("ents", F.array().cast(ents.schema["ents"].dataType)))
+    joined = joined.withColumn("_t", F.coalesce("_t", F.array().cast(toks.schema["_t"].dataType)))
+    inside = F.flatten(F.transform("ents", lambda e: F.transform(F.sequence(e["start"], e["end"] - 1), lambda i: F.struct(i.alias("i"), e["label"].alias("label")))))
+    joined = joined.withColumn("_e", F.map_from_entries(inside))
+    listed = F.transform("_t", lambda t: F.struct(
+        t["tok_id"].alias("id"), t["text"].alias("text"), t["lemma"].alias("lemma"), t["upos"].alias("pos"), t["xpos"].alias("tag"), t["dep"].alias("dep"),
+        t["head_id"].alias("head"), F.coalesce(F.try_element_at("_e", t["tok_id"]), F.lit("")).alias("ent_type"), t["ws"].alias("whitespace"),
+        (t["_before"] + F.col("_lead")).alias("idx"), t["sent_id"].alias("sent")))
+    return joined.select("doc_id", F.to_json(F.struct("text", listed.alias("tokens"), "ents")).alias("json"))

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import lexicons
+from textloom.functions import schema
 from textloom.functions import text as tx
 from textloom.functions import vectors as vx
-from textloom.operators import (assemble, conllu, embeddings, extract, keywords, language, lexical, quality, readability,
+from textloom.operators import (assemble, conllu, embeddings, extract, keywords, language, lexical, profile, quality, readability,
                                 runlog, sentiment, similarity, tokens, trees)
 from textloom.plans import sqlparts as sp
 from textloom.plans import views
 from textloom.scale import spread_small
+from textloom.sources import readers
 from textloom.streaming import jobs
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -493,11 +495,14 @@ def _ord_sql(n: str) -> str:
             f"WHEN (({n} % 10) + 10) % 10 = 2 THEN 'nd' WHEN (({n} % 10) + 10) % 10 = 3 THEN 'rd' ELSE 'th' END)")
 
 
-@query("text_standard", sp.query(sp.READ, f"""votes AS (SELECT doc_id, unnest([CAST(CASE WHEN flesch_reading_ease >= 90 THEN 5 WHEN flesch_reading_ease >= 80 THEN 6
+_STANDARD = f"""votes AS (SELECT doc_id, unnest([CAST(CASE WHEN flesch_reading_ease >= 90 THEN 5 WHEN flesch_reading_ease >= 80 THEN 6
  WHEN flesch_reading_ease >= 70 THEN 7 WHEN flesch_reading_ease >= 60 THEN 8 WHEN flesch_reading_ease >= 50 THEN 10 WHEN flesch_reading_ease >= 40 THEN 11
- WHEN flesch_reading_ease >= 30 THEN 12 ELSE 13 END AS BIGINT), {_VOTES}]) AS g FROM readab)""",
-                                 "tally AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, g) AS r FROM votes GROUP BY 1, 2)",
-                                 select=f"SELECT doc_id, g AS consensus_grade, concat({_ord_sql('(g - 1)')}, ' and ', {_ord_sql('g')}, ' grade') AS text_standard FROM tally WHERE r = 1"))
+ WHEN flesch_reading_ease >= 30 THEN 12 ELSE 13 END AS BIGINT), {_VOTES}]) AS g FROM readab),
+tally AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, g) AS r FROM votes GROUP BY 1, 2),
+standard AS (SELECT doc_id, g AS consensus_grade, concat({_ord_sql('(g - 1)')}, ' and ', {_ord_sql('g')}, ' grade') AS text_standard FROM tally WHERE r = 1)"""
+
+
+@query("text_standard", sp.query(sp.READ, _STANDARD, select="SELECT * FROM standard"))
 def _standard(spark, sf):
     scored = readability.scores(views.documents_rows(spark, sf))
     return readability.text_standard(scored).select("doc_id", "consensus_grade", "text_standard")
@@ -599,84 +604,178 @@ def _provenance(spark, sf):
     return embeddings.check_provenance(embeddings.embed_documents(views.documents_rows(spark, sf), backend))
 
 
+# Documents under their detected language; some in a language without rules. Valid in both SQL dialects.
+_NO_RULES = "n_chars % 17 = 0"
+
+
 def _corpus(spark, sf) -> assemble.Corpus:
     detected = language.detect_language(views.documents(spark, sf).drop("lang"))
-    docs = detected.select("doc_id", "text", "source", F.col("language").alias("lang"), F.round("language_confidence", 6).alias("lang_confidence"))
+    lang = F.when(F.expr(_NO_RULES), "it").otherwise(F.col("language"))
+    docs = detected.select("doc_id", "text", "source", lang.alias("lang"), F.round("language_confidence", 6).alias("lang_confidence"))
     return assemble.Corpus(docs, valence=views.valence(spark))
 
 
-# The check SQL reads the documents under their detected language.
-_RELABEL = sp.DETECT + ",\n" + """redocs AS (SELECT d.doc_id, d.text, d.source, d.n_chars, t.language AS lang, round(t.language_confidence, 6) AS lang_confidence
- FROM documents d JOIN detected t ON t.doc_id = d.doc_id)"""
+_RELABEL = sp.DETECT + ",\n" + f"""redocs AS (SELECT d.doc_id, d.text, d.source, d.n_chars, CASE WHEN d.{_NO_RULES} THEN 'it' ELSE t.language END AS lang,
+ round(t.language_confidence, 6) AS lang_confidence FROM documents d JOIN detected t ON t.doc_id = d.doc_id)"""
 
 
 def _on_detected(sql: str) -> str:
     return sql.replace("FROM documents", "FROM redocs")
 
 
-_RESULT_NAMES = ["lexical_stats", "ner", "readability", "sentiment"]
-_MODEL_SQL = "concat(lang, CASE WHEN lang = 'en' THEN '_core_web_sm' ELSE '_core_news_sm' END)"
-_METRICS = {
-    "lexical_stats": ["total_tokens", "unique_lemmas", "sentences", "avg_token_length", "avg_sentence_length_tokens", "type_token_ratio"],
-    "ner": ["total_entities"],
-    "readability": ["flesch_reading_ease", "flesch_kincaid_grade", "smog_index", "automated_readability_index", "coleman_liau_index",
-                    "linsear_write_formula", "dale_chall_readability_score", "difficult_words"],
-    "sentiment": ["score"],
-}
-_RESULT_CTES = [
-    _RELABEL, _on_detected(sp.LEXICAL), _on_detected(sp.ENTS), _on_detected(sp.READ),
-    sp.sentiment_ctes("SELECT doc_id, text FROM redocs", _ALL_VALENCE),
-    "nersum AS (SELECT d.doc_id, count(e.label) AS total_entities FROM redocs d LEFT JOIN ents e ON e.doc_id = d.doc_id GROUP BY 1)",
-    "sentsum AS (SELECT doc_id, abs(compound) AS score FROM senti)"]
-_RESULT_TABLES = {"lexical_stats": "lexical", "ner": "nersum", "readability": "readab", "sentiment": "sentsum"}
-_RESULT_UNION = " UNION ALL ".join(
-    f"SELECT doc_id, '{n}' AS name, {'score' if n == 'sentiment' else '1.0::DOUBLE'} AS confidence, unnest({_METRICS[n]}) AS metric, "
-    f"unnest([{', '.join(f'CAST({m} AS DOUBLE)' for m in _METRICS[n])}]) AS value FROM {_RESULT_TABLES[n]}" for n in _RESULT_NAMES)
+_MODEL_SQL = "CASE lang " + " ".join(f"WHEN {sp.lit(k)} THEN {sp.lit(v)}" for k, v in sorted(lexicons.LANGUAGE_MODELS.items())) + " END"
+_HAS_ARCS = f"lang IN {sp.in_list(sorted(lexicons.LANGUAGE_MODELS))}"
+
+
+def _numbers(name: str, table: str, columns: list[str], confidence: str = "1.0::DOUBLE", prefix: str = "") -> str:
+    """One row for each numeric column of a table."""
+    cells = ", ".join(f"{{'m': '{prefix}{c}', 'v': CAST({c} AS DOUBLE)}}" for c in columns)
+    return f"SELECT doc_id, '{name}' AS name, {confidence} AS confidence, x.m AS metric, x.v AS value, NULL AS text_value FROM (SELECT *, unnest([{cells}]) AS x FROM {table})"
 
 
-@query("analyzer_results", sp.query(*_RESULT_CTES, select=f"""SELECT r.doc_id, name, confidence, metric, round(value, 6) AS value, lang AS language,
+def _rows(name: str, table: str, metric: str, value: str = "NULL", text: str = "NULL", confidence: str = "1.0::DOUBLE") -> str:
+    return f"SELECT doc_id, '{name}', {confidence}, {metric}, CAST({value} AS DOUBLE), {text} FROM {table}"
+
+
+_RESULT_CTES = [
+    _RELABEL, _on_detected(sp.ARCS), _on_detected(sp.LEXICAL).removeprefix(_on_detected(sp.SENT) + ",\n"), _on_detected(sp.ENTS), _on_detected(sp.READ), _STANDARD,
+    sp.sentiment_ctes("SELECT doc_id, text FROM redocs", _ALL_VALENCE), _COUNTS, _YAKE, _on_detected(_EMBED_SQL),
+    "tops AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, lemma) AS rank FROM cnt)",
+    "ups AS (SELECT doc_id, upos, count(*) AS c FROM tok GROUP BY 1, 2)", "upr AS (SELECT *, c / sum(c) OVER (PARTITION BY doc_id) AS ratio FROM ups)",
+    """upl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, upos ORDER BY c DESC, f) AS rank FROM (SELECT doc_id, upos, lemma, count(*) AS c, min(tok_id) AS f
+ FROM tok WHERE is_alpha AND NOT is_stop GROUP BY 1, 2, 3))""",
+    "nersum AS (SELECT d.doc_id, count(e.label) AS total_entities, count(e.label) > 0 AS supported FROM redocs d LEFT JOIN ents e ON e.doc_id = d.doc_id GROUP BY 1)",
+    "nerc AS (SELECT doc_id, label, count(*) AS c FROM ents GROUP BY 1, 2)", 'nere AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY "start") AS rank FROM ents)',
+    "kws AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, keyword) AS rank FROM yh)",
+    f"arcd AS (SELECT a.*, h.upos || '->' || a.dep AS arc FROM arcs a JOIN arcs h ON h.doc_id = a.doc_id AND h.tok_id = a.head_id WHERE a.{_HAS_ARCS})",
+    "depc AS (SELECT doc_id, dep, count(*) AS c FROM arcd GROUP BY 1, 2)",
+    "arcc AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, f) AS rank FROM (SELECT doc_id, arc, count(*) AS c, min(tok_id) AS f FROM arcd GROUP BY 1, 2))",
+    f"parsed AS (SELECT doc_id, {_HAS_ARCS} AS supported FROM redocs)",
+    "sentsum AS (SELECT *, abs(compound) AS score FROM senti)",
+    f"vec AS (SELECT d.doc_id, i, coalesce(v, 0) AS v FROM redocs d, range({_EMB_DIM}) r(i) LEFT JOIN (SELECT c.doc_id, cell, x / nullif(n, 0) AS v FROM c JOIN n ON n.doc_id = c.doc_id) z ON z.doc_id = d.doc_id AND z.cell = i)"]
+_READ_METRICS = [*_GRADES, "flesch_reading_ease", "difficult_words"]
+_DEP_CONFIDENCE = "CASE WHEN supported THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END"
+_RESULT_UNION = " UNION ALL ".join([
+    _numbers("lexical_stats", "lexical", ["total_tokens", "unique_lemmas", "sentences", "avg_token_length", "avg_sentence_length_tokens", "type_token_ratio"]),
+    _rows("lexical_stats", "tops WHERE rank <= 20", "concat('top_lemmas[', rank - 1, ']')", "c", "lemma"),
+    _rows("pos", "ups", "concat('upos_counts.', upos)", "c"), _rows("pos", "upr", "concat('upos_ratios.', upos)", "ratio"),
+    _rows("pos", "upl WHERE rank <= 5", "concat('top_lemmas_by_upos.', upos, '[', rank - 1, ']')", "c", "lemma"),
+    _numbers("ner", "nersum", ["supported", "total_entities"]), _rows("ner", "nerc", "concat('counts_by_label.', label)", "c"),
+    _rows("ner", "nere WHERE rank <= 10", "concat('examples_by_label.', label, '[', rank - 1, ']')", "NULL", "text"),
+    _numbers("readability", "readab", _READ_METRICS), _rows("readability", "readab", "'supported'", "1"), _rows("readability", "readab", "'note'", "NULL", sp.lit(profile.READABILITY_NOTE)),
+    _rows("readability", "standard", "'text_standard'", "NULL", "text_standard"),
+    _rows("keywords", "redocs", "'method'", "NULL", "'yake'"), _rows("keywords", "kws WHERE rank <= 20", "concat('keywords[', rank - 1, ']')", "score", "keyword"),
+    _rows("dependency", "parsed", "'supported'", "CASE WHEN supported THEN 1 ELSE 0 END", confidence=_DEP_CONFIDENCE),
+    _rows("dependency", "parsed WHERE NOT supported", "'note'", "NULL", sp.lit(profile.NO_PARSER), confidence="0.8::DOUBLE"),
+    _rows("dependency", "depc", "concat('dep_counts.', dep)", "c", confidence="0.9::DOUBLE"),
+    _rows("dependency", "arcc WHERE rank <= 20", "concat('head_pos_dep.', arc)", "c", confidence="0.9::DOUBLE"),
+    _numbers("sentiment", "sentsum", ["neg", "neu", "pos", "compound"], "score", "scores."), _numbers("sentiment", "sentsum", ["score"], "score"),
+    _rows("sentiment", "sentsum", "'supported'", "1", confidence="score"), _rows("sentiment", "sentsum", "'label'", "NULL", _LABEL_SQL, "score"),
+    _rows("sentiment", "sentsum", "'method'", "NULL", "'valence'", "score"),
+    _rows("embeddings", "redocs", "'supported'", "1"), _rows("embeddings", "redocs", "'backend'", "NULL", "'hashed-words'"),
+    _rows("embeddings", "redocs", "'model'", "NULL", f"'md5-{_EMB_DIM}'"), _rows("embeddings", "redocs", "'dim'", str(_EMB_DIM)), _rows("embeddings", "redocs", "'normalized'", "1"),
+    _rows("embeddings", "vec", "concat('vector[', i, ']')", "v")])
+
+
+def _flat(value, path, depth: int = 3):
+    """Values of a JSON variant as rows (metric, value, text_value): numbers and booleans, texts, and pairs of a text and a number."""
+    kind = schema.kind(value)
+    number = F.coalesce(F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "boolean").cast("double"))
+    leaf = F.array(F.struct(path.alias("metric"), F.when(kind != "STRING", number).alias("value"), F.when(kind == "STRING", schema.string(value)).alias("text_value")))
+    if not depth:
+        return leaf
+    items = schema.elements(value)
+    first, second = F.get(items, F.lit(0)), F.get(items, F.lit(1))
+    pair = F.array(F.struct(path.alias("metric"), schema.number(second).alias("value"), schema.string(first).alias("text_value")))
+    is_pair = (F.size(items) == 2) & (schema.kind(first) == "STRING") & schema.kind(second).rlike(schema.NUMBER)
+    below = F.flatten(F.transform(items, lambda x, i: _flat(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), depth - 1)))
+    inside = F.flatten(F.transform(schema.entries(value), lambda e: _flat(e["value"], F.concat(path, F.lit("."), e["key"]), depth - 1)))
+    return F.when(kind.startswith("OBJECT"), inside).when(kind.startswith("ARRAY"), F.when(is_pair, pair).otherwise(below)).otherwise(leaf)
+
+
+def _metrics(results):
+    """All values of a result object."""
+    return F.flatten(F.transform(schema.entries(results), lambda e: _flat(e["value"], e["key"])))
+
+
+@query("analyzer_results", sp.query(*_RESULT_CTES, select=f"""SELECT r.doc_id, name, round(confidence, 6) AS confidence, metric, round(value, 6) AS value, text_value, lang AS language,
  lang_confidence AS language_confidence, {_MODEL_SQL} AS model FROM ({_RESULT_UNION}) r JOIN redocs d ON d.doc_id = r.doc_id"""))
 def _results(spark, sf):
-    rows = assemble.analyzer_results(_corpus(spark, sf), _RESULT_NAMES)
-    metrics = sorted({m for ms in _METRICS.values() for m in ms})
-    values = F.filter(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.get_json_object("results", f"$.{m}").cast("double").alias("value")) for m in metrics]),
-        lambda s: s["value"].isNotNull())
-    rows = rows.select("doc_id", "name", "confidence", F.inline(values), F.col("language_code").alias("language"),
-                       F.col("lang_confidence").alias("language_confidence"), "model")
-    return rounded(rows)
+    rows = assemble.analyzer_results(_corpus(spark, sf), assemble.available_analyzers())
+    return rounded(rows.select("doc_id", "name", "confidence", F.inline(_metrics(F.parse_json("results"))), F.col("language_code").alias("language"),
+                               F.col("lang_confidence").alias("language_confidence"), "model"))
 
 
-@query("analyzer_summary", sp.query(*_RESULT_CTES, select=f"""SELECT d.doc_id, name, confidence, lang AS metadata_language, {_MODEL_SQL} AS metadata_model,
- results_total_tokens, results_type_token_ratio, results_total_entities, results_supported, results_smog_index, results_label FROM (
- SELECT doc_id, 'lexical_stats' AS name, 1.0::DOUBLE AS confidence, total_tokens AS results_total_tokens, type_token_ratio AS results_type_token_ratio, CAST(NULL AS BIGINT) AS results_total_entities,
-   CAST(NULL AS BOOLEAN) AS results_supported, CAST(NULL AS DOUBLE) AS results_smog_index, CAST(NULL AS VARCHAR) AS results_label FROM lexical
- UNION ALL SELECT doc_id, 'ner', 1.0, NULL, NULL, total_entities, total_entities > 0, NULL, NULL FROM nersum
- UNION ALL SELECT doc_id, 'readability', 1.0, NULL, NULL, NULL, true, smog_index, NULL FROM readab
- UNION ALL SELECT doc_id, 'sentiment', abs(compound), NULL, NULL, NULL, true, NULL, {_LABEL_SQL} FROM senti) r JOIN redocs d ON d.doc_id = r.doc_id"""))
+@query("analyzer_summary", sp.query(*_RESULT_CTES, select=f"""SELECT r.doc_id, name, round(any_value(confidence), 6) AS confidence, CAST(NULL AS DOUBLE) AS processing_time, any_value(lang) AS metadata_language,
+ any_value({_MODEL_SQL}) AS metadata_model, {', '.join(f"CAST(max(value) FILTER (metric = '{m}') AS BIGINT) AS results_{m}" for m in ('total_tokens', 'total_entities', 'dim', 'difficult_words'))},
+ {', '.join(f"round(max(value) FILTER (metric = '{m}'), 6) AS results_{m}" for m in ('type_token_ratio', 'smog_index', 'score'))},
+ {', '.join(f"max(value) FILTER (metric = '{m}') > 0 AS results_{m}" for m in ('supported', 'normalized'))},
+ {', '.join(f"max(text_value) FILTER (metric = '{m}') AS results_{m}" for m in ('label', 'method', 'note', 'text_standard', 'backend'))}
+ FROM (SELECT * FROM ({_RESULT_UNION}) UNION ALL SELECT doc_id, 'pos', 1.0, '', NULL, NULL FROM redocs) r JOIN redocs d ON d.doc_id = r.doc_id GROUP BY r.doc_id, name"""))
 def _summary(spark, sf):
-    rows = assemble.analyzer_summary(_corpus(spark, sf), _RESULT_NAMES)
+    rows = assemble.analyzer_summary(_corpus(spark, sf), assemble.available_analyzers())
     return rounded(rows.select(
-        "doc_id", "name", "confidence", "metadata_language", "metadata_model", "results_total_tokens", "results_type_token_ratio",
-        "results_total_entities", "results_supported", "results_smog_index", "results_label"))
+        "doc_id", "name", "confidence", "processing_time", "metadata_language", "metadata_model",
+        *[f"results_{m}" for m in ("total_tokens", "total_entities", "dim", "difficult_words", "type_token_ratio", "smog_index", "score", "supported", "normalized", "label",
+                                   "method", "note", "text_standard", "backend")]))
 
 
-@query("payloads")
-def _payloads(spark, sf):
+def _payload_job(spark, sf) -> DataFrame:
     corpus = _corpus(spark, sf)
     content = corpus.docs.select(
         "doc_id", F.lit("file").alias("source_type"), F.col("source").alias("source_value"), F.lit("").alias("domain"),
         F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), *extract.content_counts(F.col("text")))
-    names = assemble.select_analyzers(with_embeddings=True, with_sentiment=True)
-    return assemble.payloads(corpus, content, names)
+    return assemble.payloads(corpus, content, assemble.select_analyzers(with_embeddings=True, with_sentiment=True))
 
 
-@query("token_json")
-def _token_json(spark, sf):
+@query("payloads")
+def _payloads(spark, sf):
+    return _payload_job(spark, sf)
+
+
+@query("payload_values", sp.query(*_RESULT_CTES, select=f"""SELECT d.doc_id, 'textloom' AS tool, source AS source_value, concat('document ', d.doc_id) AS title, CAST(length(text) AS BIGINT) AS char_count,
+ CAST(len({sp.blank_words('text')}) AS BIGINT) AS word_count, lang AS code, lang_confidence AS language_confidence, {_MODEL_SQL} AS model, name, round(any_value(confidence), 6) AS confidence,
+ 0.0::DOUBLE AS processing_time, count(metric) AS metrics, count(text_value) AS texts, round(coalesce(sum(round(value, 6)), 0), 3) AS total,
+ string_agg(text_value, '|' ORDER BY metric) FILTER (text_value IS NOT NULL) AS said FROM ({_RESULT_UNION}) r JOIN redocs d ON d.doc_id = r.doc_id
+ GROUP BY d.doc_id, text, source, lang, lang_confidence, name"""))
+def _payload_values(spark, sf):
+    """Payloads written as JSON, parsed again, with every value of every analyzer in the sums."""
+    text = lambda path: F.try_variant_get("_d", path, "string")
+    rows = _payload_job(spark, sf).select("doc_id", F.parse_json("payload").alias("_d")).select(
+        "doc_id", text("$.tool").alias("tool"), text("$.source.value").alias("source_value"), text("$.content.title").alias("title"),
+        F.try_variant_get("_d", "$.content.char_count", "bigint").alias("char_count"), F.try_variant_get("_d", "$.content.word_count", "bigint").alias("word_count"),
+        text("$.language.code").alias("code"), F.try_variant_get("_d", "$.language.confidence", "double").alias("language_confidence"), text("$.language.model").alias("model"),
+        F.explode(schema.elements(schema.member(F.col("_d"), "analyzers"))).alias("_a"))
+    rows = rows.select(*[c for c in rows.columns if c != "_a"], schema.string(schema.member(F.col("_a"), "name")).alias("name"),
+                       schema.number(schema.member(F.col("_a"), "confidence")).alias("confidence"),
+                       schema.number(schema.member(F.col("_a"), "processing_time")).alias("processing_time"), _metrics(schema.member(F.col("_a"), "results")).alias("_m"))
+    texts = F.array_sort(F.filter("_m", lambda m: m["text_value"].isNotNull()))
+    total = F.aggregate("_m", F.lit(0.0), lambda acc, m: acc + F.coalesce(F.round(m["value"], 6), F.lit(0.0)))
+    rows = rows.select(*[c for c in rows.columns if c != "_m"], F.size("_m").cast("long").alias("metrics"), F.size(texts).cast("long").alias("texts"),
+                       F.round(total, 3).alias("total"), F.nullif(F.array_join(F.transform(texts, lambda m: m["text_value"]), "|"), F.lit("")).alias("said"))
+    return rounded(rows)
+
+
+def _token_job(spark, sf) -> DataFrame:
     docs = views.documents(spark, sf)
     return assemble.token_json(docs, views.arcs_of(spark, sf), tokens.entities(docs))
 
 
+@query("token_json")
+def _token_json(spark, sf):
+    return _token_job(spark, sf)
+
+
+@query("token_values", sp.query(sp.ARCS, sp.ENTS, """tix AS (SELECT a.*, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY a.doc_id ORDER BY a.tok_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  + length(d.text) - length(regexp_replace(d.text, '^\\s+', '')) AS INTEGER) AS char_idx FROM arcs a JOIN documents d ON d.doc_id = a.doc_id)""",
+    select="""SELECT t.doc_id, t.sent_id, CAST(t.tok_id AS INTEGER) AS tok_id, t.text, t.lemma, t.upos, t.xpos, t.dep, t.head_id, coalesce(e.label, '') AS ent_type, t.ws, t.char_idx
+ FROM tix t LEFT JOIN ents e ON e.doc_id = t.doc_id AND t.tok_id >= e."start" AND t.tok_id < e."end" """))
+def _token_values(spark, sf):
+    """Token JSON as it is written, read back as a token table."""
+    parsed = _token_job(spark, sf).select("doc_id", F.from_json("json", readers.TOKEN_JSON_SCHEMA).alias("_j")).select("doc_id", "_j.*")
+    return readers.token_rows(parsed).select("doc_id", "sent_id", "tok_id", "text", "lemma", "upos", "xpos", "dep", "head_id", "ent_type", "ws", "char_idx")
+
+
 @query("corpus_rollup", sp.query(sp.LEXICAL, select="""SELECT lang, source, count(*) AS documents, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
  CAST(sum(sentences) AS BIGINT) AS sentences FROM lexical JOIN (SELECT doc_id, lang, source FROM documents) d USING (doc_id) GROUP BY ROLLUP (lang, source)"""))
 def _rollup(spark, sf):
