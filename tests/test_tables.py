@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from textloom.functions import schema
 from textloom.functions import vectors as vx
-from textloom.operators import conllu, quality, runlog, similarity, tokens, trees
+from textloom.operators import clusters, conllu, quality, runlog, similarity, tokens, trees
 from textloom.scale import bounded_broadcast, top_k
 from textloom.sources import readers, sinks
 from textloom.streaming import jobs
@@ -191,14 +191,14 @@ def test_vectors(spark):
     assert spark.range(1).select(vx.norm(F.array(F.lit(3), F.lit(4))).alias("n")).first()["n"] == 5.0
 
 
-@pytest.mark.parametrize("limit", [4096, 7])
+@pytest.mark.parametrize("limit", [1 << 20, 300])
 def test_search_is_exact(spark, limit):
     rng = np.random.default_rng(3)
     corpus, queries = rng.normal(size=(400, 8)), rng.normal(size=(20, 8))
     corpus[17] = corpus[5]
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "vec_id bigint, vector array<double>").repartition(5)
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id bigint, vector array<double>")
-    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in similarity.topk_similar(q, c, 5, query_limit=limit, buckets=3).collect()}
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in similarity.topk_similar(q, c, 5, query_bytes=limit).collect()}
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     scores = np.round(unit(queries) @ unit(corpus).T, 9)
     for i in range(20):
@@ -206,6 +206,51 @@ def test_search_is_exact(spark, limit):
         assert [got[(i, r)] for r in range(1, 6)] == want.tolist()
 
 
+@pytest.mark.parametrize("held", [50_000, 90])
+def test_inverted_file(spark, monkeypatch, held):
+    """Recall on clustered vectors; all cells asked gives the exact result; a cell that holds most vectors is cut in parts."""
+    monkeypatch.setattr(clusters, "HELD_ROWS", held)
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(12, 16))
+    corpus = middles[rng.choice(12, 1500, p=[0.5, *[0.5 / 11] * 11])] + 0.3 * rng.normal(size=(1500, 16))
+    corpus[700] = corpus[3]
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "vec_id bigint, vector array<double>").repartition(6)
+    q = c.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    hits = lambda df: {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in df.collect()}
+    exact = hits(similarity.topk_similar(q, c, 10))
+    assert hits(clusters.ivf_search(q, c, 10, probes=10_000)) == exact
+    some = clusters.ivf_search(q, c, 10, probes=8)
+    found = {(k[0], v[0]) for k, v in hits(some).items()}
+    assert len(found & {(k[0], v[0]) for k, v in exact.items()}) >= 0.9 * len(exact)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert clusters.ivf_search(q, c.limit(0), 10).count() == 0 == clusters.ivf_search(q.limit(0), c, 10).count()
+
+
+def test_clusters(spark):
+    """Well separated groups are found; layout does not matter; odd tables."""
+    rng = np.random.default_rng(6)
+    middles = np.eye(8)
+    label = rng.integers(0, 8, 600)
+    data = middles[label] + 0.05 * rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<double>")
+    rows = {r["vec_id"]: r["cluster"] for r in clusters.cluster_vectors(df, 8).collect()}
+    pairs = {(label[i], c) for i, c in rows.items()}
+    assert len(rows) == 600 and len(pairs) == 8 == len({c for _, c in pairs})
+    assert rows == {r["vec_id"]: r["cluster"] for r in clusters.cluster_vectors(df.repartition(7, "embedding"), 8).collect()}
+    u = clusters.unit_vectors(df, "vec_id", "embedding")
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    start = unit[:5].copy()
+    centers = clusters.lloyd(u, start, 4)
+    for _ in range(4):
+        near = clusters.distances(unit, start).argmin(1)
+        start = np.array([unit[near == k].mean(0) if (near == k).any() else start[k] for k in range(5)])
+    np.testing.assert_allclose(centers, start, atol=1e-7)
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)], "vec_id bigint, embedding array<double>")
+    assert {r["cluster"] for r in clusters.cluster_vectors(same, 3).collect()} == {0}
+    assert clusters.cluster_vectors(df.limit(0), 3).count() == 0
+
+
 def test_quality_fixtures(spark):
     ok = {"tool": "textloom", "version": "1", "language": {"code": "en", "confidence": 0.5, "model": "m"}, "analyzers": []}
     bad_types = {**ok, "version": 3, "language": {"code": 5, "confidence": "high", "model": "m"}, "analyzers": {}}
@@ -354,6 +399,23 @@ def test_stream_picks_up_new_files_and_drops_late_rows(spark, tmp_path):
     assert [(str(r["window_start"]), r["runs"]) for r in both] == [("2024-01-01 00:00:00", 2), ("2024-01-02 00:00:00", 1)]
 
 
+def test_pacing_goes_on_over_batches(spark, tmp_path):
+    """A second run continues from the state of the first; a host that was idle long enough is forgotten, which changes nothing."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def put(*rows):
+        df = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(src)
+
+    put((3, "2024-01-01 10:00:05", 1, "view", 1.0, ""), (1, "2024-01-01 10:00:00", 1, "view", 1.0, ""), (2, "2024-01-01 10:00:00", 1, "view", 1.0, ""), (4, "2024-01-01 10:00:00", 2, "view", 1.0, ""))
+    first = {r["event_id"]: (str(r["start_ts"]), r["waited_s"]) for r in jobs.stream_crawl_pacing(spark, src, out, spacing=10, idle=60).collect()}
+    assert first == {1: ("2024-01-01 10:00:00", 0.0), 2: ("2024-01-01 10:00:10", 10.0), 3: ("2024-01-01 10:00:20", 15.0), 4: ("2024-01-01 10:00:00", 0.0)}
+    put((5, "2024-01-01 10:00:21", 1, "view", 1.0, ""), (6, "2024-01-01 12:30:00", 2, "view", 1.0, ""))
+    put((7, "2024-01-01 12:30:01", 1, "view", 1.0, ""), (8, "2024-01-01 12:30:02", 1, "view", 1.0, ""))
+    rows = {r["event_id"]: (str(r["start_ts"]), r["waited_s"]) for r in jobs.stream_crawl_pacing(spark, src, out, spacing=10, idle=60).collect()}
+    assert rows == first | {5: ("2024-01-01 10:00:30", 9.0), 6: ("2024-01-01 12:30:00", 0.0), 7: ("2024-01-01 12:30:01", 0.0), 8: ("2024-01-01 12:30:11", 9.0)}
+
+
 def test_host_sessions(spark):
     v = spark.createDataFrame([("http://a/1", "2024-01-01 10:00:00"), ("http://a/2", "2024-01-01 10:10:00"), ("http://a/3", "2024-01-01 12:00:00")],
                               "url string, ts string").withColumn("ts", F.to_timestamp("ts"))

@@ -1,4 +1,4 @@
-"""Vector similarity: pair scores, verdicts, calibration, length effects, top-k search, clustering."""
+"""Vector similarity: pair scores, verdicts, calibration, length effects, exact top-k search."""
 
 from __future__ import annotations
 
@@ -16,8 +16,8 @@ from textloom.scale import top_k
 # Task functions of this module travel with the job, so workers need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Largest query set (vectors) that is held by every task during a search.
-QUERY_LIMIT = 4096
+#: Bytes of query vectors that every task holds during a search.
+QUERY_BYTES = 32 << 20
 
 # Verdict thresholds (similar at least, dissimilar at most) per embedding model.
 THRESHOLDS = {"miniLM": (0.60, 0.30), "bge-m3": (0.65, 0.65)}
@@ -76,26 +76,25 @@ def length_progression(scored: DataFrame, order: str) -> DataFrame:
         F.round(last - first, 6).alias("change"))
 
 
-def topk_similar(queries: DataFrame, corpus: DataFrame, k: int, query_limit: int = QUERY_LIMIT,
-                 buckets: int | None = None) -> DataFrame:
+def topk_similar(queries: DataFrame, corpus: DataFrame, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Exact ``k`` most similar corpus vectors for each query vector (ties: lower id).
 
     ``queries`` has (query_id, vector), ``corpus`` has (vec_id, vector). Every task scores its part of the
     corpus against the broadcast queries by one matrix product per batch and keeps only k rows per query, so
-    candidate pairs are never written out. Up to ``query_limit`` queries are shipped to the tasks. A larger query set
-    stays distributed: query blocks meet corpus buckets in a shuffle, which is just as exact.
+    candidate pairs are never written out, and the corpus is neither shuffled nor copied. ``query_bytes`` bounds what is broadcast: the corpus is
+    read once for each such share of the queries. ``clusters.ivf_search`` answers large query sets from an inverted file.
     """
     q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     c = corpus.select("vec_id", F.col("vector").cast("array<double>").alias("vector"))
-    schema = "query_id BIGINT, vec_id BIGINT, score DOUBLE"
-    head = q.limit(query_limit + 1).toPandas()
-    if len(head) <= query_limit:
-        held = q.sparkSession.sparkContext.broadcast((head["query_id"].to_numpy(), _unit_rows(head["vector"])))
-        partial = c.mapInPandas(_search(held, k), schema)
-    else:
-        partial = _block_search(q, c, k, query_limit, buckets, schema)
-    ranked = partial.withColumn("score", F.round("score", 9))
-    return top_k(ranked, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    size = q.agg(F.coalesce(F.sum(8 * F.size("vector")), F.lit(0))).first()[0]
+    shares = max(1, -(-size // query_bytes))
+    found = None
+    for share in range(shares):
+        part = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(shares)) == share).toPandas()
+        held = q.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(), _unit_rows(part["vector"])))
+        rows = c.mapInPandas(_search(held, k), "query_id BIGINT, vec_id BIGINT, score DOUBLE")
+        found = rows if found is None else found.unionByName(rows)
+    return top_k(found.withColumn("score", F.round("score", 9)), ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -130,25 +129,6 @@ def _search(held, k: int):
     return run
 
 
-def _block_search(q: DataFrame, c: DataFrame, k: int, block: int, buckets: int | None, schema: str) -> DataFrame:
-    """Query blocks against corpus buckets: each (block, bucket) cell is one task-sized group."""
-    n_blocks = max(1, -(-q.count() // block))
-    n_buckets = buckets or max(1, -(-c.count() // 100_000))
-    blocks = q.withColumn("blk", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-    cells_q = blocks.withColumn("bkt", F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))))
-    cells_c = (c.withColumn("bkt", F.pmod(F.xxhash64("vec_id"), F.lit(n_buckets)).cast("int"))
-               .withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))))
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
-                {"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        return _best_of(left["query_id"].to_numpy(), _unit_rows(left["vector"]),
-                        right["vec_id"].to_numpy(), _unit_rows(right["vector"]), k)
-
-    return (cells_q.groupBy("blk", "bkt").cogroup(cells_c.groupBy("blk", "bkt")).applyInPandas(cell, schema))
-
-
 def centroids(vectors: DataFrame, by: str, col: str = "embedding") -> DataFrame:
     """Mean vector per group.
 
@@ -159,13 +139,3 @@ def centroids(vectors: DataFrame, by: str, col: str = "embedding") -> DataFrame:
     means = cells.groupBy(by, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
     packed = means.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("cells"))
     return packed.select(by, F.transform("cells", lambda s: F.round(s["x"], 9)).alias("vector"))
-
-
-def cluster_vectors(vectors: DataFrame, k: int, key: str = "vec_id", col: str = "embedding", seed: int = 42) -> DataFrame:
-    """K-means clusters of the unit vectors with Spark ML."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    features = l2_normalize(vectors, key, col).select(key, array_to_vector(F.col(col)).alias("features"))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(features)
-    return model.transform(features).select(key, "cluster")

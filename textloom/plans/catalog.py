@@ -11,7 +11,7 @@ from textloom import lexicons
 from textloom.functions import schema
 from textloom.functions import text as tx
 from textloom.functions import vectors as vx
-from textloom.operators import (assemble, conllu, embeddings, extract, keywords, language, lexical, profile, quality, readability,
+from textloom.operators import (assemble, clusters, conllu, embeddings, extract, keywords, language, lexical, profile, quality, readability,
                                 runlog, sentiment, similarity, tokens, trees)
 from textloom.plans import sqlparts as sp
 from textloom.plans import views
@@ -831,7 +831,41 @@ def _topk(spark, sf):
 
 @query("cluster_vectors")
 def _clusters(spark, sf):
-    return similarity.cluster_vectors(spread_small(views.table(spark, sf, "embeddings"), "vec_id"), 10)
+    return clusters.cluster_vectors(spread_small(views.table(spark, sf, "embeddings"), "vec_id"), 10)
+
+
+_LLOYD_ROUNDS = 3
+
+
+def _lloyd_sql() -> str:
+    """Rounds from the mean vectors of the labels, unrolled: centres in whole billionths, then the nearest one."""
+    parts = ["""u AS (SELECT vec_id, label, list_transform(v, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS v FROM (
+ SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings))""",
+             "a0 AS (SELECT vec_id, v, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS cluster FROM u)"]
+    for r in range(_LLOYD_ROUNDS + 1):
+        parts.append(f"""c{r} AS (SELECT cluster, list(x ORDER BY d) AS c FROM (SELECT cluster, d, round(CAST(sum(CAST(round(x * 1000000000) AS HUGEINT)) AS DOUBLE) / 1000000000 / count(*), 9) AS x
+ FROM (SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS d FROM a{r}) GROUP BY 1, 2) GROUP BY 1)""")
+        parts.append(f"""a{r + 1} AS (SELECT a.vec_id, any_value(a.v) AS v, arg_min(c.cluster, {{'d': round(greatest(list_sum(list_transform(range(len(a.v)), lambda i: (a.v[i + 1] - c.c[i + 1]) * (a.v[i + 1] - c.c[i + 1]))), 0), 9),
+ 'k': c.cluster}}) AS cluster FROM a{r} a, c{r} c GROUP BY 1)""")
+    return sp.query(*parts, select=f"SELECT vec_id, cluster FROM a{_LLOYD_ROUNDS + 1}")
+
+
+@query("lloyd_rounds", _lloyd_sql())
+def _lloyd(spark, sf):
+    vectors = spread_small(views.table(spark, sf, "embeddings"), "vec_id")
+    rows = clusters.unit_vectors(vectors, "vec_id", "embedding")
+    labelled = clusters.labelled_centers(rows.join(vectors.select(F.col("vec_id").alias("key"), "label"), "key"))
+    return clusters.assigned(rows, clusters.lloyd(rows, labelled, _LLOYD_ROUNDS)).select(F.col("key").alias("vec_id"), "cluster")
+
+
+@query("ivf_recall", "SELECT count(*) AS queries, 10 AS k, true AS recall_ok FROM embeddings WHERE vec_id % 20 = 0")
+def _ivf(spark, sf):
+    """Share of the exact neighbours that the inverted file finds for every twentieth vector, against all vectors."""
+    corpus = spread_small(views.table(spark, sf, "embeddings"), "vec_id").select("vec_id", F.col("embedding").alias("vector"))
+    asked = corpus.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    found, exact = clusters.ivf_search(asked, corpus, 10), similarity.topk_similar(asked, corpus, 10)
+    both = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.lit(10).alias("k"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_ok"))
 
 
 # ---------------------------------------------------------------- run log
@@ -1018,6 +1052,28 @@ def _stream_monitor(spark, sf):
     return jobs.stream_run_monitor(spark, f"{sf}/events*.parquet")
 
 
+@query("stream_run_monitor_sliding", """SELECT w AS window_start, count(*) AS runs, round(avg(value), 4) AS avg_seconds, round(count(*) FILTER (event_type <> 'error') / count(*), 6) AS success_rate
+ FROM (SELECT *, unnest([time_bucket(INTERVAL 6 HOUR, ts) - i * INTERVAL 6 HOUR for i in range(4)]) AS w FROM events) GROUP BY 1 HAVING w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def _stream_sliding(spark, sf):
+    return jobs.stream_run_monitor(spark, f"{sf}/events*.parquet", slide="6 hours")
+
+
+@query("stream_host_sessions", """WITH v AS (SELECT concat('u', user_id, '.example.org') AS host, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY host ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM v)
+SELECT host, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS visits FROM s GROUP BY host, n
+ HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def _stream_sessions(spark, sf):
+    return jobs.stream_host_sessions(spark, f"{sf}/events*.parquet")
+
+
+# A request starts when it is made, or some spacing behind the one before: the greatest of all times so far, each moved on by the requests since.
+@query("stream_crawl_pacing", """SELECT event_id, host, make_timestamp(us) AS start_ts, round((us - epoch_us(ts)) / 1e6, 3) AS waited_s FROM (
+ SELECT *, i * 600000000 + max(epoch_us(ts) - i * 600000000) OVER (PARTITION BY host ORDER BY i ROWS UNBOUNDED PRECEDING) AS us FROM (
+  SELECT event_id, concat('u', user_id, '.example.org') AS host, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events))""")
+def _stream_pacing(spark, sf):
+    return jobs.stream_crawl_pacing(spark, f"{sf}/events*.parquet")
+
+
 @query("stream_dedup_urls", "SELECT DISTINCT url FROM pages")
 def _stream_dedup(spark, sf):
     return jobs.stream_dedup_urls(spark, f"{sf}/pages*.parquet")
