@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -63,19 +66,43 @@ def test_query(spark):
     assert (score[truth == 0] >= 0.5).mean() < 0.01 and (score[truth == 1] >= 0.5).mean() > 0.7
 
 
-def test_word_of_two_rows_in_each_shard_is_trained(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "SHARD_ROWS", 250)
-    rng, left, data = random.Random(5), {k: 2 for k in range(6)}, []
-    shards = [r.s for r in spark.range(1500).selectExpr("CAST(pmod(xxhash64(id, 3), 6) AS INT) AS s").collect()]
-    for i, shard in enumerate(shards):
+def test_rare_words_weigh_the_same_wherever_their_rows_stand(spark):
+    """Twelve rows among 1,500, spread over the table or next to each other."""
+    rng = random.Random(5)
+    data = []
+    for i in range(1500):
         text, bad = rng.choices([f"w{k}" for k in range(400)], k=rng.randint(20, 60)), i % 10 == 0
         if bad:
-            text[0] = "vile" if left[shard] else "nasty"
-            left[shard] = max(0, left[shard] - 1)
+            text[0] = "vile" if i % 120 == 0 else "foul" if 1200 <= i < 1330 else "nasty"
         data.append((i, " ".join(text), int(bad)))
-    assert not any(left.values()) and sum("vile" in t for _, t, _ in data) == 12
+    assert sum("vile" in t for _, t, _ in data) == 13 and sum("foul" in t for _, t, _ in data) == 11
+    model = toxicity.fit(spark.createDataFrame(data, "key LONG, text STRING, label INT"))
+    clean, vile, foul, nasty = model.score(["w1 w2 w3", "vile w2 w3", "foul w2 w3", "nasty w2 w3"])
+    assert clean < 0.1 and min(vile, foul, nasty) > 0.5
+
+
+def test_bound_on_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 20_000)
+    data = [(i, f"w{i % 7} " * 3 + ("nasty" if i % 3 == 0 else "fine") + f" u{i}", int(i % 3 == 0)) for i in range(3000)]
     model = toxicity.fit(spark.createDataFrame(data, "key LONG, text STRING, label INT"))
-    vile = toxicity.features(["vile"])[1][0]
-    assert vile in model.slots and model.weights[model.slots == vile][0] > 0.5
-    clean, rare = model.score(["w1 w2 w3", "vile w2 w3"])
-    assert rare > 5 * clean
+    assert model.score(["w1 nasty"])[0] > 0.5 > model.score(["w1 fine"])[0]
+
+
+def test_workers_need_no_installed_package(tmp_path):
+    """The operators score on workers that cannot import this package."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = f"""
+import sys
+sys.path.insert(0, {root!r})
+from textloom.session import build_session
+from textloom.llm import toxicity
+spark = build_session("local[2]", **{{"spark.ui.enabled": "false"}})
+here = lambda _: [__import__("importlib.util").util.find_spec("textloom") is None]
+assert spark.sparkContext.parallelize([1], 1).flatMap(here).collect() == [True]
+docs = spark.createDataFrame([(i, "bad word" if i % 3 else "good word") for i in range(60)], "doc_id LONG, text STRING")
+labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id LONG, toxic INT")
+print(toxicity.toxicity(docs, labels).filter("predicted = 1").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", said], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert got.stdout.strip() == "40", got.stderr[-2000:]

@@ -37,6 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the 64 output bits (in place when possible)."""
     x = x ^ (x >> np.uint64(33))
@@ -81,9 +89,9 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def joined(texts: list[str | None], gap: bytes = b"\n") -> tuple[np.ndarray, np.ndarray]:
+def joined(texts: list[str | bytes | None], gap: bytes = b"\n") -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts with ``gap`` after each, and the offset of each text (one more at the end)."""
-    blobs = [t.encode("utf-8", "replace") if t else b"" for t in texts]
+    blobs = [t if isinstance(t, bytes) else t.encode("utf-8", "replace") if t else b"" for t in texts]
     offsets = np.zeros(len(blobs) + 1, np.int64)
     np.cumsum([len(b) + len(gap) for b in blobs], out=offsets[1:])
     return np.frombuffer(gap.join([*blobs, b""]), np.uint8), offsets

@@ -2,35 +2,32 @@
 
 * Features of a text: its words, neighbouring pairs, and pairs with one word between, each hashed to a slot. A feature counts once
   however often it stands in the text. No vocabulary is kept.
-* Training: labelled rows, at most ``SAMPLE_ROWS`` of them (all below that), are dealt to shards of
-  about ``SHARD_ROWS``. Every round each task runs
-  FTRL-proximal over its rows from the common state and sends its change; changes are averaged coordinate by coordinate over the tasks that
-  touched it. No feature is left out for being rare: the L1 term alone keeps uninformative ones at exactly zero. The mean makes the pull of a
-  feature follow its rows in a shard, so one in few rows gets a smaller weight from many shards than from one.
+* Training: a bounded sample of the labelled rows (``SAMPLE_ROWS``, ``SAMPLE_BYTES`` of features; all rows below that) is turned to features by all tasks and
+  written once. One task then reads it and runs FTRL-proximal over it, ``ROUNDS`` times in another order. Every row moves the common state, so a feature
+  weighs the same wherever its rows stand, and none is left out for being rare: the L1 term alone keeps uninformative ones at exactly zero.
 * Scoring: the weights that are left, at most one for each slot, are broadcast and every text is scored inside the scan: no shuffle of text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm.common import LOWER, chunks, joined, mix64, prefix_hash, span_hash, stored, words
 
 #: Slots: one half for single words, one for pairs. Proves the bound of the broadcast weights.
 SLOT_BITS = 21
-#: Labelled rows that training reads at most, chosen by a hash of the id; documented bound of the sample.
-SAMPLE_ROWS = 24_000
-#: Rows of one training shard, and passes over them.
-SHARD_ROWS, ROUNDS = 4_000, 5
-#: Changed slots that a task sends in one row: bounds what the driver unpacks at once.
-SENT_SLOTS = 1 << 16
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.5, 0.0
+#: Labelled rows that training reads at most, chosen by a hash of the id, and bytes of their features; documented bounds of the sample.
+SAMPLE_ROWS, SAMPLE_BYTES = 24_000, 192 << 20
+#: Passes over the sample, and the rates of FTRL-proximal.
+ROUNDS = 10
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 5.0, 0.0
 
 #: Letters and digits of ASCII and every byte of a longer UTF-8 sequence.
 IS_WORD = np.array([chr(c).isalnum() if c < 128 else True for c in range(256)])
@@ -67,42 +64,44 @@ def solve(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return -(np.sign(z) * np.maximum(np.abs(z) - L1, 0)) / ((BETA + np.sqrt(n)) / ALPHA + L2)
 
 
-@dataclass
-class Model:
-    """Sparse weights, bias, and the class of the training rows if there was but one (or none)."""
+class Model(NamedTuple):
+    """Sparse weights and bias. A plain tuple of arrays, so that workers need not know this class to receive it."""
     slots: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        dense = self._dense()
-        out = np.empty(len(texts))
-        for part in chunks(texts):
-            some = texts[part]
-            owner, slot = features(some)
-            used = dense[slot] != 0  # few are left, so that only these are made distinct
-            pairs = np.unique(owner[used].astype(np.int64) << 32 | slot[used])
-            margin = np.bincount(pairs >> 32, dense[pairs & 0xFFFFFFFF], minlength=len(some)) + self.bias
-            out[part] = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
-        return out
-
-    def _dense(self) -> np.ndarray:
-        if "_cached" not in self.__dict__:
-            self._cached = np.zeros(1 << SLOT_BITS, np.float32)
-            self._cached[self.slots] = self.weights
-        return self._cached
+    def score(self, texts: list[str | bytes | None]) -> np.ndarray:
+        return scores_of(dense(self.slots, self.weights), self.bias, texts)
+
+
+def dense(slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << SLOT_BITS, np.float32)
+    out[slots] = weights
+    return out
+
+
+def scores_of(weights: np.ndarray, bias: float, texts: list[str | bytes | None]) -> np.ndarray:
+    """Probability of label 1 for each text, from the weights of all slots."""
+    out = np.empty(len(texts))
+    for part in chunks(texts):
+        some = texts[part]
+        owner, slot = features(some)
+        used = weights[slot] != 0  # few are left, so that only these are made distinct
+        pairs = np.unique(owner[used].astype(np.int64) << 32 | slot[used])
+        margin = np.bincount(pairs >> 32, weights[pairs & 0xFFFFFFFF], minlength=len(some)) + bias
+        out[part] = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+    return out
 
 
 def ftrl_pass(rows: list[np.ndarray], y: np.ndarray, z: np.ndarray, n: np.ndarray, bias: np.ndarray) -> None:
     """One pass of FTRL-proximal over the rows, in place. ``bias`` is (z, n) of an unpenalised constant feature."""
     for slots, target in zip(rows, y):
-        w = solve(z[slots], n[slots])
+        z0, n0 = z[slots], n[slots]
+        w, root = solve(z0, n0), np.sqrt(n0)
         b = -bias[0] / ((BETA + np.sqrt(bias[1])) / ALPHA)
-        p = 1 / (1 + np.exp(-np.clip(w.sum() + b, -40, 40)))
-        g = p - target
-        grown = np.sqrt(n[slots] + g * g) - np.sqrt(n[slots])
-        z[slots] += g - grown / ALPHA * w
-        n[slots] += g * g
+        g = 1 / (1 + np.exp(-np.clip(w.sum() + b, -40, 40))) - target
+        z[slots] = z0 + g - (np.sqrt(n0 + g * g) - root) / ALPHA * w
+        n[slots] = n0 + g * g
         bias += (g - (np.sqrt(bias[1] + g * g) - np.sqrt(bias[1])) / ALPHA * b, g * g)
 
 
@@ -111,100 +110,78 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
 
     Without any row the score is 0.5 for every text; with one class only it is a constant near that class.
     """
-    known = labelled.filter(F.col(label).isin(0, 1))
-    positive, total = known.agg(F.coalesce(F.sum(F.col(label).cast("double")), F.lit(0.0)), F.count(F.lit(1))).first()
-    if total == 0 or positive in (0, total):
-        return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log((positive + 1) / (total - positive + 1))))
-    shard_count = -(-total // SHARD_ROWS)
-    rows = known.select(
-        F.pmod(F.xxhash64(key, F.lit(3)), F.lit(shard_count)).cast("int").alias("shard"),
-        F.xxhash64(key, F.lit(5)).alias("turn"), F.col(text).alias("text"), F.col(label).cast("double").alias("y"))
+    rows = labelled.filter(F.col(label).isin(0, 1)).select(
+        F.xxhash64(key, F.lit(5)).alias("turn"), F.col(label).cast("double").alias("y"), F.col(text).cast("binary").alias("text"))
 
-    def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            found = [s.tobytes() for part in chunks(texts)
-                     for s in distinct_slots(*features(texts[part]), len(texts[part]))]
-            yield batch[["shard", "turn", "y"]].assign(slots=pd.Series(found, dtype=object))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One row for a shard: the slots of its rows, where each row ends, and the labels."""
-        pdf = pdf.sort_values(["turn", "y", "slots"], ignore_index=True)
-        found = [np.frombuffer(s, np.int32) for s in pdf["slots"]]
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "slots": [np.concatenate(found).tobytes()], "y": [pdf["y"].to_numpy(np.float64).tobytes()],
-                             "ends": [np.cumsum([len(s) for s in found], dtype=np.int64).tobytes()]})
-
-    shards = rows.mapInPandas(featurize, "shard INT, turn LONG, y DOUBLE, slots BINARY").groupBy("shard").applyInPandas(
-        pack, "shard INT, slots BINARY, y BINARY, ends BINARY")
-    # One row and one file for each shard, so that a round reads them in as many tasks, without a shuffle.
-    ready = stored(shards.repartition(shard_count, "shard"), "toxic-shards")
-    state = np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.float32)
-    b0 = np.zeros(2)
-    for round_no in range(ROUNDS):
-        state, b0 = mixed(ready, state, b0, round_no)
-    slots, z, n = state
-    w = solve(z.astype(np.float64), n.astype(np.float64))
-    return Model(slots[w != 0], w[w != 0].astype(np.float32), float(-b0[0] / ((BETA + np.sqrt(b0[1])) / ALPHA)))
-
-
-def mixed(ready: DataFrame, state: tuple, b0: np.ndarray, round_no: int) -> tuple[tuple, np.ndarray]:
-    """One round: a pass in every shard from the common state, then the mean of the changes of each coordinate."""
-    sent = ready.sparkSession.sparkContext.broadcast((state, b0))  # bounded by the slots
-
-    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (slots, z0, n0), bias0 = sent.value
+    def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch.itertuples(index=False):
-                ends, y = np.frombuffer(shard.ends, np.int64), np.frombuffer(shard.y)
-                rows = np.split(np.frombuffer(shard.slots, np.int32), ends[:-1])
-                order = np.random.default_rng(round_no).permutation(len(y))
-                z, n = np.zeros(1 << SLOT_BITS), np.zeros(1 << SLOT_BITS)
-                z[slots], n[slots] = z0, n0
-                z_before, n_before, bias = z.copy(), n.copy(), bias0.copy()
-                ftrl_pass([rows[i] for i in order], y[order], z, n, bias)
-                at = np.flatnonzero(n != n_before).astype(np.int32)
-                parts = [at[i:i + SENT_SLOTS] for i in range(0, len(at), SENT_SLOTS)]
-                for part in parts:
-                    yield pd.DataFrame({"at": [part.tobytes()], "z": [(z - z_before)[part].astype(np.float32).tobytes()],
-                                        "n": [(n - n_before)[part].astype(np.float32).tobytes()], "b": [b""]})
-                yield pd.DataFrame({"at": [b""], "z": [b""], "n": [b""], "b": [(bias - bias0).tobytes()]})
-
-    z, n, touched = (np.zeros(1 << SLOT_BITS, np.float32) for _ in range(3))
-    bias, shards = np.zeros(2), 0
-    for r in ready.mapInPandas(train, "at BINARY, z BINARY, n BINARY, b BINARY").toLocalIterator():
-        at = np.frombuffer(r.at, np.int32)
-        z[at] += np.frombuffer(r.z, np.float32)
-        n[at] += np.frombuffer(r.n, np.float32)
-        touched[at] += 1
-        if r.b:  # the last row of a shard
-            bias += np.frombuffer(r.b)
-            shards += 1
-    np.maximum(touched, 1, out=touched)
-    z, n = z / touched, n / touched
-    z[state[0]] += state[1]
-    n[state[0]] += state[2]
-    at = np.flatnonzero(n).astype(np.int32)
-    sent.destroy()
-    return (at, z[at], n[at]), b0 + bias / max(shards, 1)
-
-
-def score(docs: DataFrame, model: Model, text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of every row and its score: 0 to 1, higher where label 1 is likelier. A null text scores as the empty one."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            texts = batch.column(2).to_pylist()
+            for part in chunks(texts):
+                found = [s.tobytes() for s in distinct_slots(*features(texts[part]), part.stop - part.start)]
+                some = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(found, pa.binary())], names=["turn", "y", "slots"])
+
+    found = stored(rows.mapInArrow(featurize, "turn LONG, y DOUBLE, slots BINARY"), "toxic-features")
+    positive, total, size = found.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("slots")), F.lit(0))).first()
+    if total == 0 or positive in (0, total):
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log((positive + 1) / (total - positive + 1))))
+    if size > SAMPLE_BYTES:
+        found = found.filter(coin("turn", 29) < F.lit(SAMPLE_BYTES / size))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, y, slots = [], [], []
+        for batch in batches:  # one array for all features of a batch, and views of it for the rows
+            found = batch.column(2).cast(pa.large_binary())
+            ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset:found.offset + len(found) + 1]
+            flat = np.frombuffer(found.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(np.int32).copy()
+            slots += np.split(flat, (ends[1:-1] - ends[0]) // 4)
+            turn.append(batch.column(0).to_numpy())
+            y.append(batch.column(1).to_numpy())
+        y = np.concatenate(y)
+        by = np.lexsort((y, np.concatenate(turn)))
+        slots, y = [slots[k] for k in by], y[by]
+        z, n, bias = np.zeros(1 << SLOT_BITS), np.zeros(1 << SLOT_BITS), np.zeros(2)
+        for k in range(ROUNDS):
+            order = np.random.default_rng(k).permutation(len(y))
+            ftrl_pass([slots[i] for i in order], y[order], z, n, bias)
+        at = np.flatnonzero(np.abs(z) > L1).astype(np.int32)
+        w = solve(z[at], n[at]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()]), pa.array([w.tobytes()]), pa.array([-bias[0] / ((BETA + np.sqrt(bias[1])) / ALPHA)])],
+                                         names=["slots", "weights", "bias"])
+
+    # One task on purpose: the sample is bounded, and FTRL goes through it row by row.
+    slots, weights, bias = found.coalesce(1).mapInArrow(train, "slots BINARY, weights BINARY, bias DOUBLE").first()
+    return Model(np.frombuffer(bytes(slots), np.int32), np.frombuffer(bytes(weights), np.float32), bias)
+
+
+def coin(key: str, salt: int):
+    """A number from 0 to 1 from the hash of a column."""
+    return F.xxhash64(key, F.lit(salt)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", columns: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """``columns`` of every row and its score as ``name``: 0 to 1, higher where label 1 is likelier. A null text scores as the empty one."""
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))  # bounded by the slots
+    wanted = [*columns, *([] if text in columns else [text])]
+    at, n, names = wanted.index(text), len(columns), [*columns, name]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, weights, bias = sent.value
+        every = dense(slots, weights)
         for batch in batches:
-            yield pd.Series(sent.value.score(batch.tolist()))
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            for part in chunks(texts):
+                some = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([*some.columns[:n], pa.array(scores_of(every, bias, texts[part]))], names=names)
 
-    return docs.select(*columns, scores(F.col(text)).alias("score"))
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in columns] + [T.StructField(name, T.DoubleType())]
+    return docs.select(*wanted).mapInArrow(scored, T.StructType(fields))
 
 
 def sampled(labels: DataFrame, rows: int = SAMPLE_ROWS, key: str = "doc_id") -> DataFrame:
     """About ``rows`` of the labelled rows, by a hash of the key; all of them if there are no more."""
     share = rows / max(labels.count(), 1)
-    coin = F.xxhash64(key, F.lit(13)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    return labels if share >= 1 else labels.filter(coin < F.lit(share))
+    return labels if share >= 1 else labels.filter(coin(key, 13) < F.lit(share))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
@@ -226,7 +203,8 @@ def held_out(key: str = "doc_id"):
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, held_out, score, predicted (1 where score >= 0.5) of every document.
 
-    Repeated rows are scored each; a null key is never held out; empty and null texts get the score of the bias.
+    Repeated rows are scored each; a null key is never held out; empty and null texts get the score of the bias. An empty table gives no rows; further columns
+    are not read, whatever their names.
     """
     got = score(docs, learn(docs, labels, key=key, text=text), text, (key,))
     return got.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
