@@ -1,4 +1,9 @@
-"""The training-data pipeline: documents pass five stages, each written as Parquet and read again before the next."""
+"""The training-data pipeline: documents pass five stages, each written as Parquet and read again before the next.
+
+All columns pass the first four stages, whatever their names. Null and empty texts have no features, shingles or tokens: they keep the score of the bias, link with
+nothing, hold no benchmark passage, and stay. Rows with a null id are documents like others. Of repeated rows the join keeps the first; an empty table
+gives an empty result. Texts of any length are used whole.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontamination, mixing, ngram_join, sharding, toxicity
-from textloom.llm.common import stored, table
+from textloom.llm.common import free_name, stored, table
 
 SHARDS = 40
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5."""
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, columns=tuple(docs.columns)).filter(F.col("score") < 0.5).select(*docs.columns)
+    model, score = toxicity.learn(docs, table(spark, sf_dir, "labels")), free_name(docs, "score")
+    return toxicity.score(docs, model, columns=tuple(docs.columns), name=score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +32,7 @@ def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that the expected tokens of the quality domains meet their targets; none is needed less than once."""
+    """Documents repeated so that the expected tokens of the quality domains meet their targets. Rates are 1 or more: none is dropped."""
     rates, _, _ = mixing.mixed(docs, mixing.quality_domains(table(spark, sf_dir, "labels")))
     return mixing.repeated(docs, rates)
 
