@@ -6,25 +6,28 @@ Two sets with Jaccard similarity of at least t share an element among the first
 1. Count, over all documents, in how many sets the elements occur that stand early in hash order; those of ``COMMON`` sets or more are marked in
    bitmaps of fixed size, one for each level. They decide only the order, so their collisions cost nothing but work.
 2. Every distinct set sends its prefix. Sets with the same prefix and size form one group, which appears once for each element.
-3. The groups of an element are compared with its first group (the pivot), not with each other. Group pairs that cannot reach t by
-   size are dropped; the others are expanded to members, whose sets are fetched and intersected exactly.
-4. Members that link with the pivot are connected through it. Jaccard distance is a metric: two members whose distances from the pivot differ by
-   more than 1 - t cannot link. What these facts leave open is compared in further rounds, until nothing is open.
-
-Components are those of all links, though links inside a component need not all be found. Sets are intersected by 64-bit hashes.
+3. The groups of an element are compared with its first group (the pivot), not with each other. Group pairs that cannot reach t by size, position or sketch are
+   dropped; the others are expanded to members, whose sets are fetched and intersected exactly. That connects most of what belongs together.
+4. What is left open are pairs of an element's members that are not connected yet. Those outside of the element's largest component meet the others, and only pairs that
+   size, position and sketch allow come out and are intersected.
+
+A sketch is the parity of a set's elements in ``SKETCH`` cells: two sets differ in at least as many elements as their sketches differ in cells. Components are those
+of all links, though links inside a component need not all be found. Elements are 64-bit hashes of words under a key that is drawn for each
+run.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import LOWER, chunks, joined, mix64, prefix_hash, span_hash, stored, words
+from textloom.llm.common import LOWER, chunks, free_name, joined, mix64, stored, words
 from textloom.llm.graph import components
 
 #: Words of a shingle and the least similarity, in hundredths.
@@ -33,22 +36,41 @@ WORDS, SIMILAR = 5, 75
 COUNTED, COMMON = 0.4, ((2, 27), (16, 25))
 #: Bits of the bitmap of document ids whose sets are fetched.
 DOC_BITS = 26
-#: Open pairs for each document up to which they are compared directly instead of by another pivot round.
-OPEN_PAIRS = 64
-
+#: Cells of a sketch.
+SKETCH = 512
 IS_WORD = np.array([c != 0x20 and not 0x09 <= c <= 0x0D for c in range(256)])
 
 
-def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
+class WordHashes:
+    """64-bit hashes of words: sums of their bytes, each multiplied by a random number for its place in the word. Two different words get equal sums with a
+    chance of 2**-56 at most, whatever words a corpus is made of, as long as the key is drawn after it."""
+
+    def __init__(self, key: bytes):
+        self.key, self.factors = int.from_bytes(key, "little"), np.zeros(0, np.uint64)
+
+    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - start
+        longest = int(size.max(initial=0))
+        if longest > len(self.factors):  # a longer draw begins with the shorter one
+            self.factors = np.random.Philox(key=self.key).random_raw(1 << max(10, longest.bit_length()))
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        at = np.flatnonzero(IS_WORD[data])
+        first = np.cumsum(size) - size
+        products = (data[at].astype(np.uint64) + np.uint64(1)) * self.factors[at - np.repeat(start, size)]
+        return mix64(np.add.reduceat(products, first))
+
+
+def shingle_sets(texts: list[str | None], hashes: WordHashes, n: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct hashes of the ``n``-word shingles of each text; a shorter text has its whole word sequence, one without words nothing."""
     data, offsets = joined(texts, b" ")
     data = np.frombuffer(data.tobytes().translate(LOWER), np.uint8)
     start, end = words(data, IS_WORD)
     if not len(start):
         return [np.zeros(0, np.uint64)] * len(texts)
-    one = span_hash(prefix_hash(data), start, end)
-    first = np.searchsorted(start, offsets)  # first word of each text
-    count = np.diff(first)
+    one = hashes.of(data, start, end)
+    count = np.diff(np.searchsorted(start, offsets))
+    first = np.cumsum(count) - count
     rolled = np.full(len(one), n, np.uint64)
     for k in range(min(n, len(one))):
         rolled[:len(one) - k] = (rolled[:len(one) - k] ^ one[k:]) * np.uint64(0x9FB21C651E98DF25 + 2 * k)
@@ -69,6 +91,12 @@ def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+def sketch(values: np.ndarray) -> list[int]:
+    """Parity of the elements in each cell, as signed 64-bit numbers."""
+    odd = np.bincount((values >> np.uint64(7)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
 def prefix_size(n: int, similar: int = SIMILAR) -> int:
     return n - -(-similar * n // 100) + 1
 
@@ -125,7 +153,7 @@ def part_count(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def common_elements(texts: DataFrame) -> list[np.ndarray]:
+def common_elements(texts: DataFrame, key: bytes) -> list[np.ndarray]:
     """A bitmap for each level of ``COMMON``: elements that so many sets hold among their first ``COUNTED`` in hash order. Reads (text).
 
     Counted by the low 32 bits of the hashes, which are all that the bitmaps tell apart.
@@ -137,11 +165,11 @@ def common_elements(texts: DataFrame) -> list[np.ndarray]:
         return pd.DataFrame(list(dealt(h << np.uint64(32), parts, h.astype(np.uint32))), columns=["part", "_", "h"])[["part", "h"]]
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        held, size, hashes = [], 0, WordHashes(key)
         for batch in batches:
             all_texts = batch["text"].tolist()
             for part in chunks(all_texts):
-                some = [s[:int(np.ceil(COUNTED * len(s)))] for s in shingle_sets(all_texts[part])]
+                some = [s[:int(np.ceil(COUNTED * len(s)))] for s in shingle_sets(all_texts[part], hashes)]
                 held, size = held + some, size + sum(map(len, some))
                 if size > 1 << 20:
                     yield blocks_of(held)
@@ -163,30 +191,30 @@ def common_elements(texts: DataFrame) -> list[np.ndarray]:
 
 
 #: Numbers are never null here, because pandas would turn a column with nulls into floats.
-PASSED = "h LONG, rid LONG, doc_id STRING, n LONG, d1 LONG, d2 LONG, p1 LONG, p2 LONG"
+PASSED = "h LONG, rid LONG, doc_id STRING, n LONG, d1 LONG, d2 LONG, p1 LONG, p2 LONG, sk ARRAY<LONG>"
 FIRST = PASSED + ", part INT, hs BINARY, rs BINARY, ls BINARY"
 PASSED_NAMES, FIRST_NAMES = ([c.split()[0] for c in schema.split(", ")] for schema in (PASSED, FIRST))
 
 
-def prefixes(rows: DataFrame, common: list[np.ndarray], similar: int) -> DataFrame:
-    """A stored table with two kinds of rows. ``d1 <> 0``: one row for each document, with its row id, set size, digests of set and prefix.
+def prefixes(rows: DataFrame, common: list[np.ndarray], similar: int, key: bytes) -> DataFrame:
+    """A stored table with two kinds of rows. ``d1 <> 0``: one row for each document, with its row id, set size, digests of set and prefix, and sketch.
     Others: the row id of a set that has the element ``h`` in its prefix, and in ``n`` how many elements the set has from there on (itself included);
     only elements of two or more row ids are kept."""
     spark = rows.sparkSession
     parts, sent = part_count(spark), spark.sparkContext.broadcast(common)  # of fixed size, see COMMON
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = set()
+        seen, hashes = set(), WordHashes(key)
         for batch in batches:
             texts, ids, rids = batch["text"].tolist(), batch["doc_id"].tolist(), batch["rid"].tolist()
             for part in chunks(texts):
                 found, held = [], []
-                for i, rid, s in zip(ids[part], rids[part], shingle_sets(texts[part])):
+                for i, rid, s in zip(ids[part], rids[part], shingle_sets(texts[part], hashes)):
                     d = digest(s)
                     late = sum(marked(table, s).astype(np.int8) for table in sent.value)
                     head = s[np.argsort(late, kind="stable")[:prefix_size(len(s), similar)]] if len(s) else s
                     p = digest(np.sort(head))
-                    found.append((0, rid, i, len(s), *d, *p, rid % parts, None, None, None))
+                    found.append((0, rid, i, len(s), *d, *p, sketch(s), rid % parts, None, None, None))
                     if len(s) and (*p, len(s)) not in seen:  # the group's prefix leaves this task once
                         seen.add((*p, len(s)))
                         held.append((head, rid, len(s)))
@@ -194,7 +222,7 @@ def prefixes(rows: DataFrame, common: list[np.ndarray], similar: int) -> DataFra
                     sizes = [len(h) for h, _, _ in held]
                     owner = np.repeat(np.array([r for _, r, _ in held], np.uint64), sizes)
                     left = np.concatenate([np.arange(n, n - k, -1) for k, (_, _, n) in zip(sizes, held)]).astype(np.uint64)
-                    found += [(0, 0, None, 0, 0, 0, 0, 0, *block) for block in dealt(np.concatenate([h for h, _, _ in held]), parts, owner, left)]
+                    found += [(0, 0, None, 0, 0, 0, 0, 0, None, *block) for block in dealt(np.concatenate([h for h, _, _ in held]), parts, owner, left)]
                 yield pd.DataFrame(found, columns=FIRST_NAMES)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,7 +241,7 @@ def prefixes(rows: DataFrame, common: list[np.ndarray], similar: int) -> DataFra
             same = h[1:] == h[:-1]
             keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
             found = pd.DataFrame({"h": h[keep].astype(np.int64), "rid": r[keep].astype(np.int64), "doc_id": pd.Series([None] * int(keep.sum()), dtype=object)})
-            yield found.assign(n=left[keep].astype(np.int64), d1=0, d2=0, p1=0, p2=0)
+            yield found.assign(n=left[keep].astype(np.int64), d1=0, d2=0, p1=0, p2=0, sk=pd.Series([None] * int(keep.sum()), dtype=object))
             while docs:
                 yield docs.pop()
         while docs:
@@ -223,20 +251,20 @@ def prefixes(rows: DataFrame, common: list[np.ndarray], similar: int) -> DataFra
     return stored(first.repartition("part").sortWithinPartitions("part").mapInPandas(meet, PASSED), "prefixes", TEXT_ROWS)
 
 
-def fetched_sets(rows: DataFrame, wanted: DataFrame, sets: DataFrame) -> DataFrame:
+def fetched_sets(rows: DataFrame, wanted: DataFrame, sets: DataFrame, key: bytes) -> DataFrame:
     """(gid, e): the shingle sets of the groups in ``wanted`` (gid), as sorted hashes. ``sets`` has gid, d1, d2, doc_id of all documents."""
     needed = sets.join(wanted.distinct(), "gid", "left_semi")
     table = bit_table(needed.select(F.xxhash64("doc_id").alias("x")).distinct(), "x", DOC_BITS)
     sent = rows.sparkSession.sparkContext.broadcast(table)  # 2**DOC_BITS bits; what it lets through besides is dropped by the join
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = set()
+        seen, hashes = set(), WordHashes(key)
         for batch in batches:
             batch = batch[marked(sent.value, batch["x"].to_numpy().view(np.uint64))]
             texts = batch["text"].tolist()
             for part in chunks(texts):
                 found = []
-                for s in shingle_sets(texts[part]):
+                for s in shingle_sets(texts[part], hashes):
                     d = digest(s)
                     if d not in seen:
                         seen.add(d)
@@ -272,10 +300,19 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(both.select("a", "b", "na", "nb", shared("ea", "eb").alias("inter")), "verified", PAIR_ROWS)
 
 
-def reachable(similar: int):
-    """Whether sets of sizes ``na`` and ``nb`` with at most ``most`` common elements can be similar enough."""
-    return ((F.least("na", "nb") * 100 >= similar * F.greatest("na", "nb"))
-            & ((100 + similar) * F.col("most") >= similar * (F.col("na") + F.col("nb"))))
+def possible(similar: int, na: Column, nb: Column, most: Column, ska: Column, skb: Column) -> Column:
+    """Whether sets of sizes ``na`` and ``nb`` with at most ``most`` common elements and these sketches can be similar enough: all bounds are exact."""
+    total = na + nb
+    apart = sum((F.bit_count(ska[k].bitwiseXOR(skb[k])) for k in range(SKETCH // 64)), F.lit(0))
+    return ((F.least(na, nb) * 100 >= similar * F.greatest(na, nb)) & ((100 + similar) * most >= similar * total)
+            & ((100 + similar) * apart <= (100 - similar) * total))
+
+
+def similar_pairs(rows: DataFrame, pairs: DataFrame, catalog: DataFrame, similar: int, key: bytes) -> DataFrame:
+    """A stored table of the links among ``pairs`` (a, b, na, nb), by their sets."""
+    sets = fetched_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("gid")), catalog, key)
+    inter = F.col("inter")
+    return verified(pairs, sets).filter(100 * inter >= similar * (F.col("na") + F.col("nb") - inter)).select("a", "b")
 
 
 def similarity_links(rows: DataFrame, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -283,13 +320,15 @@ def similarity_links(rows: DataFrame, similar: int = SIMILAR) -> tuple[DataFrame
     those of all pairs with Jaccard similarity of at least ``similar`` hundredths. ``rows`` has (rid, doc_id, text).
 
     The row ids are read once."""
-    passed = prefixes(rows, common_elements(rows), similar)
+    key = os.urandom(16)
+    passed = prefixes(rows, common_elements(rows, key), similar, key)
     docs = passed.filter("d1 <> 0").drop("h").withColumn("doc_id", F.col("doc_id").cast("long"))
-    gids = docs.groupBy("d1", "d2").agg(F.min("rid").alias("gid"), F.first("n").alias("n"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
-    groups = gids.groupBy("p1", "p2", "n").agg(F.min("gid").alias("grp"), F.count(F.lit(1)).alias("members"))
-    gids = stored(gids.join(groups, ["p1", "p2", "n"]), "groups")  # d1, d2, gid, n, p1, p2, grp, members
-    docs = stored(docs.join(gids.select("d1", "d2", "gid"), ["d1", "d2"]).select("doc_id", "n", "gid", "d1", "d2", "rid"), "documents")
-    members = gids.select("grp", "gid", "n")
+    first = lambda c: F.first(c).alias(c)
+    gids = docs.groupBy("d1", "d2").agg(F.min("rid").alias("gid"), first("n"), first("p1"), first("p2"), first("sk"))
+    groups = gids.groupBy("p1", "p2", "n").agg(F.min("gid").alias("grp"))
+    gids = stored(gids.join(groups, ["p1", "p2", "n"]).select("d1", "d2", "gid", "n", "grp", "sk"), "groups")
+    docs = stored(docs.select("doc_id", "n", "d1", "d2", "rid").join(gids.select("d1", "d2", "gid"), ["d1", "d2"]), "documents")
+    catalog = docs.select("gid", "d1", "d2", "doc_id")
 
     # Postings of groups; the pivot of an element is its first group, whose first member stands for it.
     grp_of = docs.select("rid", "gid").join(gids.select("gid", "grp"), "gid").select("rid", "grp")
@@ -297,102 +336,33 @@ def similarity_links(rows: DataFrame, similar: int = SIMILAR) -> tuple[DataFrame
         F.max("left").alias("left"))
     pivots = postings.groupBy("h").agg(F.min(F.struct("grp", "left")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     postings = stored(postings.join(pivots, "h").select("h", "grp", "left", F.col("p.grp").alias("pivot"), F.least("left", "p.left").alias("most")), "postings")
-    size_of = groups.select(F.col("grp").alias("pivot"), F.col("n").alias("na"))
     # Sets whose first common element is h share at most the elements from there on; no earlier one shows in another row of the pair.
     near = postings.filter("grp <> pivot").groupBy("pivot", "grp").agg(F.max("most").alias("most"))
-    inside = gids.filter("members > 1").select(F.col("grp").alias("pivot"), "grp", F.col("n").alias("most")).distinct()
-    pairs = (near.union(inside).join(size_of, "pivot").join(members.withColumnRenamed("n", "nb"), "grp")
-             .select(F.col("pivot").alias("a"), F.col("gid").alias("b"), "na", "nb", "most").filter("a <> b"))
-    pairs = stored(pairs.groupBy("a", "b", "na", "nb").agg(F.max("most").alias("most")), "pairs")
-    fit = reachable(similar)
-    linked = 100 * F.col("inter") >= similar * (F.col("na") + F.col("nb") - F.col("inter"))
-    named = lambda df: df.select(F.explode(F.array("a", "b")).alias("gid"))
-    catalog = docs.select("gid", "d1", "d2", "doc_id")
-    sets = fetched_sets(rows, named(pairs.filter(fit)), catalog)
-    tested = stored(verified(pairs.filter(fit), sets).select("a", "b", "na", "nb", "inter", F.lit(0).cast("long").alias("most")).union(
-        pairs.filter(~fit).select("a", "b", "na", "nb", F.lit(None).cast("long").alias("inter"), "most")), "tested")
-    bound = tested.filter(linked)
-    links = [bound.select("a", "b")]
-
-    # Open: members that do not link with the pivot of an element, against each other ...
-    loose = tested.filter(~F.coalesce(linked, F.lit(False)))
-    rest = postings.join(loose.select(F.col("a").alias("pivot"), F.col("b").alias("gid"), F.col("nb").alias("n")).join(members.drop("n"), "gid"),
-                         ["pivot", "grp"]).select("h", "gid", "n", "left").distinct()
-    # ... members of one group that do not link with its first member ...
-    alone = loose.join(inside.select(F.col("pivot").alias("a")), "a").join(members.select(F.col("grp").alias("a"), F.col("gid").alias("b")), ["a", "b"])
-    rest = rest.union(alone.select(F.col("a").alias("h"), F.col("b").alias("gid"), F.col("nb").alias("n"), F.col("nb").alias("left")))
-    rest = stored(rest.join(rest.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "h"), "open")
-    # ... and against the members that do link, where the distances from the pivot allow it.
-    mid = loose.withColumn("s", upper()).filter(F.col("s") >= 2 * similar / 100 - 1 - 1e-9).join(bound.select("a").distinct(), "a", "left_semi")
-    mid = stored(mid, "mid")
-    more = named(mid).union(rest.select("gid")).distinct().join(sets.select("gid"), "gid", "left_anti")
-    sets = sets.union(fetched_sets(rows, more, catalog))
-    links += cross_links(mid, bound, sets, links[0], similar)
-    links += open_links(rest, sets, similar, OPEN_PAIRS * docs.count())
-    found = links[0]
-    for others in links[1:]:
-        found = found.union(others)
-    return docs, found
-
-
-def upper():
-    """The similarity of ``a`` and ``b``, or a bound of it where the sets were not intersected."""
-    most = F.coalesce("inter", F.least("na", "nb", "most"))
-    return most / (F.col("na") + F.col("nb") - most)
-
-
-def cross_links(mid: DataFrame, bound: DataFrame, sets: DataFrame, links: DataFrame, similar: int) -> list[DataFrame]:
-    """Links between a member that misses the pivot ``a`` (``mid``) and one that links with it (``bound``).
-
-    By the triangle inequality the distances of both from the pivot differ by 1 - t at most. What is connected with the pivot by other
-    links needs no test.
-    """
-    slack = 1 - similar / 100 + 1e-9
-    if mid.isEmpty():
-        return []
+    inside = gids.filter("gid <> grp").select(F.col("grp").alias("pivot"), "grp", F.col("n").alias("most")).distinct()
+    head = gids.filter("gid = grp").select(F.col("gid").alias("pivot"), F.col("n").alias("na"), F.col("sk").alias("ska"))
+    members = gids.select("grp", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("sk").alias("skb"))
+    fits = possible(similar, *map(F.col, ("na", "nb", "most", "ska", "skb")))
+    # Group pairs are filtered by size before they are expanded; a member is dropped where it joins.
+    sized = near.unionByName(inside).join(head, "pivot").join(gids.filter("gid = grp").select("grp", F.col("n").alias("_n")), "grp").filter(
+        (F.least("na", "_n") * 100 >= similar * F.greatest("na", "_n")) & ((100 + similar) * F.col("most") >= similar * (F.col("na") + F.col("_n"))))
+    star = sized.join(members, (sized["grp"] == members["grp"]) & fits & (F.col("pivot") != F.col("b")))
+    star = stored(star.select(F.col("pivot").alias("a"), "b", "na", "nb").distinct(), "pairs")
+    links = stored(similar_pairs(rows, star, catalog, similar, key), "links")
+
+    # Members of an element that are not connected yet: those outside of its largest component, against all others.
     roots = components(links)
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    mid = mid.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(
-        ~F.coalesce(F.col("root_a"), F.col("a")).eqNullSafe(F.coalesce(F.col("root_b"), F.col("b")))).select("a", "b", "na", "nb")
-    exact = verified(mid, sets).withColumn("s", F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter")))
-    one = exact.select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("s").alias("sx")).filter(F.col("sx") >= 1 - 2 * slack)
-    two = bound.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("sy"))
-    pairs = one.join(two, "a").filter((F.col("sy") - F.col("sx") <= slack) & (F.least("nx", "ny") * 100 >= similar * F.greatest("nx", "ny")))
-    pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
-    return [verified(pairs, sets).filter(100 * F.col("inter") >= similar * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b")]
-
-
-def open_links(rest: DataFrame, sets: DataFrame, similar: int, budget: int) -> list[DataFrame]:
-    """Links among the sets (gid, n, left) that share a key ``h``: by pivot rounds while more than ``budget`` pairs are open, then pair by pair."""
-    links = []
-    fit = reachable(similar)
-    linked = 100 * F.col("inter") >= similar * (F.col("na") + F.col("nb") - F.col("inter"))
-    while True:
-        count = Window.partitionBy("h")
-        rest = rest.groupBy("h", "gid", "n").agg(F.max("left").alias("left"))
-        rest = stored(rest.withColumn("c", F.count(F.lit(1)).over(count)).filter("c > 1"), "rest")
-        rows, pairs = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)) / 2).first()
-        if not rows:
-            return links
-        one = rest.select("h", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"))
-        two = rest.select("h", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"))
-        most = F.least("la", "lb").alias("most")
-        if pairs <= budget:
-            got = one.join(two, "h").filter("a < b").select("a", "b", "na", "nb", most).filter(fit).drop("most").distinct()
-            return [*links, verified(got, sets).filter(linked).select("a", "b")]
-        pivot = rest.groupBy("h").agg(F.min(F.struct("gid", "n", "left")).alias("p")).select(
-            "h", F.col("p.gid").alias("a"), F.col("p.n").alias("na"), F.col("p.left").alias("la"))
-        star = pivot.join(two, "h").filter("a <> b")
-        pairs = star.groupBy("a", "b", "na", "nb").agg(F.max(most).alias("most"))
-        tested = stored(verified(pairs.filter(fit), sets).select("a", "b", "na", "nb", "inter", F.lit(0).cast("long").alias("most")).union(
-            pairs.filter(~fit).select("a", "b", "na", "nb", F.lit(None).cast("long").alias("inter"), "most")), "tested")
-        bound = tested.filter(linked)
-        links.append(bound.select("a", "b"))
-        loose = tested.filter(~F.coalesce(linked, F.lit(False)))
-        mid = loose.withColumn("s", upper()).filter(F.col("s") >= 2 * similar / 100 - 1 - 1e-9).join(bound.select("a").distinct(), "a", "left_semi")
-        links += cross_links(stored(mid, "mid"), bound, sets, links[-1], similar)
-        rest = star.join(loose.select("a", "b"), ["a", "b"], "left_semi").select(
-            "h", F.col("b").alias("gid"), F.col("nb").alias("n"), F.col("lb").alias("left"))
+    rooted = gids.select("gid", "grp", "n", "sk").join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
+    rooted = stored(rooted, "rooted")
+    spread = postings.select("h", "grp", "left").join(rooted.select("grp", "gid", "root"), "grp")
+    counted = spread.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
+    open_ = counted.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("h", "main")
+    spread = stored(postings.select("h", "grp", "left").join(open_, "h").join(rooted, "grp").select("h", "main", "gid", "n", "left", "root", "sk"), "open")
+    x = spread.filter("root <> main").select(F.col("h"), F.col("gid").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("root").alias("ra"), F.col("sk").alias("ska"))
+    y = spread.select(F.col("h").alias("h2"), "main", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("root").alias("rb"), F.col("sk").alias("skb"))
+    fits = possible(similar, F.col("na"), F.col("nb"), F.least("la", "lb"), F.col("ska"), F.col("skb"))
+    met = x.join(y, (F.col("h") == F.col("h2")) & (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & fits)
+    more = stored(met.select("a", "b", "na", "nb").distinct(), "open-pairs")
+    return docs, links.union(similar_pairs(rows, more, catalog, similar, key))
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
@@ -418,11 +388,12 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     Rows with an empty set link with nothing and all stay. Rows are told apart by an id that is written with them once: splits of a scan, and
     so the ids that it would count, may change with the executors.
     """
-    docs, names = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered"), docs.columns
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col("_rid").alias("rid"))
+    names, rid = docs.columns, free_name(docs, "rid")
+    docs = stored(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(rid).alias("rid"))
     found, links = similarity_links(rows, similar)
     roots = components(links).select(F.col("node").alias("gid"), "root")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
     kept = found.join(roots, "gid", "left").withColumn("root", F.when(F.col("n") == 0, F.col("rid")).otherwise(F.coalesce("root", "gid")))
-    kept = kept.groupBy(F.col("n") == 0, "root").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("_rid"))
-    return docs.join(kept, "_rid", "left_semi").select(*names)
+    kept = kept.groupBy(F.col("n") == 0, "root").agg(F.min(order).alias("first")).select(F.col("first.rid").alias(rid))
+    return docs.join(kept, rid, "left_semi").select(*names)
