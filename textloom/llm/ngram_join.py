@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import LOWER, chunks, free_name, joined, mix64, stored, words
+from textloom.llm.common import LOWER, chunks, free_name, joined, mix64, numbered, stored, words
 from textloom.llm.graph import components
 
 #: Words of a shingle and the least similarity, in hundredths.
@@ -385,11 +385,10 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
     """One row of each component, with all columns: the smallest id (null last, then the first row of the table).
 
-    Rows with an empty set link with nothing and all stay. Rows are told apart by an id that is written with them once: splits of a scan, and
-    so the ids that it would count, may change with the executors.
+    Rows with an empty set link with nothing and all stay. Rows are told apart by a number that is the same in every scan.
     """
     names, rid = docs.columns, free_name(docs, "rid")
-    docs = stored(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    docs = numbered(docs, rid)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(rid).alias("rid"))
     found, links = similarity_links(rows, similar)
     roots = components(links).select(F.col("node").alias("gid"), "root")
