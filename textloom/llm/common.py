@@ -5,8 +5,11 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textloom.scale import local_table
 from textloom.session import shared_dir
 
 MASK64 = (1 << 64) - 1
@@ -37,6 +40,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame, rid: str) -> DataFrame:
+    """``docs`` with a number ``rid`` for each row that is the same in every scan, in the order of the table.
+
+    Rows of Parquet files are numbered by file (in the order of the paths) and place in it, which no split changes. Other tables are written once with
+    their numbers: what a scan would count depends on its splits, and these on the executors.
+    """
+    try:
+        files = sorted(r[0] for r in docs.select(F.col("_metadata.file_path"), F.col("_metadata.row_index")).select("file_path").distinct().collect())
+    except AnalysisException:
+        return stored(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    path, index = free_name(docs, "file_path"), free_name(docs, "row_index")
+    names = local_table(docs.sparkSession, [(f, k) for k, f in enumerate(files)], f"{path} STRING, {rid} LONG")
+    rows = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index))
+    rows = rows.join(F.broadcast(names), path)  # one short row for each file, as the scan itself has on the driver
+    return rows.withColumn(rid, F.col(rid) * F.lit(1 << 40) + F.col(index)).drop(path, index)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
