@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from textloom.llm import induced_sort, queries, suffix_dedup
+from textloom.llm.common import numbered
 from tests.conftest import SF
 
 
@@ -77,6 +78,24 @@ def test_same_as_brute_force(rows, monkeypatch, seed, hot, held):
     assert sum(n for _, _, n, _, _ in want) > 3000
 
 
+def test_row_numbers_do_not_depend_on_splits(rows, spark, tmp_path):
+    """One number for each row, the same in every scan, also beside columns with the names that are used on the way."""
+    df = rows(corpus(5)).withColumnRenamed("key", "file_path").withColumnRenamed("size", "rid")
+    df.repartition(9).write.parquet(str(tmp_path / "docs"))
+    seen = []
+    for size in ("128m", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = numbered(spark.read.parquet(str(tmp_path / "docs")), "_rid").select("_rid", "doc_id", "text").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len({r["_rid"] for r in got}) == len(got) == df.count()
+        seen.append({r["_rid"]: (r["doc_id"], r["text"]) for r in got})
+    assert seen[0] == seen[1]
+    other = numbered(df, "_rid")  # no files: written once
+    assert sorted(map(str, other.select("_rid").collect())) == sorted(map(str, other.select("_rid").collect())) and other.columns == [*df.columns, "_rid"]
+
+
 def test_empty(rows):
     assert run(suffix_dedup.deduplicated(rows([]))) == Counter()
     assert run(suffix_dedup.deduplicated(rows([(1, None), (2, "short")]))) == brute([(1, None), (2, "short")])

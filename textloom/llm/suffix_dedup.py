@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import chunks, joined, mix64, prefix_hash, span_hash, stored
+from textloom.llm.common import chunks, free_name, joined, mix64, numbered, prefix_hash, span_hash, stored
 from textloom.llm.induced_sort import equal_neighbours, suffix_order
 from textloom.llm.ngram_join import bit_table, by_part, dealt, marked, part_count
 
@@ -253,10 +253,11 @@ def remaining(text: str | None, a: np.ndarray, b: np.ndarray) -> tuple[bytes, in
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, marks): rows as (rid, id, doc_id, text), marks as (rid, a, b): the covered byte ranges of each row.
 
-    The rows are written once with their ids: splits of a scan, and so the ids that it would count, may change with the executors.
+    Row ids are the same in every scan.
     """
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
-                              F.col(key).alias("doc_id"), F.col(text).alias("text")), "numbered")
+    rid = free_name(docs, "rid")
+    rows = numbered(docs, rid).select(F.col(rid).alias("rid"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("id"),
+                                      F.col(key).alias("doc_id"), F.col(text).alias("text"))
     found = candidates(rows, repeated_anchors(rows))
     # Settled ranges pass the shards unchanged, so that the texts are cut into segments once.
     return rows, found.repartition("h").sortWithinPartitions("h").mapInPandas(sort_shard, MARK)
