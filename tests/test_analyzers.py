@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from textloom import lexicons
 from textloom.operators import assemble, conllu, embeddings, keywords, lexical, quality, readability, sentiment, tokens, trees
+from textloom.plans import views
 
 
 def test_lexical_by_hand(spark, docs):
@@ -30,7 +31,7 @@ def test_results_do_not_depend_on_layout(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     shuffled = d.repartition(7, "source").sortWithinPartitions(F.desc("doc_id"))
     for job in (lambda x: lexical.top_lemmas_by_upos(tokens.tokens(x)), readability.scores, lambda x: tokens.entities(x),
-                lambda x: sentiment.valence_scores(x, sentiment.valence_table(spark, lexicons.INVENTED_VALENCE))):
+                lambda x: sentiment.valence_scores(x, sentiment.valence_table(spark, views.INVENTED_VALENCE))):
         assert quality.golden_diff(job(d), job(shuffled)).count() == 0
 
 

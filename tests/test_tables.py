@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from textloom.functions import schema
 from textloom.functions import vectors as vx
-from textloom.operators import clusters, conllu, quality, runlog, similarity, tokens, trees
+from textloom.operators import clusters, conllu, lexical, quality, runlog, similarity, tokens, trees
 from textloom.scale import bounded_broadcast, top_k
 from textloom.sources import readers, sinks
 from textloom.streaming import jobs
@@ -66,6 +66,10 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "pairs.jsonl").write_text('{"text1": "a", "text2": "b", "label": "similar"}\n\n{"text1": "c", "text2": "d", "label": "x"}\n')
     doc = readers.read_documents(spark, str(tmp_path / "a.txt")).first()
     assert doc["title"] == "a.txt" and doc["text"] == "line one\nline two" and doc["value"].startswith("/")
+    named = readers.read_documents(spark, str(tmp_path / "*.txt"), key="path")
+    assert named.first()["doc_id"] == doc["value"] and lexical.lexical_stats(named.withColumn("lang", F.lit("en"))).first()["doc_id"] == doc["value"]
+    with pytest.raises(ValueError, match="hash"):
+        readers.read_documents(spark, str(tmp_path / "a.txt"), key="name")
     assert [r["url"] for r in readers.read_url_list(spark, str(tmp_path / "urls.lst")).orderBy("line_no").collect()] == ["http://a.org", "http://b.org"]
     with pytest.raises(ValueError):
         readers.read_url_list(spark, str(tmp_path / "none.lst"))
@@ -374,7 +378,6 @@ def test_top_k_is_cut_before_the_shuffle(spark):
 
 
 def test_token_jobs_shuffle_the_text_only(spark):
-    from textloom.operators import lexical
     d = spark.read.parquet(f"{SF}/documents.parquet")
     plan = lexical.top_lemmas(tokens.tokens(d))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from textloom import lexicons
 from textloom.functions import text as tx
 from textloom.operators import extract, language, sentiment, tokens
+from textloom.plans import views
 from textloom.session import shared_dir
 from textloom.sources import readers
 
@@ -200,7 +201,7 @@ def test_default_lists_hold_no_filler_words(spark):
     assert got.count() == 1
     raised = sentiment.scored_words(rows, sentiment.valence_table(spark, lexicons.VALENCE), boosters={"from": 0.5})
     assert raised.filter("micro IS NOT NULL").select("micro").distinct().count() == 2
-    assert not set(lexicons.INVENTED_VALENCE) & set(lexicons.POLARITY)
+    assert not set(views.INVENTED_VALENCE) & set(lexicons.POLARITY)
 
 
 def test_url_list_blanks(spark, tmp_path):

@@ -101,14 +101,6 @@ VALENCE = {
     "bueno": 1.9, "malo": -2.5,
 }
 
-# Valence for frequent invented words of the generated corpus. Only the registered queries pass it, so that the rules are
-# exercised on that corpus; no default contains it.
-INVENTED_VALENCE = {
-    "thon": 1.9, "thatin": 1.4, "hehely": 2.6, "ther": -1.7, "thor": 0.9, "rewh": -0.8, "erth": -2.2, "thing": 1.1,
-    "ononst": -1.5, "eque": 1.2, "que": 0.0, "éque": 1.3, "éeau": -1.6, "elle": 1.0, "tre": -0.7, "sch": 1.5,
-    "ung": -1.1, "enau": 2.0, "lich": 0.8, "erte": -1.9, "ción": 1.6, "mente": -1.2, "ado": 0.7, "ciónue": -2.4,
-}
-
 NEGATORS = ("not", "no", "never", "none", "neither", "nor", "without", "nicht", "kein", "keine", "nie", "ohne",
             "pas", "jamais", "sans", "nunca", "sin", "ni")
 

@@ -94,10 +94,10 @@ def detect_language(docs: DataFrame, profiles: Profiles | None = None, supported
     share = 1 / mass
     share = F.when(F.col("_len") < SHORT_TEXT, share * 0.8).otherwise(share)
     known = F.col("_best.lang").isin(*supported)
-    return rows.select(
-        *docs.columns,
-        F.when(F.col("_none") | ~known, "en").otherwise(F.col("_best.lang")).alias("language"),
-        F.when(F.col("_len") == 0, 0.0).when(F.col("_none"), 0.3).when(known, share).otherwise(F.least(share, F.lit(UNSUPPORTED_CONFIDENCE))).alias("language_confidence"))
+    language = F.when(F.col("_none") | ~known, "en").otherwise(F.col("_best.lang"))
+    confidence = F.when(F.col("_len") == 0, 0.0).when(F.col("_none"), 0.3).when(known, share).otherwise(F.least(share, F.lit(UNSUPPORTED_CONFIDENCE)))
+    # A generator of one row: a filter on the result stays above it, where it would otherwise be evaluated by scoring every text once more for each mention.
+    return rows.select(*docs.columns, F.inline(F.array(F.struct(language.alias("language"), confidence.alias("language_confidence")))))
 
 
 def resolve_language(detected: DataFrame, override: Column, default: Column) -> DataFrame:

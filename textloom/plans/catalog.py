@@ -537,7 +537,7 @@ def _yake(spark, sf):
     return rows.select("doc_id", "keyword", "score", "rank")
 
 
-_ALL_VALENCE = {**lexicons.VALENCE, **lexicons.INVENTED_VALENCE}
+_ALL_VALENCE = {**lexicons.VALENCE, **views.INVENTED_VALENCE}
 _TURN_SOURCE = f"SELECT {views.TURN_ID} AS doc_id, text FROM conversations"
 _LABEL_SQL = "CASE WHEN compound >= 0.05 THEN 'positive' WHEN compound <= -0.05 THEN 'negative' ELSE 'neutral' END"
 
@@ -735,7 +735,7 @@ def _payloads(spark, sf):
 
 @query("payload_values", sp.query(*_RESULT_CTES, select=f"""SELECT d.doc_id, 'textloom' AS tool, source AS source_value, concat('document ', d.doc_id) AS title, CAST(length(text) AS BIGINT) AS char_count,
  CAST(len({sp.blank_words('text')}) AS BIGINT) AS word_count, lang AS code, lang_confidence AS language_confidence, {_MODEL_SQL} AS model, name, round(any_value(confidence), 6) AS confidence,
- 0.0::DOUBLE AS processing_time, count(metric) AS metrics, count(text_value) AS texts, round(coalesce(sum(round(value, 6)), 0), 3) AS total,
+ 0.0::DOUBLE AS processing_time, count(metric) AS metrics, count(text_value) AS texts, CAST(coalesce(sum(CAST(round(value * 1000000) AS BIGINT)), 0) AS BIGINT) AS total,
  string_agg(text_value, '|' ORDER BY metric) FILTER (text_value IS NOT NULL) AS said FROM ({_RESULT_UNION}) r JOIN redocs d ON d.doc_id = r.doc_id
  GROUP BY d.doc_id, text, source, lang, lang_confidence, name"""))
 def _payload_values(spark, sf):
@@ -750,9 +750,9 @@ def _payload_values(spark, sf):
                        schema.number(schema.member(F.col("_a"), "confidence")).alias("confidence"),
                        schema.number(schema.member(F.col("_a"), "processing_time")).alias("processing_time"), _metrics(schema.member(F.col("_a"), "results")).alias("_m"))
     texts = F.array_sort(F.filter("_m", lambda m: m["text_value"].isNotNull()))
-    total = F.aggregate("_m", F.lit(0.0), lambda acc, m: acc + F.coalesce(F.round(m["value"], 6), F.lit(0.0)))
+    total = F.aggregate("_m", F.lit(0).cast("long"), lambda acc, m: acc + F.coalesce(F.round(m["value"] * 1_000_000).cast("long"), F.lit(0)))  # in millionths
     rows = rows.select(*[c for c in rows.columns if c != "_m"], F.size("_m").cast("long").alias("metrics"), F.size(texts).cast("long").alias("texts"),
-                       F.round(total, 3).alias("total"), F.nullif(F.array_join(F.transform(texts, lambda m: m["text_value"]), "|"), F.lit("")).alias("said"))
+                       total.alias("total"), F.nullif(F.array_join(F.transform(texts, lambda m: m["text_value"]), "|"), F.lit("")).alias("said"))
     return rounded(rows)
 
 
