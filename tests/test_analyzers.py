@@ -82,9 +82,11 @@ def test_names_are_found_inside_longer_runs(spark, docs):
                      (1, 0, 3, "ORG", "new york times"), (1, 3, 6, "LOC", "york times square"), (1, 6, 8, "GPE", "new york")]
 
 
-def test_names_against_a_walk_over_the_tokens(spark, docs):
-    """Longest name first, from left to right, with a large table of names."""
+@pytest.mark.parametrize("listed", [10_000, 3])
+def test_names_against_a_walk_over_the_tokens(spark, docs, monkeypatch, listed):
+    """Longest name first, from left to right, with a large table of names; also where its first tokens are too many for a test in the row."""
     import random
+    monkeypatch.setattr(tokens, "LISTED", listed)
     rng = random.Random(4)
     vocab = [f"{a}{b}" for a in "abcdef" for b in "xyz"]
     names = {" ".join(rng.choices(vocab, k=rng.choice([1, 2, 2, 3, 4]))): rng.choice("AB") for _ in range(1500)}

@@ -9,6 +9,9 @@ from textloom import lexicons
 from textloom.functions import text as tx
 from textloom.scale import bounded_broadcast, cluster_by, local_table
 
+#: First tokens of names that are tested in the row before they are looked up.
+LISTED = 10_000
+
 CONTENT_UPOS = ("NOUN", "PROPN", "VERB", "ADJ", "ADV", "NUM", "SYM")
 
 
@@ -127,7 +130,11 @@ def candidate_spans(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
                        F.regexp_extract_all("text", F.lit(tx.TOKEN_WITH_SPACE), F.lit(0)).alias("_p"))
     chunks = F.filter(F.transform("_c", lambda c, i: F.struct(i.alias("i"), F.array(c).alias("w"), F.lit(False).alias("is_name"))),
                       lambda c: c["w"][0].rlike(r"[\p{N}@/]"))
-    starts = F.transform("_p", lambda x, i: F.struct(i.alias("i"), F.slice("_p", i + 1, F.lit(longest)).alias("w"), F.lit(True).alias("is_name")))
+    starts = F.transform("_p", lambda x, i: F.struct(i.alias("i"), F.lower(F.rtrim(x, F.lit(tx.BLANKS))).alias("first")))
+    listed = [r[0] for r in lengths.select("first").limit(LISTED + 1).collect()]
+    if len(listed) <= LISTED:  # a hashed set in the row keeps tokens that begin no name from leaving it; the look-ups below are the same without it
+        starts = F.filter(starts, lambda t: t["first"].isin(*listed))
+    starts = F.transform(starts, lambda t: F.struct(t["i"].alias("i"), F.slice("_p", t["i"] + 1, F.lit(longest)).alias("w"), F.lit(True).alias("is_name")))
     rows = rows.select("doc_id", F.inline(F.concat(chunks, starts)))
     # Chunks meet no name: their keys hold a line break, and the document's id, so that they are spread where the look-up is a shuffle.
     nowhere = F.concat(F.lit("\n"), F.col("doc_id").cast("string"))

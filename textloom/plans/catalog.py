@@ -328,7 +328,7 @@ def _pos_tags(spark, sf):
 
 @query("entities", sp.query(sp.ENTS, select='SELECT doc_id, "start", "end", label, text FROM ents'))
 def _entities(spark, sf):
-    return tokens.entities(views.documents(spark, sf))
+    return tokens.entities(views.documents_rows(spark, sf))
 
 
 @query("dep_arcs", sp.query(sp.ARCS, select="SELECT doc_id, CAST(tok_id AS INTEGER) AS tok_id, dep, head_id FROM arcs"))
@@ -460,7 +460,7 @@ def _head_pos(spark, sf):
 @query("ner_counts", sp.query(sp.ENTS, select="""SELECT d.doc_id, e.label, count(e.label) AS "count", count(e.label) > 0 AS supported
  FROM documents d LEFT JOIN ents e ON e.doc_id = d.doc_id GROUP BY 1, 2"""))
 def _ner(spark, sf):
-    docs = views.documents(spark, sf)
+    docs = views.documents_rows(spark, sf)
     spans = tokens.entities(docs)
     rows = docs.select("doc_id").join(lexical.ner_counts(spans), "doc_id", "left")
     return rows.select("doc_id", "label", F.coalesce("count", F.lit(0)).alias("count"), F.col("count").isNotNull().alias("supported"))
@@ -469,7 +469,7 @@ def _ner(spark, sf):
 @query("ner_examples", sp.query(sp.ENTS, select="""SELECT doc_id, label, CAST(rank AS INTEGER) AS rank, text FROM (
  SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY "start") AS rank FROM ents) WHERE rank <= 10"""))
 def _ner_examples(spark, sf):
-    return lexical.ner_examples(tokens.entities(views.documents(spark, sf))).select("doc_id", "label", "rank", "text")
+    return lexical.ner_examples(tokens.entities(views.documents_rows(spark, sf))).select("doc_id", "label", "rank", "text")
 
 
 def _read_query(name: str, cols: list[str]) -> None:
@@ -609,7 +609,7 @@ _NO_RULES = "n_chars % 17 = 0"
 
 
 def _corpus(spark, sf) -> assemble.Corpus:
-    detected = language.detect_language(views.documents(spark, sf).drop("lang"))
+    detected = language.detect_language(views.documents_rows(spark, sf).drop("lang"))
     lang = F.when(F.expr(_NO_RULES), "it").otherwise(F.col("language"))
     docs = detected.select("doc_id", "text", "source", lang.alias("lang"), F.round("language_confidence", 6).alias("lang_confidence"))
     return assemble.Corpus(docs, valence=views.valence(spark))
@@ -757,7 +757,7 @@ def _payload_values(spark, sf):
 
 
 def _token_job(spark, sf) -> DataFrame:
-    docs = views.documents(spark, sf)
+    docs = views.documents_rows(spark, sf)
     return assemble.token_json(docs, views.arcs_of(spark, sf), tokens.entities(docs))
 
 
