@@ -1,6 +1,7 @@
 """Dependency trees in the row: a sentence is an array of tokens, heads are positions in it.
 
-Everything is computed from arrays of one row, so a table of sentences needs no window, no join and no sort, and is exploded once at the end.
+Everything is computed from arrays of one row, so a table of sentences needs no window, no join and no sort, and is exploded once at the end. Arcs and
+trees of a batch of rows are array operations (``arcs``), whose work grows with the tokens only.
 Positions count from 0; the numbers of the finished tree count from 1, with 0 for the root.
 """
 
@@ -13,22 +14,41 @@ from pyspark.sql import functions as F
 
 from textloom import lexicons
 from textloom.functions import text as tx
-from textloom.operators.tokens import CONTENT_UPOS, upos_rule
+from textloom.operators import arcs
+from textloom.operators.tokens import upos_rule
 
-NOMINAL = ("NOUN", "PROPN", "PRON", "ADJ", "NUM")
 
-
-def listed_upos(lang: Column, lower: Column) -> Column:
-    """Part of speech that the default lexicon lists for a word, null for others (hashed sets, no join)."""
-    groups: dict[tuple[str, str], list[str]] = {}
+def listed_words() -> dict[str, dict[str, list[str]]]:
+    """Words that the default lexicon lists, by language and part of speech."""
+    groups: dict[str, dict[str, list[str]]] = {}
     for code, word, _, _, upos in lexicons.lexicon_rows():
         if upos:
-            groups.setdefault((code, upos), []).append(word)
-    by_lang = F.lit(None).cast("string")
-    for code in sorted({c for c, _ in groups}):
-        tags = reduce(lambda out, g: out.when(lower.isin(*groups[g]), g[1]), [g for g in sorted(groups) if g[0] == code], F.when(F.lit(False), ""))
-        by_lang = F.when(lang == code, tags).otherwise(by_lang)
-    return by_lang
+            groups.setdefault(code, {}).setdefault(upos, []).append(word)
+    return groups
+
+
+def with_upos(rows: DataFrame) -> DataFrame:
+    """Add ``upos``, the listed part of speech of each of ``toks``, else that of the rules (hashed sets, no join).
+
+    The language is settled once for a sentence. Most words are not listed, which one test of all listed words tells.
+    """
+    groups, others = listed_words(), sorted({code for code, _, _ in lexicons.UPOS_SUFFIXES} | set(listed_words()))
+
+    def tags(code: str | None) -> Column:
+        listed = groups.get(code, {})
+        every = [w for words in listed.values() for w in words]
+
+        def tag(t: Column, i: Column) -> Column:
+            rule = upos_rule(code, t["lower"], t["text"], i, t["is_alpha"])
+            if not every:
+                return rule
+            found = reduce(lambda out, u: out.when(t["lower"].isin(*listed[u]), u), sorted(listed), F.when(F.lit(False), ""))
+            return F.when(t["is_alpha"] & t["lower"].isin(*every), found).otherwise(rule)
+
+        return F.transform("toks", tag)
+
+    upos = reduce(lambda out, code: out.when(F.col("lang") == code, tags(code)), others, F.when(F.lit(False), F.array().cast("array<string>")))
+    return rows.withColumn("upos", upos.otherwise(tags(None)))
 
 
 def sentence_rows(docs: DataFrame, keep: tuple[str, ...] = ("lang",)) -> DataFrame:
@@ -39,10 +59,8 @@ def sentence_rows(docs: DataFrame, keep: tuple[str, ...] = ("lang",)) -> DataFra
     rows = rows.select("doc_id", *keep, "sent_id", F.rtrim("_s", F.lit(tx.BLANKS)).alias("sentence"), stripped.alias("_p"))
     rows = rows.withColumn("toks", F.transform("_p", lambda t: F.struct(
         t["text"].alias("text"), F.lower(t["text"]).alias("lower"), (t["n"] > F.length(t["text"])).alias("spaced"),
-        F.substring(t["text"], 1, 1).rlike(r"\p{L}").alias("is_alpha")))).drop("_p")
-    lang = F.col("lang")
-    return rows.withColumn("upos", F.transform("toks", lambda t, i: F.coalesce(
-        F.when(t["is_alpha"], listed_upos(lang, t["lower"])), upos_rule(lang, t["lower"], t["text"], i, t["is_alpha"]))))
+        tx.starts_with_letter(t["text"]).alias("is_alpha")))).drop("_p")
+    return with_upos(rows)
 
 
 def gathered(toks: DataFrame, *more: str) -> DataFrame:
@@ -72,51 +90,12 @@ def with_baseline(sents: DataFrame) -> DataFrame:
     the content token right after them; determiners and other function words hang on the next content token; everything else on the previous one
     (or on the root).
     """
-    marks = lambda tags: F.array_join(F.transform("upos", lambda u: F.when(u.isin(*tags), "x").otherwise("-")), "")
-    rows = sents.withColumn("_c", marks(CONTENT_UPOS)).withColumn("_v", marks(("VERB", "AUX")))
-    first = lambda c: F.nullif(F.instr(c, "x"), F.lit(0))
-    rows = rows.withColumn("_root", F.coalesce(first("_v"), first("_c"), F.lit(1)) - 1).withColumn("_r", F.reverse("_c")).withColumn("_n", F.length("_c"))
-    root = F.col("_root")
-
-    def arc(u: Column, i: Column) -> Column:
-        left = F.get("upos", i - 1)
-        content = u.isin(*CONTENT_UPOS)
-        after = F.call_function("locate", F.lit("x"), F.col("_c"), i + 2)
-        before = F.call_function("locate", F.lit("x"), F.col("_r"), F.col("_n") - i + 1)
-        forward = F.when(after > 0, after - 1).otherwise(root)
-        back = F.when((i > 0) & (before > 0), F.col("_n") - before).otherwise(root)
-        dep = (F.when(i == root, "ROOT")
-               .when(u == "ADP", "prep")
-               .when(content & (left == "ADP"), "pobj")
-               .when(content & (left == "AUX") & (i - 1 == root), "attr")
-               .when(u == "DET", "det").when(u == "AUX", "aux").when(u == "PRON", "nsubj")
-               .when(u == "CCONJ", "cc").when(u == "SCONJ", "mark").when(u == "PUNCT", "punct")
-               .when(u == "ADJ", "amod").when(u == "ADV", "advmod").when(u == "NUM", "nummod")
-               .when(u == "VERB", "conj")
-               .when(u.isin("NOUN", "PROPN"), F.when(i > root, "dobj").otherwise("nsubj"))
-               .otherwise("dep"))
-        head = (F.when(i == root, i)
-                .when(u == "ADP", back)
-                .when(content & (left == "ADP"), i - 1)
-                .when(content & (left == "AUX") & (i - 1 == root), root)
-                .when(u.isin("DET", "AUX", "PRON", "CCONJ", "SCONJ", "PART"), forward)
-                .when(u.isin("NOUN", "PROPN", "VERB"), root)
-                .otherwise(back))
-        return F.struct(dep.alias("dep"), head.cast("int").alias("head"))
-
-    rows = rows.withColumn("_a", F.transform("upos", arc))
-    return rows.withColumn("dep", F.col("_a.dep")).withColumn("head", F.col("_a.head")).drop("_c", "_v", "_r", "_n", "_root", "_a")
-
-
-def ud_relation(dep: Column) -> Column:
-    """Universal relation of a parser label; unknown labels are lower-cased."""
-    same = [d for d, r in lexicons.UD_RELATIONS.items() if d == r]  # one hashed test settles most tokens
-    cases = reduce(lambda out, d: out.when(dep == d, lexicons.UD_RELATIONS[d]), [d for d in lexicons.UD_RELATIONS if d not in same], F.when(dep.isin(*same), dep))
-    return cases.otherwise(F.lower(dep))
+    rows = sents.withColumn("_a", F.arrow_udf(arcs.baseline, arcs.ARCS)("upos"))
+    return rows.withColumn("dep", F.col("_a.dep")).withColumn("head", F.col("_a.head")).drop("_a")
 
 
 def with_tree(sents: DataFrame) -> DataFrame:
-    """Add ``tree``: for each token its head number and relation before and after the repairs.
+    """Add ``tree``: for each token its head number and relation before and after the repairs, a struct of arrays.
 
     * ``head_basic``, ``deprel_basic``: heads as numbers, labels as universal relations; an ``obl`` below a nominal is ``nmod``.
     * ``head_pp``, ``deprel_pp``: the object of an adposition becomes ``nmod`` of the adposition's head, the adposition its ``case``. An adposition that is
@@ -125,51 +104,18 @@ def with_tree(sents: DataFrame) -> DataFrame:
 
     Reads the arrays ``upos``, ``dep`` and ``head``; a head outside the sentence makes a token a child of 0.
     """
-    head, upos, dep = F.col("head"), F.col("upos"), F.col("dep")
-    nominal = lambda c: c.isin(*NOMINAL)
-    # What a token needs to know of its head, once for each token: the head's tag, and where the head itself hangs.
-    rows = sents.withColumn("_u", F.transform(head, lambda h: F.get(upos, h))).withColumn("_g", F.transform(head, lambda h: F.get(head, h)))
-    rows = rows.withColumn("_rel", F.transform(dep, lambda d, i: F.when(
-        (d == "pobj") & F.coalesce(nominal(F.when(F.get("_u", i) == "ADP", F.get(upos, F.get("_g", i))).otherwise(F.get("_u", i))), F.lit(False)),
-        "nmod").otherwise(ud_relation(d))))
-    rows = rows.withColumn("_head", F.transform(dep, lambda d, i: F.when(d == "ROOT", 0).otherwise(F.coalesce(F.get(head, i) + 1, F.lit(0)))))
-    # Movers from the last to the first, and the adposition that each of them claims.
-    movers = F.filter(F.transform(dep, lambda d, i: F.when(
-        (d == "pobj") & (F.get("_u", i) == "ADP") & (F.get("_g", i) != F.get(head, i)), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("_m", F.reverse(movers))
-    rows = rows.withColumn("_of", F.transform("_m", lambda i: F.get(head, i)))
-    rows = rows.withColumn("_noun", F.transform(dep, lambda d, i: F.get("_m", F.array_position(F.col("_of"), i).cast("int") - 1) + 1))
-    # 1: claimed by a noun behind, 2: moves itself, 0: neither.
-    kind = F.transform(dep, lambda d, i: F.when(
-        F.get("_noun", i).isNotNull() & (~F.array_contains("_m", i) | (F.get("_noun", i) > i + 1)), 1).when(F.array_contains("_m", i), 2).otherwise(0))
-    rows = rows.withColumn("_k", F.when(F.size("_m") > 0, kind))
-    turned = lambda one, two, base: F.transform("_k", lambda k, i: F.when(k == 0, F.get(base, i)).when(k == 1, one(i)).otherwise(two(i)))
-    rows = rows.withColumn("_hp", F.coalesce(turned(lambda i: F.get("_noun", i), lambda i: F.get("_g", i) + 1, "_head"), "_head"))
-    rows = rows.withColumn("_rp", F.coalesce(turned(lambda i: F.lit("case"), lambda i: F.lit("nmod"), "_rel"), "_rel"))
-    root = F.nullif(F.array_position(dep, F.lit("ROOT")), F.lit(0)).cast("int")
-    rows = rows.withColumn("_old", root)
-    verbal = F.get(upos, F.col("_old") - 1).isin("AUX", "VERB") & F.array_contains(dep, "attr")
-    rows = rows.withColumn("_new", F.when(verbal, F.array_min(F.transform(
-        dep, lambda d, i: F.when((d == "attr") & (F.get(head, i) + 1 == F.col("_old")), i + 1)))))
-    new, old = F.col("_new"), F.col("_old")
-    rows = rows.withColumn("_hf", F.when(new.isNull(), F.col("_hp")).otherwise(F.transform(
-        "_hp", lambda h, i: F.when(i + 1 == new, 0).when((i + 1 == old) | (h == old), new).otherwise(h))))
-    rows = rows.withColumn("_rf", F.when(new.isNull(), F.col("_rp")).otherwise(F.transform(
-        "_rp", lambda r, i: F.when(i + 1 == new, "root").when(i + 1 == old, "cop").otherwise(r))))
-    tree = F.arrays_zip(*[F.col(c).alias(name) for c, name in TREE.items()])
-    return rows.withColumn("tree", tree).drop("_u", "_g", "_rel", "_head", "_m", "_of", "_noun", "_k", "_hp", "_rp", "_old", "_new", "_hf", "_rf")
-
-
-#: Working arrays of ``with_tree`` and the fields that they become.
-TREE = {"_head": "head_basic", "_rel": "deprel_basic", "_hp": "head_pp", "_rp": "deprel_pp", "_hf": "head_idx", "_rf": "deprel"}
-
-
-def exploded(sents: DataFrame, *keys: str) -> DataFrame:
-    """One row for each token: ``keys``, its number ``idx`` from 1, the fields of ``toks``, its tag, and what there is of ``dep``, ``head`` and ``tree``."""
-    parts = [c for c in ("upos", "dep", "head") if c in sents.columns]
-    both = F.arrays_zip(F.col("toks").alias("t"), *parts, *([F.col("tree").alias("r")] if "tree" in sents.columns else []))
+    return sents.withColumn("tree", F.arrow_udf(arcs.tree, arcs.TREES)("upos", "dep", "head"))
+
+
+def exploded(sents: DataFrame, *keys: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    """One row for each token: ``keys``, its number ``idx`` from 1, the fields of ``toks``, its tag, and what there is of ``dep``, ``head`` and ``tree``;
+    with ``only`` just those of them, so that no array is copied for nothing."""
+    parts = [c for c in ("upos", "dep", "head") if c in sents.columns and (only is None or c in only)]
+    fields = [c for c in (arcs.TREE if "tree" in sents.columns else ()) if only is None or c in only]
+    toks = [F.col("toks").alias("t")] if only is None else []
+    both = F.arrays_zip(*toks, *parts, *[F.col(f"tree.{c}").alias(c) for c in fields])
     rows = sents.select(*keys, F.posexplode(both).alias("_i", "_x"))
-    return rows.select(*keys, (F.col("_i") + 1).alias("idx"), "_x.t.*", *[f"_x.{c}" for c in parts], *(["_x.r.*"] if "tree" in sents.columns else []))
+    return rows.select(*keys, (F.col("_i") + 1).alias("idx"), *(["_x.t.*"] if toks else []), *[f"_x.{c}" for c in (*parts, *fields)])
 
 
 def document_sentences(docs: DataFrame, keep: tuple[str, ...] = ("lang",)) -> DataFrame:
