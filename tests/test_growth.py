@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom import scale
-from textloom.operators import trees
+from textloom.operators import language, trees
 
 
 def plan_of(df) -> str:
@@ -41,3 +41,16 @@ def test_parts_of_clustered_texts_stay_small(spark, tmp_path):
     size = scale.scanned_bytes(rows)
     assert size > 2 ** 27
     assert size / scale.cluster_by(rows, "doc_id").rdd.getNumPartitions() <= 2 ** 23 + 2 ** 20
+
+
+def test_language_scores_take_no_expression_for_each_character(spark, docs, monkeypatch):
+    rows = language.detect_language(docs(("the cat and the dog", "en"), (None, "en"), ("", "en"), ("x", "en")))
+    assert "aggregate(" not in plan_of(rows).split("_scores")[-1] and "split(" not in plan_of(rows)
+    texts = ["the cat and the dog sat on it", "le chat et le chien", "a", "", "日本 語 text", "der Hund \U00010780 und", "x" * 500]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, text STRING").withColumn("l", language.letters(F.col("text")))
+    profiles = language.default_profiles(frame)
+    monkeypatch.setattr(language, "HELD_CHARACTERS", 20)  # texts are scored in several lots
+    got = frame.orderBy("i").select(F.arrow_udf(language.scorer(profiles), "struct<sums:array<bigint>,n:int>")("l").alias("s"), language.trigram_slots(F.col("l")).alias("slots")).collect()
+    for r in got:
+        assert r["s"]["n"] == len(r["slots"])
+        assert r["s"]["sums"] == [sum(profiles[name][k] for k in r["slots"]) for name in sorted(profiles)]

@@ -6,9 +6,13 @@ and one sign for all letters of other scripts than Latin. Weights are whole thou
 
 from __future__ import annotations
 
-import json
 import math
+import sys
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,9 @@ from textloom.functions import text as tx
 from textloom.samples import LANGUAGE_SAMPLES
 from textloom.scale import local_table
 
+# Task functions of this module travel with the job, so workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SHORT_TEXT = 200
 LOW_CONFIDENCE = 0.6
 UNSUPPORTED_CONFIDENCE = 0.6
@@ -24,6 +31,8 @@ UNSUPPORTED_CONFIDENCE = 0.6
 SLOTS, PRIOR, EVIDENCE = 4093, 0.3, 50
 #: Multipliers of the three code points of a trigram.
 MIX = (1_000_003, 10_007, 101)
+#: Characters of texts that are scored at once.
+HELD_CHARACTERS = 1_000_000
 
 Profiles = dict[str, list[int]]
 
@@ -71,6 +80,39 @@ def default_profiles(docs: DataFrame) -> Profiles:
     return _DEFAULT
 
 
+def scorer(profiles: Profiles) -> Callable[[pa.Array], pa.Array]:
+    """Function of a batch of texts that went through ``letters``: for each text the sum of every profile (in the order of their names) over its trigrams, and
+    their number. The slots are those of ``trigram_slots``."""
+    weights = np.array([profiles[name] for name in sorted(profiles)], np.int64)
+    slots, mix, held = SLOTS, MIX, HELD_CHARACTERS
+
+    def sums(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.cumsum([len(t) for t in texts])
+        n = np.maximum(np.diff(ends, prepend=0) - 2, 0)
+        slot = (codes[:-2] * mix[0] + codes[1:-1] * mix[1] + codes[2:] * mix[2]) % slots
+        starts = np.concatenate(([0], ends[:-1]))
+        out = np.zeros((len(texts), len(weights)), np.int64)
+        for i, w in enumerate(weights):
+            total = np.concatenate(([0], np.cumsum(w[slot])))
+            out[:, i] = np.where(n > 0, total[np.minimum(starts + n, len(slot))] - total[np.minimum(starts, len(slot))], 0)
+        return out, n
+
+    def score(column: pa.Array) -> pa.Array:
+        texts, parts, at, size = column.to_pylist(), [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= held or i + 1 == len(texts):  # few texts at once, however long they are
+                parts.append(sums(texts[at:i + 1]))
+                at, size = i + 1, 0
+        total = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, len(weights)), np.int64)
+        n = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+        offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(weights))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(total.ravel())), pa.array(n.astype(np.int32))], names=["sums", "n"])
+
+    return score
+
+
 def detect_language(docs: DataFrame, profiles: Profiles | None = None, supported: tuple[str, ...] = tuple(sorted(lexicons.LANGUAGE_MODELS))) -> DataFrame:
     """Add ``language`` and ``language_confidence``.
 
@@ -81,14 +123,11 @@ def detect_language(docs: DataFrame, profiles: Profiles | None = None, supported
     profiles = profiles or default_profiles(docs)
     body = tx.strip(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.withColumn("_len", F.length(body)).withColumn("_letters", letters(F.coalesce(F.col("text"), F.lit(""))))
-    rows = rows.withColumn("_slots", trigram_slots(F.col("_letters"))).withColumn("_none", F.trim("_letters") == "").drop("_letters")
-
-    def score(weights: list[int]) -> Column:
-        table = F.from_json(F.lit(json.dumps(weights)), "array<int>")
-        return F.aggregate("_slots", F.lit(0).cast("long"), lambda total, s: total + F.get(table, s.cast("int")))
-
-    scores = F.array(*[F.struct(score(w).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, (lang, w) in enumerate(sorted(profiles.items()))])
-    rows = rows.withColumn("_scores", scores).withColumn("_scale", F.least(F.lit(1.0), EVIDENCE / F.greatest(F.lit(1), F.size("_slots"))) / 1000).drop("_slots")
+    names = sorted(profiles)
+    score = F.arrow_udf(scorer(profiles), "struct<sums:array<bigint>,n:int>")
+    rows = rows.withColumn("_s", score("_letters")).withColumn("_none", F.trim("_letters") == "").drop("_letters")
+    scores = F.array(*[F.struct(F.get("_s.sums", F.lit(i)).alias("n"), F.lit(-i).alias("order"), F.lit(lang).alias("lang")) for i, lang in enumerate(names)])
+    rows = rows.withColumn("_scores", scores).withColumn("_scale", F.least(F.lit(1.0), EVIDENCE / F.greatest(F.lit(1), F.col("_s.n"))) / 1000).drop("_s")
     rows = rows.withColumn("_best", F.array_max("_scores"))
     mass = F.aggregate("_scores", F.lit(0.0), lambda total, s: total + F.exp((s["n"] - F.col("_best.n")) * F.col("_scale")))
     share = 1 / mass
