@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.similarity import l2_normalize
+from textloom.operators.similarity import l2_normalize, topk_similar
 from textloom.scale import top_k
 
 # Task functions of this module travel with the job, so workers need no installed copy of the package.
@@ -24,8 +24,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 UNITS = 1_000_000_000
 #: Rounds of oversampled seeding, drawn candidates for each wanted centre in a round, and most rounds of moving centres.
 SEED_ROUNDS, OVERSAMPLE, ROUNDS = 5, 2, 20
-#: Inverted file: vectors that the cells are learned from at most, most cells, vectors of a cell that a task holds at once, and cells that a query asks.
+#: Inverted file: vectors that the cells are learned from at most, most cells, vectors of a cell that a task holds at once, and cells that a query asks at least.
 TRAIN_ROWS, MOST_CELLS, HELD_ROWS, PROBES = 100_000, 4096, 50_000, 16
+#: Queries whose exact neighbours tell how many cells must be asked, and the share of these neighbours that the cells must hold.
+TRIAL_QUERIES, TRIAL_RECALL = 200, 0.96
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -143,9 +145,30 @@ def cluster_vectors(vectors: DataFrame, k: int, key: str = "vec_id", col: str =
     return assigned(rows, lloyd(rows, centers, rounds)).select(F.col("key").alias(key), "cluster")
 
 
-def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None, probes: int = PROBES, seed: int = 42) -> DataFrame:
+def needed_probes(asked: DataFrame, corpus: DataFrame, filed: DataFrame, centers: np.ndarray, k: int, seed: int = 42) -> int:
+    """How many of its nearest cells a query must ask for ``TRIAL_RECALL`` of its exact neighbours, as ``TRIAL_QUERIES`` queries drawn by a hash show.
+
+    ``asked`` and ``corpus`` are unit vectors (key, vector), ``filed`` has the cluster of every key of ``corpus``. What comes back is bounded by the drawn queries.
+    """
+    drawn = asked.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(TRIAL_QUERIES)
+    rows = drawn.collect()
+    trial = asked.sparkSession.createDataFrame([(r["key"], r["vector"]) for r in rows], "query_id LONG, vector ARRAY<DOUBLE>")
+    near = topk_similar(trial, corpus.select(F.col("key").alias("vec_id"), "vector"), k).select("query_id", F.col("vec_id").alias("key"))
+    found = filed.join(F.broadcast(near), "key").select("query_id", "cluster").collect()
+    if not found:
+        return min(PROBES, len(centers))
+    order = np.argsort(distances(np.array([r["vector"] for r in rows], np.float64), centers), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(len(centers)), order.shape), 1)
+    row = {r["key"]: i for i, r in enumerate(rows)}
+    ranks = np.sort([place[row[r["query_id"]], r["cluster"]] for r in found])
+    return min(len(centers), max(PROBES, 1 + int(ranks[int(np.ceil(TRIAL_RECALL * len(ranks))) - 1])))
+
+
+def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None, probes: int | None = None, seed: int = 42) -> DataFrame:
     """The ``k`` most similar corpus vectors for each query, looked for in the ``probes`` nearest cells of an inverted file; scores are exact.
 
+    Without ``probes`` as many cells are asked as a trial on a bounded number of queries finds to be needed (``needed_probes``): vectors without clusters need most.
     ``queries`` has (query_id, vector), ``corpus`` has (vec_id, vector). Cells are learned from at most ``TRAIN_ROWS`` vectors and hold all. Vectors and the queries
     that ask for their cell meet in one shuffle; a cell of more than ``HELD_ROWS`` vectors is cut in parts that each of its queries visits. So the work grows with
     the queries, and neither queries nor vectors come to the driver.
@@ -159,6 +182,7 @@ def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None
     centers = lloyd(*(lambda s: (s, seeds(s, cells, seed)))(c.filter(_coin("key", seed) < F.lit(TRAIN_ROWS / n)) if n > TRAIN_ROWS else c), 10)
     filed = c.join(assigned(c, centers).select("key", "cluster"), "key")
     parts = assigned(c, centers).groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / HELD_ROWS).cast("int").alias("parts"))  # one row for each cell
+    probes = probes or needed_probes(q, c, assigned(c, centers).select("key", "cluster"), centers, k, seed)
     asked = q.join(assigned(q, centers, min(probes, len(centers))).select("key", "cluster"), "key")
     held = filed.join(F.broadcast(parts), "cluster").select("cluster", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "key", "vector")
     asks = asked.join(F.broadcast(parts), "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "key", "vector")
