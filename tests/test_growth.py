@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom import scale
-from textloom.operators import clusters, language, similarity, trees
+from textloom.operators import clusters, language, similarity, tokens, trees
 
 
 def plan_of(df) -> str:
@@ -63,3 +63,26 @@ def test_inverted_file_finds_neighbours_of_vectors_without_clusters(spark):
     found, exact = clusters.ivf_search(asked, vectors, 10), similarity.topk_similar(asked, vectors, 10)
     both = exact.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
     assert both.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0] >= 0.9
+
+
+def test_arcs_of_documents_shuffle_nothing(spark, docs):
+    rows = docs(("The dog ran to the house. It was big!\nYes", "en"), ("", "en"), (None, "en"), ("Der Hund ist gross.", "de"), ("a b", None))
+    got = trees.document_arcs(rows)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    cols = ["doc_id", "sent_id", "tok_id", "dep", "head_id"]
+    want = trees.baseline_arcs(tokens.tokens(rows)).select(*cols)
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_profiles_and_token_json_lay_the_tokens_out_once(spark, tmp_path):
+    """Batches that pass through Python lose the layout: no exchange may stand above the tokens."""
+    spark.createDataFrame([(i, "The dog ran to the house. It was big!", "en") for i in range(20)], "doc_id LONG, text STRING, lang STRING").write.parquet(str(tmp_path / "d"))
+    rows = spark.read.parquet(str(tmp_path / "d"))
+    sents = trees.document_sentences(scale.cluster_by(rows, "doc_id"), laid_out=True)
+    counts = trees.exploded(sents, "doc_id").groupBy("doc_id", "dep").count()
+    arcs = trees.baseline_arcs(tokens.tokens(rows)).groupBy("doc_id").agg(F.collect_list("dep"))
+    for df in (counts, arcs):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    a = trees.document_sentences(rows).select("doc_id", "sent_id", "dep", "head").collect()
+    b = sents.select("doc_id", "sent_id", "dep", "head").collect()
+    assert sorted(a) == sorted(b)

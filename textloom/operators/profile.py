@@ -129,7 +129,7 @@ def profiles(docs: DataFrame, lexicon: DataFrame | None = None, valence: DataFra
     keep = ("lang", *(c for c in keep if c != "lang"))
     # All parts carry the same columns, so that Spark reads and shuffles them once.
     rows = cluster_by(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", *keep), "doc_id")
-    sents = trees.document_sentences(rows, keep) if lexicon is None else trees.with_baseline(
+    sents = trees.document_sentences(rows, keep, laid_out=True) if lexicon is None else trees.laid_out_baseline(
         trees.gathered(tokens.tokens(docs, lexicon).join(docs.select("doc_id", *keep[1:]), "doc_id"), *keep))
     seen = gathered_entries(entries(sents, dim, keep), keep).drop(*keep)
     scores = sentiment.valence_scores(rows, valence if valence is not None else sentiment.valence_table(docs.sparkSession, lexicons.VALENCE), extra=keep)
