@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom import scale
-from textloom.operators import clusters, language, similarity, tokens, trees
+from textloom.operators import clusters, language, profile, similarity, tokens, trees
 
 
 def plan_of(df) -> str:
@@ -86,3 +86,14 @@ def test_profiles_and_token_json_lay_the_tokens_out_once(spark, tmp_path):
     a = trees.document_sentences(rows).select("doc_id", "sent_id", "dep", "head").collect()
     b = sents.select("doc_id", "sent_id", "dep", "head").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_entries_of_profiles_are_hashed_before_they_are_gathered(spark, docs):
+    """Every token gives some entries. An aggregate with lists or structs sorts its input once a part holds more than a few groups."""
+    rows = docs(("The dog ran to the house. The dog was big!", "en"))
+    entries = profile.entries(trees.document_sentences(rows, laid_out=True), 8, ("lang",))
+    got = profile.gathered_entries(entries, ("lang",))
+    first = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Aggregate(" in x][-1]
+    assert " HashAggregate(" in first
+    dog = next(t for t in got.first()["terms"] if t["term"] == "dog")
+    assert (dog["tf"], dog["at"], dog["spread"], dog["left"], dog["right"]) == (2, [0, 1], 2, 0.5, 1.0)

@@ -72,11 +72,15 @@ def entries(sents: DataFrame, dim: int, keep: tuple[str, ...]) -> DataFrame:
 
 def gathered_entries(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """One row for each document with an array of each kind of entry: counted first, then gathered. Rows that are laid out by document are not shuffled."""
-    of_term = F.col("kind") == TERM
-    counted = rows.groupBy("doc_id", *keep, "kind", "a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.min(F.struct("sent_id", "i")).alias("first"),
-        F.count_if("acronym").alias("acronyms"), F.count_if("capital").alias("capitals"), F.collect_list(F.when(of_term, F.col("sent_id"))).alias("at"),
-        F.collect_list("left").alias("left"), F.collect_list("right").alias("right"))
+    # Equal entries are counted by numbers alone first, which Spark does by hashing; lists and structs would have it sort every entry.
+    place = F.shiftleft(F.col("sent_id").cast("long"), 32) + F.col("i")
+    single = rows.groupBy("doc_id", *keep, "kind", "a", "b", F.when(F.col("kind") == TERM, F.col("sent_id")).alias("at"), "left", "right").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.min(place).alias("first"),
+        F.count_if("acronym").alias("acronyms"), F.count_if("capital").alias("capitals"))
+    every = lambda c: F.flatten(F.collect_list(F.when(F.col(c).isNotNull(), F.array_repeat(c, F.col("n").cast("int"))))).alias(c)
+    counted = single.groupBy("doc_id", *keep, "kind", "a", "b").agg(
+        F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.min("first").alias("first"), F.sum("acronyms").alias("acronyms"),
+        F.sum("capitals").alias("capitals"), every("at"), every("left"), every("right"))
     of = lambda kind, *fields: F.collect_list(F.when(F.col("kind") == kind, F.struct(*fields)))
     distinct = lambda c: F.size(F.array_distinct(c))
     return counted.groupBy("doc_id", *keep).agg(
