@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textloom import scale
-from textloom.operators import clusters, language, similarity, tokens, trees
+from textloom.operators import arcs, clusters, conllu, language, similarity, tokens, trees
+from textloom.plans import views
 
 
 def plan_of(df) -> str:
@@ -86,3 +88,13 @@ def test_profiles_and_token_json_lay_the_tokens_out_once(spark, tmp_path):
     a = trees.document_sentences(rows).select("doc_id", "sent_id", "dep", "head").collect()
     b = sents.select("doc_id", "sent_id", "dep", "head").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_heads_of_token_tables_take_no_search_for_each_token(spark):
+    """Each token searched the ids of its sentence, which were gathered anew for it; all columns of the table were gathered, after two sorts."""
+    got = arcs.positions(pa.array([[5, 6, 9], [], [7, 7, 2], [None, 0]], pa.list_(pa.int32())), pa.array([[6, None, 4], [], [7, 8, 2], [0, None]], pa.list_(pa.int64())))
+    assert got.to_pylist() == [[1, None, None], [], [0, None, 2], [1, None]]
+    toks = views.annotated_tokens(spark, "/root/testdata/sf0.001")
+    assert toks._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    plan = plan_of(conllu.conllu_export(annotations=toks, engine="annotated"))
+    assert "array_position" not in plan and "struct(tok_id" in plan and "sent_pos, sent_pos" not in plan
