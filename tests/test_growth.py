@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textloom import scale
+from textloom.functions import text as tx
 from textloom.operators import arcs, clusters, conllu, language, similarity, tokens, trees
 from textloom.plans import views
 
@@ -98,3 +99,21 @@ def test_heads_of_token_tables_take_no_search_for_each_token(spark):
     assert toks._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
     plan = plan_of(conllu.conllu_export(annotations=toks, engine="annotated"))
     assert "array_position" not in plan and "struct(tok_id" in plan and "sent_pos, sent_pos" not in plan
+
+
+def test_fields_of_tokens_are_settled_without_cutting_or_translating(spark):
+    """Each token's line was cut to sort one pair at most, each cell translated, and each feature list built twice."""
+    odd = ["", " ", "a", "!", "a b", "\u00a0", "\u00a0x", "x\u00a0", "a\tb", "\ta\n", "a\rb", "\u00e9t\u00e9", "a\u2003", "{}", "\x7f", None]
+    rows = spark.createDataFrame([(v,) for v in odd], "v STRING")
+    stripped = tx.strip(F.coalesce("v", F.lit("")))
+    want = F.when(stripped == "", "_").otherwise(F.translate(stripped, "\t\n\r", "   "))
+    assert rows.filter(~tx.conllu_field(F.col("v")).eqNullSafe(want)).count() == 0
+    morphs = ["", None, "{}", "{A=1|b}", "A=1|PunctType=x|B=2", "PunctSide=Ini", "PunctType=Peri", "{{a=}}|x", "|", "A=|B"]
+    got = [r[0] for r in spark.createDataFrame([(m,) for m in morphs], "m STRING").select(tx.conllu_feats(F.col("m"))).collect()]
+    assert got == ["_", "_", "_", "A=1", "A=1|B=2", "_", "_", "a=}}", "_", "A="]
+    cells = lambda feats: "\t".join(["1", "a", "a", "X", "X", feats, "0", "dep", "_", "_"])
+    lines = [cells("_"), cells("b=1|A=2"), cells("A=1"), "# b|a", "", cells("c|b|B|a")]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "x STRING").select(tx.sort_feats(F.col("x"))).collect()]
+    assert got == [cells("_"), cells("A=2|b=1"), cells("A=1"), "# b|a", "", cells("a|b|B|c")]
+    assert plan_of(rows.select(tx.conllu_feats(F.col("v")).alias("f"))).count("array_join") == 1
+    assert "when not contains" in plan_of(rows.select(tx.sort_feats(F.col("v")).alias("f"))).lower()
