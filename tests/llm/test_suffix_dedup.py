@@ -48,6 +48,33 @@ def test_suffix_order(memory):
         assert got.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist()), x[:20]
 
 
+def test_queues_give_what_waits_at_once():
+    """In arrival order, within the memory, and also what comes while the queue is read; the rounds of a sort grow with its bytes, not with its text."""
+    for memory, want in ((1 << 20, [[1, 2, 3, 4], [5]]), (0, [[1], [2, 3], [4], [5]])):
+        queues, got = induced_sort.Queues(2, memory), []
+        for part in ([1], [2, 3], [4]):
+            queues.put(1, np.array(part, np.int32))
+        for positions in queues.take(1):
+            got.append(positions.tolist())
+            if 4 in got[-1]:
+                queues.put(1, np.array([5], np.int32))
+        assert got == want and queues.held == 0
+
+
+def test_rounds_of_a_sort(monkeypatch):
+    """A shard's piece is sorted in few rounds, however many small arrays its queues were filled with."""
+    rounds, plain = [], induced_sort.Queues.hand_on
+    monkeypatch.setattr(induced_sort.Queues, "hand_on", lambda self, *a: (rounds.append(1), plain(self, *a))[1])
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, k, dtype=np.uint8)) for k in rng.integers(2, 9, 500)]
+    text = b" ".join(words[k] for k in rng.integers(0, 500, 20000))
+    t = np.append(np.frombuffer(text, np.uint8).astype(np.int16) + 1, 0)
+    order = induced_sort.suffix_order(t, 100)
+    assert sorted(order.tolist()) == list(range(len(t))) and len(rounds) < 2000
+    few = order[::500].tolist()
+    assert all((text[a:a + 99] + b"\0") <= (text[b:b + 99] + b"\xff") for a, b in zip(few, few[1:]))
+
+
 def corpus(seed):
     rng = random.Random(seed)
     letters = "abcdefgh é😀"

@@ -38,15 +38,21 @@ class Queues:
             self.items[queue].append(positions)
 
     def take(self, queue: int) -> Iterator[np.ndarray]:
-        """Everything in the queue, also what is put there meanwhile."""
-        while self.items[queue]:
-            item = self.items[queue].popleft()
-            if isinstance(item, tuple):
-                self.file.seek(item[0])
-                yield np.frombuffer(self.file.read(item[1] * item[2].itemsize), item[2])
-            else:
-                self.held -= item.nbytes
-                yield item
+        """Everything in the queue, also what is put there meanwhile. What waits there comes at once, up to ``memory`` bytes: many small arrays would
+        cost far more than what they hold."""
+        items = self.items[queue]
+        while items:
+            waiting, size = [], 0
+            while items and (not waiting or size < self.memory):
+                item = items.popleft()
+                if isinstance(item, tuple):
+                    self.file.seek(item[0])
+                    item = np.frombuffer(self.file.read(item[1] * item[2].itemsize), item[2])
+                else:
+                    self.held -= item.nbytes
+                waiting.append(item)
+                size += item.nbytes
+            yield np.concatenate(waiting) if len(waiting) > 1 else waiting[0]
 
     def hand_on(self, positions: np.ndarray, chars: np.ndarray) -> None:
         """Put every position into the queue of its byte, keeping the order."""
