@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontamination, mixing, ngram_join, sharding, toxicity
-from textloom.llm.common import free_name, stored, table
+from textloom.llm.common import TEXT_ROWS, free_name, stored, table
 
 SHARDS = 40
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.5."""
+    """Documents with a toxicity score below 0.5, stored already: all columns pass through Python, a bounded number of rows at once."""
     model, score = toxicity.learn(docs, table(spark, sf_dir, "labels")), free_name(docs, "score")
-    return toxicity.score(docs, model, columns=tuple(docs.columns), name=score).filter(F.col(score) < 0.5).select(*docs.columns)
+    return stored(toxicity.score(docs, model, columns=tuple(docs.columns), name=score).filter(F.col(score) < 0.5).select(*docs.columns), "toxicity", TEXT_ROWS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +51,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if stage is drop_toxic else stored(docs, name)
     return STAGES[-1][1](spark, docs, sf_dir)

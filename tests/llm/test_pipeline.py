@@ -117,6 +117,29 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
 
 
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """Jobs of toxicity and mixing that send texts or features to Python have bounded batches; the frames that the stages return send none."""
+    seen, frame = [], type(spark.range(0))
+
+    def noted(f, of):
+        def call(self, *a, **b):
+            if "InArrow" in of(self)._jdf.queryExecution().optimizedPlan().toString():
+                seen.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+            return f(self, *a, **b)
+        return call
+
+    writer = type(spark.range(0).write)
+    monkeypatch.setattr(frame, "first", noted(frame.first, lambda x: x))
+    monkeypatch.setattr(writer, "parquet", noted(writer.parquet, lambda x: x._df))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.mix_quality):
+        before = len(seen)
+        out = stage(spark, docs, SF)
+        assert "InArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert len(seen) >= before + 3 and max(seen) <= 1000  # features, training, scores
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000
+
+
 def odd_documents(spark):
     """Rows of every kind, with columns named like those that stages add."""
     long = " ".join(f"w{k % 900}" for k in range(60_000))

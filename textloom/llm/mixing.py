@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import toxicity
-from textloom.llm.common import stored
+from textloom.llm.common import TEXT_ROWS, stored
 
 #: Most gradient steps, and the share of all tokens that the totals may miss before the steps end. Targets within reach need about ten steps. Those out of reach
 #: keep the steps going, which are longer then: at the end the weighted squares are within a quarter of the least.
@@ -87,7 +87,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAI
         raise ValueError("one nonnegative target for each domain, not all 0")
     rows = docs.select(F.col(key), F.col(text), F.xxhash64(text).alias("text_hash"),
                        F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0d]+")), F.lit(0)).cast("double").alias("tokens"))
-    table = stored(posteriors(rows, labelled, domains, key, text).select(key, "text_hash", "tokens", "p"), "posteriors")
+    table = stored(posteriors(rows, labelled, domains, key, text).select(key, "text_hash", "tokens", "p"), "posteriors", TEXT_ROWS)
     rate, total, want = fitted_rates(table, targets, grow)
     coin = F.xxhash64(F.lit(17), key, "text_hash").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     rated = table.withColumn("rate", rate)

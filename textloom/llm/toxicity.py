@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import LOWER, chunks, joined, mix64, prefix_hash, span_hash, stored, words
+from textloom.llm.common import LOWER, TEXT_ROWS, batches_of, chunks, joined, mix64, prefix_hash, span_hash, stored, words
 
 #: Slots: one half for single words, one for pairs. Proves the bound of the broadcast weights.
 SLOT_BITS = 21
@@ -121,7 +121,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
                 some = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(found, pa.binary())], names=["turn", "y", "slots"])
 
-    found = stored(rows.mapInArrow(featurize, "turn LONG, y DOUBLE, slots BINARY"), "toxic-features")
+    found = stored(rows.mapInArrow(featurize, "turn LONG, y DOUBLE, slots BINARY"), "toxic-features", TEXT_ROWS)
     positive, total, size = found.agg(F.coalesce(F.sum("y"), F.lit(0.0)), F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("slots")), F.lit(0))).first()
     if total == 0 or positive in (0, total):
         return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log((positive + 1) / (total - positive + 1))))
@@ -150,7 +150,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
                                          names=["slots", "weights", "bias"])
 
     # One task on purpose: the sample is bounded, and FTRL goes through it row by row.
-    slots, weights, bias = found.coalesce(1).mapInArrow(train, "slots BINARY, weights BINARY, bias DOUBLE").first()
+    with batches_of(labelled.sparkSession, TEXT_ROWS):
+        slots, weights, bias = found.coalesce(1).mapInArrow(train, "slots BINARY, weights BINARY, bias DOUBLE").first()
     return Model(np.frombuffer(bytes(slots), np.int32), np.frombuffer(bytes(weights), np.float32), bias)
 
 
@@ -160,7 +161,9 @@ def coin(key: str, salt: int):
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", columns: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """``columns`` of every row and its score as ``name``: 0 to 1, higher where label 1 is likelier. A null text scores as the empty one."""
+    """``columns`` of every row and its score as ``name``: 0 to 1, higher where label 1 is likelier. A null text scores as the empty one.
+
+    Where ``columns`` hold the texts, store the result by ``TEXT_ROWS``: they go through Python and back."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(model))  # bounded by the slots
     wanted = [*columns, *([] if text in columns else [text])]
     at, n, names = wanted.index(text), len(columns), [*columns, name]
