@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import tracemalloc
+import types
+
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -117,3 +122,28 @@ def test_fields_of_tokens_are_settled_without_cutting_or_translating(spark):
     assert got == [cells("_"), cells("A=2|b=1"), cells("A=1"), "# b|a", "", cells("a|b|B|c")]
     assert plan_of(rows.select(tx.conllu_feats(F.col("v")).alias("f"))).count("array_join") == 1
     assert "when not contains" in plan_of(rows.select(tx.sort_feats(F.col("v")).alias("f"))).lower()
+
+
+def test_searches_hold_few_scores_at_once(spark):
+    """Scores of a batch with all queries, and distances of a batch to all candidate centres, were one matrix: 5 GB for 65,536 queries."""
+    rng = np.random.default_rng(5)
+    ids, x = rng.permutation(20_000), np.round(rng.normal(size=(20_000, 8)), 1)
+    asked = x[:3000]
+    held = types.SimpleNamespace(value=(np.arange(3000), similarity._unit_rows(pd.Series(list(asked)))))
+    batches = [pd.DataFrame({"vec_id": ids[a:b], "vector": list(x[a:b])}) for a, b in ((0, 4), (4, 9), (9, 10_009), (10_009, 20_000))]
+    tracemalloc.start()
+    got = pd.concat(similarity._search(held, 10)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6, peak
+    scores = np.round(similarity._unit_rows(pd.Series(list(asked[:50]))) @ similarity._unit_rows(pd.Series(list(x))).T, 9)
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :10]
+    want = {(i, int(ids[j]), scores[i, j]) for i in range(50) for j in order[i]}
+    assert {(int(r.query_id), int(r.vec_id), r.score) for r in got.itertuples() if r.query_id < 50} == want
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids[:2000], x)], "key LONG, vector ARRAY<DOUBLE>").coalesce(1)
+    centers = np.round(rng.normal(size=(2000, 8)), 3)
+    rows = vectors.collect()
+    near = {r["key"]: (r["cluster"], r["distance"]) for r in clusters.assigned(vectors, centers).collect()}
+    d = clusters.distances(np.array([r["vector"] for r in rows]), centers)
+    assert near == {r["key"]: (int(c), e) for r, c, e in zip(rows, d.argmin(1), d.min(1))}
+    assert [s.stop - s.start for s in similarity.blocks(2000, 2000)] == [524, 524, 524, 428]

@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.similarity import l2_normalize, topk_similar
+from textloom.operators.similarity import blocks, l2_normalize, topk_similar
 from textloom.scale import top_k
 
 # Task functions of this module travel with the job, so workers need no installed copy of the package.
@@ -47,10 +47,13 @@ def assigned(vectors: DataFrame, centers: np.ndarray, nearest: int = 1) -> DataF
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = distances(matrix(batch.column(1)), sent.value)
-            best = np.argsort(d, axis=1, kind="stable")[:, :nearest]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(d)), best.shape[1]))), pa.array(best.ravel().astype(np.int32)),
-                                              pa.array(np.take_along_axis(d, best, 1).ravel())], names=["key", "cluster", "distance"])
+            x = matrix(batch.column(1))
+            for s in blocks(len(x), len(sent.value)):
+                d = distances(x[s], sent.value)
+                best = np.argsort(d, axis=1, kind="stable")[:, :nearest]
+                keys = batch.column(0).take(pa.array(np.repeat(np.arange(s.start, s.stop), best.shape[1])))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(best.ravel().astype(np.int32)), pa.array(np.take_along_axis(d, best, 1).ravel())],
+                                                 names=["key", "cluster", "distance"])
 
     return vectors.select("key", "vector").mapInArrow(assign, "key LONG, cluster INT, distance DOUBLE")
 
@@ -63,7 +66,7 @@ def moved(vectors: DataFrame, centers: np.ndarray) -> np.ndarray:
         sums, counts = np.zeros(sent.value.shape, np.int64), np.zeros(len(sent.value), np.int64)
         for batch in batches:
             x = matrix(batch.column(0))
-            at = distances(x, sent.value).argmin(1)
+            at = np.concatenate([np.zeros(0, np.int64), *[distances(x[s], sent.value).argmin(1) for s in blocks(len(x), len(sent.value))]])
             np.add.at(sums, at, np.rint(x * UNITS).astype(np.int64))
             counts += np.bincount(at, minlength=len(counts))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts), dtype=np.int32)), pa.array(counts), pa.array(list(sums))], names=["cluster", "n", "sums"])
@@ -202,8 +205,8 @@ def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None
                 elif ids:
                     vec, some = np.concatenate(ids), np.vstack(rows)
                     ids, rows = [vec], [some]
-                    for s in range(a, b, 256):
-                        part, who = x[s:min(s + 256, b)], key[s:min(s + 256, b)]
+                    for s in blocks(b - a, len(vec)):
+                        part, who = x[a:b][s], key[a:b][s]
                         scores = np.round(part @ some.T, 9)
                         order = np.lexsort((np.broadcast_to(vec, scores.shape), -scores), axis=1)[:, :k]
                         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, order.shape[1])), pa.array(vec[order].ravel()),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of query vectors that every task holds during a search.
 QUERY_BYTES = 32 << 20
+#: Scores or distances that a task computes at once.
+HELD_CELLS = 1 << 20
+#: Vectors that are scored at once; longer batches are cut.
+SEARCH_ROWS = 1 << 12
 
 # Verdict thresholds (similar at least, dissimilar at most) per embedding model.
 THRESHOLDS = {"miniLM": (0.60, 0.30), "bge-m3": (0.65, 0.65)}
@@ -80,7 +85,7 @@ def topk_similar(queries: DataFrame, corpus: DataFrame, k: int, query_bytes: int
     """Exact ``k`` most similar corpus vectors for each query vector (ties: lower id).
 
     ``queries`` has (query_id, vector), ``corpus`` has (vec_id, vector). Every task scores its part of the
-    corpus against the broadcast queries by one matrix product per batch and keeps only k rows per query, so
+    corpus against the broadcast queries by matrix products of ``HELD_CELLS`` scores and keeps only k rows per query, so
     candidate pairs are never written out, and the corpus is neither shuffled nor copied. ``query_bytes`` bounds what is broadcast: the corpus is
     read once for each such share of the queries. ``clusters.ivf_search`` answers large query sets from an inverted file.
     """
@@ -106,26 +111,46 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return m / n
 
 
-def _best_of(ids: np.ndarray, matrix: np.ndarray, vec_ids: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    scores = np.round(matrix @ vectors.T, 9)
-    keep = min(k, scores.shape[1])
-    order = np.lexsort((np.broadcast_to(vec_ids, scores.shape), -scores), axis=1)[:, :keep]
-    return pd.DataFrame({"query_id": np.repeat(ids, keep), "vec_id": vec_ids[order].ravel(),
-                         "score": np.take_along_axis(scores, order, axis=1).ravel()})
+def blocks(rows: int, columns: int) -> Iterator[slice]:
+    """Shares of ``rows`` whose matrix with ``columns`` columns has ``HELD_CELLS`` cells at most (one row at least)."""
+    step = max(1, HELD_CELLS // max(1, columns))
+    return (slice(s, min(s + step, rows)) for s in range(0, rows, step))
+
+
+class _Best:
+    """The ``k`` best of what some queries have met so far: query by position, score and id, in this order."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.full(queries, -np.inf)  # a lower score changes nothing
+        self.row, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        floor = self.floor
+        if scores.shape[1] > self.k and (np.isneginf(floor).any() or np.count_nonzero(scores >= floor[:, None]) > scores.size // 16):
+            floor = np.fmax(floor, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+        row, column = np.nonzero(~(scores < floor[:, None]))
+        row, score, ids = np.concatenate((self.row, row)), np.concatenate((self.score, scores[row, column])), np.concatenate((self.id, ids[column]))
+        order = np.lexsort((ids, -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        self.row, self.score, self.id = row[kept], score[order][kept], ids[order][kept]
+        last = self.row[place[kept] == self.k - 1]
+        self.floor[last] = np.nan_to_num(self.score[place[kept] == self.k - 1], nan=-np.inf)
 
 
 def _search(held, k: int):
     def run(batches):
         ids, matrix = held.value
-        best = None
+        best: dict[int, _Best] = {}
+        shares = list(blocks(len(ids), SEARCH_ROWS))
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            found = _best_of(ids, matrix, batch["vec_id"].to_numpy(), _unit_rows(batch["vector"]), k)
-            both = found if best is None else pd.concat([best, found])
-            best = both.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
+            for at in blocks(len(batch) if len(ids) else 0, HELD_CELLS // SEARCH_ROWS):
+                vec_ids, vectors = batch["vec_id"].to_numpy()[at], _unit_rows(batch["vector"][at])
+                for n, s in enumerate(shares):
+                    best.setdefault(n, _Best(s.stop - s.start, k)).add(np.round(matrix[s] @ vectors.T, 9), vec_ids)
+        for n, found in best.items():
+            yield pd.DataFrame({"query_id": ids[shares[n]][found.row], "vec_id": found.id, "score": found.score})
     return run
 
 
