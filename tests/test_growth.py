@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom import scale
 from textloom.functions import text as tx
-from textloom.operators import arcs, clusters, conllu, language, similarity, tokens, trees
+from textloom.operators import arcs, clusters, conllu, counts, language, profile, similarity, tokens, trees
 from textloom.plans import views
 
 
@@ -147,3 +147,22 @@ def test_searches_hold_few_scores_at_once(spark):
     d = clusters.distances(np.array([r["vector"] for r in rows]), centers)
     assert near == {r["key"]: (int(c), e) for r, c, e in zip(rows, d.argmin(1), d.min(1))}
     assert [s.stop - s.start for s in similarity.blocks(2000, 2000)] == [524, 524, 524, 428]
+
+
+def test_profiles_make_no_row_for_a_token(spark, docs, monkeypatch):
+    """Six rows for each token were sorted to be counted; long documents are counted in lots of their own, with the same counts."""
+    rows = docs(("The dog ran to the house. It was BIG! The House ran.\nYes", "en"), ("", "en"), (None, "en"), ("Der Hund ist gross. STRAßE", "de"), ("a b", None), ("...", "fr"))
+    assert "posexplode" not in plan_of(profile.profiles(rows))
+    got = profile.profiles(rows).select("doc_id", "pos.upos_counts", "keywords.keywords").orderBy("doc_id").collect()
+    assert got[0]["upos_counts"] == {"AUX": 1, "DET": 3, "NOUN": 5, "PART": 1, "PRON": 1, "PROPN": 2, "PUNCT": 3}
+    assert got[1]["upos_counts"] == {} == got[2]["upos_counts"] and got[1]["keywords"] == []
+    sents = rows.select("lang", trees.sentence_arrays(F.array_compact(F.array("text"))).alias("s"), F.lit(4).cast("long").alias("n")).toArrow()
+    lang, column, n = (sents.column(i).combine_chunks() for i in range(3))
+    run = counts.counter(8, 2, {"lemmas": 2, "tagged": 1, "arcs": 2, "terms": 2}, {"en": {"the", "it"}}, {("en", "ran"): "run"})
+    listed = lambda *parts: [{k: sorted(v, key=str) if k in ("tags", "deps") else v for k, v in r.items()} for r in run(*parts).to_pylist()]
+    whole = listed(lang, column, n)
+    monkeypatch.setattr(counts, "HELD_TOKENS", 3)
+    assert listed(lang, column, n) == whole and listed(lang[:0], column[:0], n[:0]) == []
+    assert whole[0]["lemmas"] == [{"lemma": "house", "n": 2}, {"lemma": "run", "n": 2}]
+    assert whole[3]["arcs"] and whole[5] == {"tags": [{"upos": "PUNCT", "n": whole[5]["tags"][0]["n"]}], "lemmas": [], "tagged": [], "deps": whole[5]["deps"],
+                                             "arcs": whole[5]["arcs"], "cells": [0.0] * 8, "terms": []}

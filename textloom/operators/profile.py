@@ -1,7 +1,7 @@
 """Profile of a document: the figures of all analyzers from few passes over the text.
 
-The text is shuffled once by document. Tokens are exploded once and give counted entries of several kinds (tags, lemmas, relations, arcs, cells, terms), which one
-aggregate counts and a second one gathers by document; what analyzers need of them (first places, ratios, scores) are array functions of the row.
+The text is shuffled once by document. Its sentences are arrays of the document's row, never rows of their own; entries of several kinds (tags, lemmas, relations,
+arcs, cells, terms) are counted by array operations over batches of documents (``counts``), which return the few that analyzers list.
 Scalar figures come from the same rows without any shuffle. Entity spans and valence have passes of their own, because their rows depend on look-up tables.
 """
 
@@ -11,14 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import lexicons
-from textloom.functions import text as tx
 from textloom.functions import vectors as vx
-from textloom.operators import embeddings, keywords, lexical, readability, sentiment, tokens, trees
+from textloom.operators import counts, embeddings, keywords, lexical, readability, sentiment, tokens, trees
 from textloom.scale import cluster_by
 
 READABILITY_NOTE = "The formulas were fitted to English prose; compare scores of other languages with care."
 NO_PARSER = "no arcs: the document has no tokens, or its language has no rules"
-TAG, LEMMA, TAGGED, RELATION, ARC, CELL, TERM = range(7)
 
 
 def scalars(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -30,97 +28,30 @@ def scalars(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
             F.lit(True).alias("supported"), F.lit(READABILITY_NOTE).alias("note"), *[c for c in kept if c not in keep]).alias("readability"))
 
 
-def entries(sents: DataFrame, dim: int, keep: tuple[str, ...]) -> DataFrame:
-    """Counted entries of sentences with arcs: doc_id, ``keep``, kind, a, b, at (sentence and position), and for cells the sign, for terms casing and neighbours."""
-    def of_token(t: Column, i: Column) -> Column:
-        return F.struct(F.lit(False).alias("is_word"), t["text"].alias("text"), t["lower"].alias("lower"), t["is_alpha"].alias("is_alpha"),
-                        *[t[c].alias(c) for c in listed], F.get("upos", i).alias("upos"), F.get("dep", i).alias("dep"),
-                        F.get("upos", F.get("head", i)).alias("head_upos"), i.alias("i"), (i > 0).alias("inner"), none.alias("left"), none.alias("right"))
-
-    def of_word(w: Column, i: Column) -> Column:
-        return F.struct(F.lit(True).alias("is_word"), w["text"].alias("text"), w["lower"].alias("lower"), F.lit(True).alias("is_alpha"),
-                        *[w[c].alias(c) for c in listed], none.alias("upos"), none.alias("dep"), none.alias("head_upos"), i.alias("i"),
-                        w["inner"].alias("inner"), F.get("_w", i - 1)["lower"].alias("left"), F.get("_w", i + 1)["lower"].alias("right"))
-
-    none = F.lit(None).cast("string")
-    listed = [c for c in ("is_stop", "lemma") if c in sents.schema["toks"].dataType.elementType.names]
-    numbered = F.transform("toks", lambda t, i: F.struct(t["text"].alias("text"), t["lower"].alias("lower"), t["is_alpha"].alias("is_alpha"),
-                                                         *[t[c].alias(c) for c in listed], (i > 0).alias("inner")))
-    rows = sents.withColumn("_w", F.filter(numbered, lambda t: t["is_alpha"]))
-    rows = rows.select("doc_id", *keep, "sent_id", F.inline(F.concat(F.transform("toks", of_token), F.transform("_w", of_word))))
-    if not listed:
-        rows = rows.withColumn("is_stop", tx.is_stop(F.col("lang"), F.col("lower"))).withColumn("lemma", tx.lemma(F.col("lang"), F.col("lower")))
-    content = F.col("is_alpha") & ~F.col("is_stop")
-    digest, head = F.md5("lower"), F.substring("text", 1, 1)
-    cell = F.pmod(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long"), F.lit(dim)).cast("string")
-    sign = F.when(F.substring(digest, 7, 1).isin(*"01234567"), 1).otherwise(-1)
-    term = F.col("is_word") & ~F.col("is_stop") & (F.length("lower") >= keywords.MIN_TERM_LENGTH)
-    tag = F.when(F.coalesce(F.col("upos"), F.lit("")) == "", "X").otherwise(F.col("upos"))
-
-    def entry(test: Column, kind: int, a: Column, b: Column | None = None, weight: Column | None = None) -> Column:
-        return F.when(test, F.struct(F.lit(kind).alias("kind"), a.alias("a"), (F.lit("") if b is None else b).alias("b"), (F.lit(1) if weight is None else weight).alias("weight")))
-
-    token = ~F.col("is_word")
-    every = [entry(token, TAG, F.col("upos")), entry(token & content, LEMMA, F.col("lemma")), entry(token & content, TAGGED, tag, F.col("lemma")),
-             entry(token, RELATION, F.col("dep")), entry(token & F.col("head_upos").isNotNull(), ARC, F.concat("head_upos", F.lit("->"), "dep")),
-             entry(token & F.col("is_alpha"), CELL, cell, weight=sign), entry(term, TERM, F.col("lower"))]
-    return rows.select(
-        "doc_id", *keep, "sent_id", "i", F.when(term, (F.upper("text") == F.col("text")) & (F.lower("text") != F.col("text"))).alias("acronym"),
-        F.when(term, (F.upper(head) == head) & (F.lower(head) != head) & F.col("inner")).alias("capital"),
-        F.when(term, F.col("left")).alias("left"), F.when(term, F.col("right")).alias("right"), F.inline(F.array(*every))).filter("kind IS NOT NULL")
-
-
-def gathered_entries(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """One row for each document with an array of each kind of entry: counted first, then gathered. Rows that are laid out by document are not shuffled."""
-    of_term = F.col("kind") == TERM
-    counted = rows.groupBy("doc_id", *keep, "kind", "a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.min(F.struct("sent_id", "i")).alias("first"),
-        F.count_if("acronym").alias("acronyms"), F.count_if("capital").alias("capitals"), F.collect_list(F.when(of_term, F.col("sent_id"))).alias("at"),
-        F.collect_list("left").alias("left"), F.collect_list("right").alias("right"))
-    of = lambda kind, *fields: F.collect_list(F.when(F.col("kind") == kind, F.struct(*fields)))
-    distinct = lambda c: F.size(F.array_distinct(c))
-    return counted.groupBy("doc_id", *keep).agg(
-        of(TAG, F.col("a").alias("upos"), "n").alias("tags"), of(LEMMA, (-F.col("n")).alias("less"), F.col("a").alias("lemma")).alias("lemmas"),
-        of(TAGGED, F.col("a").alias("upos"), (-F.col("n")).alias("less"), "first", F.col("b").alias("lemma")).alias("tagged"),
-        of(RELATION, F.col("a").alias("dep"), "n").alias("deps"), of(ARC, (-F.col("n")).alias("less"), "first", F.col("a").alias("arc")).alias("arcs"),
-        of(CELL, F.col("a").cast("int").alias("cell"), "weight").alias("cells"),
-        of(TERM, F.col("a").alias("term"), F.col("n").alias("tf"), F.greatest("acronyms", "capitals").alias("cased"), F.array_sort("at").alias("at"),
-           distinct("at").alias("spread"), F.coalesce(F.try_divide(distinct("left"), F.size("left")), F.lit(0.0)).alias("left"),
-           F.coalesce(F.try_divide(distinct("right"), F.size("right")), F.lit(0.0)).alias("right")).alias("terms"))
-
-
 def pairs(ranked: Column, a: str, b) -> Column:
     """Array of [text, number] pairs."""
     return F.transform(ranked, lambda s: F.array(s[a].cast("variant"), b(s).cast("variant")))
 
 
-def first_by_tag(tagged: Column, k: int) -> Column:
+def first_by_tag(tagged: Column) -> Column:
     tags = F.array_sort(F.array_distinct(F.transform(tagged, lambda t: t["upos"])))
-    best = lambda u: F.slice(F.array_sort(F.transform(F.filter(tagged, lambda t: t["upos"] == u), lambda t: F.struct(
-        t["less"].alias("less"), t["first"].alias("first"), t["lemma"].alias("lemma")))), 1, k)
-    return F.map_from_entries(F.transform(tags, lambda u: F.struct(u.alias("key"), pairs(best(u), "lemma", lambda s: -s["less"]).alias("value"))))
+    of_tag = lambda u: F.filter(tagged, lambda t: t["upos"] == u)
+    return F.map_from_entries(F.transform(tags, lambda u: F.struct(u.alias("key"), pairs(of_tag(u), "lemma", lambda s: s["n"]).alias("value"))))
 
 
-def scored_terms(terms: Column, sentences: Column, k: int) -> Column:
-    """Best terms as [term, score] pairs, by the scheme of ``keywords.keywords_yake``."""
-    total = lambda f: F.aggregate(terms, F.lit(0).cast("long"), lambda acc, t: acc + f(t))
-    n, most = F.greatest(F.lit(1), F.size(terms)), F.array_max(F.transform(terms, lambda t: t["tf"]))
-    mean = total(lambda t: t["tf"]) / n
-    sd = F.sqrt(F.greatest(F.lit(0.0), total(lambda t: t["tf"] * t["tf"]) / n - mean * mean))
+def scored_terms(terms: Column, k: int) -> Column:
+    """The ``k`` best terms as [term, score] pairs."""
+    rounded = F.transform(terms, lambda t: F.struct((-F.round(t["score"], 6)).alias("less"), t["term"].alias("term")))
+    return pairs(F.slice(F.array_sort(rounded), 1, k), "term", lambda s: -s["less"])
 
-    def score(t: Column, mean: Column, sd: Column, most: Column) -> Column:
-        tf = t["tf"].cast("double")
-        middle = (F.get(t["at"], ((t["tf"] - 1) / 2).cast("int")) + F.get(t["at"], (t["tf"] / 2).cast("int"))) / 2
-        case, place, norm = t["cased"] / (1.0 + F.log(tf)), F.log(F.log(3.0 + middle)), tf / (mean + sd)
-        rel, spread = 1.0 + (t["left"] + t["right"]) * tf / most, t["spread"] / sentences
-        s = rel * place / (case + norm / rel + spread / rel)
-        raw = s / (tf * (1.0 + s))
-        return F.struct((-F.round(F.when(raw > 0, 1.0 / raw).otherwise(0.0), 6)).alias("less"), t["term"].alias("term"))
 
-    # The document's own figures are computed once and travel into the terms as a one-element array.
-    figures = F.array(F.struct(mean.alias("mean"), sd.alias("sd"), most.alias("most")))
-    scored = F.flatten(F.transform(figures, lambda f: F.transform(terms, lambda t: score(t, f["mean"], f["sd"], f["most"]))))
-    return pairs(F.slice(F.array_sort(scored), 1, k), "term", lambda s: -s["less"])
+def with_counts(rows: DataFrame, dim: int) -> DataFrame:
+    """Add the counted entries (``counts``) of ``lang``, ``_sents`` (``trees.sentence_arrays``) and ``lexical.sentences``."""
+    first = {"lemmas": lexical.TOP_LEMMAS, "tagged": lexical.TOP_LEMMAS_PER_TAG, "arcs": lexical.TOP_ARCS, "terms": keywords.TOP_KEYWORDS}
+    stop = {code: set(lexicons.stop_words(code)) for code in lexicons.FUNCTION_WORDS}
+    run = counts.counter(dim, keywords.MIN_TERM_LENGTH, first, stop, {(code, form): base for code, form, base in lexicons.lemma_pairs()})
+    counted = rows.withColumn("_c", F.arrow_udf(run, counts.COUNTS)("lang", "_sents", "lexical.sentences")).drop("_sents")
+    return counted.select(*[c for c in counted.columns if c != "_c"], "_c.*")
 
 
 def profiles(docs: DataFrame, lexicon: DataFrame | None = None, valence: DataFrame | None = None, gazetteer: DataFrame | None = None, dim: int = 64,
@@ -129,42 +60,44 @@ def profiles(docs: DataFrame, lexicon: DataFrame | None = None, valence: DataFra
     keep = ("lang", *(c for c in keep if c != "lang"))
     # All parts carry the same columns, so that Spark reads and shuffles them once.
     rows = cluster_by(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", *keep), "doc_id")
-    sents = trees.document_sentences(rows, keep, laid_out=True) if lexicon is None else trees.laid_out_baseline(
-        trees.gathered(tokens.tokens(docs, lexicon).join(docs.select("doc_id", *keep[1:]), "doc_id"), *keep))
-    seen = gathered_entries(entries(sents, dim, keep), keep).drop(*keep)
+    if lexicon is None:
+        seen = rows.groupBy("doc_id", *keep).agg(F.collect_list("text").alias("_seen")).drop(*keep)
+    else:
+        sents = trees.gathered(tokens.tokens(docs, lexicon).join(docs.select("doc_id", *keep[1:]), "doc_id"), *keep)
+        toks = F.transform("toks", lambda t: F.struct(*[t[c].alias(c) for c in ("text", "lower", "is_alpha", "is_stop", "lemma")]))
+        seen = sents.groupBy("doc_id", *keep).agg(F.collect_list(F.struct("sent_id", toks.alias("toks"), "upos")).alias("_seen")).drop(*keep)
     scores = sentiment.valence_scores(rows, valence if valence is not None else sentiment.valence_table(docs.sparkSession, lexicons.VALENCE), extra=keep)
     spans = tokens.entities(docs, gazetteer)
     named = spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"), F.array_sort(F.collect_list(F.struct("label", "start", "text"))).alias("spans"))
     out = scalars(rows, keep).join(seen, "doc_id", "left").join(scores.select("doc_id", F.struct("neg", "neu", "pos", "compound").alias("valence")), "doc_id", "left")
     out = out.join(named, "doc_id", "left")
-    for c in ("tags", "lemmas", "tagged", "deps", "arcs", "cells", "terms", "spans"):
-        out = out.withColumn(c, F.coalesce(c, F.array().cast(out.schema[c].dataType)))
+    # Texts are joined, not tokens: sentences are cut and counted in the finished row, so that no token is sorted or shuffled.
+    out = out.withColumn("_sents", trees.sentence_arrays(F.col("_seen")) if lexicon is None else F.col("_seen")).drop("_seen")
+    out = out.withColumn("_sents", F.coalesce("_sents", F.array().cast(out.schema["_sents"].dataType)))
+    out = with_counts(out, dim)
+    out = out.withColumn("spans", F.coalesce("spans", F.array().cast(out.schema["spans"].dataType)))
     tokens_seen = F.aggregate("tags", F.lit(0).cast("long"), lambda acc, t: acc + t["n"])
-    counts = F.map_from_entries(F.array_sort(F.transform("tags", lambda t: F.struct(t["upos"].alias("key"), t["n"].alias("value")))))
+    by_tag = F.map_from_entries(F.array_sort(F.transform("tags", lambda t: F.struct(t["upos"].alias("key"), t["n"].alias("value")))))
     labels = F.array_sort(F.array_distinct("spans.label"))
     of_label = lambda x: F.filter("spans", lambda s: s["label"] == x)
-    cells = F.map_from_entries(F.transform(F.filter("cells", lambda c: c["weight"] != 0), lambda c: F.struct(c["cell"].alias("key"), c["weight"].alias("value"))))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_cells", i), F.lit(0)).cast("double"))
-    out = out.withColumn("_cells", cells).withColumn("_raw", raw)
     known = F.col("lang").isin(*lexicons.LANGUAGE_MODELS) if lexicon is None else F.lit(True)
     supported = known & (F.size("deps") > 0)
     return out.select(
         "doc_id", *keep,
-        F.struct("lexical.*", pairs(F.slice(F.array_sort("lemmas"), 1, lexical.TOP_LEMMAS), "lemma", lambda s: -s["less"]).alias("top_lemmas")).alias("lexical_stats"),
-        F.struct(counts.alias("upos_counts"), F.transform_values(counts, lambda k, n: n / tokens_seen).alias("upos_ratios"),
-                 first_by_tag(F.col("tagged"), lexical.TOP_LEMMAS_PER_TAG).alias("top_lemmas_by_upos")).alias("pos"),
+        F.struct("lexical.*", pairs(F.col("lemmas"), "lemma", lambda s: s["n"]).alias("top_lemmas")).alias("lexical_stats"),
+        F.struct(by_tag.alias("upos_counts"), F.transform_values(by_tag, lambda k, n: n / tokens_seen).alias("upos_ratios"),
+                 first_by_tag(F.col("tagged")).alias("top_lemmas_by_upos")).alias("pos"),
         F.struct((F.size("spans") > 0).alias("supported"),
                  F.map_from_entries(F.transform(labels, lambda x: F.struct(x.alias("key"), F.size(of_label(x)).cast("long").alias("value")))).alias("counts_by_label"),
                  F.map_from_entries(F.transform(labels, lambda x: F.struct(x.alias("key"), F.transform(
                      F.slice(of_label(x), 1, lexical.NER_EXAMPLES), lambda s: s["text"]).alias("value")))).alias("examples_by_label"),
                  F.size("spans").cast("long").alias("total_entities")).alias("ner"),
         "readability",
-        F.struct(F.lit("yake").alias("method"), scored_terms(F.col("terms"), F.col("lexical.sentences"), keywords.TOP_KEYWORDS).alias("keywords")).alias("keywords"),
+        F.struct(F.lit("yake").alias("method"), scored_terms(F.col("terms"), keywords.TOP_KEYWORDS).alias("keywords")).alias("keywords"),
         F.struct(F.lit(True).alias("supported"), sentiment.label(F.col("valence.compound")).alias("label"), F.abs("valence.compound").alias("score"),
                  F.lit("valence").alias("method"), F.col("valence").alias("scores")).alias("sentiment"),
         F.struct(supported.alias("supported"), F.when(~supported, NO_PARSER).alias("note"),
                  F.when(supported, F.map_from_entries(F.array_sort(F.transform("deps", lambda d: F.struct(d["dep"].alias("key"), d["n"].alias("value")))))).alias("dep_counts"),
-                 F.when(supported, F.map_from_entries(F.array_sort(F.transform(F.slice(F.array_sort("arcs"), 1, lexical.TOP_ARCS), lambda x: F.struct(
-                     x["arc"].alias("key"), (-x["less"]).alias("value")))))).alias("head_pos_dep")).alias("dependency"),
+                 F.when(supported, F.map_from_entries(F.array_sort(F.transform("arcs", lambda x: F.struct(x["arc"].alias("key"), x["n"].alias("value")))))).alias("head_pos_dep")).alias("dependency"),
         F.struct(F.lit(True).alias("supported"), *[F.lit(v).alias(k) for k, v in embeddings.HashedWords(dim).provenance().items()],
-                 vx.unit(F.col("_raw"), vx.norm(F.col("_raw"))).alias("vector")).alias("embeddings"))
+                 vx.unit(F.col("cells"), vx.norm(F.col("cells"))).alias("vector")).alias("embeddings"))

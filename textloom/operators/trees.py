@@ -27,8 +27,8 @@ def listed_words() -> dict[str, dict[str, list[str]]]:
     return groups
 
 
-def with_upos(rows: DataFrame) -> DataFrame:
-    """Add ``upos``, the listed part of speech of each of ``toks``, else that of the rules (hashed sets, no join).
+def upos_of(toks: Column) -> Column:
+    """The listed part of speech of each token of an array in a row with ``lang``, else that of the rules (hashed sets, no join).
 
     The language is settled once for a sentence. Most words are not listed, which one test of all listed words tells.
     """
@@ -45,10 +45,26 @@ def with_upos(rows: DataFrame) -> DataFrame:
             found = reduce(lambda out, u: out.when(t["lower"].isin(*listed[u]), u), sorted(listed), F.when(F.lit(False), ""))
             return F.when(t["is_alpha"] & t["lower"].isin(*every), found).otherwise(rule)
 
-        return F.transform("toks", tag)
+        return F.transform(toks, tag)
 
     upos = reduce(lambda out, code: out.when(F.col("lang") == code, tags(code)), others, F.when(F.lit(False), F.array().cast("array<string>")))
-    return rows.withColumn("upos", upos.otherwise(tags(None)))
+    return upos.otherwise(tags(None))
+
+
+def with_upos(rows: DataFrame) -> DataFrame:
+    """Add ``upos``, the part of speech of each of ``toks``."""
+    return rows.withColumn("upos", upos_of(F.col("toks")))
+
+
+def sentence_arrays(texts: Column) -> Column:
+    """All sentences of the texts of a row with ``lang`` as one array of (sent_id, toks, upos): nothing is exploded."""
+    def toks(sentence: Column) -> Column:
+        pieces = F.regexp_extract_all(sentence, F.lit(tx.TOKEN_WITH_SPACE), F.lit(0))
+        stripped = F.transform(pieces, lambda p: F.rtrim(p, F.lit(tx.BLANKS)))
+        return F.transform(stripped, lambda t: F.struct(t.alias("text"), F.lower(t).alias("lower"), tx.starts_with_letter(t).alias("is_alpha")))
+
+    every = F.flatten(F.transform(texts, lambda x: F.transform(tx.raw_sentences(x), lambda s, i: F.struct(i.alias("sent_id"), toks(s).alias("toks")))))
+    return F.transform(every, lambda s: F.struct(s["sent_id"].alias("sent_id"), s["toks"].alias("toks"), upos_of(s["toks"]).alias("upos")))
 
 
 def sentence_rows(docs: DataFrame, keep: tuple[str, ...] = ("lang",)) -> DataFrame:
@@ -67,10 +83,11 @@ def with_tokens(rows: DataFrame) -> DataFrame:
     return with_upos(rows)
 
 
-def gathered(toks: DataFrame, *more: str) -> DataFrame:
+def gathered(toks: DataFrame, *more: str, laid_out: bool = False) -> DataFrame:
     """One row for each sentence of a token table: ``toks`` in order with the text ``sentence``, the array ``upos``, and, where the table has them, ``dep`` and
     ``head`` (position in the sentence; null for heads outside of it). Space tokens are left out. A table that is laid out by document is not shuffled
-    again; a sentence is one row, as it was in its text. ``more`` names columns that hold for a whole sentence."""
+    again; a sentence is one row, as it was in its text. ``more`` names columns that hold for a whole sentence. With ``laid_out`` heads are found by an
+    expression of the row, which searches the ids of a sentence for each of its tokens."""
     arrays = [c for c in ("upos", "dep", "head_id") if c in toks.columns]
     kept = [c for c in toks.columns if c not in ("doc_id", "sent_id", "tok_id", *more)]
     spaced = F.concat("text", F.coalesce("ws", F.lit(""))) if "ws" in toks.columns else F.col("text")
@@ -81,7 +98,8 @@ def gathered(toks: DataFrame, *more: str) -> DataFrame:
     for c in arrays[:2]:
         rows = rows.withColumn(c, F.col(f"toks.{c}"))
     if "head_id" in arrays:
-        rows = rows.withColumn("head", F.arrow_udf(arcs.positions, "array<int>")("toks.tok_id", "toks.head_id"))
+        search = F.transform("toks.head_id", lambda h: F.nullif(F.array_position(F.col("toks.tok_id"), h), F.lit(0)).cast("int") - 1)
+        rows = rows.withColumn("head", search if laid_out else F.arrow_udf(arcs.positions, "array<int>")("toks.tok_id", "toks.head_id"))
     plain = [c for c in ("tok_id", *kept) if c not in arrays]
     return rows.withColumn("toks", F.transform("toks", lambda t: F.struct(*[t[c].alias(c) for c in plain]))).drop("_t")
 
@@ -150,6 +168,50 @@ def with_tree(sents: DataFrame) -> DataFrame:
     return sents.withColumn("tree", F.arrow_udf(arcs.tree, arcs.TREES)("upos", "dep", "head"))
 
 
+def ud_relation(dep: Column) -> Column:
+    """Universal relation of a parser label; unknown labels are lower-cased."""
+    same = [d for d, r in lexicons.UD_RELATIONS.items() if d == r]  # one hashed test settles most tokens
+    cases = reduce(lambda out, d: out.when(dep == d, lexicons.UD_RELATIONS[d]), [d for d in lexicons.UD_RELATIONS if d not in same], F.when(dep.isin(*same), dep))
+    return cases.otherwise(F.lower(dep))
+
+
+def laid_out_tree(sents: DataFrame) -> DataFrame:
+    """``with_tree`` by expressions of the row, for exports that start no Python workers and keep the layout of the table."""
+    head, upos, dep = F.col("head"), F.col("upos"), F.col("dep")
+    nominal = lambda c: c.isin(*arcs.NOMINAL)
+    # What a token needs to know of its head, once for each token: the head's tag, and where the head itself hangs.
+    rows = sents.withColumn("_u", F.transform(head, lambda h: F.get(upos, h))).withColumn("_g", F.transform(head, lambda h: F.get(head, h)))
+    rows = rows.withColumn("_rel", F.transform(dep, lambda d, i: F.when(
+        (d == "pobj") & F.coalesce(nominal(F.when(F.get("_u", i) == "ADP", F.get(upos, F.get("_g", i))).otherwise(F.get("_u", i))), F.lit(False)),
+        "nmod").otherwise(ud_relation(d))))
+    rows = rows.withColumn("_head", F.transform(dep, lambda d, i: F.when(d == "ROOT", 0).otherwise(F.coalesce(F.get(head, i) + 1, F.lit(0)))))
+    # Movers from the last to the first, and the adposition that each of them claims.
+    movers = F.filter(F.transform(dep, lambda d, i: F.when(
+        (d == "pobj") & (F.get("_u", i) == "ADP") & (F.get("_g", i) != F.get(head, i)), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("_m", F.reverse(movers))
+    rows = rows.withColumn("_of", F.transform("_m", lambda i: F.get(head, i)))
+    rows = rows.withColumn("_noun", F.transform(dep, lambda d, i: F.get("_m", F.array_position(F.col("_of"), i).cast("int") - 1) + 1))
+    # 1: claimed by a noun behind, 2: moves itself, 0: neither.
+    kind = F.transform(dep, lambda d, i: F.when(
+        F.get("_noun", i).isNotNull() & (~F.array_contains("_m", i) | (F.get("_noun", i) > i + 1)), 1).when(F.array_contains("_m", i), 2).otherwise(0))
+    rows = rows.withColumn("_k", F.when(F.size("_m") > 0, kind))
+    turned = lambda one, two, base: F.transform("_k", lambda k, i: F.when(k == 0, F.get(base, i)).when(k == 1, one(i)).otherwise(two(i)))
+    rows = rows.withColumn("_hp", F.coalesce(turned(lambda i: F.get("_noun", i), lambda i: F.get("_g", i) + 1, "_head"), "_head"))
+    rows = rows.withColumn("_rp", F.coalesce(turned(lambda i: F.lit("case"), lambda i: F.lit("nmod"), "_rel"), "_rel"))
+    root = F.nullif(F.array_position(dep, F.lit("ROOT")), F.lit(0)).cast("int")
+    rows = rows.withColumn("_old", root)
+    verbal = F.get(upos, F.col("_old") - 1).isin("AUX", "VERB") & F.array_contains(dep, "attr")
+    rows = rows.withColumn("_new", F.when(verbal, F.array_min(F.transform(
+        dep, lambda d, i: F.when((d == "attr") & (F.get(head, i) + 1 == F.col("_old")), i + 1)))))
+    new, old = F.col("_new"), F.col("_old")
+    rows = rows.withColumn("_hf", F.when(new.isNull(), F.col("_hp")).otherwise(F.transform(
+        "_hp", lambda h, i: F.when(i + 1 == new, 0).when((i + 1 == old) | (h == old), new).otherwise(h))))
+    rows = rows.withColumn("_rf", F.when(new.isNull(), F.col("_rp")).otherwise(F.transform(
+        "_rp", lambda r, i: F.when(i + 1 == new, "root").when(i + 1 == old, "cop").otherwise(r))))
+    tree = F.struct(*[F.col(c).alias(name) for c, name in zip(("_head", "_rel", "_hp", "_rp", "_hf", "_rf"), arcs.TREE)])
+    return rows.withColumn("tree", tree).drop("_u", "_g", "_rel", "_head", "_m", "_of", "_noun", "_k", "_hp", "_rp", "_old", "_new", "_hf", "_rf")
+
+
 def exploded(sents: DataFrame, *keys: str, only: tuple[str, ...] | None = None) -> DataFrame:
     """One row for each token: ``keys``, its number ``idx`` from 1, the fields of ``toks``, its tag, and what there is of ``dep``, ``head`` and ``tree``;
     with ``only`` just those of them, so that no array is copied for nothing."""
