@@ -8,6 +8,7 @@ import types
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from textloom import scale
@@ -166,3 +167,13 @@ def test_profiles_make_no_row_for_a_token(spark, docs, monkeypatch):
     assert whole[0]["lemmas"] == [{"lemma": "house", "n": 2}, {"lemma": "run", "n": 2}]
     assert whole[3]["arcs"] and whole[5] == {"tags": [{"upos": "PUNCT", "n": whole[5]["tags"][0]["n"]}], "lemmas": [], "tagged": [], "deps": whole[5]["deps"],
                                              "arcs": whole[5]["arcs"], "cells": [0.0] * 8, "terms": []}
+
+
+def test_documents_without_tokens_need_no_annotations(spark):
+    """One blank or null text ended the whole export; a text with tokens that the annotations lack still does."""
+    rows = spark.createDataFrame([(1, "The dog ran.", "en"), (2, None, "en"), (3, "", "en"), (4, " \n\t", "de"), (None, "A cat.", "en")], "doc_id LONG, text STRING, lang STRING")
+    toks = trees.baseline_arcs(tokens.tokens(rows))
+    lines = conllu.conllu_export(rows, toks, engine="annotated").collect()
+    assert {r["doc_id"] for r in lines} == {1, None} and len(lines) == 7 + 6
+    with pytest.raises(Exception, match="no annotations of document 5"):
+        conllu.conllu_export(rows.union(spark.createDataFrame([(5, "!", "en")], rows.schema)), toks, engine="annotated").collect()
